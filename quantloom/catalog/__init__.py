@@ -1,0 +1,6 @@
+"""Registered queries, grouped by theme."""
+
+from quantloom.catalog import bars, features
+
+ALL = [bars.C, features.C]
+flagship = None

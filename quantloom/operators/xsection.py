@@ -164,15 +164,33 @@ def zscore(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("date",),
     return df.select(*keep, *[e.alias(n) for n, e in done.items()])
 
 
-def percent_rank(df, x: str, out: str, keys=("date",), centred: bool = False, heavy=None,
+def percent_rank(df: DataFrame, xs: Sequence[str], prefix: str = "rank_", keys: Sequence[str] = ("date",),
+                 centred: bool = False, heavy: bool | None = None,
                  settings: Settings = DEFAULTS) -> DataFrame:
-    """Average-tie rank over the group size, optionally mapped to (p - 0.5) / 0.5."""
-    names = df.columns
-    p = F.col("_r") / F.col("_r_n")
-    ranked = average_rank(df, keys, x, "_r", heavy, settings).select(
-        *names, ((p - 0.5) / 0.5 if centred else p).alias(out))
-    missing = df.filter(F.col(x).isNull()).withColumn(out, F.lit(None).cast("double"))
-    return ranked.unionByName(missing)
+    """Average-tie rank over the number of values, one new column per input column.
+
+    NULL stays NULL. Ordinary groups rank all columns on one exchange; heavy groups go
+    through the split ranking column by column and are joined back.
+    """
+    keys, names = list(keys), df.columns
+    scale = (lambda p: (p - 0.5) / 0.5) if centred else (lambda p: p)
+    if heavy is None:
+        heavy = has_heavy_group(df, keys, settings)
+    if not heavy:
+        out = {}
+        for x in xs:
+            w = Window.partitionBy(*keys).orderBy(F.col(x).asc_nulls_last())
+            r = F.rank().over(w) + (F.count(F.lit(1)).over(w.rangeBetween(0, 0)) - 1) / 2
+            n = F.count(x).over(Window.partitionBy(*keys))
+            out[f"{prefix}{x}"] = F.when(F.col(x).isNotNull(), scale(r / n))
+        return df.select(*names, *[e.alias(n) for n, e in out.items()])
+    df = write_out(df, "ranks")
+    for x in xs:
+        values = df.select(*keys, x).filter(F.col(x).isNotNull())
+        ranked = average_rank(values, keys, x, "_r", True, settings).select(
+            *keys, x, scale(F.col("_r") / F.col("_r_n")).alias(f"{prefix}{x}")).distinct()
+        df = df.join(ranked, [*keys, x], "left")
+    return df.select(*names, *[f"{prefix}{x}" for x in xs])
 
 
 def melt(df: DataFrame, factors: Sequence[str], keep: Sequence[str], value: str = "x") -> DataFrame:

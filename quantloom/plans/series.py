@@ -223,11 +223,9 @@ def rank_features(bars: DataFrame, heavy: bool | None = None,
         "extreme_up_days_5d": f"{r.total('_up5', 5, 1)} / 5",
         "extreme_down_days_5d": f"{r.total('_down5', 5, 1)} / 5",
     })
-    df = write_out(df.select([c for c in df.columns if not c.startswith("_")]), "ranked_inputs")
-    for c in RANKED:
-        df = xs.percent_rank(df, c, f"rank_{c}", ("date",), centred=True, heavy=heavy,
-                             settings=settings)
-    return df.drop(*need)
+    df = df.select([c for c in df.columns if not c.startswith("_")])
+    return xs.percent_rank(df, RANKED, "rank_", ("date",), centred=True, heavy=heavy,
+                           settings=settings).drop(*need)
 
 
 def market_return(bars: DataFrame, heavy: bool | None = None,
