@@ -111,7 +111,7 @@ def fitness(spark, sf):
 
 
 QCUT_SQL = f"""
-  eg AS (SELECT fid, date, min(x) AS lo, list_distinct(quantile_cont(x, [0.2, 0.4, 0.6, 0.8])) AS e FROM long GROUP BY fid, date),
+  eg AS (SELECT fid, date, min(x) AS lo, list_distinct(list_transform(quantile_cont(x, [0.2, 0.4, 0.6, 0.8]), lambda v: v + 0.0)) AS e FROM long GROUP BY fid, date),
   bk AS (SELECT fid, date, symbol, ret, x, CAST(len(list_filter(e, lambda v: v > lo AND v < x)) AS BIGINT) AS bucket
          FROM long JOIN eg USING (fid, date))"""
 

@@ -33,7 +33,7 @@ def fm_sql(src: str, by: str = "fid", min_stocks: int = 30) -> str:
          sqrt((sum(u * u) + 2 * (0.75 * coalesce(sum(u * u1), 0) + 0.5 * coalesce(sum(u * u2), 0) + 0.25 * coalesce(sum(u * u3), 0)))
               / (count(*) * count(*)) * count(*) / (count(*) - 1.0)) AS se FROM r3 GROUP BY {by}),
   r5 AS (SELECT {by}, avg(ic) AS rank_ic, avg(ic) / stddev_samp(ic) AS icir FROM {rank_ic_sql(src, k)} WHERE ic IS NOT NULL GROUP BY {by}),
-  r6 AS (SELECT {k}, min(x) AS lo, list_distinct(quantile_cont(x, [0.2, 0.4, 0.6, 0.8])) AS e FROM {src}
+  r6 AS (SELECT {k}, min(x) AS lo, list_distinct(list_transform(quantile_cont(x, [0.2, 0.4, 0.6, 0.8]), lambda v: v + 0.0)) AS e FROM {src}
          WHERE x IS NOT NULL AND ret IS NOT NULL GROUP BY {k}),
   r7 AS (SELECT {by}, len(list_filter(e, lambda v: v > lo AND v < x)) AS bucket, avg(ret) AS m FROM {src} JOIN r6 USING ({k})
          WHERE x IS NOT NULL AND ret IS NOT NULL GROUP BY ALL),
@@ -147,12 +147,11 @@ def timing_long(spark, sf):
         avg((sign(x) = sign(ret))::INT) AS acc, avg(s) / stddev_pop(s) * sqrt(252) AS sharpe, min(dd) AS mdd, arg_max(nav, date) AS fin,
         sum(s) FILTER (WHERE s > 0) / abs(sum(s) FILTER (WHERE s < 0)) AS pf FROM d GROUP BY fid)
   SELECT fid, n AS n_periods, {R('coef', 'coef')}, {R('se', 'se')}, {R('coef / se', 't_stat', 5)}, {R('r2', 'r2')}, {R('acc', 'direction_accuracy')},
-  {R('sharpe', 'sharpe', 5)}, {R('ln(power(fin, 252.0 / n))', 'log_annual', 5)}, {R('mdd', 'max_drawdown')}, {R('pf', 'profit_factor', 5)} FROM g""")
+  {R('sharpe', 'sharpe', 5)}, {R('power(fin, 252.0 / n) - 1', 'annual_return', 5)}, {R('mdd', 'max_drawdown')}, {R('pf', 'profit_factor', 5)} FROM g""")
 def timing_eval(spark, sf):
-    t = inference.timing_eval(timing_long(spark, sf))
-    d = t.withColumn("log_annual", F.log(F.col("annual_return") + 1))
+    d = inference.timing_eval(timing_long(spark, sf))
     return out(d.select("fid", "n_periods", "coef", "se", F.round("t_stat", 5).alias("t_stat"), "r2", "direction_accuracy",
-                        F.round("sharpe", 5).alias("sharpe"), F.round("log_annual", 5).alias("log_annual"), "max_drawdown",
+                        F.round("sharpe", 5).alias("sharpe"), F.round("annual_return", 5).alias("annual_return"), "max_drawdown",
                         F.round("profit_factor", 5).alias("profit_factor")))
 
 
@@ -165,13 +164,13 @@ def timing_eval(spark, sf):
   g AS (SELECT *, nav / max(nav) OVER (PARTITION BY fid ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM f)
   SELECT fid, count(*) AS n_days, CAST(sum(p) AS BIGINT) AS n_hold_days, {R('sum(c)', 'turnover')}, {R('avg(net) / stddev_pop(net) * sqrt(252)', 'sharpe', 5)},
   {R('avg((sign(x) = sign(ret))::INT)', 'direction_accuracy')}, {R('sum(net) FILTER (WHERE net > 0) / abs(sum(net) FILTER (WHERE net < 0))', 'profit_factor', 5)},
-  {R('min(dd)', 'max_drawdown')}, {R('ln(arg_max(nav, date))', 'log_total', 5)}, {R('ln(arg_max(bh, date)) * 252.0 / count(*)', 'log_bh_annual', 5)} FROM g GROUP BY fid""")
+  {R('min(dd)', 'max_drawdown')}, {R('arg_max(nav, date) - 1', 'total_return', 5)}, {R('power(arg_max(bh, date), 252.0 / count(*)) - 1', 'bh_annual_return', 5)} FROM g GROUP BY fid""")
 def timing_bt(spark, sf):
     d = backtest.timing_backtest(timing_long(spark, sf))
     return out(d.select("fid", "n_days", "n_hold_days", "turnover", F.round("sharpe", 5).alias("sharpe"), "direction_accuracy",
                         F.round("profit_factor", 5).alias("profit_factor"), "max_drawdown",
-                        F.round(F.log(F.col("total_return") + 1), 5).alias("log_total"),
-                        F.round(F.log(F.col("bh_annual_return") + 1), 5).alias("log_bh_annual")))
+                        F.round("total_return", 5).alias("total_return"),
+                        F.round("bh_annual_return", 5).alias("bh_annual_return")))
 
 
 @C.add("timing_gate")
@@ -477,15 +476,17 @@ def hall(spark, sf):
     return out(formula.best_per_formula(runs, 5))
 
 
-@C.add("rank_gaussian", f"""WITH {PANEL_SQL}, r AS (SELECT date, symbol, {avg_rank('date', 'ret')} AS rk, count(*) OVER (PARTITION BY date) AS n FROM panel)
-   SELECT date, symbol, {R('rk / (n + 1)', 'p', 5)} FROM r""")
+@C.add("rank_gaussian", f"""WITH {PANEL_SQL}, r AS (SELECT date, symbol, {avg_rank('date', 'ret')} AS rk FROM panel)
+   SELECT date, symbol, {R('rk', 'rank', 1)} FROM r""")
 def gaussian(spark, sf):
     p = panel(spark, sf).select("date", "symbol", "ret")
-    g = models.rank_gaussian(p, "ret", ["date"], "g", heavy=heavy(spark, sf))
-    # read back through the normal CDF, so the SQL twin needs no quantile function
+    n = p.groupBy("date").agg(F.count("ret").alias("n"))
+    g = models.rank_gaussian(p, "ret", ["date"], "g", bound=9.0, heavy=heavy(spark, sf)).join(n, "date")
+    # back through the normal CDF to the rank, so the SQL twin needs no quantile function
     from quantloom.functions.exprs import normal_tail
     tail = normal_tail(F.col("g")) / 2
-    return out(g.select("date", "symbol", F.when(F.col("g") < 0, tail).otherwise(1 - tail).alias("p")), 5)
+    p = F.when(F.col("g") < 0, tail).otherwise(1 - tail)
+    return out(g.select("date", "symbol", (F.round(p * (F.col("n") + 1) * 2) / 2).alias("rank")), 1)
 
 
 @C.add("candidate_sweep")
@@ -763,11 +764,11 @@ def ls_panel(spark, sf):
     return fx.stored(spark, ("ls", sf), lambda: xs.long_short_by_count(neutral_panel(spark, sf), heavy=heavy(spark, sf)))
 
 
-@C.add("annualised_spreads", f"""{LSN} SELECT fid, count(ls) AS n_days, {R('ln(1 + avg(ls)) * 252', 'log_annual', 5)}, {R('avg(ls) / (stddev_samp(ls) / sqrt(count(ls)))', 't_mean', 5)},
+@C.add("annualised_spreads", f"""{LSN} SELECT fid, count(ls) AS n_days, {R('least(power(1 + avg(ls), 252) - 1, 1000000)', 'annual', 4)}, {R('avg(ls) / (stddev_samp(ls) / sqrt(count(ls)))', 't_mean', 5)},
    {R('CASE WHEN count(ls) >= 30 THEN avg(ls) / (stddev_samp(ls) + 1e-12) * sqrt(252) ELSE 0 END', 'sharpe', 5)} FROM ls GROUP BY fid""")
 def ann(spark, sf):
     d = backtest.annualised_stats(ls_panel(spark, sf))
-    return out(d.select("fid", "n_days", F.log(F.col("annual") + 1).alias("log_annual"), "t_mean", "sharpe"), 5)
+    return out(d.select("fid", "n_days", F.round(F.least("annual", F.lit(1e6)), 4).alias("annual"), "t_mean", "sharpe"), 5)
 
 
 # ---- combination ----------------------------------------------------------------------

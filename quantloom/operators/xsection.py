@@ -366,6 +366,8 @@ def quantile_bucket(df: DataFrame, x: str = "x", keys=("fid", "date"), n_groups:
     keys = list(keys)
     qs = [i / n_groups for i in range(n_groups)]
     edges = quantiles(df, keys, x, qs, "_edges", heavy, settings)
+    # -0.0 and 0.0 are one edge
+    edges = edges.withColumn("_edges", F.transform("_edges", lambda e: e + F.lit(0.0)))
     inner = F.filter(F.array_distinct(F.col("_edges")),
                      lambda e: (e > F.col("_edges")[0]) & (e < F.col(x)))
     return (df.filter(F.col(x).isNotNull()).join(edges, keys)
