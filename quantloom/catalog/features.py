@@ -130,8 +130,8 @@ def ewm_sql(x: str, span: int, adjust: bool = True) -> str:
 def ewm(spark, sf):
     r = Rolling()
     df = r.add(fx.bars(spark, sf), {"_pos": r.position()})
-    for n, span, adj in (("adj12", 12, True), ("adj26", 26, True), ("plain9", 9, False)):
-        df = r.ewm(df, "close", span, "_pos", n, adjust=adj)
+    df = r.ewm(df, {"adj12": ("close", 12), "adj26": ("close", 26)}, "_pos")
+    df = r.ewm(df, {"plain9": ("close", 9)}, "_pos", adjust=False)
     return out(df.filter("NOT halo").select("date", "symbol", "adj12", "adj26", "plain9"), 5)
 
 

@@ -264,36 +264,34 @@ class Rolling:
         k = self._helper(2, f"xn_{x}", f"count({x}) OVER {self.upto}")
         return when(f"{k} >= {need}", self._helper(2, f"x_{call}_{x}", f"{call}({x}) OVER {self.upto}"))
 
-    # exponential mean: per-bar weights (1-a)^age, summed cell by cell
-    def ewm(self, df: DataFrame, x: str, span: int, pos: str, out: str,
+    # exponential means: per-bar weights (1-a)^age, summed cell by cell
+    def ewm(self, df: DataFrame, specs: dict[str, tuple[str, int]], pos: str,
             adjust: bool = True) -> DataFrame:
-        """Exponentially weighted mean of a column without gaps.
+        """Exponentially weighted means of columns without gaps: {out: (column, span)}.
 
         ``sum(x * decay^age)`` written as one running total overflows, so the total runs
-        inside cells long enough for a cell to decay by 1e-9; the totals of the three
-        cells before the current one are carried, which leaves less than 1e-27.
+        inside cells of rows, and the closing total of the previous cell is carried. Cells
+        are long enough for the longest span to fade by 1e-18 in one cell, so older cells
+        do not matter. All means share two Window operators.
         """
-        decay = 1.0 - 2.0 / (span + 1.0)
-        cells = max(64, math.ceil(21.0 / -math.log(decay)))
-        fade, keep = lit(decay ** cells), df.columns
-        df = with_exprs(df, {"_cell": f"floor(({pos} - 1) / {cells})",
-                             "_off": f"({pos} - 1) % {cells}"})
-        df = with_exprs(df, {"_term": f"{x} * pow({lit(1 / decay)}, _off)"})
-        df = with_exprs(df, {"_part": f"sum(_term) OVER ({self.part}, _cell ORDER BY {self.order} "
-                                      f"ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) "
-                                      f"* pow({lit(decay)}, _off)"})
-        carried = "0D"
-        for level in range(3):
-            closing = f"CASE WHEN _off = {cells - 1} THEN _part + {fade} * {carried} END"
-            carried = f"_carry{level}"
-            df = with_exprs(df, {carried: f"coalesce(last({closing}, true) OVER {self.before}, 0D)"})
-        df = with_exprs(df, {"_sum": f"_part + {carried} * pow({lit(decay)}, _off + 1)"})
-        if adjust:
-            value = f"_sum * {lit(1 - decay)} / (1 - pow({lit(decay)}, {pos}))"
-        else:
-            value = (f"{lit(1 - decay)} * _sum + {lit(decay)} * pow({lit(decay)}, {pos} - 1)"
-                     f" * first({x}) OVER {self.upto}")
-        return with_exprs(df, {out: value}).select(*keep, out)
+        decay = {out: 1.0 - 2.0 / (span + 1.0) for out, (_, span) in specs.items()}
+        cells = max(64, math.ceil(41.5 / -math.log(max(decay.values()))))
+        keep = df.columns
+        df = with_exprs(df, {"_cell": f"floor(({pos} - 1) / {cells})", "_off": f"({pos} - 1) % {cells}"})
+        df = with_exprs(df, {f"_t_{o}": f"{x} * pow({lit(1 / decay[o])}, _off)" for o, (x, _) in specs.items()})
+        df = with_exprs(df, {f"_i_{o}": f"sum(_t_{o}) OVER ({self.part}, _cell ORDER BY {self.order} "
+                                        f"ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)" for o in specs})
+        df = with_exprs(df, {f"_p_{o}": f"_i_{o} * pow({lit(decay[o])}, _off)" for o in specs})
+        closing = {o: f"CASE WHEN _off = {cells - 1} THEN _p_{o} END" for o in specs}
+        df = with_exprs(df, {f"_c_{o}": f"last({e}, true) OVER {self.before}" for o, e in closing.items()}
+                        | {f"_f_{o}": f"first({x}) OVER {self.upto}" for o, (x, _) in specs.items()})
+        out = {}
+        for o in specs:
+            d = lit(decay[o])
+            total = f"(_p_{o} + coalesce(_c_{o}, 0D) * pow({d}, _off + 1))"
+            out[o] = (f"{total} * {lit(1 - decay[o])} / (1 - pow({d}, {pos}))" if adjust else
+                      f"{lit(1 - decay[o])} * {total} + {d} * pow({d}, {pos} - 1) * _f_{o}")
+        return with_exprs(df, out).select(*keep, *specs)
 
 
 # expressions on the (sorted) array of one frame

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from quantloom.functions.rolling import (Rolling, at_least, at_most, div, first_hit, lit, over,
                                          rank_of_last, sorted_quantile, with_exprs)
-from quantloom.plans.series import finish
+from quantloom.plans.series import finish, label
 
 EPS = 1e-12
 SPANS = (5, 10, 20, 30, 60)  # fixed values
@@ -30,7 +30,7 @@ def features158(bars: DataFrame, carry: tuple[str, ...] = (), horizon: int = 1,
     r = Rolling()
     longest = max(SPANS)
     df = r.add(bars, {
-        "_pc": r.lag("close"), "_pv": r.lag("volume"), "_pos": r.position(),
+        "forward_ret": label(r, horizon), "_pc": r.lag("close"), "_pv": r.lag("volume"), "_pos": r.position(),
         # one array per price column; shorter frames are its tails
         "_ac": r.values("close", longest), "_ah": r.values("high", longest),
         "_al": r.values("low", longest),
@@ -69,7 +69,7 @@ def features158(bars: DataFrame, carry: tuple[str, ...] = (), horizon: int = 1,
         f"IMXD{d}": f"(IMAX{d} - IMIN{d}) / {d}", f"CNTD{d}": f"CNTP{d} - CNTN{d}",
         f"SUMD{d}": f"SUMP{d} - SUMN{d}", f"VSUMD{d}": f"VSUMP{d} - VSUMN{d}"}.items()})
     names = columns() if only is None else list(only)
-    out = finish(df, r, names, carry, horizon)
+    out = finish(df, names, carry)
     fixed = [c for c in out.columns if c not in names]
     return out.selectExpr(*fixed, *[f"{at_most(at_least(n, -BOUND), BOUND)} AS {n}" for n in names])
 

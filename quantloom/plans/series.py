@@ -31,9 +31,9 @@ RANKED = ("ret_1d", "ret_5d", "ret_20d", "vol_20d", "turnover_20d", "body_ratio"
           "pv_divergence", "amihud_20d")
 
 
-def _base(df: DataFrame, r: Rolling) -> DataFrame:
-    """Shared inputs: previous close, log and simple returns, ranges, scaled volume."""
-    df = r.add(df, {"_pc": r.lag("close"), "_pos": r.position(),
+def _base(df: DataFrame, r: Rolling, horizon: int) -> DataFrame:
+    """Shared inputs: label, previous close, log and simple returns, ranges, scaled volume."""
+    df = r.add(df, {"forward_ret": label(r, horizon), "_pc": r.lag("close"), "_pos": r.position(),
                     "_v20": r.mean("volume", 20), "_v60": r.mean("volume", 60)})
     df = with_exprs(df, {
         "_lr": f"ln({div(at_least('close', 1e-8), at_least('_pc', 1e-8))})",
@@ -108,10 +108,9 @@ def _technical(r: Rolling) -> dict[str, str]:
 
 
 def _macd(df: DataFrame, r: Rolling) -> DataFrame:
-    df = r.ewm(df, "close", 12, "_pos", "_e12")
-    df = r.ewm(df, "close", 26, "_pos", "_e26")
+    df = r.ewm(df, {"_e12": ("close", 12), "_e26": ("close", 26)}, "_pos")
     df = with_exprs(df, {"macd_hist": "_e12 - _e26"})
-    return r.ewm(df, "macd_hist", 9, "_pos", "macd_signal")
+    return r.ewm(df, {"macd_signal": ("macd_hist", 9)}, "_pos")
 
 
 def label(r: Rolling, horizon: int = 1) -> str:
@@ -119,17 +118,15 @@ def label(r: Rolling, horizon: int = 1) -> str:
     return f"try_divide({r.lead('close', horizon)}, close) - 1"
 
 
-def _start(bars: DataFrame, r: Rolling, names: list[str]) -> DataFrame:
+def _start(bars: DataFrame, r: Rolling, names: list[str], horizon: int) -> DataFrame:
     """Base columns; the exponential means come first, while rows are still narrow."""
-    df = _base(bars, r)
+    df = _base(bars, r, horizon)
     return _macd(df, r) if {"macd_hist", "macd_signal"} & set(names) else df
 
 
-def finish(df: DataFrame, r: Rolling, names: list[str], carry: tuple[str, ...],
-           horizon: int) -> DataFrame:
-    """Add the label, drop halo rows, and turn NaN and infinities into NULL."""
-    df = r.add(df, {"forward_ret": label(r, horizon)}).filter("NOT halo")
-    return df.selectExpr("date", "symbol", *carry, "forward_ret",
+def finish(df: DataFrame, names: list[str], carry: tuple[str, ...]) -> DataFrame:
+    """Drop halo rows and turn NaN and infinities into NULL."""
+    return df.filter("NOT halo").selectExpr("date", "symbol", *carry, "forward_ret",
                          *[f"CASE WHEN abs({n}) < double('infinity') THEN {n} END AS {n}"
                            for n in names])
 
@@ -166,7 +163,7 @@ def daily_features(bars: DataFrame, carry: tuple[str, ...] = (), horizon: int =
     """
     r = Rolling()
     names = daily_columns() if only is None else list(only)
-    df = _start(bars, r, names)
+    df = _start(bars, r, names, horizon)
     typical = "((high + low + open + close) / 4)"
     df = with_exprs(df, {
         "clv": div("2 * close - high - low", "_hl"),
@@ -179,13 +176,12 @@ def daily_features(bars: DataFrame, carry: tuple[str, ...] = (), horizon: int =
         "_dev": over("(close - _vwap)", "close"),
         "_signed": "signum(_dc) * volume",
     })
-    df = with_exprs(df, {"_flow": "clv * volume"})
+    # inputs of second-level frames, while rows are narrow; then one wide pass for the rest
+    df = r.add(with_exprs(df, {"_flow": "clv * volume"}), {
+        "_obv": r.cumulative("_signed"), "_xlr": f"_lr - {r.mean('_lr', 20)}",
+        "_cvc10": r.corr("close", "volume", 10), "turn_prev": r.lag("turn")})
     df = r.add(df, _momentum(r) | _risk(r) | _liquidity(r) | _technical(r) | {
         "vol_skew_ratio": f"({r.std('_lr_dn', 20)} * {YEAR}) / ({r.std('_lr_up', 20)} * {YEAR} + 1e-8D)",
-        "_obv": r.cumulative("_signed"),
-        "_xlr": f"_lr - {r.mean('_lr', 20)}",
-        "_cvc10": r.corr("close", "volume", 10),
-        "turn_prev": r.lag("turn"),
         "turnover_std_5d": r.std("turn", 5),
         "turnover_skew_20d": r.skew("turn", 20),
         "volume_skew_20d": r.skew("volume", 20),
@@ -194,17 +190,15 @@ def daily_features(bars: DataFrame, carry: tuple[str, ...] = (), horizon: int =
         "smart_money_10d": r.total("_dev", 10), "smart_money_20d": r.total("_dev", 20),
         "vwap_dev_5d": r.mean("_dev", 5), "vwap_dev_20d": r.mean("_dev", 20),
         "price_accel": r.diff("_ret"),
-    })
-    df = r.add(df, _risk_ratios() | {
-        "extreme_vol_20d": "max_ret_20d - min_ret_20d",
         "volume_std_5d": r.std("volume_shock_5d", 5),
         "ivol_20d": f"{r.std('_xlr', 20)} * {YEAR}",
         "turnover_decay_20d": r.autocorr("turn", 20),
         "obv_slope_10d": r.slope("_obv", "_pos", 10),
         "close_volume_corr_change_10d": r.diff("_cvc10", 5),
     })
-    df = with_exprs(df, {"resid_vol_20d": "ivol_20d"})
-    return finish(df, r, names, carry, horizon)
+    df = with_exprs(df, _risk_ratios() | {"resid_vol_20d": "ivol_20d",
+                                          "extreme_vol_20d": "max_ret_20d - min_ret_20d"})
+    return finish(df, names, carry)
 
 
 def rank_features(bars: DataFrame, heavy: bool | None = None,
@@ -276,7 +270,7 @@ def large_cap_raw(bars: DataFrame, carry: tuple[str, ...] = (), horizon: int = 1
     r = Rolling()
     names = large_cap_columns() if only is None else list(only)
     # one market value per date: bounded by the calendar, broadcast only if Spark finds it small
-    df = _start(bars.join(market_return(bars, heavy, settings), "date", "left"), r, names)
+    df = _start(bars.join(market_return(bars, heavy, settings), "date", "left"), r, names, horizon)
     df = with_exprs(df, {
         "body_ratio": div("abs(close - open)", "_hl"),
         "illiq_spread": over("_hl", "close"),
@@ -286,17 +280,26 @@ def large_cap_raw(bars: DataFrame, carry: tuple[str, ...] = (), horizon: int = 1
         "_over": over("open", "_pc") + " - 1", "_intra": over("close", "open") + " - 1",
         "_cvw": over("(close - _vwap)", "_vwap"), "_eff": over("(close - open)", "open"),
     })
+    # inputs of second-level frames, while rows are narrow; then one wide pass for the rest
+    df = r.add(df, {
+        "_pv": r.lag("volume"), "_top60": r.top("close", 60), "_obv": r.cumulative("_signed"),
+        "_dtp": r.diff("_tp"), "_mf": "_tp * volume",
+        "market_beta_60d": over(r.cov("_ret", "market_ret", 60), r.var("market_ret", 60)),
+        "rolling_alpha_60d": r.intercept("_ret", "market_ret", 60)})
+    df = with_exprs(df, {
+        "_dd": div("close", "_top60") + " - 1",
+        "_res60": "_ret - (market_beta_60d * market_ret + rolling_alpha_60d)",
+        "_mfp": "CASE WHEN _dtp > 0 THEN _mf ELSE 0D END",
+        "_mfn": "CASE WHEN _dtp < 0 THEN _mf ELSE 0D END",
+    })
     h14, l14 = r.top("high", 14), r.bottom("low", 14)
     df = r.add(df, _momentum(r) | _risk(r) | _liquidity(r) | _technical(r) | {
         "vol_skew_ratio": f"{r.std('_lr_dn', 20)} / ({r.std('_lr_up', 20)} + 1e-8D)",
-        "_pv": r.lag("volume"), "_top60": r.top("close", 60),
-        "_obv": r.cumulative("_signed"), "_dtp": r.diff("_tp"), "_mf": "_tp * volume",
         "_mid": r.mean("close", 20), "_sd": r.std("close", 20), "_h14": h14, "_l14": l14,
         "_amounts": f"CASE WHEN {r.count('amount', 20)} >= 20 THEN sort_array({r.values('amount', 20)}, false) END",
         "_lrs": f"CASE WHEN {r.count('_lr', 20)} >= 20 THEN sort_array({r.values('_lr', 20)}) END",
-        "market_beta_60d": over(r.cov("_ret", "market_ret", 60), r.var("market_ret", 60)),
         "market_beta_120d": r.slope("_ret", "market_ret", 120),
-        **{f"rolling_alpha_{d}d": r.intercept("_ret", "market_ret", d) for d in (60, 120, 250)},
+        **{f"rolling_alpha_{d}d": r.intercept("_ret", "market_ret", d) for d in (120, 250)},
         "cci_20d": f"(_tp - {r.mean('_tp', 20)}) / (0.015D * {at_least(r.std('_tp', 20), 1e-8)})",
         "sharpe_60d": over(r.mean("_ret", 60), r.std("_ret", 60)),
         "gain_loss_60d": over(r.total("_ret_up", 60), r.total("_ret_dn", 60)),
@@ -310,31 +313,25 @@ def large_cap_raw(bars: DataFrame, carry: tuple[str, ...] = (), horizon: int = 1
         "turnover_vol_20d": over(r.std("turn", 20), r.mean("turn", 20)),
         **{f"_g{d}": f"exp({r.total('_lr', d)})" for d in (5, 20, 60)},
         **{f"_k{d}": f"exp({r.total('market_ret', d)})" for d in (5, 20, 60)},
-    })
-    df = with_exprs(df, {
-        "_dd": div("close", "_top60") + " - 1",
-        "_res60": "_ret - (market_beta_60d * market_ret + rolling_alpha_60d)",
-        "_mfp": "CASE WHEN _dtp > 0 THEN _mf ELSE 0D END",
-        "_mfn": "CASE WHEN _dtp < 0 THEN _mf ELSE 0D END",
-        "_band": at_least("(4 * _sd)", 1e-8),
-    })
-    df = r.add(df, _risk_ratios() | {
         "volume_std_5d": r.std("volume_shock_5d", 5),
+        "vol_lead_corr_10d": r.corr("_pv", "_ret", 10),
+        "max_drawdown_60d": r.bottom("_dd", 60),
+        "ivol_60d": f"{r.std('_res60', 60)} * {YEAR}",
+        "obv_trend_20d": r.trend_strength("_obv", "_pos", 20),
+        "mfi_14d": f"100 - 100 / (1 + {over(r.total('_mfp', 14, 1), r.total('_mfn', 14, 1))})",
+    })
+    df = with_exprs(df, {"_band": at_least("(4 * _sd)", 1e-8)})
+    df = with_exprs(df, _risk_ratios() | {
         "amt_concentration_20d": top_share("_amounts", 5),
         "amihud_ratio_5_20": over("amihud_5d", "amihud_20d"),
-        "vol_lead_corr_10d": r.corr("_pv", "_ret", 10),
         "boll_pctb_20d": "(close - (_mid - 2 * _sd)) / _band",
         "williams_r_14d": over("(_h14 - close)", "(_h14 - _l14)") + " * -100",
         **{f"excess_ret_{d}d": f"_g{d} - _k{d}" for d in (5, 20, 60)},
         "relative_strength_20d": div("_g20 - 1", f"{at_least('_k20', 1e-8)} - 1 + 1e-8D"),
-        "max_drawdown_60d": r.bottom("_dd", 60),
         "beta_stability_60d": over("market_beta_60d", "market_beta_120d"),
-        "ivol_60d": f"{r.std('_res60', 60)} * {YEAR}",
-        "obv_trend_20d": r.trend_strength("_obv", "_pos", 20),
-        "mfi_14d": f"100 - 100 / (1 + {over(r.total('_mfp', 14, 1), r.total('_mfn', 14, 1))})",
         "var_95_20d": sorted_quantile("_lrs", 0.05),
     })
-    return finish(df, r, names, carry, horizon)
+    return finish(df, names, carry)
 
 
 def large_cap_features(bars: DataFrame, carry: tuple[str, ...] = (), horizon: int = 1,

@@ -70,10 +70,9 @@ def index_features(index: DataFrame) -> DataFrame:
     df = with_exprs(df, {"_cut20": sorted_quantile("_rs20", 0.05), "_cut60": sorted_quantile("_rs60", 0.05),
                          "_tpa": f"CASE WHEN size(_tps) >= 20 THEN {mean_abs_dev('_tps', '_tpm')} END",
                          "bias_20d": over("(close - _ma20)", "_ma20")})
-    df = r.ewm(df, "close", 12, "_pos", "_e12", adjust=False)
-    df = r.ewm(df, "close", 26, "_pos", "_e26", adjust=False)
+    df = r.ewm(df, {"_e12": ("close", 12), "_e26": ("close", 26)}, "_pos", adjust=False)
     df = with_exprs(df, {"_macd": "_e12 - _e26"})
-    df = r.ewm(df, "_macd", 9, "_pos", "_sig", adjust=False)
+    df = r.ewm(df, {"_sig": ("_macd", 9)}, "_pos", adjust=False)
     f = {f"ret_{w}d": r.change("close", w) for w in (1, 3, 5, 10, 20, 60)}
     f |= {f"rev_{w}d": f"-{r.change('close', w)}" for w in (5, 10, 20, 60)}
     for w in (20, 60):

@@ -32,6 +32,8 @@ def _bars(ticks: DataFrame, order_cols: list[str]) -> DataFrame:
 
 
 def _with_turn_and_change(bars: DataFrame, settings: Settings) -> DataFrame:
+    # day totals and series sizes read the bars again: scan them, do not rebuild them
+    bars = write_out(bars, "bars0")
     day = bars.groupBy("date").agg(F.sum("volume").alias("_day_volume"))
     bars = bars.join(day, "date").withColumn(
         "turn", F.try_divide(100.0 * F.col("volume"), F.col("_day_volume"))).drop("_day_volume")
