@@ -349,11 +349,6 @@ def large_raw(spark, sf):
     return out(d.drop("forward_ret"), 3)
 
 
-@C.add("large_cap_features")
-def large(spark, sf):
-    return series.large_cap_features(fx.bars(spark, sf), heavy=heavy(spark, sf))
-
-
 STD_COLS = ["ret_1d", "vol_20d", "rsi_14", "pv_corr_10d", "bias_20d", "turnover_20d"]
 _med = ", ".join(f"quantile_cont({c}, 0.5) AS m_{c}" for c in STD_COLS)
 _fill = ", ".join(f"coalesce({c}, m_{c}) AS {c}, m_{c}" for c in STD_COLS)
@@ -374,6 +369,31 @@ def fill_clip(spark, sf):
     return out(xs.fill_clip_zscore_wide(d, STD_COLS, heavy=heavy(spark, sf)).select("date", "symbol", *STD_COLS), 5)
 
 
+LARGE_ALL = {c: LARGE_ONLY.get(c, DAILY.get(c)) for c in series.large_cap_columns()}
+LARGE_ALL |= {"illiq_spread": "hl / close", "amihud_5d": mean("ill", 5), "amihud_20d": mean("ill", 20),
+              "vol_skew_ratio": f"{std('lrd', 20)} / ({std('lru', 20)} + 1e-8)",
+              "beta_stability_60d": f"beta60 / {mx('beta120', 1e-8)}"}
+
+
+def std3(names: list[str], src: str) -> str:
+    """CTEs ending in zs: fill with the date median, clip at 3 MAD, z-score per date."""
+    return f"""
+  med AS (SELECT date, {', '.join(f'quantile_cont({c}, 0.5) AS m_{c}' for c in names)} FROM {src} GROUP BY date),
+  fl AS (SELECT date, symbol, {', '.join(f'coalesce({c}, m_{c}) AS {c}, m_{c}' for c in names)} FROM {src} JOIN med USING (date)),
+  mad AS (SELECT date, {', '.join(f'quantile_cont(abs({c} - m_{c}), 0.5) AS d_{c}' for c in names)} FROM fl GROUP BY date),
+  cl AS (SELECT date, symbol, {', '.join(f"CASE WHEN {c} IS NOT NULL THEN least(greatest({c}, m_{c} - 3 * 1.4826 * d_{c}), m_{c} + 3 * 1.4826 * d_{c}) END AS {c}" for c in names)}
+         FROM fl JOIN mad USING (date)),
+  zs AS (SELECT date, symbol, {', '.join(f"({c} - avg({c}) OVER d) / {mx(f'stddev_samp({c}) OVER d', 1e-8)} AS {c}" for c in names)} FROM cl
+         WINDOW d AS (PARTITION BY date))"""
+
+
+@C.add("large_cap_features", f"""WITH {S_LARGE}, raw AS (SELECT date, symbol, {', '.join(f'{fin(LARGE_ALL[c])} AS {c}' for c in series.large_cap_columns())} FROM l2),
+  {std3(series.large_cap_columns(), 'raw')} SELECT date, symbol, {', '.join(R(c, c, 3) for c in series.large_cap_columns())} FROM zs""")
+def large(spark, sf):
+    d = series.large_cap_features(fx.bars(spark, sf), heavy=heavy(spark, sf))
+    return out(d.select("date", "symbol", *series.large_cap_columns()), 3)
+
+
 # ---- market series --------------------------------------------------------------------
 @C.add("equal_weight_index", f"""WITH {BARS_SQL} SELECT date, {', '.join(R(f'avg({c})', c, 7) for c in
    ('open', 'high', 'low', 'close', 'volume', 'amount'))} FROM bars GROUP BY date""")

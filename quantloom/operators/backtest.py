@@ -12,10 +12,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quantloom.functions.exprs import all_of
 from quantloom.operators import xsection as xs
 from quantloom.operators.inference import annualised, drawdown
-from quantloom.operators.layout import write_out
+from quantloom.operators.layout import time_blocks, write_out
 from quantloom.settings import DEFAULTS, Settings
 
 
@@ -23,20 +22,20 @@ def _month(c="date"):
     return F.trunc(F.col(c), "month")
 
 
-def prepare(panel: DataFrame, open_execution: bool = True) -> DataFrame:
+def prepare(panel: DataFrame, open_execution: bool = True, settings: Settings = DEFAULTS) -> DataFrame:
     """Rows with signal and return, their month and the day returns of a holder.
 
     ``panel``: fid, date, symbol, x, ret and, for next-open execution, open and close.
     """
-    need = ["x", "ret"] if open_execution else ["x", "ret"]
-    d = panel.filter(all_of([F.col(c).isNotNull() for c in need])).withColumn("month", _month())
+    d = panel.filter(F.col("x").isNotNull() & F.col("ret").isNotNull()).withColumn("month", _month())
     if not open_execution:
         return d.select("fid", "month", "date", "symbol", "x", F.col("ret").alias("entry"),
                         F.col("ret").alias("held"), F.lit(None).cast("double").alias("open"),
                         F.lit(None).cast("double").alias("prev"))
-    # previous close among the rows kept; a series has one row per date
-    prev = F.lag("close").over(Window.partitionBy("fid", "symbol").orderBy("date"))
-    return d.withColumn("prev", prev).select(
+    # previous close among the rows kept; long series are cut into blocks with a halo row
+    d = time_blocks(d.withColumn("_series", F.struct("fid", "symbol")), settings, symbol="_series")
+    prev = F.lag("close").over(Window.partitionBy("_series", "blk").orderBy("date"))
+    return d.withColumn("prev", prev).filter("NOT halo").select(
         "fid", "month", "date", "symbol", "x",
         (F.try_divide("close", "open") - 1).alias("entry"),
         (F.try_divide("close", "prev") - 1).alias("held"), "open", "prev")
@@ -180,7 +179,7 @@ class Backtest:
     def __init__(self, panel: DataFrame, costs_bps: Sequence[float] = (30.0,), n_groups: int = 5,
                  min_names: int = 50, open_execution: bool = True, limit_pct: float = 0.10, heavy=None,
                  settings: Settings = DEFAULTS):
-        rows = write_out(prepare(panel, open_execution), "bt_rows")
+        rows = write_out(prepare(panel, open_execution, settings), "bt_rows")
         members, _ = baskets(rows, n_groups, min_names, open_execution, limit_pct, heavy, settings)
         self.members = write_out(members, "bt_members")
         self.turnover = turnover(self.members)

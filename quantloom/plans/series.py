@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from quantloom.functions.rolling import (ANNUAL, Rolling, at_least, at_most, div, lit, over,
                                          sorted_quantile, top_share, with_exprs)
 from quantloom.operators import xsection as xs
-from quantloom.operators.layout import write_out
+from quantloom.operators.layout import time_blocks, write_out
 from quantloom.settings import DEFAULTS, Settings
 
 YEAR = lit(ANNUAL)
@@ -206,9 +206,8 @@ def rank_features(bars: DataFrame, heavy: bool | None = None,
     """The 13 optional columns: centred per-date ranks and interaction terms."""
     need = [*RANKED, "vol_5d"]
     feats = daily_features(bars, only=need).drop("forward_ret")
-    # symbol series again: the features keep one row per (symbol, date) in date order
-    r = Rolling(keys=("symbol",))
-    df = with_exprs(feats, {"_up5": "CASE WHEN ret_1d > 0.05D THEN 1D ELSE 0D END",
+    r = Rolling()
+    df = with_exprs(time_blocks(feats, settings), {"_up5": "CASE WHEN ret_1d > 0.05D THEN 1D ELSE 0D END",
                             "_down5": "CASE WHEN ret_1d < -0.05D THEN 1D ELSE 0D END"})
     df = r.add(df, {
         "vol_cone_5_20": "vol_5d / (vol_20d + 1e-8D)",
@@ -217,7 +216,7 @@ def rank_features(bars: DataFrame, heavy: bool | None = None,
         "extreme_up_days_5d": f"{r.total('_up5', 5, 1)} / 5",
         "extreme_down_days_5d": f"{r.total('_down5', 5, 1)} / 5",
     })
-    df = df.select([c for c in df.columns if not c.startswith("_")])
+    df = df.filter("NOT halo").select([c for c in df.columns if not c.startswith("_") and c not in ("blk", "halo")])
     return xs.percent_rank(df, RANKED, "rank_", ("date",), centred=True, heavy=heavy,
                            settings=settings).drop(*need)
 
