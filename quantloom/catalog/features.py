@@ -476,6 +476,22 @@ def breadth(spark, sf):
     return out(timing.breadth_features(fx.bars(spark, sf), heavy(spark, sf)), 5)
 
 
+TZ = [*TIMING, *timing.BREADTH]
+_ts = C.sql["timing_series"]
+TS_CTES = _ts[len(f"WITH {BARS_SQL}, "):_ts.rindex("SELECT date")].rstrip()
+_mb = C.sql["market_breadth"]
+MB_SELECT = _mb[_mb.rindex("SELECT d.date"):]
+
+
+@C.add("timing_zscores", f"""WITH {BARS_SQL}, {TS_CTES}, {PAIR_SQL.strip()},
+  br AS ({MB_SELECT.replace(', 5) + 0.0', ', 15) + 0.0')}),
+  al AS (SELECT br.*, {', '.join(f'{e} AS {n}' for n, e in TIMING.items())} FROM i2 JOIN br USING (date))
+  SELECT date, {', '.join(R(f"CASE WHEN count({c}) OVER u >= 20 THEN ({c} - avg({c}) OVER u) / greatest(stddev_samp({c}) OVER u, 1e-8) END", c, 3) for c in TZ)}
+  FROM al WINDOW u AS (ORDER BY date ROWS UNBOUNDED PRECEDING)""")
+def timing_z(spark, sf):
+    return out(timing.timing_features(fx.bars(spark, sf), heavy(spark, sf)).select("date", *TZ), 3)
+
+
 @C.add("timing_features")
 def timing_all(spark, sf):
     return timing.timing_features(fx.bars(spark, sf), heavy(spark, sf))

@@ -75,9 +75,15 @@ def fm_neutral(spark, sf):
     return fm_out(neutral_fm(spark, sf))
 
 
-@C.add("fama_macbeth_p_values")
+P_SQL = """(1.061405429 * u - 1.453152027) * u + 1.421413741"""
+
+
+@C.add("fama_macbeth_p_values", f"""{NEUTRAL_FM}, z AS (SELECT fid, t, n_periods, (8 * (n_periods - 1) + 1) / (8.0 * (n_periods - 1) + 3)
+   * sqrt((n_periods - 1) * ln(1 + t * t / (n_periods - 1))) / sqrt(2) AS a FROM fm),
+  v AS (SELECT *, 1 / (1 + 0.3275911 * a) AS u FROM z)
+  SELECT fid, {R('t', 'fm_t', 5)}, {R(f'((({P_SQL}) * u - 0.284496736) * u + 0.254829592) * u * exp(-a * a)', 'fm_p', 5)}, n_periods FROM v""")
 def fm_p(spark, sf):
-    return out(stored_fm(spark, sf).select("fid", "fm_t", "fm_p", "n_periods"))
+    return out(stored_fm(spark, sf).select("fid", "fm_t", "fm_p", "n_periods"), 5)
 
 
 def flagship(spark, sf, min_stocks: int = 30):
@@ -528,9 +534,33 @@ def gaussian(spark, sf):
     return out(g.select("date", "symbol", (F.round(p * (F.col("n") + 1) * 2) / 2).alias("rank")), 1)
 
 
-@C.add("candidate_sweep")
+CAND = models.sweep_candidates(FACTORS, n_trials=2)
+# the same templates as SQL, in the same order
+ONE_SQL = ("{a}", "({a}) * ({a})", "abs({a})", "ln(1 + (CASE WHEN {a} < -0.999 THEN -0.999 ELSE {a} END))", "sign({a})",
+           "CASE WHEN abs({a}) > 1e-8 THEN 1 / {a} WHEN {a} IS NOT NULL THEN 0 END")
+TWO_SQL2 = ("{a} + {b}", "{a} - {b}", "{a} * {b}", "{a} / nullif({b}, 0)", "({a} * {b}) * ({a} * {b})", "{a} * abs({b})")
+
+
+def _as_sql(text: str) -> str:
+    for a in FACTORS:
+        for t, q in zip(models.ONE, ONE_SQL):
+            if text == t.format(a=a):
+                return q.format(a=a)
+        for b in FACTORS:
+            for t, q in zip(models.TWO, TWO_SQL2):
+                if text == t.format(a=a, b=b):
+                    return q.format(a=a, b=b)
+    raise ValueError(text)
+
+
+@C.add("candidate_sweep", f"""WITH {PANEL_SQL}, w AS (SELECT date, symbol, ret, {', '.join(f'CAST({_as_sql(t)} AS DOUBLE) AS {f}' for f, t, _ in CAND)} FROM panel),
+  long AS (UNPIVOT w ON {', '.join(f for f, _, _ in CAND)} INTO NAME fid VALUE x),
+  s AS (SELECT fid, avg(ic) AS m, count(ic) AS n_days, avg(ic) / stddev_samp(ic) AS icir FROM {rank_ic_sql('long')} WHERE ic IS NOT NULL GROUP BY fid),
+  t(fid, formula, complexity) AS (VALUES {', '.join(f"('{f}', '{t}', {c})" for f, t, c in CAND)})
+  SELECT fid, {R('m', 'ic_mean')}, n_days, {R('icir', 'icir')}, formula, CAST(complexity AS BIGINT) AS complexity, {R('abs(icir)', 'score')}
+  FROM s JOIN t USING (fid) ORDER BY round(abs(icir), 9) DESC, complexity, fid LIMIT 10""")
 def sweep(spark, sf):
-    cand = models.sweep_candidates(FACTORS, n_trials=2)
+    cand = CAND
     return out(models.score_candidates(panel(spark, sf), cand, heavy=heavy(spark, sf)))
 
 

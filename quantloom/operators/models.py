@@ -100,4 +100,5 @@ def score_candidates(panel: DataFrame, candidates: list[tuple[str, str, int]], t
     s = xs.ic_summary(xs.rank_ic(long, heavy=heavy, settings=settings))
     meta = panel.sparkSession.createDataFrame(candidates, "fid string, formula string, complexity int")
     return (s.join(F.broadcast(meta), "fid").withColumn("score", F.abs("icir"))
-            .orderBy(F.desc("score"), "complexity", "fid").limit(top))
+            # equal up to rounding counts as a tie: the simpler formula wins
+            .orderBy(F.desc(F.round("score", 9)), "complexity", "fid").limit(top))

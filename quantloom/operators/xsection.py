@@ -242,12 +242,13 @@ def fill_clip_zscore_wide(df: DataFrame, cols: Sequence[str], keys: Sequence[str
     def tagged(stats, tag):
         return stats.select(*keys, *[F.col(c).alias(f"{tag}{c}") for c in cols])
 
-    med = tagged(wide_medians(df, keys, cols, heavy, settings), "_m_")
+    # one row per group each; written so that later passes scan them instead of recomputing
+    med = write_out(tagged(wide_medians(df, keys, cols, heavy, settings), "_m_"), "medians")
     filled = df.join(med, keys).select(
         *rest, *[F.col(f"_m_{c}") for c in cols],
         *[F.coalesce(F.col(c), F.col(f"_m_{c}")).alias(c) for c in cols])
     dev = filled.select(*keys, *[F.abs(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in cols])
-    mad = tagged(wide_medians(dev, keys, cols, heavy, settings), "_d_")
+    mad = write_out(tagged(wide_medians(dev, keys, cols, heavy, settings), "_d_"), "deviations")
     k = n * MAD_SCALE
     clipped = filled.join(mad, keys).select(
         *rest, *[clip(F.col(c), F.col(f"_m_{c}") - k * F.col(f"_d_{c}"),
