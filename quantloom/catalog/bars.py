@@ -185,6 +185,12 @@ def ranged(spark, sf):
     return out(clean.date_range(fx.plain_bars(spark, sf), "1997-01-01", "1999-12-31").select("date", "symbol", "close"), 8)
 
 
+@C.add("column_subset", f"""WITH {PANEL_SQL} SELECT date, symbol, {R('amount', 'amount', 4)}, {R('vol_20d', 'vol_20d')}, {R('ret_2d', 'ret_2d')} FROM panel""")
+def column_subset(spark, sf):
+    return out(clean.subset(panel(spark, sf), ["vol_20d", "ret_2d", "no_such_feature"])).select(
+        "date", "symbol", "amount", "vol_20d", "ret_2d")
+
+
 NULLY = ["vol_20d", "pv_corr_10d", "amount_shock_5d", "turnover_20d", "ret_2d", "rev_3d"]
 
 

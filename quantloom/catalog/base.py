@@ -117,7 +117,7 @@ def chg(x: str, d: int = 1) -> str:
 
 
 def R(e: str, name: str, digits: int = 6) -> str:
-    return f"round({e}, {digits}) + 0.0 AS {name}"
+    return f"round(CAST({e} AS DOUBLE), {digits}) + 0.0 AS {name}"
 
 
 def at_least(x: str, lo: float) -> str:

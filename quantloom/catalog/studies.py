@@ -118,6 +118,21 @@ def group_fx(spark, sf):
     return out(b.groupBy("fid").agg(F.count(F.lit(1)).alias("n_periods"), F.avg("beta").alias("fm_coef")))
 
 
+@C.add("controlled_regressions", f"""WITH {LONG_SQL}, g AS (SELECT *, CAST(symbol AS BIGINT) % (CASE WHEN month(date) % 2 = 0 THEN 7 ELSE 25 END) * 1.0 AS grp FROM long),
+  k AS (SELECT fid, date, count(DISTINCT grp) > 20 AS many FROM g GROUP BY fid, date),
+  d AS (SELECT fid, date, many, CASE WHEN many THEN x - avg(x) OVER (PARTITION BY fid, date, grp) ELSE x END AS dx,
+        CASE WHEN many THEN ret - avg(ret) OVER (PARTITION BY fid, date, grp) ELSE ret END AS dy, grp FROM g JOIN k USING (fid, date)),
+  m AS (SELECT fid, date, any_value(many) AS many, count(*) AS n, sum(dx * dx) AS xx, sum(dx * dy) AS xy, var_pop(dx) AS vx, var_pop(grp) AS vg,
+        covar_pop(dx, grp) AS cx, covar_pop(dy, grp) AS cy, covar_pop(dx, dy) AS c FROM d GROUP BY fid, date HAVING count(*) >= 30),
+  b AS (SELECT fid, date, n, CASE WHEN many THEN xy / nullif(xx, 0) ELSE (c - cx * cy / vg) / nullif(vx - cx * cx / vg, 0) END AS beta FROM m)
+  SELECT fid, count(*) AS n_periods, {R('avg(beta)', 'fm_coef')} FROM b WHERE beta IS NOT NULL GROUP BY fid""")
+def controlled(spark, sf):
+    width = F.when(F.month("date") % 2 == 0, 7).otherwise(25)
+    d = long_panel(spark, sf).withColumn("grp", (F.col("symbol").cast("bigint") % width).cast("double"))
+    b = inference.controlled_regressions(d, "grp")
+    return out(b.groupBy("fid").agg(F.count(F.lit(1)).alias("n_periods"), F.avg("beta").alias("fm_coef")))
+
+
 # ---- timing series --------------------------------------------------------------------
 TIMING_X = ["ret_5d", "bias_20d", "trend_slope_20d"]
 INDEX_SQL = f"""
@@ -483,7 +498,7 @@ def signatures(spark, sf):
 @C.add("decode_placeholders", f"""WITH {LONG_SQL}, s AS (SELECT fid, avg(ic) AS m FROM {rank_ic_sql('long', min_rows=30)} WHERE ic IS NOT NULL GROUP BY fid),
    o AS (SELECT fid, row_number() OVER (ORDER BY abs(m) DESC, fid) - 1 AS i FROM s),
    p AS (SELECT max(fid) FILTER (WHERE i = 0) AS x0, max(fid) FILTER (WHERE i = 1) AS x1, max(fid) FILTER (WHERE i = 3) AS x3 FROM o)
-   SELECT 'G1' AS fid, 'add(mul(' || x0 || ', ' || x3 || '), sub(' || x1 || ', 0.5))' AS decoded, 3 AS n_used FROM p
+   SELECT 'G1' AS fid, 'add(mul(' || x0 || ', ' || x3 || '), sub(' || x1 || ', 0.5))' AS decoded, CAST(3 AS BIGINT) AS n_used FROM p
    UNION ALL SELECT 'G2', 'div(X12, ' || x1 || ')', 1 FROM p UNION ALL SELECT 'G3', 'log1p(' || x1 || ')', 1 FROM p""")
 def decode(spark, sf):
     # feature numbers follow the pool order given by the univariate screen
@@ -690,6 +705,19 @@ def corr_sum(spark, sf):
     return out(gates.correlation_summary(pool.pooled_spearman(panel(spark, sf), FACTORS)))
 
 
+@C.add("factor_atom_block", f"""WITH {POOLED_SQL} SELECT CASE WHEN f1 IN ('ret_2d', 'vol_20d') THEN f1 ELSE f2 END AS factor,
+   CASE WHEN f1 IN ('ret_2d', 'vol_20d') THEN f2 ELSE f1 END AS atom, {R('rho', 'rho')} FROM pr WHERE (f1 IN ('ret_2d', 'vol_20d')) <> (f2 IN ('ret_2d', 'vol_20d'))""")
+def block(spark, sf):
+    mined = ["ret_2d", "vol_20d"]
+    pairs = pool.pooled_spearman(panel(spark, sf), FACTORS)
+    return out(gates.cross_block(pairs, mined, [f for f in FACTORS if f not in mined]))
+
+
+@C.add("two_part_report", f"""{GATE_SQL} SELECT fid, {R('t', 'fm_t', 5)}, reason, CASE WHEN ok THEN 'passed' ELSE 'failed' END AS part FROM gt""")
+def two_parts(spark, sf):
+    return out(gates.two_part_report(gated(spark, sf), F.col("ok")).select("fid", F.round("fm_t", 5).alias("fm_t"), "reason", "part"))
+
+
 # ---- backtests ------------------------------------------------------------------------
 # line items of one supplier repeat weekly, so a month has about four trading days
 def bt_sql(q: int = 5, limit: float = 0.10) -> str:
@@ -725,7 +753,7 @@ def bt_sql(q: int = 5, limit: float = 0.10) -> str:
 
 def legs_sql(costs) -> str:
     return f"""
-  cs AS (SELECT unnest([{', '.join(str(float(c)) for c in costs)}]) AS cost_bps),
+  cs AS (SELECT CAST(unnest([{', '.join(str(float(c)) for c in costs)}]) AS DOUBLE) AS cost_bps),
   lg AS (SELECT cost_bps, r.fid, r.month, r.date, r.basket, r.r + CASE WHEN is_entry THEN (CASE WHEN r.basket = 'LONG' THEN -1 ELSE 1 END)
          * turnover * cost_bps / 10000 ELSE 0 END AS r FROM rt r JOIN tn USING (fid, month, basket), cs),
   dl AS (SELECT cost_bps, fid, month, date, max(r) FILTER (WHERE basket = 'LONG') AS long_r, max(r) FILTER (WHERE basket = 'SHORT') AS short_r

@@ -199,3 +199,18 @@ def correlation_summary(pairs: DataFrame) -> DataFrame:
     at = F.struct(F.abs("rho"), "f1", "f2")
     return pairs.agg(F.max(F.abs("rho")).alias("max_abs_rho"), F.avg(F.abs("rho")).alias("mean_abs_rho"),
                      F.max(at)["f1"].alias("f1"), F.max(at)["f2"].alias("f2"))
+
+
+def cross_block(pairs: DataFrame, left: list[str], right: list[str]) -> DataFrame:
+    """The part of a pair table that links one set of columns to another: (factor, atom, rho)."""
+    a = pairs.filter(F.col("f1").isin(left) & F.col("f2").isin(right)).select(
+        F.col("f1").alias("factor"), F.col("f2").alias("atom"), "rho")
+    b = pairs.filter(F.col("f2").isin(left) & F.col("f1").isin(right)).select(
+        F.col("f2").alias("factor"), F.col("f1").alias("atom"), "rho")
+    return a.unionByName(b)
+
+
+def two_part_report(metrics: DataFrame, passed: Column, t: str = "fm_t") -> DataFrame:
+    """Report rows in a passed and a failed part, each by descending |t|."""
+    return (metrics.withColumn("part", F.when(passed, "passed").otherwise("failed"))
+            .orderBy(F.desc("part"), F.desc(F.abs(t)), "fid"))

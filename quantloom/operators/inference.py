@@ -114,6 +114,23 @@ def group_effect_regressions(df: DataFrame, group: str, x: str = "x", y: str = "
             .select(*keys, "n", (F.col("_xy") / F.col("_xx")).alias("beta")))
 
 
+def controlled_regressions(df: DataFrame, control: str, x: str = "x", y: str = "ret", keys=("fid", "date"),
+                           min_rows: int = 30, max_values: int = 20) -> DataFrame:
+    """Per date slope of y on x with one control: as dummies where the control takes more
+    than ``max_values`` distinct values on that date, as a plain column elsewhere.
+
+    Partialling the control out of both sides gives the same slope in either form.
+    """
+    keys = list(keys)
+    df = df.filter(all_of([F.col(c).isNotNull() for c in (x, y, control)]))
+    kinds = df.groupBy(*keys).agg((F.count_distinct(control) > max_values).alias("_dummies"))
+    d = df.join(kinds, keys)
+    many = group_effect_regressions(d.filter("_dummies"), control, x, y, keys, min_rows)
+    res = xs.neutralise(d.filter("NOT _dummies").select(*keys, x, y, control), [x, y], [control], keys, min_rows)
+    few = daily_regressions(res, x, y, keys, min_rows).select(*keys, "n", "beta")
+    return many.unionByName(few)
+
+
 def _series(by):
     return Window.partitionBy(*by).orderBy("date")
 

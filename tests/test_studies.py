@@ -80,6 +80,20 @@ def test_group_effects_match_dummies(panel):
     assert got[day] == pytest.approx(np.linalg.lstsq(a, g.ret, rcond=None)[0][0])
 
 
+def test_control_kind_depends_on_its_distinct_values(panel):
+    pdf, sdf = panel
+    d = sdf.withColumn("c", (F.substring("symbol", 2, 2).cast("int") % F.when(F.dayofmonth("date") < 15, 5).otherwise(25)).cast("double"))
+    got = {r.date: r.beta for r in inference.controlled_regressions(d, "c").collect()}
+    seen = set()
+    for day, g in pdf.groupby("date"):
+        c = g.symbol.str[1:].astype(int) % (5 if day.day < 15 else 25)
+        many = c.nunique() > 20
+        seen.add(many)
+        cols = pd.get_dummies(c).to_numpy(float) if many else np.column_stack([np.ones(len(g)), c])
+        assert got[day] == pytest.approx(np.linalg.lstsq(np.column_stack([g.x, cols]), g.ret, rcond=None)[0][0])
+    assert seen == {True, False}
+
+
 def test_style_regression_against_numpy(spark):
     rng = np.random.default_rng(5)
     n = 120
