@@ -47,9 +47,10 @@ def baskets(rows: DataFrame, n_groups: int = 5, min_names: int = 50, open_execut
     months (fid, month, entry_day, seq). Baskets are Q1..Qn, LONG and SHORT."""
     days = rows.select("fid", "date", "month").distinct()
     cal = days.withColumn("next_day", F.lead("date").over(Window.partitionBy("fid").orderBy("date")))
-    first = (cal.groupBy("fid", "month")
-             .agg(F.min("date").alias("date"), F.min_by("next_day", "date").alias("next_day"),
-                  F.max("date").alias("last_day")))
+    # one row per factor and month, read by two joins
+    first = write_out(cal.groupBy("fid", "month")
+                      .agg(F.min("date").alias("date"), F.min_by("next_day", "date").alias("next_day"),
+                           F.max("date").alias("last_day")), "bt_months")
     signal = rows.select("fid", "date", "month", "symbol", "x").join(
         first.select("fid", "date", "next_day", "last_day"), ["fid", "date"])
     sizes = signal.groupBy("fid", "month").agg(F.count(F.lit(1)).alias("_n"))
@@ -58,8 +59,10 @@ def baskets(rows: DataFrame, n_groups: int = 5, min_names: int = 50, open_execut
     if open_execution:
         b = (b.withColumn("entry_day", F.col("next_day"))
              .filter(F.col("entry_day").isNotNull() & (F.col("entry_day") <= F.col("last_day"))))
-        fills = rows.select("fid", F.col("date").alias("entry_day"), "symbol",
-                            F.col("open").alias("_o"), F.col("prev").alias("_p"))
+        # only entry days matter: the small month table thins the rows before the symbol join
+        entry = first.select("fid", F.col("next_day").alias("date")).dropna()
+        fills = rows.join(entry, ["fid", "date"]).select(
+            "fid", F.col("date").alias("entry_day"), "symbol", F.col("open").alias("_o"), F.col("prev").alias("_p"))
         b = b.join(fills, ["fid", "entry_day", "symbol"], "left")
         can_buy = F.coalesce(F.col("_o") < F.col("_p") * (1 + limit_pct), F.lit(False))
         can_sell = F.coalesce(F.col("_o") > F.col("_p") * (1 - limit_pct), F.lit(False))
@@ -72,7 +75,7 @@ def baskets(rows: DataFrame, n_groups: int = 5, min_names: int = 50, open_execut
         F.concat(F.lit("Q"), F.col("q").cast("string")),
         F.when((F.col("q") == n_groups) & can_buy, "LONG"),
         F.when((F.col("q") == 1) & can_sell, "SHORT")))
-    members = b.select("fid", "month", "entry_day", "symbol", F.explode(names).alias("basket"))
+    members = write_out(b.select("fid", "month", "entry_day", "symbol", F.explode(names).alias("basket")), "bt_signals")
     tradable = (members.groupBy("fid", "month", "entry_day")
                 .agg(F.max((F.col("basket") == "LONG").cast("int")).alias("_l"),
                      F.max((F.col("basket") == "SHORT").cast("int")).alias("_s"))
@@ -182,9 +185,9 @@ class Backtest:
         rows = write_out(prepare(panel, open_execution, settings), "bt_rows")
         members, _ = baskets(rows, n_groups, min_names, open_execution, limit_pct, heavy, settings)
         self.members = write_out(members, "bt_members")
-        self.turnover = turnover(self.members)
+        self.turnover = write_out(turnover(self.members), "bt_turnover")
         self.returns = write_out(basket_returns(rows, self.members), "bt_returns")
-        self.daily = daily_legs(self.returns, self.turnover, costs_bps)
+        self.daily = write_out(daily_legs(self.returns, self.turnover, costs_bps), "bt_daily")
 
     def monthly(self) -> DataFrame:
         return monthly(self.daily)
