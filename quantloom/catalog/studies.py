@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quantloom.catalog.base import (BARS_SQL, FACTORS, LONG_SQL, NEUTRAL_SQL, PANEL_SQL, Catalog, R, at_least, avg_rank,
                                     fin, heavy, long_panel, neutral_panel, out, panel, rank_ic_sql)
 from quantloom.catalog.bars import REGISTRY, registry_table
-from quantloom.catalog.sections import COMPLETE, DAYS_SQL, LS_SQL, POOLED_SQL, WF_SQL
+from quantloom.catalog.sections import C as C0, COMPLETE, DAYS_SQL, LS_SQL, POOLED_SQL, WF_SQL
 from quantloom.functions import formula
 from quantloom.functions.exprs import rounded
 from quantloom.operators import backtest, combine, gates, inference, models, pool, splits, xsection as xs
@@ -325,7 +325,23 @@ def amp(spark, sf):
     return out(inference.amplitude(d, by=("fid", "variant")))
 
 
-@C.add("stable_candidates")
+@C.add("stable_candidates", f"""WITH {PANEL_SQL}{DAYS_SQL[len(PANEL_SQL):]}, l2 AS (UNPIVOT (SELECT date, symbol, ret, ln_amt, {', '.join(FACTORS)} FROM panel)
+     ON {', '.join(FACTORS)} INTO NAME fid VALUE x), tr AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS k, count(*) OVER () AS m FROM days WHERE i <= floor(n * 0.6)),
+  v AS (SELECT date, 'head' AS variant FROM tr WHERE k >= 5 UNION ALL SELECT date, 'tail' FROM tr WHERE k < m - 5),
+  am AS (SELECT fid, variant, sum(ret * x) / sum(x * x) AS a FROM l2 JOIN v USING (date) GROUP BY fid, variant),
+  vd AS (SELECT date FROM days WHERE i > floor(n * 0.6) AND i <= floor(n * 0.8)),
+  vl AS (SELECT l2.* FROM l2 JOIN vd USING (date)),
+  bt AS (SELECT fid, 'orig' AS variant, date, symbol, ret, ln_amt, x FROM vl UNION ALL
+         SELECT fid, variant, date, symbol, ret, ln_amt, x * a FROM vl JOIN am USING (fid)),
+  mo AS (SELECT fid, variant, date, count(*) AS n, avg(x) AS mx, avg(ret) AS mr, avg(ln_amt) AS mz, var_pop(ln_amt) AS vz,
+         covar_pop(x, ln_amt) AS cx, covar_pop(ret, ln_amt) AS cr FROM bt GROUP BY ALL),
+  nv AS (SELECT fid, variant, date, symbol, CASE WHEN n >= 30 THEN x - mx - coalesce(cx / nullif(vz, 0), 0) * (ln_amt - mz) ELSE x END AS x,
+         CASE WHEN n >= 30 THEN ret - mr - coalesce(cr / nullif(vz, 0), 0) * (ln_amt - mz) ELSE ret END AS ret FROM bt JOIN mo USING (fid, variant, date)),
+  {fm_sql('nv', 'fid, variant')},
+  og AS (SELECT fid, t AS orig_t FROM fm WHERE variant = 'orig'),
+  st AS (SELECT fid, max(orig_t) AS orig_t, CAST(sum((sign(t) = sign(orig_t))::INT) AS BIGINT) AS hits, count(*) AS n_states FROM fm JOIN og USING (fid) GROUP BY fid)
+  SELECT fid, {R('orig_t', 'orig_t', 4)}, hits, n_states, {R('hits / n_states', 'stability')}, 'all' AS grp, CAST(1 AS BIGINT) AS complexity, CAST(0 AS DOUBLE) AS loss
+  FROM st WHERE hits >= 2 ORDER BY hits / n_states DESC, abs(orig_t) DESC, fid LIMIT 1""")
 def stable(spark, sf):
     days = splits.ratio_days(panel(spark, sf).select("date"))
     d = long_panel(spark, sf)
@@ -336,7 +352,8 @@ def stable(spark, sf):
     n = xs.neutralise(both, ["x", "ret"], ["ln_amt"], ("fid", "variant", "date"))
     m = inference.fama_macbeth(n, by=("fid", "variant"), heavy=heavy(spark, sf)).select("fid", "variant", F.col("fm_t").alias("t"))
     cand = spark.createDataFrame([(f, "all", 1, 0.0) for f in FACTORS], "fid string, grp string, complexity int, loss double")
-    return out(inference.stable_candidates(write_out(m, "variant_t"), cand, entrance_t=0.0, min_t=0.0))
+    d = inference.stable_candidates(write_out(m, "variant_t"), cand, entrance_t=0.0, min_t=0.0)
+    return out(d.withColumn("orig_t", F.round("orig_t", 4)))
 
 
 ICW = rank_ic_sql('neutral', min_rows=30)
@@ -911,7 +928,20 @@ def synergy(spark, sf):
     return out(combine.synergy(_combo_ls(spark, sf), ls_panel(spark, sf)), 5)
 
 
-@C.add("decorrelated_pick")
+DAILY_RHO = C0.sql["daily_mean_spearman"]
+DAILY_RHO_CTES = DAILY_RHO[len(f"WITH {PANEL_SQL},"):DAILY_RHO.index("SELECT 'body_ratio' AS f1")].strip()
+DAILY_RHO_ROWS = DAILY_RHO[DAILY_RHO.index("SELECT 'body_ratio' AS f1"):]
+
+
+@C.add("decorrelated_pick", f"""WITH RECURSIVE {NEUTRAL_SQL}, {fm_sql('neutral')}, {DAILY_RHO_CTES}, pr AS MATERIALIZED ({DAILY_RHO_ROWS}),
+  od AS MATERIALIZED (SELECT fid, row_number() OVER (ORDER BY abs(t) DESC, fid) AS i FROM fm),
+  close_to AS MATERIALIZED (SELECT o.fid, list(CASE WHEN f1 = o.fid THEN f2 ELSE f1 END) FILTER (WHERE abs(rho) > 0.3) AS near FROM od o
+     JOIN pr ON f1 = o.fid OR f2 = o.fid GROUP BY o.fid),
+  walk AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS kept UNION ALL
+     SELECT o.i, CASE WHEN len(kept) < 4 AND NOT coalesce(list_has_any(near, kept), false) THEN list_append(kept, o.fid) ELSE kept END
+     FROM walk w JOIN od o ON o.i = w.i + 1 JOIN close_to c ON c.fid = o.fid),
+  fin AS (SELECT kept FROM walk ORDER BY i DESC LIMIT 1)
+  SELECT unnest(kept) AS fid, unnest(range(1, len(kept) + 1)) AS pick FROM fin""")
 def pick(spark, sf):
     pairs = pool.daily_mean_spearman(panel(spark, sf), FACTORS, heavy=heavy(spark, sf))
     return out(pool.decorrelated_pick(stored_fm(spark, sf), write_out(pairs, "pairs"), 4, max_rho=0.3))
