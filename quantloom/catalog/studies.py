@@ -852,9 +852,19 @@ def bt_summary(spark, sf):
                                                "long_day_sharpe", "long_day_max_dd", "turnover_long", "turnover_short"), 4)
 
 
-@C.add("backtest_annualised")
+def _annual(c: str, n: str, per_year: int) -> str:
+    nav = f"exp(sum(ln(greatest(1 + {c}, 1e-12))))"
+    return f"least(power({nav}, {per_year}.0 / {n}) - 1, 1000)"
+
+
+@C.add("backtest_annualised", f"""{BT}, {legs_sql(COSTS)},
+  a AS (SELECT cost_bps, fid, {_annual('ls', 'count(*)', 252)} AS d, {_annual('long_r', 'count(*)', 252)} AS l FROM dd GROUP BY ALL),
+  mn AS (SELECT cost_bps, fid, {_annual('(long_r - short_r)', 'count(*)', 12)} AS m FROM mr GROUP BY ALL)
+  SELECT cost_bps, fid, {R('m', 'ls_month_annual', 4)}, {R('d', 'ls_day_annual', 4)}, {R('l', 'long_day_annual', 4)} FROM a JOIN mn USING (cost_bps, fid)""")
 def bt_annual(spark, sf):
-    return out(run(spark, sf).summary(), 4)
+    top = lambda c: F.least(F.col(c), F.lit(1000.0)).alias(c)
+    return out(run(spark, sf).summary().select("cost_bps", "fid", top("ls_month_annual"), top("ls_day_annual"),
+                                               top("long_day_annual")), 4)
 
 
 @C.add("backtest_cost_drag", f"""{BT}, {legs_sql(COSTS)}, m AS (SELECT fid, cost_bps, avg(long_r - short_r) AS mean_ls FROM mr GROUP BY ALL)

@@ -156,9 +156,9 @@ def summary(daily: DataFrame, turn: DataFrame) -> DataFrame:
 
     def block(df, col, prefix, per_year):
         d = drawdown(df, col, by).select(*by, F.col("max_dd").alias(f"{prefix}_max_dd"),
-                                         F.col("final_nav").alias("_nav"))
+                                         F.col("log_growth").alias("_g"))
         s = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), _sharpe(col, per_year).alias(f"{prefix}_sharpe"))
-        return (s.join(d, by).withColumn(f"{prefix}_annual", annualised(F.col("_nav"), F.col("_n"), per_year))
+        return (s.join(d, by).withColumn(f"{prefix}_annual", annualised(F.col("_g"), F.col("_n"), per_year))
                 .select(*by, f"{prefix}_annual", f"{prefix}_sharpe", f"{prefix}_max_dd",
                         F.col("_n").alias(f"{prefix}_n")))
 
@@ -226,13 +226,13 @@ def timing_backtest(df: DataFrame, x: str = "x", ret: str = "ret", by: Sequence[
         F.avg((F.signum(x) == F.signum(ret)).cast("double")).alias("direction_accuracy"),
         F.coalesce(F.try_divide(gain, F.abs(loss)), F.lit(0.0)).alias("profit_factor"))
     net = drawdown(d, "_net", by).withColumnRenamed("max_dd", "max_drawdown")
-    hold = drawdown(d, ret, by).select(*by, F.col("final_nav").alias("_bh"))
+    hold = drawdown(d, ret, by).select(*by, F.col("log_growth").alias("_bh"))
     j = s.join(net, by).join(hold, by)
-    return (j.withColumn("total_return", F.col("final_nav") - 1)
-            .withColumn("annual_return", annualised(F.col("final_nav"), F.col("n_days")))
+    return (j.withColumn("total_return", F.exp("log_growth") - 1)
+            .withColumn("annual_return", annualised(F.col("log_growth"), F.col("n_days")))
             .withColumn("bh_annual_return", annualised(F.col("_bh"), F.col("n_days")))
             .withColumn("excess_return", F.col("annual_return") - F.col("bh_annual_return"))
-            .drop("final_nav", "_bh"))
+            .drop("log_growth", "_bh"))
 
 
 def annualised_stats(ls: DataFrame, by: Sequence[str] = ("fid",), min_rows: int = 30) -> DataFrame:

@@ -141,14 +141,15 @@ def drawdown(df: DataFrame, ret: str, by: Sequence[str]) -> DataFrame:
     Growth is a running sum of logs; the peak starts at the first value, not at 1.
     """
     w = _series(by).rowsBetween(Window.unboundedPreceding, 0)
-    nav = F.exp(F.sum(F.log(F.greatest(1 + F.col(ret), F.lit(1e-12)))).over(w))
-    d = df.withColumn("_nav", nav).withColumn("_peak", F.max("_nav").over(w))
-    return d.groupBy(*by).agg(F.min(F.col("_nav") / F.col("_peak") - 1).alias("max_dd"),
-                              F.max_by("_nav", "date").alias("final_nav"))
+    growth = F.sum(F.log(F.greatest(1 + F.col(ret), F.lit(1e-12)))).over(w)
+    d = df.withColumn("_g", growth).withColumn("_peak", F.max("_g").over(w))
+    return d.groupBy(*by).agg(F.min(F.exp(F.col("_g") - F.col("_peak")) - 1).alias("max_dd"),
+                              F.max_by("_g", "date").alias("log_growth"))
 
 
-def annualised(final_nav: Column, n: Column, per_year: float = 252.0) -> Column:
-    return F.when(final_nav > 0, F.pow(final_nav, F.lit(per_year) / n) - 1).otherwise(0.0)
+def annualised(log_growth: Column, n: Column, per_year: float = 252.0) -> Column:
+    """Yearly rate from total log growth; staying in logs keeps a wiped-out series at -1."""
+    return F.exp(log_growth * F.lit(per_year) / n) - 1
 
 
 def timing_eval(df: DataFrame, x: str = "x", y: str = "ret", by: Sequence[str] = ("fid",),
@@ -192,7 +193,7 @@ def timing_eval(df: DataFrame, x: str = "x", y: str = "ret", by: Sequence[str] =
         ratio(F.col("_c2"), F.col("_vv")).alias("r2"), "direction_accuracy",
         F.when(F.col("_ss") > 1e-10, F.col("_ms") / F.col("_ss") * F.sqrt(F.lit(252.0)))
         .otherwise(0.0).alias("sharpe"),
-        annualised(F.col("final_nav"), F.col("n_periods")).alias("annual_return"),
+        annualised(F.col("log_growth"), F.col("n_periods")).alias("annual_return"),
         F.col("max_dd").alias("max_drawdown"),
         F.coalesce(ratio(F.col("_gain"), F.abs(F.col("_loss"))), F.lit(0.0)).alias("profit_factor"))
 
