@@ -75,10 +75,10 @@ def shingle_sets(batch: pa.RecordBatch, join: Join) -> Iterator[tuple[int, np.nd
         if b - a >= k:
             yield r, np.unique(roll[a:b - k + 1])
         elif b > a:
-            whole = np.uint64(b - a)
+            whole = np.full(1, b - a, np.uint64)
             for x in h[a:b]:
                 whole = whole * _ODD + x
-            yield r, mix64(np.array([whole ^ np.uint64(0x5851F42D4C957F2D)]))
+            yield r, mix64(whole ^ np.uint64(0x5851F42D4C957F2D))
 
 
 def set_id(s: np.ndarray) -> tuple[int, int]:
@@ -107,7 +107,7 @@ def with_sets(rows: DataFrame, join: Join) -> DataFrame:
                     counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=size).astype(np.int32)
                 n, point, check = (np.array(x, np.int64) for x in zip(*(out[r] for r in range(part.num_rows))))
                 none = pa.nulls(len(n), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n), pa.array(point), pa.array(check), none, none.cast(pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n), pa.array(point), pa.array(check), none, pa.nulls(len(n), pa.binary())], schema=schema)
         if some:
             for k, piece in enumerate(np.split(counts, 32)):
                 yield pa.RecordBatch.from_pylist([{"part": k, "counts": piece.tobytes()}], schema=schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quantloom.llm import byte_bpe, mixing, perplexity, secrets, token_counts, warc
+from quantloom.llm import byte_bpe, jaccard, mixing, perplexity, secrets, token_counts, warc
 from quantloom.llm.common import table
 
 
@@ -36,10 +36,15 @@ def op5_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("perplexity", 6).alias("perplexity"))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's set size and the component that links of 0.8 or more put it in."""
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every text."""
     return secrets.secret_digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_byte_bpe, op3_token_counts, op4_mixing, op5_perplexity, op8_secrets)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_byte_bpe, op3_token_counts, op4_mixing, op5_perplexity, op6_jaccard, op8_secrets)}
 SQL: dict[str, str] = {}
