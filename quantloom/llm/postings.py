@@ -27,14 +27,14 @@ _ARROW = pa.schema([("token", pa.binary()), ("block", pa.int64()), ("n_all", pa.
 Split = Callable[[np.ndarray, np.ndarray], tuple[pa.Array, np.ndarray]]
 
 
-def _cut(values: np.ndarray, at: np.ndarray) -> pa.Array:
+def cut(values: np.ndarray, at: np.ndarray) -> pa.Array:
     """values cut at the places ``at`` into one binary per run."""
     width = values.dtype.itemsize
     off = np.append(at, len(values)).astype(np.int64) * width
     return pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(off), pa.py_buffer(values)]).cast(pa.binary())
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+def blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
     held, size = [], 0
     for batch in batches:
         for part in slices(batch, "text", most):
@@ -50,7 +50,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
 def distinct_tokens(rows: DataFrame, split: Split, block_bytes: int = 16 << 20) -> DataFrame:
     """(token): each once per block; the caller's distinct() makes it once over all."""
     def run(batches):
-        for block in _blocks(batches, block_bytes):
+        for block in blocks(batches, block_bytes):
             tokens, _ = split(*text_buffer(block.column("text").chunk(0)))
             yield pa.RecordBatch.from_arrays([tokens.unique().cast(pa.binary())], ["token"])
     return rows.mapInArrow(run, "token binary")
@@ -65,7 +65,7 @@ def postings(rows: DataFrame, split: Split, name: bytes, train: Callable[[np.nda
     """
     def run(batches):
         pid, seq = TaskContext.get().partitionId(), 0
-        for block in _blocks(batches, block_bytes):
+        for block in blocks(batches, block_bytes):
             n, key = block.num_rows, (pid << 20) + seq
             seq += 1
             ids = block.column("doc_id").chunk(0)
@@ -87,7 +87,7 @@ def postings(rows: DataFrame, split: Split, name: bytes, train: Callable[[np.nda
             if k:
                 none = pa.nulls(k, pa.binary())
                 out = pa.Table.from_arrays([coded.dictionary.cast(pa.binary()).take(pa.array(word[at])), pa.array(np.full(k, key)),
-                                            pa.array(total), pa.array(learnt), _cut(doc, at), _cut(freq.astype(np.int32), at),
+                                            pa.array(total), pa.array(learnt), cut(doc, at), cut(freq.astype(np.int32), at),
                                             none, none], schema=_ARROW)
                 yield from out.to_batches(max_chunksize=20_000)
             more = np.zeros(n, np.int64) if extra is None else extra(off).astype(np.int64)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quantloom.llm import byte_bpe, jaccard, mixing, perplexity, secrets, token_counts, warc
+from quantloom.llm import brown, byte_bpe, jaccard, mixing, perplexity, repeats, secrets, token_counts, warc
 from quantloom.llm.common import table
 
 
@@ -46,5 +46,15 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_byte_bpe, op3_token_counts, op4_mixing, op5_perplexity, op6_jaccard, op8_secrets)}
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without the strings that stand more than once."""
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op10_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and class-model scores of every text."""
+    return brown.brown_scores(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_byte_bpe, op3_token_counts, op4_mixing, op5_perplexity, op6_jaccard, op8_secrets, op9_repeats, op10_brown)}
 SQL: dict[str, str] = {}
