@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quantloom.llm import brown, byte_bpe, jaccard, mixing, perplexity, repeats, secrets, token_counts, warc
+from quantloom.llm import brown, byte_bpe, chroma, jaccard, mixing, perplexity, repeats, secrets, token_counts, warc
 from quantloom.llm.common import table
 
 
@@ -41,6 +41,12 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op7_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text's UTF-8 bytes as 8-bit samples, aligned to those of ids divisible by 20."""
+    recordings = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.encode("text", "utf-8").alias("pcm"))
+    return chroma.chroma_report(recordings, F.col("id") % 20 == 0, dtype="u1").withColumnRenamed("id", "doc_id")
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every text."""
     return secrets.secret_digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
@@ -56,5 +62,5 @@ def op10_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.brown_scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_byte_bpe, op3_token_counts, op4_mixing, op5_perplexity, op6_jaccard, op8_secrets, op9_repeats, op10_brown)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_byte_bpe, op3_token_counts, op4_mixing, op5_perplexity, op6_jaccard, op7_chroma, op8_secrets, op9_repeats, op10_brown)}
 SQL: dict[str, str] = {}
