@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from quantloom.llm.common import prefix_hash, run_starts, span_hash, text_buffer, text_rows, words_in, write_out
+from quantloom.llm.common import discard, prefix_hash, run_starts, span_hash, text_buffer, text_rows, words_in, write_out
 from quantloom.llm.postings import blocks, cut
 
 #: The end token's key; also stands before the first word.
@@ -197,45 +197,67 @@ def likelihood(matrix: np.ndarray) -> float:
     return float(_f(matrix).sum() - _f(matrix.sum(0)).sum() - _f(matrix.sum(1)).sum())
 
 
-def best_classes(after: np.ndarray, before: np.ndarray, own: np.ndarray, matrix: np.ndarray) -> np.ndarray:
-    """The class, of all but the last, that suits each word best, from the classes after and before it."""
+def best_classes(word: np.ndarray, slot: np.ndarray, n: np.ndarray, own: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """The class, of all but the last, that suits each word best.
+
+    ``n`` times class ``slot`` follows ``word`` (before ``classes``) or precedes it (from there on), sorted by word;
+    ``own`` is each word's class. Classes that a word never meets add nothing to its gain.
+    """
     k = len(matrix)
-    each = np.arange(len(own))
     gain = np.zeros((len(own), k))
-    for side, m in ((after, matrix), (before, matrix.T)):
-        have = np.broadcast_to(m, (len(own), k, k)).copy()
-        have[each, own] = np.maximum(have[each, own] - side, 0)  # without the word itself
-        total, n = have.sum(2), side.sum(1)[:, None]
-        gain += (_f(have + side[:, None, :]) - _f(have)).sum(2) - (_f(total + n) - _f(total))
+    for side, m in ((slot < k, matrix), (slot >= k, np.ascontiguousarray(matrix.T))):
+        w, c, x = word[side], slot[side] % k, n[side].astype(float)
+        if not len(w):
+            continue
+        at = run_starts(w)
+        who = w[at]
+        col, fcol = np.ascontiguousarray(m.T), _f(m.T)  # a row per neighbouring class
+        part = _f(col[c] + x[:, None]) - fcol[c]
+        # the word's own class is taken without the word
+        mine = col[c, own[w]]
+        part[np.arange(len(w)), own[w]] = _f(mine) - _f(np.maximum(mine - x, 0))
+        total, all_n = m.sum(1), np.add.reduceat(x, at)
+        less = _f(total[None, :] + all_n[:, None]) - _f(total)[None, :]
+        less[np.arange(len(who)), own[who]] = _f(total[own[who]]) - _f(np.maximum(total[own[who]] - all_n, 0))
+        gain[who] += np.add.reduceat(part, at, axis=0) - less
     gain[:, -1] = -np.inf
     # of classes that suit alike, the one the word is in, else the first
-    gain[each, own] += 1e-9
+    gain[np.arange(len(own)), own] += 1e-9
     return gain.argmax(1).astype(np.int32)
 
 
-def moved(counted: DataFrame, matrix: np.ndarray, brown: Brown, chunk: int = 256) -> DataFrame:
+def moved(counted: DataFrame, matrix: np.ndarray, brown: Brown, chunk: int = 2048) -> DataFrame:
     """(key, new_cls) for every frequent word, from its neighbours in all blocks."""
     k = brown.classes
     rows = counted.filter("key is not null").repartition("key").sortWithinPartitions("key")
 
-    def choose(keys, own, dense):
-        out = best_classes(dense[:, :k], dense[:, k:], np.array(own), matrix)
+    def choose(keys, own, held):
+        word, slots, counts = (np.concatenate(x) for x in zip(*held))
+        dense = np.bincount(word * (2 * k) + slots, weights=counts, minlength=len(keys) * 2 * k)
+        some = np.flatnonzero(dense)
+        out = best_classes(some // (2 * k), some % (2 * k), dense[some], np.array(own), matrix)
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out)], ["key", "new_cls"])
 
     def run(batches):
-        keys, own, dense = [], [], np.zeros((chunk, 2 * k))
+        keys, own, held = [], [], []
         for batch in batches:
-            for key, cls, s, n in zip(*(batch.column(c).to_pylist() for c in ("key", "cls", "slots", "counts"))):
-                if not keys or keys[-1] != key:
+            slots, off = text_buffer(batch.column("slots"))
+            counts = text_buffer(batch.column("counts"))[0].view(np.uint32)
+            slots, off = slots.view(np.uint16).astype(np.int64), off // 2
+            key = np.asarray(batch.column("key"))
+            cls = np.asarray(batch.column("cls"))
+            at = run_starts(key)
+            for a, b in zip(at, np.append(at[1:], len(key))):
+                if not keys or keys[-1] != key[a]:
                     if len(keys) == chunk:
-                        yield choose(keys, own, dense)
-                        keys, own = [], []
-                        dense[:] = 0
-                    keys.append(key)
-                    own.append(cls)
-                dense[len(keys) - 1, np.frombuffer(s, np.uint16)] += np.frombuffer(n, np.uint32)
+                        yield choose(keys, own, held)
+                        keys, own, held = [], [], []
+                    keys.append(key[a])
+                    own.append(cls[a])
+                lo, hi = off[a], off[b]
+                held.append((np.full(hi - lo, len(keys) - 1), slots[lo:hi], counts[lo:hi]))
         if keys:
-            yield choose(keys, own, dense[:len(keys)])
+            yield choose(keys, own, held)
     return rows.mapInArrow(run, "key bigint, new_cls int")
 
 
@@ -251,12 +273,18 @@ def cluster(coded: DataFrame, brown: Brown = Brown()) -> tuple[DataFrame, np.nda
         matrix = class_matrix(counted, brown)
         history.append(likelihood(matrix))
         if best is None or history[-1] > best[0]:
+            if best is not None:
+                discard(best[1])
             best = history[-1], words, matrix
         if turn < brown.rounds:
             new = moved(counted, matrix, brown)
             turns = F.lit(True) if turn == 0 else F.pmod(F.xxhash64("key", F.lit("half")) + turn, F.lit(2)) == 0
-            words = write_out(words.join(new, "key", "left").select(
+            now = words
+            words = write_out(now.join(new, "key", "left").select(
                 "key", "c", F.when(turns, F.coalesce("new_cls", "cls")).otherwise(F.col("cls")).alias("cls"), "moves"), "words")
+            if now is not best[1]:
+                discard(now)
+        discard(counted)
     return best[1], best[2], history
 
 

@@ -73,8 +73,26 @@ def test_counts_and_model_by_hand(spark):
 
 
 def test_best_class_by_trying_all():
-    """The gain of a move is the difference in likelihood, where a word doesn't follow itself."""
+    """The gain of a move is the difference in likelihood, row sums and column sums taken one after the other."""
     rng = np.random.default_rng(1)
+    f = lambda x: x * math.log(x) if x > 0 else 0.0
     m = rng.integers(20, 60, (5, 5)).astype(float)
-    after, before = np.array([[3., 0, 9, 0, 1]]), np.array([[0., 8, 4, 0, 1]])
-    assert B.best_classes(after, before, np.array([1]), m)[0] in range(4)
+    words = [(1, {0: 3, 2: 9, 4: 1}, {1: 8, 2: 4, 4: 1}), (0, {3: 17}, {}), (4, {}, {0: 2, 1: 15})]
+    want = []
+    for own, after, before in words:
+        gains = []
+        for b in range(4):
+            g = 0.0
+            for side, t in ((after, m), (before, m.T)):
+                row = t[b].copy()
+                if b == own:
+                    for c, x in side.items():
+                        row[c] -= x
+                for c, x in side.items():
+                    g += f(row[c] + x) - f(row[c])
+                g -= f(row.sum() + sum(side.values())) - f(row.sum())
+            gains.append(g)
+        want.append(int(np.argmax(gains)))
+    flat = sorted((w, s, x) for w, (_, after, before) in enumerate(words) for s, x in [*after.items(), *((5 + c, x) for c, x in before.items())])
+    word, slot, n = map(np.array, zip(*flat))
+    assert B.best_classes(word, slot, n, np.array([w[0] for w in words]), m).tolist() == want
