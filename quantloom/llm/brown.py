@@ -91,9 +91,9 @@ def coded_blocks(rows: DataFrame, brown: Brown) -> DataFrame:
     return rows.mapInArrow(run, _CODED)
 
 
-def _by_block(coded: DataFrame, words: DataFrame, docs: DataFrame, columns: list[str]) -> DataFrame:
-    """Per block its known words with ``columns`` of the table of words, then its documents."""
-    known = coded.filter("key is not null").select("block", "key", "code").join(words.select("key", *columns), "key")
+def _by_block(places: DataFrame, words: DataFrame, docs: DataFrame, columns: list[str]) -> DataFrame:
+    """Per block its words (block, key, code) with ``columns`` of the table of words, then its documents."""
+    known = places.join(words.select("key", *columns), "key")
     rows = known.withColumn("kind", F.lit(0)).unionByName(docs.select("block", "doc_id", "held_out", "width", "codes").withColumn("kind", F.lit(1)), allowMissingColumns=True)
     return rows.repartition("block").sortWithinPartitions("block", "kind")
 
@@ -136,15 +136,15 @@ def _spread(codes: np.ndarray, values: np.ndarray, width: int, default) -> np.nd
     return out
 
 
-def count_neighbours(coded: DataFrame, words: DataFrame, brown: Brown, only_matrix: bool = False) -> DataFrame:
-    """Rows (key, cls, slots, counts) of frequent words: how often each class follows (slot: class) and precedes
+def count_neighbours(places: DataFrame, coded: DataFrame, words: DataFrame, brown: Brown, only_matrix: bool = False) -> DataFrame:
+    """Rows (key, cls, slots, counts) of ``words``, the frequent ones: how often each class follows (slot: class) and precedes
     (slot: classes + class); rows with a null key hold a task's class bigrams (slot: class * classes + next)."""
     k = brown.classes
     schema = pa.schema([("key", pa.int64()), ("cls", pa.int32()), ("slots", pa.binary()), ("counts", pa.binary())])
 
     def run(batches):
         matrix = np.zeros(k * k, np.int64)
-        for (code, key, cls, moves), docs in _each_block(batches, ["cls", "moves"]):
+        for (code, key, cls), docs in _each_block(batches, ["cls"]):
             width = docs.column("width")[0].as_py()
             group = _spread(code, cls.astype(np.int64), width, brown.rare)
             flow, off = _flow(docs)
@@ -155,7 +155,7 @@ def count_neighbours(coded: DataFrame, words: DataFrame, brown: Brown, only_matr
             matrix += np.bincount(group[a] * k + group[b], minlength=k * k)
             if only_matrix:
                 continue
-            free = _spread(code, moves.astype(bool), width, False)
+            free = _spread(code, np.ones(len(code), bool), width, False).astype(bool)
             fa, fb = free[a], free[b]
             pair = np.concatenate((a[fa] * (2 * k) + group[b[fa]], b[fb] * (2 * k) + k + group[a[fb]]))
             if not len(pair):
@@ -173,7 +173,7 @@ def count_neighbours(coded: DataFrame, words: DataFrame, brown: Brown, only_matr
         if len(slots):
             yield pa.RecordBatch.from_pylist([{"slots": slots.astype(np.uint32).tobytes(), "counts": matrix[slots].tobytes()}], schema=schema)
     docs = coded.filter("codes is not null and not held_out")
-    return _by_block(coded, words, docs, ["cls", "moves"]).mapInArrow(run, "key bigint, cls int, slots binary, counts binary")
+    return _by_block(places, words, docs, ["cls"]).mapInArrow(run, "key bigint, cls int, slots binary, counts binary")
 
 
 def class_matrix(counted: DataFrame, brown: Brown) -> np.ndarray:
@@ -262,14 +262,16 @@ def moved(counted: DataFrame, matrix: np.ndarray, brown: Brown, chunk: int = 204
 
 
 def cluster(coded: DataFrame, brown: Brown = Brown()) -> tuple[DataFrame, np.ndarray, list[float]]:
-    """The table of words (key, c, cls, moves), the class bigrams, and the likelihood after each round."""
-    counts = coded.filter("key is not null").groupBy("key").agg(F.sum("n_train").alias("c")).filter("c > 0")
-    moves = F.col("c") >= brown.min_count
-    first = F.when(moves, F.pmod(F.xxhash64("key"), F.lit(brown.classes - 1)).cast("int")).otherwise(F.lit(brown.rare))
-    words = write_out(counts.select("key", "c", first.alias("cls"), moves.alias("moves")), "words")
+    """The table of words (key, c, cls), the class bigrams, and the likelihood after each round."""
+    every = coded.filter("key is not null")
+    counts = write_out(every.groupBy("key").agg(F.sum("n_train").alias("c")).filter("c > 0"), "counts")
+    first = F.pmod(F.xxhash64("key"), F.lit(brown.classes - 1)).cast("int")
+    words = write_out(counts.filter(F.col("c") >= brown.min_count).select("key", first.alias("cls")), "words")
+    # the only words that rounds look at; all others are in the class of rare words
+    places = write_out(every.select("block", "key", "code").join(words.select("key"), "key"), "places")
     best, history = None, []
     for turn in range(brown.rounds + 1):
-        counted = write_out(count_neighbours(coded, words, brown, only_matrix=turn == brown.rounds), "neighbours")
+        counted = write_out(count_neighbours(places, coded, words, brown, only_matrix=turn == brown.rounds), "neighbours")
         matrix = class_matrix(counted, brown)
         history.append(likelihood(matrix))
         if best is None or history[-1] > best[0]:
@@ -280,12 +282,12 @@ def cluster(coded: DataFrame, brown: Brown = Brown()) -> tuple[DataFrame, np.nda
             new = moved(counted, matrix, brown)
             turns = F.lit(True) if turn == 0 else F.pmod(F.xxhash64("key", F.lit("half")) + turn, F.lit(2)) == 0
             now = words
-            words = write_out(now.join(new, "key", "left").select(
-                "key", "c", F.when(turns, F.coalesce("new_cls", "cls")).otherwise(F.col("cls")).alias("cls"), "moves"), "words")
+            words = write_out(now.join(new, "key", "left").select("key", F.when(turns, F.coalesce("new_cls", "cls")).otherwise(F.col("cls")).alias("cls")), "words")
             if now is not best[1]:
                 discard(now)
         discard(counted)
-    return best[1], best[2], history
+    discard(places)
+    return write_out(counts.join(best[1], "key", "left").select("key", "c", F.coalesce("cls", F.lit(brown.rare)).alias("cls")), "words"), best[2], history
 
 
 def brown_scores(docs: DataFrame, brown: Brown = Brown(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -318,5 +320,5 @@ def brown_scores(docs: DataFrame, brown: Brown = Brown(), id_col: str = "doc_id"
             yield from pa.Table.from_arrays([found.column("doc_id"), found.column("held_out"), pa.array(np.diff(off) - 1), pa.array(sums[0].astype(np.int64)),
                                              pa.array(np.full(len(off) - 1, n_all)), pa.array(sums[1]), pa.array(sums[2])],
                                             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]).to_batches()
-    rows = _by_block(coded, words, coded.filter("codes is not null"), ["c", "cls"])
+    rows = _by_block(coded.filter("key is not null").select("block", "key", "code"), words, coded.filter("codes is not null"), ["c", "cls"])
     return rows.mapInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
