@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quantloom.llm.common import prefix_hash, run_starts, slices, span_hash, text_buffer, text_rows, write_out
+from quantloom.llm.common import discard, prefix_hash, run_starts, slices, span_hash, text_buffer, text_rows, write_out
 
 
 @dataclass(frozen=True)
@@ -89,8 +89,8 @@ def find_runs(rows: DataFrame, rule: Repeats) -> DataFrame:
 
 
 def split_runs(rows: DataFrame, kinds: DataFrame, rule: Repeats) -> DataFrame:
-    """(w1, w2, n, h1, h2, place): the windows of one run of each kind (row, first, last, h1, h2, n)."""
-    names = ["w1", "w2", "n", "h1", "h2", "place"]
+    """(w1, w2, n, row, first, place): the windows of one run of each kind (row, first, last, n)."""
+    names = ["w1", "w2", "n", "row", "first", "place"]
     texts = rows.join(kinds.select("row").distinct(), "row", "left_semi").select("row", "text", F.lit(0).alias("kind"))
     both = texts.unionByName(kinds.withColumn("kind", F.lit(1)), allowMissingColumns=True).repartition("row").sortWithinPartitions("row", "kind")
 
@@ -107,15 +107,15 @@ def split_runs(rows: DataFrame, kinds: DataFrame, rule: Repeats) -> DataFrame:
                     continue
                 if row[a] != now:
                     raise ValueError("a run without its text")
-                first, last, n, h1, h2 = (np.asarray(batch.column(c).slice(a, b - a)) for c in ("first", "last", "n", "h1", "h2"))
+                first, last, n = (np.asarray(batch.column(c).slice(a, b - a)) for c in ("first", "last", "n"))
                 size = (last - first + 1).astype(np.int64)
                 edge = np.cumsum(size) - size
                 place = np.arange(size.sum()) - np.repeat(edge, size)
                 s = place + np.repeat(first, size)
                 yield from pa.Table.from_arrays(
                     [pa.array(span_hash(p, s, s + rule.length).view(np.int64)) for p in (p1, p2)]
-                    + [pa.array(np.repeat(x, size)) for x in (n, h1, h2)] + [pa.array(place.astype(np.int32))], names).to_batches(max_chunksize=50_000)
-    return both.mapInArrow(run, "w1 bigint, w2 bigint, n bigint, h1 bigint, h2 bigint, place int")
+                    + [pa.array(np.repeat(x, size)) for x in (n, np.full(b - a, now), first)] + [pa.array(place.astype(np.int32))], names).to_batches(max_chunksize=50_000)
+    return both.mapInArrow(run, "w1 bigint, w2 bigint, n bigint, row bigint, first int, place int")
 
 
 def covered_starts(rows: DataFrame, rule: Repeats = Repeats()) -> DataFrame:
@@ -125,10 +125,12 @@ def covered_starts(rows: DataFrame, rule: Repeats = Repeats()) -> DataFrame:
     kinds = write_out(runs.groupBy("anchor", "h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice"), F.min(one).alias("one")), "kinds")
     several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.max("twice").alias("twice")).filter("kinds > 1 or twice").select("anchor")
     # a kind found twice is covered whichever of its windows others have, but counts for theirs
-    parts = kinds.join(several, "anchor", "left_semi").select("one.*", "h1", "h2", "n")
+    parts = kinds.join(several, "anchor", "left_semi").select("one.*", "n")
     windows = write_out(split_runs(rows, parts, rule), "windows")
     again = windows.groupBy("w1", "w2").agg(F.sum("n").alias("n")).filter("n > 1").select("w1", "w2")
-    some = (windows.filter("n = 1").join(again, ["w1", "w2"], "left_semi").groupBy("h1", "h2").agg(F.collect_list("place").alias("places")))
+    places = write_out(windows.filter("n = 1").join(again, ["w1", "w2"], "left_semi").groupBy("row", "first").agg(F.collect_list("place").alias("places")), "places")
+    discard(windows)
+    some = kinds.select("one.row", "one.first", "h1", "h2").join(places, ["row", "first"]).select("h1", "h2", "places")
     found = kinds.filter("n > 1").select("h1", "h2", F.lit(None).cast("array<int>").alias("places")).unionByName(some)
     return runs.join(found, ["h1", "h2"]).select("row", "first", "last", "places")
 
