@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quantloom.catalog.base import (BARS_SQL, WS, W, Catalog, R, avg_rank, chg, fin, heavy, lag, mean, out, pair,
                                     roll, std)
-from quantloom.functions.rolling import Rolling, with_exprs
+from quantloom.functions.rolling import Rolling, growing, with_exprs
 from quantloom.operators import models
 from quantloom.plans import bars158, series, timing
 from quantloom.sources import fixtures as fx
@@ -40,15 +40,15 @@ INEXACT = {k: e for k, e in KERNEL.items() if k not in EXACT}
 @C.add("rolling_kernel", f"WITH {BARS_SQL} SELECT date, symbol, {cols(EXACT, 8)}, {cols(INEXACT, 4)} FROM bars")
 def kernel(spark, sf):
     r = Rolling()
-    df = with_exprs(fx.bars(spark, sf), {"_up": "CASE WHEN ret > 0 THEN 1D ELSE 0D END"})
+    df = growing(with_exprs(fx.bars(spark, sf), {"_up": "CASE WHEN ret > 0 THEN 1D ELSE 0D END"}), "turn")
     df = r.add(df, {
         "lag3": r.lag("close", 3), "change5": r.change("close", 5), "delta5": r.ts_delta("close", 5),
         "mean10": r.mean("close", 10), "sum10": r.total("volume", 10), "std10": r.std("close", 10),
         "var5": r.var("ret", 5), "max14": r.top("high", 14), "min14": r.bottom("low", 14),
         "skew20": r.skew("turn", 20), "kurt20": r.kurt("turn", 20), "corr10": r.corr("close", "volume", 10),
         "cov10": r.cov("close", "turn", 10), "mean10_any": r.mean("close", 10, 1),
-        "cnt_up20": r.mean("_up", 20, 1), "cum": r.cumulative("turn"),
-        "xmean": r.expanding("turn", "avg", 20), "xstd": r.expanding("turn", "stddev_samp", 20),
+        "cnt_up20": r.mean("_up", 20, 1), "cum": "turn_sum",
+        "xmean": "CASE WHEN turn_n >= 20 THEN turn_mean END", "xstd": "CASE WHEN turn_n >= 20 THEN turn_std END",
     })
     df = df.filter("NOT halo")
     return df.select("date", "symbol", *[(F.round(c, 8 if c in EXACT else 4) + F.lit(0.0)).alias(c) for c in KERNEL])

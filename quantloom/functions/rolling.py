@@ -11,6 +11,7 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from quantloom.operators.layout import SERIES
+from quantloom.settings import DEFAULTS
 
 ANNUAL = math.sqrt(252.0)
 TINY = 1e-8
@@ -65,8 +66,10 @@ class Rolling:
     N_STAGES = 6  # shifts and centres, products, running totals, shifted totals, frames, moments
 
     def __init__(self, keys: tuple[str, ...] = SERIES, order: str = "date", half: bool = False,
-                 parent: "Rolling | None" = None):
-        self.keys, self.order, self.half = keys, order, half
+                 parent: "Rolling | None" = None,
+                 halo: tuple[int, int] = (DEFAULTS.halo_back, DEFAULTS.halo_forward)):
+        """``halo``: the rows that time_blocks() copied before and after a block."""
+        self.keys, self.order, self.half, self.halo = keys, order, half, halo
         self.part = f"PARTITION BY {', '.join(keys)}"
         self.w = f"{self.part} ORDER BY {order}"
         self.upto = f"({self.w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
@@ -76,9 +79,16 @@ class Rolling:
 
     def relaxed(self) -> "Rolling":
         """The same series and helper columns; a frame needs half its rows."""
-        return Rolling(self.keys, self.order, True, self)
+        return Rolling(self.keys, self.order, True, self, self.halo)
+
+    def _reach(self, back: int = 0, ahead: int = 0) -> None:
+        """Refuse a frame longer than the halo, which would be wrong in a cut series."""
+        if "blk" in self.keys and (back > self.halo[0] or ahead > self.halo[1]):
+            raise ValueError(f"a frame of {back} rows back and {ahead} ahead leaves the halo {self.halo}: "
+                             "cut the series with a longer one and name it here")
 
     def frame(self, n: int) -> str:
+        self._reach(back=n - 1)
         return f"({self.w} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
 
     def _helper(self, stage: int, name: str, sql: str) -> str:
@@ -101,6 +111,7 @@ class Rolling:
 
     # running totals and their frame differences
     def _total(self, tag: str, value: str, n: int) -> str:
+        self._reach(back=n)
         now = self._helper(2, tag, f"coalesce(sum({value}) OVER {self.upto}, 0D)")
         ago = self._helper(3, f"{tag}_{n}ago", f"lag({now}, {n}, 0D) OVER ({self.w})")
         return self._helper(4, f"{tag}_{n}", f"{now} - {ago}")
@@ -139,9 +150,11 @@ class Rolling:
 
     # shifts
     def lag(self, x: str, d: int = 1) -> str:
+        self._reach(back=d)
         return self._helper(0, f"lag_{x}_{d}", f"lag({x}, {d}) OVER ({self.w})")
 
     def lead(self, x: str, d: int = 1) -> str:
+        self._reach(ahead=d)
         return self._helper(0, f"lead_{x}_{d}", f"lead({x}, {d}) OVER ({self.w})")
 
     def diff(self, x: str, d: int = 1) -> str:
@@ -257,13 +270,9 @@ class Rolling:
 
     # growing frames
     def cumulative(self, x: str) -> str:
-        """Running total inside a block; use it only where a constant offset cancels."""
+        """Running total inside a block; use it only where a constant offset cancels (else growing())."""
         return self._helper(2, f"cum_{x}", f"sum({x}) OVER {self.upto}")
 
-    def expanding(self, x: str, call: str, need: int) -> str:
-        k = self._helper(2, f"xn_{x}", f"count({x}) OVER {self.upto}")
-        return when(f"{k} >= {need}", self._helper(2, f"x_{call}_{x}", f"{call}({x}) OVER {self.upto}"))
-
     # exponential means: per-bar weights (1-a)^age, summed cell by cell
     def ewm(self, df: DataFrame, specs: dict[str, tuple[str, int]], pos: str,
             adjust: bool = True) -> DataFrame:
@@ -294,6 +303,30 @@ class Rolling:
         return with_exprs(df, out).select(*keep, *specs)
 
 
+def growing(df: DataFrame, x: str, series: str = "symbol", order: str = "date") -> DataFrame:
+    """Add ``<x>_n``, ``<x>_sum``, ``<x>_mean`` and ``<x>_std`` from a series' first row on.
+
+    A block starts from what the blocks before it hold, a table of one row per block, so a
+    cut series gives the same values. Those of halo rows mean nothing.
+    """
+    part = (df.filter("NOT halo").groupBy(series, "blk")
+            .agg(F.expr(f"count({x})").alias("_n"), F.expr(f"coalesce(sum({x}), 0D)").alias("_s"),
+                 F.expr(f"coalesce(var_pop({x}) * count({x}), 0D)").alias("_m")))
+    before = f"OVER (PARTITION BY {series} ORDER BY blk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    earlier = part.selectExpr(series, "blk", f"coalesce(sum(_n) {before}, 0L) AS _g_n0", f"coalesce(sum(_s) {before}, 0D) AS _g_s0",
+                              f"coalesce(sum(_m + coalesce(try_divide(_s * _s, _n), 0D)) {before}, 0D) AS _g_q0")
+    upto = f"OVER (PARTITION BY {series}, blk ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    out = with_exprs(df.join(earlier, [series, "blk"], "left"), {"_g_x": f"CASE WHEN NOT halo THEN {x} END"})
+    out = with_exprs(out, {"_g_n1": f"count(_g_x) {upto}", "_g_s1": f"coalesce(sum(_g_x) {upto}, 0D)", "_g_v1": f"coalesce(var_pop(_g_x) {upto}, 0D)"})
+    n, s = "(_g_n0 + _g_n1)", "(_g_s0 + _g_s1)"
+    # squares of both parts around their own means, and of the distance between these means
+    m = ("(greatest(_g_q0 - coalesce(try_divide(_g_s0 * _g_s0, _g_n0), 0D), 0D) + _g_v1 * _g_n1 + coalesce("
+         f"try_divide(_g_n0 * _g_n1, {n}) * pow(try_divide(_g_s0, _g_n0) - try_divide(_g_s1, _g_n1), 2D), 0D))")
+    out = with_exprs(out, {f"{x}_n": n, f"{x}_sum": when(f"{n} > 0", s), f"{x}_mean": div(s, n),
+                           f"{x}_std": when(f"{n} > 1", f"sqrt({m} / ({n} - 1))")})
+    return out.drop("_g_n0", "_g_s0", "_g_q0", "_g_x", "_g_n1", "_g_s1", "_g_v1")
+
+
 # expressions on the (sorted) array of one frame
 def sorted_quantile(values: str, q: float) -> str:
     """Linear-interpolation quantile of a sorted array column."""

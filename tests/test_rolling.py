@@ -114,6 +114,34 @@ def test_blocks_keep_every_row_once_and_bound_their_size(panel):
     assert b.groupBy("symbol", "blk").count().agg(F.max("count")).head()[0] < 100 + 31 + 64 + 31 + 8 + 31
 
 
+@pytest.mark.parametrize("rows", [100000, 100])
+def test_growing_frames_in_one_block_and_in_many(panel, rows):
+    pdf, sdf = panel
+    df = k.growing(k.growing(blocked(sdf, rows), "turn"), "close")
+    compare(df, pdf, {
+        "turn_sum": lambda g: g.turn.fillna(0).cumsum(), "turn_mean": lambda g: g.turn.expanding().mean(),
+        "turn_std": lambda g: g.turn.expanding().std(), "turn_n": lambda g: g.turn.expanding().count(),
+        "close_sum": lambda g: g.close.cumsum(), "close_std": lambda g: g.close.expanding().std()})
+
+
+def test_long_series_and_frames(spark):
+    n = 20_000
+    days = pd.date_range("1960-01-01", periods=n).date
+    pdf = pd.concat([pd.DataFrame({"symbol": s, "date": days[:m], "v": np.arange(m) % 997 + 1.0}) for s, m in (("a", n), ("b", 300))])
+    cut = time_blocks(spark.createDataFrame(pdf), Settings(halo_back=2000, halo_forward=200))
+    assert cut.select("blk").distinct().count() > 1
+    r = Rolling(halo=(2000, 200))
+    df = r.add(k.growing(cut, "v"), {"lag": r.lag("v", 1500), "mean": r.mean("v", 1500), "next": r.lead("v", 120)})
+    compare(df, pdf, {"v_sum": lambda g: g.v.cumsum(), "v_mean": lambda g: g.v.expanding().mean(), "v_std": lambda g: g.v.expanding().std(),
+                      "lag": lambda g: g.v.shift(1500), "mean": lambda g: g.v.rolling(1500).mean(), "next": lambda g: g.v.shift(-120)})
+
+
+@pytest.mark.parametrize("frame", [lambda r: r.lag("v", 1500), lambda r: r.mean("v", 1500), lambda r: r.top("v", 1500), lambda r: r.lead("v", 120)])
+def test_frames_longer_than_the_halo_are_refused(frame):
+    with pytest.raises(ValueError, match="halo"):
+        frame(Rolling())
+
+
 def test_daily_features_do_not_depend_on_blocks(panel):
     _, sdf = panel
     names = ["vol_20d", "ivol_20d", "obv_slope_10d", "pv_corr_10d", "turnover_20d", "rsi_14", "ret_60d"]
