@@ -28,9 +28,14 @@ CELLS_PER_E = 4096  # ordered cells per factor e in magnitude
 
 
 def order_cell(x: Column, per_e: int = CELLS_PER_E) -> Column:
-    """A bigint that never decreases as x grows: sign and bucketed log-magnitude."""
+    """A bigint that never decreases as x grows: sign and bucketed log-magnitude.
+
+    Infinities, and NaN above them as Spark sorts it, have cells of their own.
+    """
     step = (F.floor(F.log(F.abs(x)) * per_e) + F.lit(750 * per_e)).cast("long")
-    return F.when(x > 0, step).when(x < 0, -step).otherwise(F.lit(0).cast("long"))
+    top, inf = F.lit(1500 * per_e).cast("long"), F.lit(float("inf"))
+    return (F.when(F.isnan(x), top + 1).when(x == inf, top).when(x == -inf, -top)
+            .when(x > 0, step).when(x < 0, -step).otherwise(F.lit(0).cast("long")))
 
 
 def _parts(df, keys, x, heavy, settings):

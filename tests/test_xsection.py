@@ -57,6 +57,15 @@ def test_quantiles_are_exact(data, settings):
         np.testing.assert_allclose(got[day], g.x.quantile(qs), rtol=1e-12)
 
 
+def test_infinite_values_rank_alike_on_both_paths(spark):
+    v = [float("-inf"), -1.0, 0.0, 2.0, 2.0, float("inf"), float("inf"), float("nan")]
+    d = spark.createDataFrame([(1, x, f"s{i}") for i, x in enumerate(v)], "date int, x double, symbol string")
+    for rank in (xs.average_rank, xs.ordinal_rank):
+        one, cut = ({r.symbol: r.r for r in rank(d, ["date"], "x", "r", settings=s).collect()}
+                    for s in (Settings(), Settings(heavy_group_rows=2)))
+        assert one == cut and len(one) == len(v)
+
+
 def test_order_cell_never_decreases(spark):
     v = sorted([-1e300, -5.0, -1e-9, -0.0, 0.0, 1e-300, 1e-9, 0.1, 0.1 + 1e-16, 5.0, 1e300]
                + list(np.random.default_rng(0).normal(0, 1, 500)))
