@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -114,7 +115,9 @@ def selection_interval(ic: DataFrame, best: str, n_boot: int = 10000, alpha: flo
     def make(b: int) -> pd.DataFrame:
         parts = []
         for fid in sorted(sizes):
-            rng = np.random.default_rng([seed + 1, b, sum(fid.encode())])
+            # a real hash of the id: ids with the same letters must not share a resample
+            own = int.from_bytes(hashlib.sha256(fid.encode()).digest()[:8], "little")
+            rng = np.random.default_rng([seed + 1, b, own])
             parts.append(pd.DataFrame({"boot": b, "fid": fid,
                                        "pos": rng.integers(0, sizes[fid], sizes[fid])}))
         return pd.concat(parts)
