@@ -210,13 +210,13 @@ def null_rows(spark, sf):
 
 
 REGISTRY = [
-    ("F1", "square(rev_3d*0.096)", ["rev_3d"], "WEAK", 2.2, 0.02, 0.2),
-    ("F2", "square(body_ratio*(ret_2d*0.069))", ["body_ratio", "ret_2d"], "STRONG", 6.1, 0.055, 0.68),
-    ("F3", "(rev_3d*(rev_3d+amount_shock_5d))*0.0042", ["rev_3d", "amount_shock_5d"], "STRONG", -3.3, -0.04, -0.35),
+    ("F1", "abs(rev_3d)/(vol_20d+0.25)", ["rev_3d", "vol_20d"], "WEAK", 2.3, 0.018, 0.22),
+    ("F2", "body_ratio*abs(ret_2d) + 0.3*turnover_20d", ["body_ratio", "ret_2d", "turnover_20d"], "STRONG", 4.4, 0.041, 0.42),
+    ("F3", "(rev_3d-amount_shock_5d)*body_ratio", ["rev_3d", "amount_shock_5d", "body_ratio"], "STRONG", -3.1, -0.036, -0.33),
     ("F4", "log1p(abs(vol_20d)) - inv(illiq_spread)", ["vol_20d", "illiq_spread"], None, 2.9, 0.031, 0.31),
     ("F5", "sign(ret_2d)*turnover_20d/(vol_20d+0.5)", ["ret_2d", "turnover_20d", "vol_20d"], "STRONG", 3.1, 0.033, 0.3),
     ("F6", "unknown_feature*2", ["unknown_feature"], "STRONG", 2.0, 0.01, 0.1),
-    ("F7", "0.5*body_ratio*ret_2d*body_ratio*ret_2d", ["body_ratio", "ret_2d"], "STRONG", 4.0, 0.05, 0.5),
+    ("F7", "0.5*body_ratio*turnover_20d*body_ratio", ["body_ratio", "turnover_20d"], "STRONG", 3.6, 0.037, 0.39),
 ]
 
 

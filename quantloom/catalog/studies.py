@@ -431,11 +431,11 @@ def registry_rows(spark, sf):
 
 
 FORMULA_SQL = {
-    "F1": "power(rev_3d * 0.096, 2)", "F2": "power(body_ratio * (ret_2d * 0.069), 2)",
-    "F3": "(rev_3d * (rev_3d + amount_shock_5d)) * 0.0042",
+    "F1": "abs(rev_3d) / (vol_20d + 0.25)", "F2": "body_ratio * abs(ret_2d) + 0.3 * turnover_20d",
+    "F3": "(rev_3d - amount_shock_5d) * body_ratio",
     "F4": "ln(1 + abs(vol_20d)) - CASE WHEN abs(illiq_spread) > 1e-8 THEN 1 / illiq_spread ELSE 0 END",
     "F5": "sign(ret_2d) * turnover_20d / (vol_20d + 0.5)", "F6": "CAST(NULL AS DOUBLE)",
-    "F7": "0.5 * body_ratio * ret_2d * body_ratio * ret_2d",
+    "F7": "0.5 * body_ratio * turnover_20d * body_ratio",
 }
 EVAL_COLS = ", ".join(R(e, k, 3 if k in ("F3", "F4") else 5) for k, e in FORMULA_SQL.items())
 
@@ -500,8 +500,8 @@ def sensitivity(spark, sf):
 
 
 # structures worked out by hand for the registered formulas
-SHAPES = {"F1": "square(Feat)", "F2": "square((Feat*Feat))", "F3": "((Feat+Feat)*Feat)",
-          "F4": "(log1p(abs(Feat))-inv(Feat))", "F5": "((Feat*sign(Feat))/(Feat+K))", "F6": "Feat", "F7": "(Feat*Feat*Feat*Feat)"}
+SHAPES = {"F1": "(abs(Feat)/(Feat+K))", "F2": "((Feat*abs(Feat))+Feat)", "F3": "((Feat-Feat)*Feat)",
+          "F4": "(log1p(abs(Feat))-inv(Feat))", "F5": "((Feat*sign(Feat))/(Feat+K))", "F6": "Feat", "F7": "(Feat*Feat*Feat)"}
 
 
 @C.add("structure_signatures", f"""WITH {REG_SQL}, {PANEL_SQL}, n AS (SELECT count(*) AS panel_rows FROM panel)

@@ -163,48 +163,39 @@ def test_window_selector():
 
 
 # ---- backtest -------------------------------------------------------------------------
-def brute_backtest(pdf, cost, q=5, limit=0.1):
-    """Month by month with plain loops: the daily long and short legs."""
-    d = pdf.sort_values(["symbol", "date"]).copy()
-    d["prev"] = d.groupby("symbol").close.shift(1)
-    cal = sorted(d.date.unique())
-    nxt = dict(zip(cal, cal[1:]))
-    d["month"] = [x.replace(day=1) for x in d.date]
-    old, rows = {}, []
-    for month, g in d.groupby("month"):
-        cs = g[g.date == g.date.min()].sort_values(["x", "symbol"])
-        if len(cs) < 50:
-            continue
-        n = len(cs)
-        bucket = [max(1, -(-(i * q) // (n - 1))) for i in range(n)]
-        entry = nxt.get(cs.date.iloc[0])
-        held = sorted(x for x in g.date.unique() if entry and x >= entry)
-        if not held:
-            continue
-        at = g[g.date == entry].set_index("symbol")
-        up = set(at.index[at.open < at.prev * (1 + limit)])
-        dn = set(at.index[at.open > at.prev * (1 - limit)])
-        legs = {"long": [s for s, b in zip(cs.symbol, bucket) if b == q and s in up],
-                "short": [s for s, b in zip(cs.symbol, bucket) if b == 1 and s in dn]}
-        for k, day in enumerate(held):
-            by = g[g.date == day].set_index("symbol")
-            ratio = by.close / (by.open if day == entry else by.prev)
-            for name, names in legs.items():
-                r = ratio.reindex(names).fillna(1.0).mean() - 1
-                if k == 0:
-                    turn = 1.0 if name not in old else 1 - len(set(names) & old[name]) / len(names)
-                    r += (-1 if name == "long" else 1) * turn * cost / 1e4
-                rows.append((day, name, r))
-        old = {k: set(v) for k, v in legs.items()}
-    return pd.DataFrame(rows, columns=["date", "leg", "r"]).pivot(index="date", columns="leg", values="r")
+def weighted_legs(pdf, cost, q=5, limit=0.1):
+    """The daily legs as basket weights (month x symbol) times returns (day x symbol)."""
+    wide = pdf.pivot(index="date", columns="symbol")
+    close, opening = wide["close"], wide["open"]
+    jump = opening / close.ffill().shift()
+    month = np.array([(d.year, d.month) for d in close.index]) @ [12, 1]
+    forming = np.append(True, month[1:] != month[:-1])
+    entering = np.append(False, forming[:-1]) & ~forming
+    scores = wide["x"][forming & np.append(entering[1:], False)]
+    scores = scores[scores.count(axis=1) >= 50]
+    # columns are in symbol order, so "first" breaks ties by symbol
+    place = scores.rank(axis=1, method="first") - 1
+    group = np.ceil((place * q).div(scores.count(axis=1) - 1, axis=0)).clip(lower=1)
+    at_entry = jump.shift(-1).loc[scores.index]
+    daily = (close / close.ffill().shift()).mask(pd.Series(entering, index=close.index), close / opening, axis=0).fillna(1.0) - 1
+    months = pd.Series(month, index=close.index)
+    held = ~forming & months.isin(months[scores.index]).to_numpy()
+    legs = {}
+    for name, basket, sign in (("long", (group == q) & (at_entry < 1 + limit), -1), ("short", (group == 1) & (at_entry > 1 - limit), 1)):
+        weight = basket.div(basket.sum(axis=1), axis=0)
+        fresh = 1 - (weight * basket.shift(fill_value=False)).sum(axis=1)
+        by_month = weight.set_axis(months[weight.index], axis=0).reindex(month[held]).to_numpy()
+        paid = fresh.set_axis(months[fresh.index]).reindex(month[held]).to_numpy() * entering[held] * cost / 1e4
+        legs[name] = (by_month * daily[held].to_numpy()).sum(axis=1) + sign * paid
+    return pd.DataFrame(legs, index=close.index[held])
 
 
 @pytest.mark.parametrize("cost", [0.0, 40.0])
-def test_backtest_against_loops(panel, cost):
+def test_backtest_against_matrix_products(panel, cost):
     pdf, sdf = panel
     run = backtest.Backtest(sdf, (cost,))
     got = run.daily.toPandas().set_index("date").sort_index()
-    want = brute_backtest(pdf, cost)
+    want = weighted_legs(pdf, cost)
     assert got.index.tolist() == want.index.tolist()
     np.testing.assert_allclose(got.long, want.long, atol=1e-12)
     np.testing.assert_allclose(got.short, want.short, atol=1e-12)
