@@ -14,17 +14,15 @@ from quantloom.llm.common import table, write_out
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and lie in their language's perplexity band.
-
-    Every row of an id shares its verdict only if all of them are kept; a null id's rows are judged together.
-    """
-    verdict = write_out(perplexity.quality(docs).select("doc_id", "kept"), "verdicts")
-    kept = verdict.groupBy(F.col("doc_id").alias("_id")).agg(F.min("kept").alias("_kept")).filter("_kept").select("_id")
-    return docs.join(kept, docs.doc_id.eqNullSafe(F.col("_id")), "left_semi")
+    """Documents that pass the base rules and lie in their language's perplexity band, each row by its own verdict."""
+    # the key is written with the rows, so that it stays theirs when a task runs again
+    rows = write_out(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    kept = write_out(perplexity.quality(rows, id_col="_row").filter("kept").select(F.col("doc_id").alias("_row")), "verdicts")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group that five-word shingles link at 0.8 or more."""
+    """The row with the smallest id of each group that five-word shingles link at 0.8 or more."""
     return jaccard.first_of_groups(docs)
 
 

@@ -368,7 +368,18 @@ def jaccard_components(docs: DataFrame, join: Join = Join(), id_col: str = "doc_
 
 
 def first_of_groups(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that are the smallest of their component, with their own columns; rows that repeat it stay one."""
-    found = write_out(jaccard_components(docs, join, id_col, text_col), "components")
-    keep = found.filter("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates([id_col])
+    """One row of each component with its own columns: the smallest by (id, place in the input), null ids last.
+
+    Rows count by themselves, whatever ids they share. Rows without a word are linked with nothing and all stay, but
+    repeats of one with an id stay one.
+    """
+    # the key is written with the rows, so that it stays theirs when a task runs again
+    rows = write_out(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = write_out(jaccard_components(rows, join, "_row", text_col), "components")
+    named = rows.select("_row", F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(found.withColumnRenamed("doc_id", "_row"), "_row")
+    rank = F.struct(F.col("_id").isNull(), "_id", "_row")
+    linked = named.filter("n_shingles > 0").groupBy("component_id").agg(F.min_by("_row", rank).alias("_row"))
+    empty = named.filter("n_shingles = 0")
+    alone = empty.filter("_id is not null").groupBy("_id", "_text").agg(F.min("_row").alias("_row"))
+    keep = linked.select("_row").unionByName(alone.select("_row")).unionByName(empty.filter("_id is null").select("_row"))
+    return rows.join(keep, "_row", "left_semi").select(*docs.columns)
