@@ -40,7 +40,8 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 class Archive:
     level: int = 3
     dictionary_bytes: int = 64 << 10
-    #: the dictionary is trained on records drawn evenly by id, of about so many bytes together
+    #: the dictionary is trained on distinct payloads drawn evenly by their hash, of about so many bytes together and
+    #: twice as many at most; of a payload its first sixteenth of so many bytes
     sample_bytes: int = 4 << 20
     archive_bytes: int = 32 << 20
     min_revisit_bytes: int = 0
@@ -121,21 +122,33 @@ class Writer:
         return self.file, self.records, self.size
 
 
+def samples(keyed: DataFrame, payloads: DataFrame, archive: Archive) -> list[bytes]:
+    """Records to train on: an even draw over the distinct payloads; a corpus of any size and any repeats gives about sample_bytes."""
+    piece = max(1, archive.sample_bytes // 16)
+    total = payloads.agg(F.sum(F.least("size", F.lit(piece)).cast("bigint"))).first()[0] or 0
+    share = min(1.0, archive.sample_bytes / max(total, 1))
+    drawn = (keyed.filter(F.pmod(F.xxhash64("sha"), F.lit(1 << 40)) <= int(share * (1 << 40)))
+             .groupBy("sha").agg(F.min(F.struct("page_id", "url")).alias("of"), F.first(F.substring(F.encode("html", "utf-8"), 1, piece)).alias("piece")))
+    out, held = [], 0
+    for r in drawn.orderBy("sha").toLocalIterator():
+        out.append(record(r["of"].page_id, r["of"].url, bytes(r["piece"]), None, False, "")[:2 * piece])
+        held += len(out[-1])
+        if held >= 2 * archive.sample_bytes:
+            break
+    return out
+
+
 def write_archives(pages: DataFrame, archive: Archive = Archive(), id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> tuple[str, DataFrame]:
     """Writes every row as a record; gives the folder and the table of archives (file, records, bytes)."""
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"),
                         F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     size = F.octet_length("html")
-    total = rows.agg(F.sum(size.cast("bigint"))).first()[0] or 0
-    # an even draw over the whole table; a corpus of any size gives about sample_bytes
-    share = min(1.0, archive.sample_bytes / max(total, 1))
-    drawn = rows.filter(F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).filter(size <= archive.sample_bytes // 16)
-    dictionary = train([record(r.page_id, r.url, r.html.encode(), None, False, "") for r in drawn.toLocalIterator()], archive)
-    folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     keyed = rows.withColumn("sha", F.sha1(F.encode("html", "utf-8"))).withColumn("size", size)
-    first = (keyed.filter(F.col("size") >= archive.min_revisit_bytes).groupBy("sha", "size")
-             .agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha", "size", "first_id"))
+    payloads = write_out(keyed.groupBy("sha", "size").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "payloads")
+    dictionary = train(samples(keyed, payloads, archive), archive)
+    folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    first = payloads.filter((F.col("size") >= archive.min_revisit_bytes) & (F.col("n") > 1)).select("sha", "size", "first_id")
     joined = keyed.join(first, ["sha", "size"], "left").select("page_id", "url", "html", "first_id")
 
     def run(batches):
