@@ -90,9 +90,9 @@ def kept_terms(counts: DataFrame, least: int = 3) -> DataFrame:
 
 
 def probability(count, total, vocabulary):
-    """p of a term, exact for any number of occurrences."""
+    """p of a term, exact for any number of occurrences (without any term kept there is nothing to ask for)."""
     wide = lambda c: c.cast("decimal(20,0)")
-    return F.call_function("div", wide(F.lit(UNIT)) * (wide(count) + 1), wide(total) + wide(vocabulary)) + 1
+    return F.call_function("div", wide(F.lit(UNIT)) * (wide(count) + 1), F.greatest(wide(total) + wide(vocabulary), F.lit(1))) + 1
 
 
 def term_value(p, q):
