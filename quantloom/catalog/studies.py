@@ -929,8 +929,11 @@ def _combo_ls(spark, sf):
     return fx.stored(spark, ("combo_ls", sf), build)
 
 
-@C.add("synergy", f"""WITH {NEUTRAL_SQL}, {COMBO_SQL}, c2 AS (SELECT c.fid, c.date, c.symbol, c.x, p.ret FROM cb c JOIN panel p USING (date, symbol)),
-  {LS_SQL.format(src='neutral')}, {LS_SQL.format(src='c2').replace('rk AS', 'rk2 AS').replace('ls AS (', 'ls2 AS (').replace('FROM rk ', 'FROM rk2 ')},
+COMBO_LS_SQL = f"""c2 AS (SELECT c.fid, c.date, c.symbol, c.x, p.ret FROM cb c JOIN panel p USING (date, symbol)),
+  {LS_SQL.format(src='neutral')}, {LS_SQL.format(src='c2').replace('rk AS', 'rk2 AS').replace('ls AS (', 'ls2 AS (').replace('FROM rk ', 'FROM rk2 ')}"""
+
+
+@C.add("synergy", f"""WITH {NEUTRAL_SQL}, {COMBO_SQL}, {COMBO_LS_SQL},
   a AS (SELECT avg(ls) / (stddev_samp(ls) + 1e-12) * sqrt(252) AS c FROM ls2),
   b AS (SELECT avg(s) AS m, count(*) AS k FROM (SELECT avg(ls) / (stddev_samp(ls) + 1e-12) * sqrt(252) AS s FROM ls GROUP BY fid))
   SELECT {R('c', 'combo_sharpe', 5)}, {R('m', 'mean_sharpe', 5)}, k AS n_factors, {R('c - m', 'gain', 5)}, CASE WHEN c - m > 0 THEN 'synergy' ELSE 'no synergy' END AS verdict FROM a, b""")
@@ -961,19 +964,55 @@ def daily_ic(spark, sf):
     return fx.stored(spark, ("daily_ic", sf), lambda: xs.rank_ic(neutral_panel(spark, sf), min_rows=30, heavy=heavy(spark, sf)))
 
 
-@C.add("reality_check")
-def reality(spark, sf):
-    return out(combine.reality_check(daily_ic(spark, sf), n_boot=2000))
+# Draws are sha-256 digests of (seed, stream, resample, counter); the twins put the days of every resample together one by one.
+def _hex(h: str, start: int | str, digits: int) -> str:
+    return f"CAST('0x' || substr({h}, {start} + 1, {digits}) AS BIGINT)"
 
 
-@C.add("selection_interval")
-def interval(spark, sf):
-    return out(combine.selection_interval(daily_ic(spark, sf), "rev_3d", n_boot=1000))
+IC_SQL = f"""ic AS (SELECT fid, date, ic, row_number() OVER (PARTITION BY fid ORDER BY date) - 1 AS pos, count(*) OVER (PARTITION BY fid) AS n
+   FROM {rank_ic_sql('neutral', min_rows=30)} WHERE ic IS NOT NULL)"""
 
 
-@C.add("month_bootstrap")
+@C.add("reality_check", f"""WITH {NEUTRAL_SQL}, {IC_SQL},
+  st AS (SELECT fid, CASE WHEN count(ic) < 5 OR stddev_samp(ic) = 0 THEN 0 ELSE avg(ic) / (stddev_samp(ic) / sqrt(count(ic))) END AS t FROM ic GROUP BY fid),
+  len AS (SELECT max(n) AS n FROM ic),
+  dg AS (SELECT b.range AS boot, k.range AS k, n, sha256('42:block:' || b.range || ':' || k.range) AS h FROM range(10000) b, len, range(n) k),
+  bl AS (SELECT boot, n, CAST(floor({_hex('h', 13, 13)} / 4503599627370496.0 * n) AS BIGINT) AS start,
+         1 + CAST(floor(ln(1 - {_hex('h', 0, 13)} / 4503599627370496.0) / ln(0.9)) AS BIGINT) AS size, k FROM dg),
+  fi AS (SELECT *, sum(size) OVER (PARTITION BY boot ORDER BY k) - size AS filled FROM bl),
+  dy AS (SELECT boot, unnest(list_transform(range(least(size, n - filled)::BIGINT), lambda i: (start + i) % n)) AS pos FROM fi WHERE filled < n),
+  ce AS (SELECT fid, pos, ic - avg(ic) OVER (PARTITION BY fid) AS c FROM ic WHERE n >= 5),
+  bt AS (SELECT boot, fid, avg(c) / (stddev_samp(c) / sqrt(count(c))) AS t FROM dy JOIN ce USING (pos) GROUP BY boot, fid),
+  mx AS (SELECT boot, max(t) AS t FROM bt GROUP BY boot)
+  SELECT {R('(SELECT max(t) FROM st)', 'v')}, {R('avg((t >= (SELECT max(t) FROM st))::INT)', 'p_value')}, (SELECT count(*) FROM st) AS n_factors,
+  (SELECT n FROM len) AS n_days, {R('avg(t)', 'boot_max_mean')}, {R('quantile_cont(t, 0.95)', 'boot_max_q95')}, {R('stddev_pop(t)', 'boot_max_std')} FROM mx""")
+def reality(spark, sf):
+    return out(combine.reality_check(daily_ic(spark, sf)))
+
+
+@C.add("selection_interval", f"""WITH {NEUTRAL_SQL}, {IC_SQL}, sr AS (SELECT DISTINCT fid, n FROM ic WHERE n >= 5),
+  dg AS (SELECT fid, n, b.range AS boot, k.range AS k, sha256('42:day:' || fid || ':' || b.range || ':' || k.range) AS h FROM sr, range(10000) b, range((n + 7) // 8) k),
+  dy AS (SELECT fid, boot, ({_hex('h', '8 * j.range', 8)} * n) >> 32 AS pos FROM dg, range(8) j WHERE 8 * k + j.range < n),
+  mn AS (SELECT boot, fid, avg(ic) AS m FROM dy JOIN ic USING (fid, pos) GROUP BY boot, fid),
+  mx AS (SELECT max(m) AS m FROM mn GROUP BY boot),
+  inf AS (SELECT quantile_cont(m, 0.95) - avg(m) AS i FROM mx),
+  b AS (SELECT avg(ic) AS m, {combine.Z_975} * stddev_samp(ic) / sqrt(count(ic)) AS h FROM ic WHERE fid = 'rev_3d')
+  SELECT {R('m', 'mean')}, {R('m - h', 'naive_low')}, {R('m + h', 'naive_high')}, {R('m - i', 'sel_low')}, {R('m + i', 'sel_high')}, {R('i', 'inflation')} FROM b, inf""")
+def interval(spark, sf):
+    return out(combine.selection_interval(daily_ic(spark, sf), "rev_3d"))
+
+
+@C.add("month_bootstrap", f"""WITH {NEUTRAL_SQL}, {COMBO_SQL}, {COMBO_LS_SQL},
+  sd AS (SELECT fid, date_trunc('month', date) AS month, ls FROM ls UNION ALL SELECT 'combo', date_trunc('month', date), ls FROM ls2),
+  cal AS (SELECT month, row_number() OVER (ORDER BY month) - 1 AS m, count(*) OVER () AS n FROM (SELECT DISTINCT month FROM sd WHERE fid = 'combo')),
+  pk AS (SELECT DISTINCT b.range AS boot, ({_hex(f"sha256('42:month:' || b.range || ':' || k.m)", 0, 8)} * n) >> 32 AS m FROM range(2000) b, cal k),
+  sh AS (SELECT boot, fid, CASE WHEN count(ls) >= 30 THEN avg(ls) / (stddev_samp(ls) + 1e-12) * sqrt(252) ELSE 0 END AS s
+         FROM pk JOIN cal USING (m) JOIN sd USING (month) GROUP BY boot, fid),
+  ga AS (SELECT boot, sum(s) FILTER (WHERE fid = 'combo') - sum(s) FILTER (WHERE fid <> 'combo') / (SELECT count(DISTINCT fid) FROM ls) AS g FROM sh GROUP BY boot)
+  SELECT {R('avg(g)', 'mean_gain', 5)}, {R('avg((g <= 0)::INT)', 'p_le0', 5)}, {R('quantile_cont(g, 0.025)', 'low', 5)}, {R('quantile_cont(g, 0.975)', 'high', 5)},
+  count(g) AS n_boot FROM ga""")
 def months(spark, sf):
-    return out(combine.month_bootstrap(_combo_ls(spark, sf), ls_panel(spark, sf), n_boot=500))
+    return out(combine.month_bootstrap(_combo_ls(spark, sf), ls_panel(spark, sf)), 5)
 
 
 @C.add("gbt_importances")

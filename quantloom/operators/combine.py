@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+import math
+from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quantloom.functions import draws
 from quantloom.functions.exprs import pearson
 from quantloom.operators import xsection as xs
 from quantloom.operators.backtest import annualised_stats
+from quantloom.operators.layout import write_out
 
 
 def align_signs(long: DataFrame) -> DataFrame:
@@ -42,15 +42,9 @@ def synergy(combo_ls: DataFrame, single_ls: DataFrame) -> DataFrame:
             .withColumn("verdict", F.when(F.col("gain") > 0, "synergy").otherwise("no synergy")))
 
 
-def _draws(spark, n_boot: int, make, schema: str, parts: int | None = None) -> DataFrame:
-    """One task batch of bootstrap ids to rows; each id has its own seeded generator, so the
-    result does not depend on how ids are partitioned."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for b in pdf["id"]:
-                yield make(int(b))
-    ids = spark.range(0, n_boot, 1, parts or spark.sparkContext.defaultParallelism * 4)
-    return ids.mapInPandas(run, schema)
+def _resamples(spark, n_boot: int) -> DataFrame:
+    """(boot): one row per resample; all that is drawn for it depends on its number alone."""
+    return spark.range(0, n_boot, 1, spark.sparkContext.defaultParallelism * 4).withColumnRenamed("id", "boot")
 
 
 def _numbered(ic: DataFrame) -> DataFrame:
@@ -60,40 +54,79 @@ def _numbered(ic: DataFrame) -> DataFrame:
                 Window.partitionBy("fid").orderBy("date")) - 1))
 
 
-def _t(mean: str, sd: str, n: str):
-    return F.when(F.col(sd) > 0, F.col(mean) / (F.col(sd) / F.sqrt(F.col(n)))).otherwise(0.0)
+def _t(mean: Column, sd: Column, n: Column) -> Column:
+    return F.when(sd > 0, mean / (sd / F.sqrt(n))).otherwise(0.0)
+
+
+def _deviation(n: Column, s1: Column, s2: Column) -> Column:
+    """Sample deviation from a count, a sum and a sum of squares; rounding noise of equal values counts as none."""
+    ss = s2 - s1 * s1 / n
+    return F.when((n > 1) & (ss > 1e-12 * s2), F.sqrt(ss / (n - 1))).otherwise(0.0)
+
+
+def stationary_blocks(spark, n_boot: int, length: int, mean_block: int = 10, seed: int = 42) -> DataFrame:
+    """(boot, start, size): circular blocks of geometric length that fill ``length`` positions of each resample.
+
+    Blocks are drawn one after the other inside their row until the resample is full; the last one is cut.
+    """
+    h = lambda k: draws.digest(seed, "block", F.col("boot"), k)
+    size = lambda d: 1 + F.floor(F.log(1 - draws.uniform(d)) / F.lit(math.log(1 - 1 / mean_block)))
+
+    def add(acc, k):
+        d = h(k)
+        block = F.struct(F.floor(draws.uniform(d, 1) * length).alias("start"), F.least(size(d), length - acc.filled).alias("size"))
+        grown = F.array_append(acc.blocks, block)
+        return F.when(acc.filled >= length, acc).otherwise(
+            F.struct((acc.filled + F.element_at(grown, -1).getField("size")).alias("filled"), grown.alias("blocks")))
+
+    none = F.struct(F.lit(0).cast("bigint").alias("filled"), F.expr("cast(array() as array<struct<start:bigint,size:bigint>>)").alias("blocks"))
+    drawn = F.aggregate(F.sequence(F.lit(0), F.lit(length - 1)), none, add, lambda acc: acc.blocks)
+    return _resamples(spark, n_boot).select("boot", F.inline(drawn))
+
+
+def circular_prefixes(series: DataFrame, length: int, value: str) -> DataFrame:
+    """(fid, pos, n, s1, s2): count, sum and squares of ``value`` before ``pos`` on a circle gone round twice.
+
+    Any circular block of at most ``length`` positions is the difference of two of these rows.
+    """
+    grid = (series.select("fid").distinct().withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(2 * length))))
+            .withColumn("_at", F.col("pos") % length))
+    d = grid.join(series.select("fid", F.col("pos").alias("_at"), F.col(value).alias("_v")), ["fid", "_at"], "left")
+    before = Window.partitionBy("fid").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)  # 2 * length rows
+    so_far = lambda v: F.coalesce(F.sum(v).over(before), F.lit(0.0))
+    return d.select("fid", "pos", F.count("_v").over(before).alias("n"), so_far(F.col("_v")).alias("s1"), so_far(F.col("_v") * F.col("_v")).alias("s2"))
 
 
 def reality_check(ic: DataFrame, n_boot: int = 10000, mean_block: int = 10, seed: int = 42) -> DataFrame:
     """Is the best factor's t above what selection alone gives? Stationary bootstrap of
     centred daily ICs (fid, date, ic) with one index sequence shared by all factors.
 
-    Index sequences are rows joined to the IC table, then two combined aggregates.
+    A block of days is the difference of two rows of running sums, so a resample costs two
+    lookups per block and factor, however many days it has. A factor with fewer than five
+    ICs, or none in a resample, has t = 0.
     """
     spark = ic.sparkSession
-    d = _numbered(ic)
+    d = write_out(_numbered(ic), "numbered")
     stat = d.groupBy("fid").agg(F.avg("ic").alias("m"), F.stddev_samp("ic").alias("s"), F.count("ic").alias("n"))
-    obs = stat.withColumn("t", F.when(F.col("n") >= 5, _t("m", "s", "n")).otherwise(0.0))
-    head = obs.agg(F.max("t").alias("v"), F.count(F.lit(1)).alias("n_factors"), F.max("n").alias("n_days")).head()
+    obs = stat.withColumn("t", F.when(F.col("n") >= 5, _t(F.col("m"), F.col("s"), F.col("n"))).otherwise(0.0))
+    head = obs.agg(F.max("t").alias("v"), F.count(F.lit(1)).alias("n_factors"), F.max("n").alias("n_days"), F.min("n").alias("least")).head()
     if head.n_days is None:
         raise ValueError("no daily IC")
-    length = int(head.n_days)
+    length, v = int(head.n_days), float(head.v)
 
-    def make(b: int) -> pd.DataFrame:
-        rng = np.random.default_rng([seed, b])
-        new = rng.random(length) < 1.0 / mean_block
-        new[0] = True
-        starts = rng.integers(0, length, length)
-        anchor = np.maximum.accumulate(np.where(new, np.arange(length), 0))
-        return pd.DataFrame({"boot": b, "pos": (starts[anchor] + np.arange(length) - anchor) % length})
-
-    draws = _draws(spark, n_boot, make, "boot long, pos long")
     centred = (d.join(stat.filter("n >= 5").select("fid", "m"), "fid")
                .select("fid", "pos", (F.col("ic") - F.col("m")).alias("c")))
-    boot = (draws.join(centred, "pos").groupBy("boot", "fid")
-            .agg(F.avg("c").alias("m"), F.stddev_samp("c").alias("s"), F.count("c").alias("n"))
-            .withColumn("t", _t("m", "s", "n")).groupBy("boot").agg(F.max("t").alias("t")))
-    v = float(head.v)
+    # a small table that every task of the lookup reads: two rows per factor and day
+    prefixes = write_out(circular_prefixes(centred, length, "c"), "prefixes")
+    ends = stationary_blocks(spark, n_boot, length, mean_block, seed).select("boot", F.inline(F.array(
+        F.struct(F.col("start").alias("pos"), F.lit(-1).alias("sign")), F.struct((F.col("start") + F.col("size")).alias("pos"), F.lit(1).alias("sign")))))
+    total = lambda c: F.sum(F.col(c) * F.col("sign")).alias(c)
+    n, s1, s2 = F.col("n"), F.col("s1"), F.col("s2")
+    t = F.when(n > 0, _t(s1 / n, _deviation(n, s1, s2), n)).otherwise(0.0)
+    boot = (ends.join(prefixes, "pos").groupBy("boot", "fid").agg(total("n"), total("s1"), total("s2"))
+            .withColumn("t", t).groupBy("boot").agg(F.max("t").alias("t")))
+    if head.least < 5:
+        boot = boot.withColumn("t", F.greatest("t", F.lit(0.0)))
     return boot.agg(F.lit(v).alias("v"), F.avg((F.col("t") >= v).cast("double")).alias("p_value"),
                     F.lit(int(head.n_factors)).alias("n_factors"), F.lit(length).alias("n_days"),
                     F.avg("t").alias("boot_max_mean"), F.percentile("t", 0.95).alias("boot_max_q95"),
@@ -103,30 +136,33 @@ def reality_check(ic: DataFrame, n_boot: int = 10000, mean_block: int = 10, seed
 Z_975 = 1.959963984540054  # fixed value: normal 97.5 % quantile
 
 
+def resampled_means(ic: DataFrame, n_boot: int, seed: int = 42) -> DataFrame:
+    """(boot, fid, m): mean of as many independent draws as a factor has ICs, added up inside its row."""
+    d = _numbered(ic)
+    series = (d.groupBy("fid").agg(F.array_sort(F.collect_list(F.struct("pos", "ic"))).alias("_p"))  # bounded by the calendar
+              .filter(F.size("_p") >= 5).select("fid", F.transform("_p", lambda p: p.ic).alias("_ic"), F.size("_p").alias("_n")))
+    series = write_out(series, "ic-series")
+    n, values = F.col("_n"), F.col("_ic")
+
+    def eight(acc, part):
+        d = part.digest
+        return reduce(lambda a, at: a + F.when(part.first + at < n, F.get(values, draws.below(d, n, at).cast("int"))).otherwise(0.0), range(8), acc)
+
+    parts = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 8).cast("int")), lambda k: F.struct(
+        draws.digest(seed, "day", F.col("fid"), F.col("boot"), k).alias("digest"), (8 * k).alias("first")))
+    return (_resamples(series.sparkSession, n_boot).withColumn("_one", F.lit(1))
+            .join(series.groupBy(F.lit(1).alias("_one")).agg(F.collect_list("fid").alias("_fids")), "_one")
+            .select("boot", F.explode("_fids").alias("fid")).join(series, "fid")
+            .select("boot", "fid", (F.aggregate(parts, F.lit(0.0), eight) / n).alias("m")))
+
+
 def selection_interval(ic: DataFrame, best: str, n_boot: int = 10000, alpha: float = 0.05,
                        seed: int = 42) -> DataFrame:
     """Normal interval for the best factor's mean IC and one widened for selection:
     half width = q(1-alpha) - mean of the bootstrap maximum of factor means."""
-    spark = ic.sparkSession
-    d = _numbered(ic)
-    n = d.groupBy("fid").agg(F.count("ic").alias("n")).filter("n >= 5")
-    sizes = {r.fid: int(r.n) for r in n.collect()}  # one number per factor
-
-    def make(b: int) -> pd.DataFrame:
-        parts = []
-        for fid in sorted(sizes):
-            # a real hash of the id: ids with the same letters must not share a resample
-            own = int.from_bytes(hashlib.sha256(fid.encode()).digest()[:8], "little")
-            rng = np.random.default_rng([seed + 1, b, own])
-            parts.append(pd.DataFrame({"boot": b, "fid": fid,
-                                       "pos": rng.integers(0, sizes[fid], sizes[fid])}))
-        return pd.concat(parts)
-
-    draws = _draws(spark, n_boot, make, "boot long, fid string, pos long")
-    top = (draws.join(d.select("fid", "pos", "ic"), ["fid", "pos"]).groupBy("boot", "fid")
-           .agg(F.avg("ic").alias("m")).groupBy("boot").agg(F.max("m").alias("m")))
+    top = resampled_means(ic, n_boot, seed).groupBy("boot").agg(F.max("m").alias("m"))
     infl = top.agg((F.percentile("m", 1 - alpha) - F.avg("m")).alias("inflation")).withColumn("_k", F.lit(1))
-    b = (d.filter(F.col("fid") == best).agg(F.avg("ic").alias("mean"),
+    b = (ic.filter((F.col("fid") == best) & F.col("ic").isNotNull()).agg(F.avg("ic").alias("mean"),
          (F.stddev_samp("ic") / F.sqrt(F.count("ic"))).alias("se")).withColumn("_k", F.lit(1)))
     half = Z_975 * F.col("se")
     return b.join(infl, "_k").select(
@@ -138,24 +174,35 @@ def selection_interval(ic: DataFrame, best: str, n_boot: int = 10000, alpha: flo
 def month_bootstrap(combo_ls: DataFrame, single_ls: DataFrame, n_boot: int = 2000,
                     seed: int = 42) -> DataFrame:
     """Resample months; gain = Sharpe(combo) - mean Sharpe(factors). A month drawn twice
-    counts once, so the picks are made distinct."""
+    counts once, so the picks are made distinct.
+
+    Months are told by the moments of their days, so a resample costs months, not days.
+    """
     spark = combo_ls.sparkSession
     every = single_ls.select("fid", "date", "ls").unionByName(
-        combo_ls.select(F.lit("combo").alias("fid"), "date", "ls")).withColumn("month", F.trunc("date", "month"))
+        combo_ls.select(F.lit("combo").alias("fid"), "date", "ls")).filter(F.col("ls").isNotNull())
+    # squares of deviations from the series' own mean: no digits are lost when months are put together
+    level = every.groupBy("fid").agg(F.avg("ls").alias("level"))
+    c = F.col("ls") - F.col("level")
+    months = write_out(every.join(level, "fid").groupBy("fid", "level", F.trunc("date", "month").alias("month"))
+                       .agg(F.count("ls").alias("n"), F.sum(c).alias("s1"), F.sum(c * c).alias("s2")), "month-moments")
     cal = (combo_ls.select(F.trunc("date", "month").alias("month")).distinct()
            .withColumn("m", F.row_number().over(
                Window.partitionBy(F.lit(0)).orderBy("month")) - 1))
+    cal = write_out(cal, "months")
     n = cal.count()  # number of months
-
-    def make(b: int) -> pd.DataFrame:
-        rng = np.random.default_rng([seed, b])
-        return pd.DataFrame({"boot": b, "m": np.unique(rng.integers(0, n, n))})
-
-    picks = _draws(spark, n_boot, make, "boot long, m long").join(cal, "m").select("boot", "month")
-    s = annualised_stats(picks.join(every, "month"), ("boot", "fid"))
+    picks = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)), lambda k: draws.below(
+        draws.digest(seed, "month", F.col("boot"), k), F.lit(n)).cast("int")))
+    drawn = _resamples(spark, n_boot).select("boot", F.explode(picks).alias("m")).join(cal, "m").join(months, "month")
+    total = (drawn.groupBy("boot", "fid", "level")
+             .agg(F.sum("n").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2")))
+    rows, s1, s2 = F.col("n"), F.col("s1"), F.col("s2")
+    sharpe = F.when(rows >= 30, (F.col("level") + s1 / rows) / (_deviation(rows, s1, s2) + 1e-12) * F.sqrt(F.lit(252.0))).otherwise(0.0)
     is_combo = F.col("fid") == "combo"
-    g = s.groupBy("boot").agg((F.avg(F.when(is_combo, F.col("sharpe")))
-                               - F.avg(F.when(~is_combo, F.col("sharpe")))).alias("gain"))
+    # a factor without any day in the months drawn has no row: it counts as 0, as one with few days does
+    n_single = F.lit(single_ls.select("fid").distinct().count())
+    g = total.withColumn("sharpe", sharpe).groupBy("boot").agg(
+        (F.coalesce(F.sum(F.when(is_combo, F.col("sharpe"))), F.lit(0.0)) - F.coalesce(F.sum(F.when(~is_combo, F.col("sharpe"))), F.lit(0.0)) / n_single).alias("gain"))
     return g.agg(F.avg("gain").alias("mean_gain"), F.avg((F.col("gain") <= 0).cast("double")).alias("p_le0"),
                  F.percentile("gain", 0.025).alias("low"), F.percentile("gain", 0.975).alias("high"),
                  F.count("gain").alias("n_boot"))

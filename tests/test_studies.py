@@ -281,6 +281,54 @@ def test_reality_check_is_seeded_and_partition_free(spark):
     assert s.sel_low < s.mean < s.sel_high
 
 
+def test_blocks_fill_every_resample(spark):
+    rows = combine.stationary_blocks(spark, 300, 47, seed=7).collect()
+    size = {}
+    for r in rows:
+        assert 0 <= r.start < 47 and 1 <= r.size <= 47
+        size[r.boot] = size.get(r.boot, 0) + r.size
+    assert size == {b: 47 for b in range(300)}
+    assert 300 * 4 < len(rows) < 300 * 8  # about 47 / 10 blocks and a cut one, not a row per day
+    assert len({r.start for r in rows}) == 47
+
+
+def test_circular_blocks_are_differences_of_running_sums(spark):
+    v = [0.5, -1.0, 2.0, 4.0, -8.0]
+    d = spark.createDataFrame([("long", i, x) for i, x in enumerate(v)] + [("short", i, x) for i, x in enumerate(v[:3])], "fid string, pos int, c double")
+    p = {(r.fid, r.pos): r for r in combine.circular_prefixes(d, 5, "c").collect()}
+    for fid, own in (("long", v), ("short", v[:3])):
+        for start in range(5):
+            for size in range(1, 6):
+                days = [own[i % 5] for i in range(start, start + size) if i % 5 < len(own)]
+                a, b = p[fid, start], p[fid, start + size]
+                assert (b.n - a.n, b.s1 - a.s1, b.s2 - a.s2) == (len(days), sum(days), sum(x * x for x in days))
+
+
+def test_factors_too_short_to_test_count_as_zero(spark):
+    rng = np.random.default_rng(3)
+    day = lambda i: dt.date(2020, 1, 1) + dt.timedelta(i)
+    rows = [("bad", day(i), float(rng.normal(-1, 0.1))) for i in range(60)]
+    short = [("new", day(i), 5.0) for i in range(4)]
+    alone = combine.reality_check(spark.createDataFrame(rows, "fid string, date date, ic double"), 200).head()
+    both = combine.reality_check(spark.createDataFrame(rows + short, "fid string, date date, ic double"), 200).head()
+    assert alone.v < 0 and both.v == 0 and both.n_factors == 2
+    assert both.boot_max_mean > alone.boot_max_mean  # no resample's maximum is below zero any more
+    flat = combine.reality_check(spark.createDataFrame([("c", day(i), 0.25) for i in range(40)], "fid string, date date, ic double"), 50).head()
+    assert flat.v == 0 and flat.boot_max_mean == 0
+
+
+def test_means_of_draws_against_digests(spark):
+    import hashlib
+    vals = {"a": [1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0, 128.0, 256.0], "b": [0.0, 1.0, 0.0, 0.0, 0.0], "c": [9.0] * 4}
+    rows = [(f, dt.date(2020, 1, 1) + dt.timedelta(i), x) for f, v in vals.items() for i, x in enumerate(v)]
+    got = {(r.boot, r.fid): r.m for r in combine.resampled_means(spark.createDataFrame(rows, "fid string, date date, ic double"), 50, seed=5).collect()}
+    assert set(got) == {(b, f) for b in range(50) for f in "ab"}
+    for (b, f), m in got.items():
+        v = vals[f]
+        draws = [int(hashlib.sha256(f"5:day:{f}:{b}:{i // 8}".encode()).hexdigest()[i % 8 * 8:][:8], 16) * len(v) >> 32 for i in range(len(v))]
+        assert m == pytest.approx(sum(v[i] for i in draws) / len(v))
+
+
 def test_synergy_of_identical_factors_is_zero(spark):
     rng = np.random.default_rng(4)
     ls = spark.createDataFrame([("f", dt.date(2020, 1, 1) + dt.timedelta(i), float(rng.normal(0, 1))) for i in range(90)],
