@@ -243,10 +243,15 @@ def gate(spark, sf):
                     (F.round("variance", 4) + F.lit(0.0)).alias("variance"), "keep")
 
 
-COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in FACTORS)
+def pair_rho_sql(a: str, b: str, by: str = "", src: str = "panel") -> str:
+    """Rank correlation of two columns over the rows where both exist, ranked among those rows."""
+    k = by or "1"
+    return (f"(SELECT {f'{by}, ' if by else ''}{fin('corr(ra, rb)')} AS rho FROM (SELECT {f'{by}, ' if by else ''}{avg_rank(k, a)} AS ra, {avg_rank(k, b)} AS rb FROM {src}"
+            f" WHERE {a} IS NOT NULL AND {b} IS NOT NULL){f' GROUP BY {by}' if by else ''})")
+
+
 POOLED_SQL = PANEL_SQL + f""",
-  rr AS (SELECT {', '.join(f"{avg_rank('1', c)} AS {c}" for c in FACTORS)} FROM panel WHERE {COMPLETE}),
-  pr AS ({' UNION ALL '.join(f"SELECT '{a}' AS f1, '{b}' AS f2, corr({a}, {b}) AS rho FROM rr" for a, b in combinations(FACTORS, 2))})"""
+  pr AS MATERIALIZED ({' UNION ALL '.join(f"SELECT '{a}' AS f1, '{b}' AS f2, rho FROM {pair_rho_sql(a, b)}" for a, b in combinations(FACTORS, 2))})"""
 
 
 @C.add("pooled_spearman", f"WITH {POOLED_SQL} SELECT f1, f2, {R('rho', 'rho')} FROM pr")
@@ -259,23 +264,24 @@ def pooled_split(spark, sf):
     return out(pool.pooled_spearman(panel(spark, sf), FACTORS, settings=Settings(heavy_group_rows=5_000)))
 
 
-@C.add("daily_mean_spearman", f"""WITH {PANEL_SQL},
-  rr AS (SELECT date, {', '.join(f"{avg_rank('date', c)} AS {c}" for c in FACTORS)} FROM panel WHERE {COMPLETE}),
-  dd AS (SELECT date, {', '.join(f"{fin(f'corr({a}, {b})')} AS p{i}" for i, (a, b) in enumerate(combinations(FACTORS, 2)))}
-         FROM rr GROUP BY date HAVING count(*) >= 30) """
-       + " UNION ALL ".join(f"SELECT '{a}' AS f1, '{b}' AS f2, {R(f'avg(p{i})', 'rho')} FROM dd"
-                            for i, (a, b) in enumerate(combinations(FACTORS, 2))))
+@C.add("daily_mean_spearman", f"""WITH {PANEL_SQL}, full_days AS (SELECT * FROM panel WHERE date IN (SELECT date FROM panel GROUP BY date HAVING count(*) >= 30)) """
+       + " UNION ALL ".join(f"SELECT '{a}' AS f1, '{b}' AS f2, {R('avg(rho)', 'rho')} FROM {pair_rho_sql(a, b, 'date', 'full_days')}"
+                            for a, b in combinations(FACTORS, 2)))
 def daily_rho(spark, sf):
     return out(pool.daily_mean_spearman(panel(spark, sf), FACTORS, heavy=heavy(spark, sf)))
 
 
 SCORE_SQL = f"""
-  sc AS (SELECT fid AS feature, avg(ic) AS ic FROM {rank_ic_sql('long')} WHERE ic IS NOT NULL GROUP BY fid)"""
+  sc AS (SELECT feature, coalesce(ic, 0) AS ic FROM (SELECT DISTINCT fid AS feature FROM long) LEFT JOIN
+         (SELECT fid AS feature, ic FROM {rank_ic_sql('long', 'fid', 2)}) USING (feature))"""
 
 
 def _scores(spark, sf):
-    s = xs.ic_summary(xs.rank_ic(long_panel(spark, sf), heavy=heavy(spark, sf)))
-    return s.select(F.col("fid").alias("feature"), F.col("ic_mean").alias("ic"))
+    return pool.pooled_scores(long_panel(spark, sf))
+
+
+def _pooled_rho(spark, sf):
+    return fx.stored(spark, ("pooled_rho", sf), lambda: pool.pooled_spearman(panel(spark, sf), FACTORS))
 
 
 @C.add("near_duplicates", f"""WITH RECURSIVE {POOLED_SQL}, long AS (UNPIVOT (SELECT date, symbol, ret, {', '.join(FACTORS)} FROM panel)
@@ -286,15 +292,25 @@ def _scores(spark, sf):
   SELECT feature, grp, {R('ic', 'ic')}, row_number() OVER (PARTITION BY grp ORDER BY abs(ic) DESC, feature) = 1 AS keep
   FROM g JOIN sc USING (feature)""")
 def near(spark, sf):
-    pairs = pool.pooled_spearman(panel(spark, sf), FACTORS)
-    d = pool.near_duplicates(pairs, write_out(_scores(spark, sf), "scores"), threshold=0.3)
+    d = pool.near_duplicates(_pooled_rho(spark, sf), _scores(spark, sf), threshold=0.3)
     return out(d.select("feature", "grp", "ic", "keep"))
 
 
-@C.add("cluster_pick")
+# The twin merges one pair of clusters at a time, the closest by their farthest members, and cuts at the height of the last merge needed.
+@C.add("cluster_pick", f"""WITH RECURSIVE {POOLED_SQL}, long AS (UNPIVOT (SELECT date, symbol, ret, {', '.join(FACTORS)} FROM panel)
+   ON {', '.join(FACTORS)} INTO NAME fid VALUE x), {SCORE_SQL},
+  far AS MATERIALIZED (SELECT f1 AS a, f2 AS b, 1 - abs(coalesce(rho, 0)) AS d FROM pr UNION ALL SELECT f2, f1, 1 - abs(coalesce(rho, 0)) FROM pr),
+  walk AS (SELECT 0 AS i, list(feature ORDER BY feature) AS feats, list(feature ORDER BY feature) AS labs, CAST(-1 AS DOUBLE) AS height FROM sc
+    UNION ALL
+    SELECT i + 1, feats, list_transform(labs, lambda l: CASE WHEN l = m.b THEN m.a ELSE l END), m.h FROM (
+      SELECT w.i, w.feats, w.labs, (SELECT min(struct_pack(h := h, a := a, b := b)) FROM (
+        SELECT labs[x.range] AS a, labs[y.range] AS b, max(f.d) AS h FROM range(1, {len(FACTORS) + 1}) x, range(1, {len(FACTORS) + 1}) y, far f
+        WHERE f.a = feats[x.range] AND f.b = feats[y.range] AND labs[x.range] < labs[y.range] GROUP BY 1, 2)) AS m FROM walk w) WHERE m IS NOT NULL),
+  cut AS (SELECT max(height) AS h FROM walk WHERE i <= {len(FACTORS)} - 4),
+  lab AS (SELECT unnest(feats) AS feature, unnest(labs) AS cluster FROM (SELECT * FROM walk, cut WHERE height <= h ORDER BY i DESC LIMIT 1))
+  SELECT feature, cluster, {R('ic', 'ic')}, row_number() OVER (PARTITION BY cluster ORDER BY abs(ic) DESC, feature) = 1 AS keep FROM lab JOIN sc USING (feature)""")
 def clusters(spark, sf):
-    pairs = pool.pooled_spearman(panel(spark, sf), FACTORS)
-    return out(pool.cluster_pick(pairs, write_out(_scores(spark, sf), "scores"), target=4))
+    return out(pool.cluster_pick(_pooled_rho(spark, sf), _scores(spark, sf), target=4).select("feature", "cluster", "ic", "keep"))
 
 
 @C.add("univariate_screen", f"""WITH {LONG_SQL}, s AS (SELECT fid, avg(ic) AS m, count(ic) AS n_days, avg(ic) / stddev_samp(ic) AS icir
@@ -319,7 +335,7 @@ def screener(spark, sf):
   pl AS (SELECT fid, ic * 10 AS ic10 FROM {rank_ic_sql('long', 'fid', 2)}),
   dl AS (SELECT fid, avg(ic) / (stddev_samp(ic) + 1e-8) AS icir FROM {rank_ic_sql('long', min_rows=30)} WHERE ic IS NOT NULL GROUP BY fid),
   sz AS (SELECT fid, tanh(avg(abs(x))) AS level FROM long GROUP BY fid),
-  pc AS ({' UNION ALL '.join(f"SELECT '{a}' AS f1, '{b}' AS f2, corr({a}, {b}) AS rho FROM panel WHERE {COMPLETE}" for a, b in combinations(FACTORS, 2))}),
+  pc AS ({' UNION ALL '.join(f"SELECT '{a}' AS f1, '{b}' AS f2, corr({a}, {b}) AS rho FROM panel" for a, b in combinations(FACTORS, 2))}),
   og AS (SELECT fid, 1 - avg(abs(rho)) AS orthogonality FROM (SELECT f1 AS fid, rho FROM pc UNION ALL SELECT f2, rho FROM pc) GROUP BY fid),
   al AS (SELECT * FROM pl JOIN dl USING (fid) JOIN sz USING (fid) JOIN og USING (fid))
   SELECT fid, {', '.join(R(f'({c} - avg({c}) OVER ()) / (CASE WHEN stddev_pop({c}) OVER () < 1e-8 THEN 1 ELSE stddev_pop({c}) OVER () END)', c, 4)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quantloom.catalog.base import (BARS_SQL, FACTORS, LONG_SQL, NEUTRAL_SQL, PANEL_SQL, Catalog, R, at_least, avg_rank,
                                     fin, heavy, long_panel, neutral_panel, out, panel, rank_ic_sql)
 from quantloom.catalog.bars import REGISTRY, registry_table
-from quantloom.catalog.sections import C as C0, COMPLETE, DAYS_SQL, LS_SQL, POOLED_SQL, WF_SQL
+from quantloom.catalog.sections import DAYS_SQL, LS_SQL, POOLED_SQL, WF_SQL
 from quantloom.functions import formula
 from quantloom.functions.exprs import rounded
 from quantloom.operators import backtest, combine, gates, inference, models, pool, splits, xsection as xs
@@ -908,67 +908,95 @@ def ann(spark, sf):
     return out(d.select("fid", "n_days", F.round(F.least("annual", F.lit(1e6)), 4).alias("annual"), "t_mean", "sharpe"), 5)
 
 
+# Draws are sha-256 digests of (seed, stream, resample, counter); the twins put the days of every resample together one by one.
+def _hex(h: str, start: int | str, digits: int) -> str:
+    return f"CAST('0x' || substr({h}, {start} + 1, {digits}) AS BIGINT)"
+
+
 # ---- combination ----------------------------------------------------------------------
+MAX_RHO, PICKS = 0.3, 4  # lower than the protocol's 0.98 and 5, which drop none of the eight
+
 COMBO_SQL = f"""
-  sg AS (SELECT fid, CASE WHEN corr(x, ret) < 0 THEN -1 ELSE 1 END AS s FROM neutral GROUP BY fid),
-  zz AS (SELECT fid, date, symbol, ret, (x * s - avg(x * s) OVER p) / (stddev_pop(x * s) OVER p + 1e-12) AS z FROM neutral JOIN sg USING (fid)
-         WINDOW p AS (PARTITION BY fid, date)),
-  cb AS (SELECT 'combo' AS fid, date, symbol, avg(z) AS x FROM zz GROUP BY date, symbol)"""
+  zr AS (SELECT n.fid, date, symbol, l.ret, (n.x - avg(n.x) OVER p) / (stddev_pop(n.x) OVER p + 1e-12) AS z FROM neutral n JOIN long l USING (fid, date, symbol)
+         WINDOW p AS (PARTITION BY n.fid, date)),
+  al AS MATERIALIZED (SELECT fid, date, symbol, ret, z * CASE WHEN c < 0 THEN -1 ELSE 1 END AS x FROM zr JOIN (SELECT fid, corr(z, ret) AS c FROM zr GROUP BY fid) USING (fid)),
+  zp AS MATERIALIZED (SELECT a.fid AS f1, b.fid AS f2, corr(a.x, b.x) AS rho FROM al a JOIN al b USING (date, symbol) WHERE a.fid < b.fid GROUP BY a.fid, b.fid),
+  od AS MATERIALIZED (SELECT fid, row_number() OVER (ORDER BY abs(t) DESC, fid) AS i FROM fm),
+  close_to AS MATERIALIZED (SELECT o.fid, list(CASE WHEN f1 = o.fid THEN f2 ELSE f1 END) FILTER (WHERE abs(rho) > {MAX_RHO}) AS near FROM od o
+     JOIN zp ON f1 = o.fid OR f2 = o.fid GROUP BY o.fid),
+  walk AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS kept UNION ALL
+     SELECT o.i, CASE WHEN len(kept) < {PICKS} AND NOT coalesce(list_has_any(near, kept), false) THEN list_append(kept, o.fid) ELSE kept END
+     FROM walk w JOIN od o ON o.i = w.i + 1 JOIN close_to c ON c.fid = o.fid),
+  picked AS MATERIALIZED (SELECT unnest(kept) AS fid, unnest(range(1, len(kept) + 1)) AS pick FROM (SELECT kept FROM walk ORDER BY i DESC LIMIT 1)),
+  cb AS (SELECT 'combo' AS fid, date, symbol, avg(x) AS x, any_value(ret) AS ret FROM al WHERE fid IN (SELECT fid FROM picked) GROUP BY date, symbol)"""
+COMBO = f"WITH RECURSIVE {NEUTRAL_SQL}, {fm_sql('neutral')}, {COMBO_SQL}"
+
+
+def aligned(spark, sf):
+    return fx.stored(spark, ("aligned", sf), lambda: combine.aligned(xs.neutralise(long_panel(spark, sf), ["x"], ["ln_amt"])))
+
 
+def score_rho(spark, sf):
+    return fx.stored(spark, ("score_rho", sf), lambda: combine.score_pairs(aligned(spark, sf), FACTORS))
 
-@C.add("equal_weight_combo", f"WITH {NEUTRAL_SQL}, {COMBO_SQL} SELECT date, symbol, {R('x', 'x', 4)} FROM cb")
+
+def picked(spark, sf):
+    return fx.stored(spark, ("picked", sf), lambda: pool.decorrelated_pick(stored_fm(spark, sf), score_rho(spark, sf), PICKS, max_rho=MAX_RHO))
+
+
+@C.add("decorrelated_pick", f"{COMBO} SELECT fid, pick FROM picked")
+def pick(spark, sf):
+    return out(picked(spark, sf))
+
+
+@C.add("score_pairs", f"{COMBO} SELECT least(f1, f2) AS f1, greatest(f1, f2) AS f2, {R('rho', 'rho')} FROM zp")
+def rho_of_scores(spark, sf):
+    d = score_rho(spark, sf)
+    return out(d.select(F.least("f1", "f2").alias("f1"), F.greatest("f1", "f2").alias("f2"), "rho"))
+
+
+@C.add("equal_weight_combo", f"{COMBO} SELECT date, symbol, {R('x', 'x', 4)} FROM cb")
 def combo(spark, sf):
-    return out(combine.equal_weight(neutral_panel(spark, sf)).select("date", "symbol", "x"), 4)
+    return out(combine.equal_weight(aligned(spark, sf), picked(spark, sf)).select("date", "symbol", "x"), 4)
 
 
 def _combo_ls(spark, sf):
+    return fx.stored(spark, ("combo_ls", sf), lambda: xs.long_short_by_count(combine.equal_weight(aligned(spark, sf), picked(spark, sf)), heavy=heavy(spark, sf)))
+
+
+def _picked_ls(spark, sf):
     def build():
-        c = combine.equal_weight(neutral_panel(spark, sf)).drop("ret").join(
-            panel(spark, sf).select("date", "symbol", "ret"), ["date", "symbol"])
-        return xs.long_short_by_count(c, heavy=heavy(spark, sf))
-    return fx.stored(spark, ("combo_ls", sf), build)
+        own = aligned(spark, sf).join(picked(spark, sf).select("fid"), "fid", "left_semi")
+        return xs.long_short_by_count(own, heavy=heavy(spark, sf))
+    return fx.stored(spark, ("picked_ls", sf), build)
 
 
-COMBO_LS_SQL = f"""c2 AS (SELECT c.fid, c.date, c.symbol, c.x, p.ret FROM cb c JOIN panel p USING (date, symbol)),
-  {LS_SQL.format(src='neutral')}, {LS_SQL.format(src='c2').replace('rk AS', 'rk2 AS').replace('ls AS (', 'ls2 AS (').replace('FROM rk ', 'FROM rk2 ')}"""
+COMBO_LS_SQL = f"""ps AS (SELECT * FROM al WHERE fid IN (SELECT fid FROM picked)),
+  {LS_SQL.format(src='ps')}, {LS_SQL.format(src='cb').replace('rk AS', 'rk2 AS').replace('ls AS (', 'ls2 AS (').replace('FROM rk ', 'FROM rk2 ')},
+  sd AS (SELECT fid, date_trunc('month', date) AS month, ls FROM ls UNION ALL SELECT 'combo', date_trunc('month', date), ls FROM ls2),
+  cal AS (SELECT month, row_number() OVER (ORDER BY month) - 1 AS m, count(*) OVER () AS n FROM (SELECT DISTINCT month FROM sd WHERE fid = 'combo')),
+  pk AS (SELECT DISTINCT b.range AS boot, ({_hex(f"sha256('42:month:' || b.range || ':' || k.m)", 0, 8)} * n) >> 32 AS m FROM range(2000) b, cal k),
+  sh AS (SELECT boot, fid, CASE WHEN count(ls) >= 30 THEN avg(ls) / (stddev_samp(ls) + 1e-12) * sqrt(252) ELSE 0 END AS s
+         FROM pk JOIN cal USING (m) JOIN sd USING (month) GROUP BY boot, fid),
+  ga AS (SELECT boot, sum(s) FILTER (WHERE fid = 'combo') - sum(s) FILTER (WHERE fid <> 'combo') / (SELECT count(DISTINCT fid) FROM ls) AS g FROM sh GROUP BY boot),
+  mb AS (SELECT avg(g) AS mean_gain, avg((g <= 0)::INT) AS p_le0, quantile_cont(g, 0.025) AS low, quantile_cont(g, 0.975) AS high, count(g) AS n_boot FROM ga)"""
 
 
-@C.add("synergy", f"""WITH {NEUTRAL_SQL}, {COMBO_SQL}, {COMBO_LS_SQL},
+@C.add("synergy", f"""{COMBO}, {COMBO_LS_SQL},
   a AS (SELECT avg(ls) / (stddev_samp(ls) + 1e-12) * sqrt(252) AS c FROM ls2),
-  b AS (SELECT avg(s) AS m, count(*) AS k FROM (SELECT avg(ls) / (stddev_samp(ls) + 1e-12) * sqrt(252) AS s FROM ls GROUP BY fid))
-  SELECT {R('c', 'combo_sharpe', 5)}, {R('m', 'mean_sharpe', 5)}, k AS n_factors, {R('c - m', 'gain', 5)}, CASE WHEN c - m > 0 THEN 'synergy' ELSE 'no synergy' END AS verdict FROM a, b""")
+  b AS (SELECT avg(s) AS m, count(*) AS k FROM (SELECT avg(ls) / (stddev_samp(ls) + 1e-12) * sqrt(252) AS s FROM ls GROUP BY fid)),
+  nr AS (SELECT avg(abs(rho)) AS mean_rho, max(abs(rho)) AS max_rho FROM zp WHERE f1 IN (SELECT fid FROM picked) AND f2 IN (SELECT fid FROM picked))
+  SELECT {R('c', 'combo_sharpe', 5)}, {R('m', 'mean_sharpe', 5)}, k AS n_factors, {R('c - m', 'gain', 5)}, {R('mean_rho', 'mean_abs_rho', 5)}, {R('max_rho', 'max_abs_rho', 5)},
+  {R('mean_gain', 'mean_gain', 5)}, {R('p_le0', 'p_le0', 5)}, {R('low', 'low', 5)}, {R('high', 'high', 5)},
+  CASE WHEN low > 0 THEN 'significant' WHEN p_le0 <= 0.1 THEN 'marginal' ELSE 'unsupported' END AS verdict FROM a, b, nr, mb""")
 def synergy(spark, sf):
-    return out(combine.synergy(_combo_ls(spark, sf), ls_panel(spark, sf)), 5)
-
-
-DAILY_RHO = C0.sql["daily_mean_spearman"]
-DAILY_RHO_CTES = DAILY_RHO[len(f"WITH {PANEL_SQL},"):DAILY_RHO.index("SELECT 'body_ratio' AS f1")].strip()
-DAILY_RHO_ROWS = DAILY_RHO[DAILY_RHO.index("SELECT 'body_ratio' AS f1"):]
-
-
-@C.add("decorrelated_pick", f"""WITH RECURSIVE {NEUTRAL_SQL}, {fm_sql('neutral')}, {DAILY_RHO_CTES}, pr AS MATERIALIZED ({DAILY_RHO_ROWS}),
-  od AS MATERIALIZED (SELECT fid, row_number() OVER (ORDER BY abs(t) DESC, fid) AS i FROM fm),
-  close_to AS MATERIALIZED (SELECT o.fid, list(CASE WHEN f1 = o.fid THEN f2 ELSE f1 END) FILTER (WHERE abs(rho) > 0.3) AS near FROM od o
-     JOIN pr ON f1 = o.fid OR f2 = o.fid GROUP BY o.fid),
-  walk AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS kept UNION ALL
-     SELECT o.i, CASE WHEN len(kept) < 4 AND NOT coalesce(list_has_any(near, kept), false) THEN list_append(kept, o.fid) ELSE kept END
-     FROM walk w JOIN od o ON o.i = w.i + 1 JOIN close_to c ON c.fid = o.fid),
-  fin AS (SELECT kept FROM walk ORDER BY i DESC LIMIT 1)
-  SELECT unnest(kept) AS fid, unnest(range(1, len(kept) + 1)) AS pick FROM fin""")
-def pick(spark, sf):
-    pairs = pool.daily_mean_spearman(panel(spark, sf), FACTORS, heavy=heavy(spark, sf))
-    return out(pool.decorrelated_pick(stored_fm(spark, sf), write_out(pairs, "pairs"), 4, max_rho=0.3))
+    return out(combine.synergy(_combo_ls(spark, sf), _picked_ls(spark, sf), score_rho(spark, sf)), 5)
 
 
 def daily_ic(spark, sf):
     return fx.stored(spark, ("daily_ic", sf), lambda: xs.rank_ic(neutral_panel(spark, sf), min_rows=30, heavy=heavy(spark, sf)))
 
 
-# Draws are sha-256 digests of (seed, stream, resample, counter); the twins put the days of every resample together one by one.
-def _hex(h: str, start: int | str, digits: int) -> str:
-    return f"CAST('0x' || substr({h}, {start} + 1, {digits}) AS BIGINT)"
-
-
 IC_SQL = f"""ic AS (SELECT fid, date, ic, row_number() OVER (PARTITION BY fid ORDER BY date) - 1 AS pos, count(*) OVER (PARTITION BY fid) AS n
    FROM {rank_ic_sql('neutral', min_rows=30)} WHERE ic IS NOT NULL)"""
 
@@ -1002,17 +1030,10 @@ def interval(spark, sf):
     return out(combine.selection_interval(daily_ic(spark, sf), "rev_3d"))
 
 
-@C.add("month_bootstrap", f"""WITH {NEUTRAL_SQL}, {COMBO_SQL}, {COMBO_LS_SQL},
-  sd AS (SELECT fid, date_trunc('month', date) AS month, ls FROM ls UNION ALL SELECT 'combo', date_trunc('month', date), ls FROM ls2),
-  cal AS (SELECT month, row_number() OVER (ORDER BY month) - 1 AS m, count(*) OVER () AS n FROM (SELECT DISTINCT month FROM sd WHERE fid = 'combo')),
-  pk AS (SELECT DISTINCT b.range AS boot, ({_hex(f"sha256('42:month:' || b.range || ':' || k.m)", 0, 8)} * n) >> 32 AS m FROM range(2000) b, cal k),
-  sh AS (SELECT boot, fid, CASE WHEN count(ls) >= 30 THEN avg(ls) / (stddev_samp(ls) + 1e-12) * sqrt(252) ELSE 0 END AS s
-         FROM pk JOIN cal USING (m) JOIN sd USING (month) GROUP BY boot, fid),
-  ga AS (SELECT boot, sum(s) FILTER (WHERE fid = 'combo') - sum(s) FILTER (WHERE fid <> 'combo') / (SELECT count(DISTINCT fid) FROM ls) AS g FROM sh GROUP BY boot)
-  SELECT {R('avg(g)', 'mean_gain', 5)}, {R('avg((g <= 0)::INT)', 'p_le0', 5)}, {R('quantile_cont(g, 0.025)', 'low', 5)}, {R('quantile_cont(g, 0.975)', 'high', 5)},
-  count(g) AS n_boot FROM ga""")
+@C.add("month_bootstrap", f"""{COMBO}, {COMBO_LS_SQL}
+  SELECT {R('mean_gain', 'mean_gain', 5)}, {R('p_le0', 'p_le0', 5)}, {R('low', 'low', 5)}, {R('high', 'high', 5)}, n_boot FROM mb""")
 def months(spark, sf):
-    return out(combine.month_bootstrap(_combo_ls(spark, sf), ls_panel(spark, sf)), 5)
+    return out(combine.month_bootstrap(_combo_ls(spark, sf), _picked_ls(spark, sf)), 5)
 
 
 @C.add("gbt_importances")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -12,34 +13,46 @@ from quantloom.functions.exprs import pearson
 from quantloom.operators import xsection as xs
 from quantloom.operators.backtest import annualised_stats
 from quantloom.operators.layout import write_out
+from quantloom.operators.pairs import pair_pearson
 
 
-def align_signs(long: DataFrame) -> DataFrame:
-    """Multiply each factor by the sign of its pooled correlation with the return."""
-    sign = long.groupBy("fid").agg(F.signum(pearson(F.col("x"), F.col("ret"))).alias("_s"))
-    cols = long.columns
-    flip = F.when(F.col("_s") < 0, -1.0).otherwise(1.0)
-    return long.join(sign, "fid").withColumn("x", F.col("x") * flip).select(cols)
+def aligned(long: DataFrame) -> DataFrame:
+    """Per-date z-scores of every factor, turned round where they correlate negatively with
+    the return over all rows."""
+    z = write_out(xs.zscore(long, ["x"], ("fid", "date"), eps=1e-12), "scores")
+    sign = z.groupBy("fid").agg(pearson(F.col("x"), F.col("ret")).alias("_r"))
+    flip = F.when(F.col("_r") < 0, -1.0).otherwise(1.0)
+    return z.join(sign, "fid").withColumn("x", F.col("x") * flip).select(z.columns)
 
 
-def equal_weight(long: DataFrame, picked: DataFrame | None = None) -> DataFrame:
-    """Sign-aligned, per-date z-scored, null-skipping mean over (kept) factors."""
+def score_pairs(z: DataFrame, factors: Sequence[str]) -> DataFrame:
+    """(f1, f2, n, rho): correlation of two factors' scores over all rows where both exist."""
+    wide = z.groupBy("date", "symbol").pivot("fid", list(factors)).agg(F.first("x"))
+    return pair_pearson(wide, factors)
+
+
+def equal_weight(z: DataFrame, picked: DataFrame | None = None) -> DataFrame:
+    """Null-skipping mean of the (picked) factors' aligned scores."""
     if picked is not None:
-        long = long.join(picked.select("fid"), "fid", "left_semi")
-    z = xs.zscore(align_signs(long), ["x"], ("fid", "date"), eps=1e-12)
+        z = z.join(picked.select("fid"), "fid", "left_semi")
     return (z.groupBy("date", "symbol").agg(F.avg("x").alias("x"), F.first("ret").alias("ret"))
             .withColumn("fid", F.lit("combo")))
 
 
-def synergy(combo_ls: DataFrame, single_ls: DataFrame) -> DataFrame:
-    """Sharpe of the combination, mean Sharpe of the factors and their difference."""
+def synergy(combo_ls: DataFrame, single_ls: DataFrame, pair_rho: DataFrame, n_boot: int = 2000, seed: int = 42) -> DataFrame:
+    """Sharpe of the combination against the mean of its factors, their correlations, and the
+    gain's interval over resampled months, which decides: significant where its low end is
+    above 0, marginal where at most a tenth of the gains are not."""
+    own = single_ls.select("fid").distinct()
     c = annualised_stats(combo_ls).select(F.col("sharpe").alias("combo_sharpe"), F.lit(1).alias("_k"))
-    s = (annualised_stats(single_ls).agg(F.avg("sharpe").alias("mean_sharpe"),
-                                         F.count(F.lit(1)).alias("n_factors"))
-         .withColumn("_k", F.lit(1)))
-    return (c.join(s, "_k").drop("_k")
-            .withColumn("gain", F.col("combo_sharpe") - F.col("mean_sharpe"))
-            .withColumn("verdict", F.when(F.col("gain") > 0, "synergy").otherwise("no synergy")))
+    s = annualised_stats(single_ls).agg(F.avg("sharpe").alias("mean_sharpe"), F.count(F.lit(1)).alias("n_factors"))
+    near = (pair_rho.join(own.withColumnRenamed("fid", "f1"), "f1", "left_semi").join(own.withColumnRenamed("fid", "f2"), "f2", "left_semi")
+            .agg(F.avg(F.abs("rho")).alias("mean_abs_rho"), F.max(F.abs("rho")).alias("max_abs_rho")))
+    out = c
+    for one in (s, near, month_bootstrap(combo_ls, single_ls, n_boot, seed).drop("n_boot")):
+        out = out.join(one.withColumn("_k", F.lit(1)), "_k")  # one row each
+    return (out.drop("_k").withColumn("gain", F.col("combo_sharpe") - F.col("mean_sharpe"))
+            .withColumn("verdict", F.when(F.col("low") > 0, "significant").when(F.col("p_le0") <= 0.1, "marginal").otherwise("unsupported")))
 
 
 def _resamples(spark, n_boot: int) -> DataFrame:

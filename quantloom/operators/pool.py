@@ -1,22 +1,16 @@
 """Feature-pool selection. Row-level work is aggregated by Spark; what remains per pool is
-a table of at most (features x features) numbers."""
+a table of at most (features x features) numbers, which rounds of joins work on."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quantloom.functions.exprs import pearson
-from quantloom.operators import inference, xsection as xs
+from quantloom.operators import inference, pairs, xsection as xs
 from quantloom.operators.layout import write_out
 from quantloom.settings import DEFAULTS, Settings
 
-MAX_POOL = 2000  # features; the pair table is collected only below this
-
 
 def quality_stats(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """(feature, null_share, variance) from one aggregate pass."""
@@ -35,90 +29,59 @@ def quality_gate(df: DataFrame, features: Sequence[str], max_null: float = 0.30,
                         & (F.coalesce("variance", F.lit(0.0)) >= min_var))
 
 
-def pooled_ranks(df: DataFrame, features: Sequence[str], heavy=None,
-                 settings: Settings = DEFAULTS) -> DataFrame:
-    """(date, symbol) with the average rank of every feature over all complete rows.
-
-    A feature's rows are one group, so at scale the ranking takes the split path.
-    """
-    feats = list(features)
-    long = write_out(xs.melt(df.dropna(subset=feats), feats, ["date", "symbol"]), "melted")
-    r = xs.average_rank(long, ["fid"], "x", "r", heavy, settings)
-    return r.groupBy("date", "symbol").pivot("fid", feats).agg(F.first("r"))
-
-
 def pair_table(wide: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(f1, f2, rho) for f1 before f2: Pearson of complete rows from one gram matrix."""
-    cols = list(cols)
-    if len(cols) > MAX_POOL:
-        raise ValueError(f"{len(cols)} columns; the pair table is limited to {MAX_POOL}")
-    vec = VectorAssembler(inputCols=cols, outputCol="v", handleInvalid="skip").transform(wide).select("v")
-    m = Correlation.corr(vec, "v").head()[0].toArray()
-    rows = [(a, b, float(m[i, j])) for (i, a), (j, b) in combinations(enumerate(cols), 2)]
-    return wide.sparkSession.createDataFrame(rows, "f1 string, f2 string, rho double")
+    """(f1, f2, rho) for f1 before f2: Pearson over the rows where both exist."""
+    return pairs.pair_pearson(wide, cols).drop("n")
 
 
 def pooled_spearman(df: DataFrame, features: Sequence[str], heavy=None,
                     settings: Settings = DEFAULTS) -> DataFrame:
-    return pair_table(pooled_ranks(df, features, heavy, settings), features)
+    """(f1, f2, rho): rank correlation over all rows where both exist."""
+    return pairs.pair_spearman(df, features, heavy=heavy, settings=settings).drop("n")
 
 
 def daily_mean_spearman(df: DataFrame, features: Sequence[str], min_rows: int = 30, heavy=None,
                         settings: Settings = DEFAULTS) -> DataFrame:
-    """(f1, f2, rho): per-date rank correlation averaged over dates with enough rows.
+    """(f1, f2, rho): per-date rank correlation averaged over dates with enough rows; a
+    pair's date counts where both exist and differ."""
+    days = df.join(df.groupBy("date").count().filter(F.col("count") >= min_rows).select("date"), "date", "left_semi")
+    day = pairs.pair_spearman(days, features, by=("date",), heavy=heavy, settings=settings)
+    return day.groupBy("f1", "f2").agg(F.avg("rho").alias("rho"))
 
-    Each pair is one aggregate over the wide ranks of a date, so no row pairs are built.
-    """
-    feats = list(features)
-    long = xs.melt(df.dropna(subset=feats), feats, ["date", "symbol"])
-    r = xs.average_rank(long, ["fid", "date"], "x", "r", heavy, settings)
-    wide = r.groupBy("date", "symbol").pivot("fid", feats).agg(F.first("r"))
-    pairs = list(combinations(feats, 2))
-    day = wide.groupBy("date").agg(F.count(F.lit(1)).alias("n"), *[
-        pearson(F.col(a), F.col(b)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
-    mean = day.filter(F.col("n") >= min_rows).agg(*[F.avg(f"p{i}").alias(f"p{i}") for i in range(len(pairs))])
-    rows = F.array(*[F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.col(f"p{i}").alias("rho"))
-                     for i, (a, b) in enumerate(pairs)])
-    return mean.select(F.inline(rows))
-
-
-def near_duplicates(pairs: DataFrame, scores: DataFrame, threshold: float = 0.95) -> DataFrame:
-    """Groups of features linked by rho > threshold (positive only): (feature, grp, keep).
-
-    ``scores`` is (feature, ic). Labels spread over the edge table until nothing changes;
-    it holds at most one row per pair of features.
+
+def pooled_scores(long: DataFrame, heavy=None, settings: Settings = DEFAULTS) -> DataFrame:
+    """(feature, ic): rank correlation with the return over all rows; 0 where it has none."""
+    ic = xs.rank_ic(long, keys=("fid",), min_rows=2, heavy=heavy, settings=settings)
+    return (long.select("fid").distinct().join(ic, "fid", "left")
+            .select(F.col("fid").alias("feature"), F.coalesce("ic", F.lit(0.0)).alias("ic")))
+
+
+def near_duplicates(pair_rho: DataFrame, scores: DataFrame, threshold: float = 0.95) -> DataFrame:
+    """Groups of features linked by rho > threshold (positive only): (feature, ic, grp, keep).
+
+    ``scores`` is (feature, ic); the group's largest |ic| stays.
     """
-    edges = [(r.f1, r.f2) for r in pairs.filter(F.col("rho") > threshold).select("f1", "f2").collect()]
-    label = {r.feature: r.feature for r in scores.select("feature").collect()}
-    changed = True
-    while changed:
-        changed = False
-        for a, b in edges:
-            low = min(label[a], label[b])
-            if label[a] != low or label[b] != low:
-                label[a] = label[b] = low
-                changed = True
-    groups = scores.sparkSession.createDataFrame(sorted(label.items()), "feature string, grp string")
+    scores = write_out(scores, "scores")
+    edges = pair_rho.filter(F.col("rho") > threshold).select(F.col("f1").alias("a"), F.col("f2").alias("b"))
+    groups = pairs.components(scores, edges, "feature")
     w = Window.partitionBy("grp").orderBy(F.desc(F.abs(F.coalesce("ic", F.lit(0.0)))), "feature")
     return (groups.join(scores, "feature").withColumn("keep", F.row_number().over(w) == 1))
 
 
-def cluster_pick(pairs: DataFrame, scores: DataFrame, target: int = 999) -> DataFrame:
+def cluster_pick(pair_rho: DataFrame, scores: DataFrame, target: int = 999) -> DataFrame:
     """Complete-linkage clusters on 1 - |rho|, at most ``target`` of them; best |ic| each.
 
-    The linkage itself runs on the (features x features) table only.
+    A pair without a correlation lies at distance 1. Merges of one height are made together,
+    so that there may be fewer clusters than ``target``.
     """
-    dist = {}
-    for r in pairs.collect():
-        dist[frozenset((r.f1, r.f2))] = 1 - abs(r.rho)
-    clusters = {r.feature: (r.feature,) for r in scores.orderBy("feature").collect()}
-    while len(clusters) > min(target, len(clusters)) or len(clusters) > target:
-        names = sorted(clusters)
-        far = lambda a, b: max(dist[frozenset((x, y))] for x in clusters[a] for y in clusters[b])
-        a, b = min(combinations(names, 2), key=lambda p: (far(*p), p))
-        clusters[a] = clusters[a] + clusters.pop(b)
-    rows = [(f, c) for c, members in clusters.items() for f in members]
-    lab = scores.sparkSession.createDataFrame(rows, "feature string, cluster string")
+    scores = write_out(scores, "scores")
+    far = pair_rho.select(F.col("f1").alias("a"), F.col("f2").alias("b"), (1 - F.abs(F.coalesce("rho", F.lit(0.0)))).alias("d"))
+    merges = write_out(pairs.complete_linkage(scores, far, "feature"), "linkage")
+    # the first (features - target) merges by height, and those as high as the last of them
+    order = Window.partitionBy(F.lit(0)).orderBy("height")  # one row per feature
+    need = scores.agg((F.count(F.lit(1)) - target).alias("_need"))
+    made = merges.withColumn("_rank", F.rank().over(order)).join(need, F.col("_rank") <= F.col("_need"))
+    lab = pairs.components(scores, made.select("a", "b"), "feature").withColumnRenamed("grp", "cluster")
     w = Window.partitionBy("cluster").orderBy(F.desc(F.abs(F.coalesce("ic", F.lit(0.0)))), "feature")
     return lab.join(scores, "feature").withColumn("keep", F.row_number().over(w) == 1)
 
@@ -145,17 +108,17 @@ def icir_screen(long: DataFrame, cut: float = 0.15, heavy=None, settings: Settin
             .withColumn("passed", F.col("neutral_icir") > cut))
 
 
-def feature_metadata(long: DataFrame, pairs: DataFrame, heavy=None,
+def feature_metadata(long: DataFrame, pair_rho: DataFrame, heavy=None,
                      settings: Settings = DEFAULTS) -> DataFrame:
     """Five traits per feature, z-scored across features.
 
-    ``long``: train rows (fid, date, symbol, x, ret); ``pairs``: Pearson pair table.
+    ``long``: train rows (fid, date, symbol, x, ret); ``pair_rho``: Pearson pair table.
     """
     pooled = xs.rank_ic(long, keys=("fid",), min_rows=2, heavy=heavy, settings=settings)
     daily = xs.ic_summary(xs.rank_ic(long, heavy=heavy, settings=settings, min_rows=30), eps=1e-8)
     size = long.groupBy("fid").agg(F.tanh(F.avg(F.abs("x"))).alias("level"))
-    both = pairs.select(F.col("f1").alias("fid"), "rho").unionByName(
-        pairs.select(F.col("f2").alias("fid"), "rho"))
+    both = pair_rho.select(F.col("f1").alias("fid"), "rho").unionByName(
+        pair_rho.select(F.col("f2").alias("fid"), "rho"))
     orth = both.groupBy("fid").agg((1 - F.avg(F.abs("rho"))).alias("orthogonality"))
     d = (pooled.select("fid", (F.coalesce("ic", F.lit(0.0)) * 10).alias("ic10"))
          .join(daily.select("fid", "icir"), "fid", "left")
@@ -193,15 +156,28 @@ def single_feature_table(long: DataFrame, heavy=None, settings: Settings = DEFAU
     return fm.withColumn("level", (a >= 1).cast("int") + (a >= 1.5).cast("int") + (a >= 2).cast("int"))
 
 
-def decorrelated_pick(metrics: DataFrame, pairs: DataFrame, k: int, max_rho: float = 0.98,
+def decorrelated_pick(metrics: DataFrame, pair_rho: DataFrame, k: int, max_rho: float = 0.98,
                       t: str = "fm_t") -> DataFrame:
-    """Greedy pass by descending |t| over the per-factor table; skip close relatives."""
-    rho = {frozenset((r.f1, r.f2)): abs(r.rho) for r in pairs.collect() if r.rho is not None}
-    kept: list[str] = []
-    for r in metrics.orderBy(F.desc(F.abs(t)), "fid").select("fid").collect():
-        if len(kept) >= k:
+    """(fid, pick): by descending |t| skip relatives of what was picked; the first ``k``.
+
+    All factors whose stronger relatives are decided are decided together, round by round:
+    picked when none of those was, dropped when one was.
+    """
+    order = Window.partitionBy(F.lit(0)).orderBy(F.desc(F.abs(t)), "fid")  # one row per factor
+    ranked = write_out(metrics.select("fid", F.row_number().over(order).alias("at")), "order")
+    near = pair_rho.filter(F.abs("rho") > max_rho)
+    near = near.select("f1", "f2").unionByName(near.select(F.col("f2").alias("f1"), F.col("f1").alias("f2")))
+    at = lambda f: ranked.select(F.col("fid").alias(f), F.col("at").alias(f"{f}_at"))
+    # (fid, stronger): the relatives that come before each factor
+    before = write_out(near.join(at("f1"), "f1").join(at("f2"), "f2").filter("f2_at < f1_at")
+                       .select(F.col("f1").alias("fid"), F.col("f2").alias("stronger")).distinct(), "before")
+    state = ranked.withColumn("picked", F.lit(None).cast("boolean"))
+    while True:
+        known = before.join(state.select(F.col("fid").alias("stronger"), F.col("picked").alias("p")), "stronger")
+        told = known.groupBy("fid").agg(F.max("p").alias("any_picked"), F.max(F.col("p").isNull()).alias("open"))
+        new = F.when(F.col("picked").isNotNull(), F.col("picked")).when(F.col("any_picked"), False).when(~F.coalesce("open", F.lit(False)), True)
+        state = write_out(state.join(told, "fid", "left").select("fid", "at", new.alias("picked")), "picks")
+        if state.filter("picked IS NULL").isEmpty():
             break
-        if all(rho.get(frozenset((r.fid, o)), 0.0) <= max_rho for o in kept):
-            kept.append(r.fid)
-    rows = [(f, i + 1) for i, f in enumerate(kept)]
-    return metrics.sparkSession.createDataFrame(rows, "fid string, pick int")
+    return (state.filter("picked").withColumn("pick", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("at")))
+            .filter(F.col("pick") <= k).select("fid", "pick"))

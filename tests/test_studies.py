@@ -333,7 +333,9 @@ def test_synergy_of_identical_factors_is_zero(spark):
     rng = np.random.default_rng(4)
     ls = spark.createDataFrame([("f", dt.date(2020, 1, 1) + dt.timedelta(i), float(rng.normal(0, 1))) for i in range(90)],
                                "fid string, date date, ls double")
-    assert combine.synergy(ls, ls).head().gain == pytest.approx(0)
+    none = spark.createDataFrame([], "f1 string, f2 string, rho double")
+    r = combine.synergy(ls, ls, none, n_boot=50).head()
+    assert r.gain == pytest.approx(0) and r.max_abs_rho is None and r.verdict == "unsupported"
     assert combine.month_bootstrap(ls, ls, 50).head().mean_gain == pytest.approx(0, abs=1e-12)
 
 
