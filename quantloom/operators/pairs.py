@@ -38,30 +38,52 @@ def null_groups(df: DataFrame, features: Sequence[str]) -> list[int]:
     Two features agree when the hashes of the rows where they are NULL have equal counts and sums.
     """
     feats = _checked(features)
-    marks = [F.xxhash64(F.lit(seed), *feats).cast("decimal(20,0)") for seed in (1, 2)]
-    sums = df.agg(*[F.struct(*[F.coalesce(F.sum(F.when(F.col(c).isNull(), m)), F.lit(0)).alias(f"s{i}") for i, m in enumerate(marks)],
-                             F.count(F.when(F.col(c).isNull(), 1)).alias("n")).alias(c) for c in feats]).head()
+    marks = [F.xxhash64(F.lit(seed), *feats).cast("decimal(20,0)").alias(f"m{seed}") for seed in (1, 2)]
+    missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(i)) for i, c in enumerate(feats)]))
+    sums = (df.select(*marks, F.explode(missing).alias("f")).groupBy("f")
+            .agg(F.count(F.lit(1)).alias("n"), F.sum("m1").alias("s1"), F.sum("m2").alias("s2")).collect())  # a row per feature at most
+    found = {r.f: (r.n, r.s1, r.s2) for r in sums}
     first: dict = {}
-    return [first.setdefault(tuple(sums[c]), i) for i, c in enumerate(feats)]
+    return [first.setdefault(found.get(i), i) for i in range(len(feats))]
+
+
+def ranks_among(x: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """For each 0/1 column of ``marks`` the average-tie rank of ``x`` among the rows where it is 1, less the mean rank; 0 elsewhere."""
+    if not len(x):
+        return np.zeros(marks.shape)
+    order = np.argsort(x, kind="stable")
+    new = np.r_[True, x[order][1:] != x[order][:-1]]
+    run = np.cumsum(new) - 1
+    here = np.add.reduceat(marks[order].astype(np.int64), np.flatnonzero(new))
+    upto = np.cumsum(here, axis=0)
+    out = np.empty(marks.shape)
+    out[order] = (upto - (here - 1) / 2 - (upto[-1] + 1) / 2)[run]
+    return out * marks
 
 
 def context_ranks(long: DataFrame, keys: Sequence[str], contexts: Sequence[str], x: str = "x",
                   heavy: bool | None = None, settings: Settings = DEFAULTS) -> DataFrame:
-    """Add ``ranks``: for each 0/1 column of ``contexts`` the average-tie rank of ``x`` among the group's rows where it
-    is 1, less the mean rank; 0 where it is 0. Rows without ``x`` go.
+    """Add ``ranks``, those of :func:`ranks_among` for the 0/1 columns ``contexts``, per group. Rows without ``x`` go.
+
+    A group of at most ``heavy_group_rows`` rows, as a count has shown, is sorted in one task.
     """
     keys = list(keys)
     light, big = xs._parts(long, keys, x, heavy, settings)
+    names = [c for c in long.columns if c not in contexts and c != x]
+    kinds = dict(long.dtypes)
+
+    def sort(table: pa.Table) -> pa.Table:
+        marks = np.stack([table.column(c).to_numpy() for c in contexts], axis=1)
+        found = ranks_among(table.column(x).to_numpy(), marks)
+        return table.select(names).append_column("ranks", pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), len(contexts)).cast(pa.list_(pa.float64())))
+    res = light.groupBy(*keys).applyInArrow(sort, ", ".join(f"{c} {kinds[c]}" for c in names) + ", ranks array<double>")
+    if big is None:
+        return res
 
     def ranks(upto, here, total):
         centred = [F.when(F.col(c) == 1, upto(c) - (here(c) - 1) / 2 - (total(c) + 1) / 2).otherwise(0.0) for c in contexts]
         return F.array(*centred).alias("ranks")
 
-    names = [c for c in long.columns if c not in contexts]
-    w, every = Window.partitionBy(*keys).orderBy(x), Window.partitionBy(*keys)
-    res = light.select(*names, ranks(lambda c: F.sum(c).over(w), lambda c: F.sum(c).over(w.rangeBetween(0, 0)), lambda c: F.sum(c).over(every)))
-    if big is None:
-        return res
     # heavy groups: equal values collapse before the shuffle, and cells of values carry running counts to the next
     values = big.groupBy(*keys, xs.order_cell(F.col(x)).alias("_cell"), x).agg(*[F.sum(c).alias(f"_h_{c}") for c in contexts])
     hist = values.groupBy(*keys, "_cell").agg(*[F.sum(f"_h_{c}").alias(f"_n_{c}") for c in contexts])
@@ -75,82 +97,115 @@ def context_ranks(long: DataFrame, keys: Sequence[str], contexts: Sequence[str],
     return res.unionByName(big.join(cells, [*keys, x]).select(*names, ranks(of("u"), of("h"), of("t"))))
 
 
-def _products(group: list[int], n_groups: int):
-    """Adds up rows' ranks: cross products of pairs, squares of each feature per null group, rows per pair of groups."""
-    f = len(group)
-    members = [np.flatnonzero(np.array(group) == g) for g in range(n_groups)]
-
-    def add(sums, row, feature, ranks):
-        for at in range(0, int(row[-1]) + 1 if len(row) else 0, _ROWS):
-            a, b = np.searchsorted(row, (at, at + _ROWS))
-            t = np.zeros((_ROWS, f, n_groups))
-            there = np.zeros((_ROWS, f))
-            t[row[a:b] - at, feature[a:b]] = ranks[a:b]
-            there[row[a:b] - at, feature[a:b]] = 1
-            for g in range(n_groups):
-                for h in range(n_groups):
-                    sums[0][np.ix_(members[g], members[h])] += t[:, members[g], h].T @ t[:, members[h], g]
-            sums[1] += (t * t).sum(axis=0)
-            some = np.stack([there[:, m[0]] for m in members], axis=1)
-            sums[2] += some.T @ some
-    return add
-
-
-def pair_spearman(df: DataFrame, features: Sequence[str], by: Sequence[str] = (), keys: Sequence[str] = ("date", "symbol"),
-                  heavy: bool | None = None, settings: Settings = DEFAULTS) -> DataFrame:
-    """(by, f1, f2, n, rho) for f1 before f2: rank correlation over the ``n`` rows of a group where both exist.
-
-    ``keys`` tell rows apart. NULL for fewer than two rows and for a side without differences.
-    """
-    feats, by, keys = _checked(features), list(by), list(keys)
-    heads = null_groups(df, feats)
-    groups = sorted(set(heads))
-    group = [groups.index(g) for g in heads]
-    marks = [f"_g{i}" for i in range(len(groups))]
-    wide = df.select(*keys, *feats, *[F.col(feats[g]).isNotNull().cast("int").alias(m) for g, m in zip(groups, marks)])
-    if by:  # one exchange: ranks and rows of a group of ordinary size are made where it lies
-        heavy = xs.has_heavy_group(df, by, settings) if heavy is None else heavy
-        wide = wide if heavy else wide.repartition(*by)
+class _Products:
+    """Sums over rows' ranks: cross products of pairs, squares of each feature per null group, rows per pair of groups."""
+
+    def __init__(self, group: list[int]):
+        self.of = np.array(group)
+        self.members = [np.flatnonzero(self.of == g) for g in range(self.of.max() + 1)]
+        self.first, self.second = np.triu_indices(len(group), 1)
+
+    def empty(self) -> list[np.ndarray]:
+        f, g = len(self.of), len(self.members)
+        return [np.zeros((f, f)), np.zeros((f, g)), np.zeros((g, g))]
+
+    def add(self, sums: list[np.ndarray], ranks: np.ndarray, there: np.ndarray) -> None:
+        """``ranks`` is (rows, features, groups), 0 where the feature or the group is missing; ``there`` (rows, features)."""
+        for g, a in enumerate(self.members):
+            for h, b in enumerate(self.members):
+                sums[0][np.ix_(a, b)] += ranks[:, a, h].T @ ranks[:, b, g]
+        sums[1] += (ranks * ranks).sum(axis=0)
+        some = there[:, [m[0] for m in self.members]].astype(float)
+        sums[2] += some.T @ some
+
+    def table(self, sums: list[np.ndarray]) -> dict[str, pa.Array]:
+        cross, square, both = sums
+        i, j = self.first, self.second
+        return {"i": pa.array(i, pa.int32()), "j": pa.array(j, pa.int32()), "n": pa.array(both[self.of[i], self.of[j]].astype(np.int64)),
+                "sxy": pa.array(cross[i, j]), "sxx": pa.array(square[i, self.of[j]]), "syy": pa.array(square[j, self.of[i]])}
+
+
+_SUMS = "i int, j int, n long, sxy double, sxx double, syy double"
+
+
+def _group_sums(wide: DataFrame, feats: list[str], by: list[str], products: _Products) -> DataFrame:
+    """Sums of every group of ordinary size, ranked and multiplied where it lies."""
+    heads = [m[0] for m in products.members]
+    kinds = dict(wide.dtypes)
+
+    def run(table: pa.Table) -> pa.Table:
+        v = np.stack([table.column(c).to_numpy() for c in feats], axis=1).astype(float)
+        there = ~np.isnan(v)
+        marks = there[:, heads]
+        sums = products.empty()
+        ranks = np.zeros((*v.shape, len(heads)))
+        for k in range(len(feats)):
+            own = there[:, k]
+            ranks[own, k] = ranks_among(v[own, k], marks[own])
+        for at in range(0, len(v), _ROWS):
+            products.add(sums, ranks[at:at + _ROWS], there[at:at + _ROWS])
+        done = products.table(sums)
+        size = len(done["n"])
+        keys = {c: pa.array([table.column(c)[0].as_py()] * size, table.schema.field(c).type) for c in by}
+        return pa.table(keys | done)
+    return wide.groupBy(*by).applyInArrow(run, "".join(f"{c} {kinds[c]}, " for c in by) + _SUMS)
+
+
+def _row_sums(wide: DataFrame, feats: list[str], by: list[str], keys: list[str], marks: list[str], products: _Products,
+              heavy: bool | None, settings: Settings) -> DataFrame:
+    """Sums from ranks that are made per feature and meet again by row."""
     long = xs.melt(wide, feats, [*keys, *marks]).filter(F.col("x").isNotNull())
     ranked = context_ranks(long, [*by, "fid"], marks, heavy=heavy, settings=settings)
     place = F.array_position(F.array(*[F.lit(c) for c in feats]), F.col("fid")).cast("int") - 1
     rows = ranked.groupBy(*keys).agg(F.collect_list(F.struct(place.alias("f"), "ranks")).alias("items")).select(*by, "items")
-    size, width = len(feats), len(groups)
-    first, second = np.triu_indices(size, 1)
-    of = np.array(group, np.int64)
-
-    def emit(held):
-        for key, (cross, square, both) in held.items():
-            n = both[of[first], of[second]]
-            yield pa.RecordBatch.from_arrays(
-                [*[pa.array([k] * len(first), t) for k, t in zip(key, types)], pa.array(first, pa.int32()), pa.array(second, pa.int32()), pa.array(n.astype(np.int64)),
-                 pa.array(cross[first, second]), pa.array(square[first, of[second]]), pa.array(square[second, of[first]])],
-                [*by, "i", "j", "n", "sxy", "sxx", "syy"])
-
-    types: list = []
+    size, width = len(feats), len(marks)
+    kinds = dict(wide.dtypes)
 
     def run(batches):
-        add, held = _products(group, width), {}
+        held, types = {}, []
+
+        def emit():
+            for key, sums in held.items():
+                done = products.table(sums)
+                yield pa.RecordBatch.from_pydict({c: pa.array([k] * len(done["n"]), t) for c, k, t in zip(by, key, types)} | done)
         for batch in batches:
-            types[:] = [batch.schema.field(c).type for c in by]
+            types = [batch.schema.field(c).type for c in by]
             ids = list(zip(*[batch.column(c).to_pylist() for c in by])) if by else [()] * batch.num_rows
-            at = {k: [] for k in dict.fromkeys(ids)}
+            at: dict = {}
             for i, k in enumerate(ids):
-                at[k].append(i)
+                at.setdefault(k, []).append(i)
             for key, mine in at.items():
-                items = batch.column("items").take(pa.array(mine))
-                feature, ranks = items.flatten().flatten()
-                row = np.repeat(np.arange(len(mine)), np.diff(items.offsets.to_numpy()))
-                if key not in held:
-                    held[key] = [np.zeros((size, size)), np.zeros((size, width)), np.zeros((width, width))]
-                add(held[key], row, feature.to_numpy(), ranks.flatten().to_numpy().reshape(-1, width))
+                for start in range(0, len(mine), _ROWS):
+                    items = batch.column("items").take(pa.array(mine[start:start + _ROWS]))
+                    feature, found = items.flatten().flatten()
+                    row, feature = np.repeat(np.arange(len(items)), np.diff(items.offsets.to_numpy())), feature.to_numpy()
+                    ranks, there = np.zeros((len(items), size, width)), np.zeros((len(items), size), bool)
+                    ranks[row, feature] = found.flatten().to_numpy().reshape(-1, width)
+                    there[row, feature] = True
+                    products.add(held.setdefault(key, products.empty()), ranks, there)
             if len(held) * size * size > _HELD:
-                yield from emit(held)
+                yield from emit()
                 held = {}
-        yield from emit(held)
+        yield from emit()
+    return rows.mapInArrow(run, "".join(f"{c} {kinds[c]}, " for c in by) + _SUMS)
+
+
+def pair_spearman(df: DataFrame, features: Sequence[str], by: Sequence[str] = (), keys: Sequence[str] = ("date", "symbol"),
+                  heavy: bool | None = None, settings: Settings = DEFAULTS) -> DataFrame:
+    """(by, f1, f2, n, rho) for f1 before f2: rank correlation over the ``n`` rows of a group where both exist.
 
-    kinds = "".join(f"{c} {dict(df.dtypes)[c]}, " for c in by)
-    part = rows.mapInArrow(run, kinds + "i int, j int, n long, sxy double, sxx double, syy double")
+    ``keys`` tell rows apart and include ``by``. NULL for fewer than two rows and for a side without differences.
+    """
+    feats, by, keys = _checked(features), list(by), list(keys)
+    heads = null_groups(df, feats)
+    groups = sorted(set(heads))
+    products = _Products([groups.index(g) for g in heads])
+    marks = [f"_g{i}" for i in range(len(groups))]
+    wide = df.select(*keys, *feats, *[F.col(feats[g]).isNotNull().cast("tinyint").alias(m) for g, m in zip(groups, marks)])
+    if by and not (xs.has_heavy_group(df, by, settings) if heavy is None else heavy):
+        part = _group_sums(wide.select(*dict.fromkeys([*by, *feats])), feats, by, products)
+    else:
+        part = _row_sums(wide, feats, by, keys, marks, products, heavy, settings)
     total = part.groupBy(*by, "i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sxy", "sxx", "syy")])
     name = lambda c: F.element_at(F.array(*[F.lit(f) for f in feats]), F.col(c) + 1)
     flat = (F.col("sxx") <= 0) | (F.col("syy") <= 0)
