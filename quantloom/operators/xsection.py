@@ -7,15 +7,18 @@ whole group through one task unless its size was checked:
   one-row-per-group result is joined back;
 * ranks and quantiles take a plain window while every group is at most
   ``heavy_group_rows`` rows (checked by a count). Larger groups are cut into ordered
-  value cells, cells are counted, and running counts give the exact global rank.
+  value cells, cells are counted, and running counts give the exact global rank; their
+  quantiles are selected digit by digit of the values' bits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
@@ -123,21 +126,66 @@ def quantiles(df: DataFrame, keys: Sequence[str], x: str, qs: Sequence[float], o
         F.percentile(F.col(x), F.array(*[F.lit(float(q)) for q in qs])).alias(out))
     if big is None:
         return res
-    cells = _cells(big, keys, x)
-    picks = []
-    for q in qs:
-        at = (F.col("_total") - 1) * F.lit(float(q))
-        for edge in (F.floor(at), F.ceil(at)):
-            picks.append(F.max(F.when((F.col("_below") <= edge)
-                                      & (edge < F.col("_below") + F.col("_here")), F.col(x))))
-    picked = cells.groupBy(*keys).agg(F.max("_total").alias("_total"),
-                                      *[p.alias(f"_p{i}") for i, p in enumerate(picks)])
-    vals = []
-    for i, q in enumerate(qs):
-        at = (F.col("_total") - 1) * F.lit(float(q))
-        lo, hi = F.col(f"_p{2 * i}"), F.col(f"_p{2 * i + 1}")
-        vals.append(lo + (hi - lo) * (at - F.floor(at)))
-    return res.unionByName(picked.select(*keys, F.array(*vals).alias(out)))
+    return res.unionByName(radix_quantiles(big, keys, x, qs, out))
+
+
+@F.pandas_udf(T.LongType())
+def _order_bits(x: pd.Series) -> pd.Series:
+    """The bits of a double as an integer that orders as the double does; NaN on top, one zero."""
+    v = x.to_numpy(float) + 0.0
+    b = np.where(np.isnan(v), np.nan, v).view(np.int64)
+    return pd.Series(np.where(b < 0, b ^ np.int64(0x7FFF_FFFF_FFFF_FFFF), b))
+
+
+@F.pandas_udf(T.DoubleType())
+def _from_bits(b: pd.Series) -> pd.Series:
+    v = b.to_numpy(np.int64)
+    return pd.Series(np.where(v < 0, v ^ np.int64(0x7FFF_FFFF_FFFF_FFFF), v).view(np.float64))
+
+
+RADIX_BITS = 16  # a digit; four digits tell a double
+
+
+def radix_quantiles(df: DataFrame, keys: Sequence[str], x: str, qs: Sequence[float], out: str = "q") -> DataFrame:
+    """Exact linear-interpolated quantiles of all groups, digit by digit of the values' bits.
+
+    Each round counts, for every group and wanted rank, the next digit of the values that
+    share the digits found so far, and takes the digit where the running count reaches the
+    rank. Counts combine before the shuffle, so a round moves at most 2 ** 16 numbers per
+    group, rank and task, whatever the group's size or the length of its ties; no task holds
+    a group's values. Bands of close values that log-scaled cells can't part are no special case.
+    """
+    keys = list(keys)
+    bits = write_out(df.filter(F.col(x).isNotNull()).select(*keys, _order_bits(F.col(x).cast("double")).alias("_b")), "bits")
+    wanted = [F.lit(float(q)) for q in qs]
+    state = None
+    for known in range(0, 64, RADIX_BITS):
+        rest = 64 - known - RADIX_BITS
+        digit = F.shiftright("_b", rest) if rest else F.col("_b")
+        if state is None:
+            hist = bits.groupBy(*keys, digit.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+            run = Window.partitionBy(*keys).orderBy("_p")
+            sums = hist.select(*keys, "_p", "_n", F.sum("_n").over(run).alias("_upto"), F.sum("_n").over(Window.partitionBy(*keys)).alias("_size"))
+            at = [f((F.col("_size") - 1) * q).cast("bigint") for q in wanted for f in (F.floor, F.ceil)]
+            ranks = F.array(*[F.struct(F.lit(i).alias("_t"), r.alias("_r")) for i, r in enumerate(at)])
+            sums = sums.select("*", F.inline(ranks))
+        else:
+            last = state.withColumnRenamed("_p", "_known")
+            near = bits.withColumn("_known", F.shiftright("_b", rest + RADIX_BITS)).join(last, [*keys, "_known"])
+            hist = near.groupBy(*keys, "_t", "_r", "_size", digit.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+            run = Window.partitionBy(*keys, "_t").orderBy("_p")
+            sums = hist.withColumn("_upto", F.sum("_n").over(run))
+        # ranks count from 0 inside the digits found
+        found = sums.filter((F.col("_r") < F.col("_upto")) & (F.col("_r") >= F.col("_upto") - F.col("_n")))
+        state = write_out(found.select(*keys, "_t", "_size", "_p", (F.col("_r") - F.col("_upto") + F.col("_n")).alias("_r")), "digits")
+    value = state.withColumn("_v", _from_bits("_p")).groupBy(*keys).agg(
+        F.first("_size").alias("_size"), *[F.max(F.when(F.col("_t") == i, F.col("_v"))).alias(f"_v{i}") for i in range(2 * len(qs))])
+    done = []
+    for i, q in enumerate(wanted):
+        at = (F.col("_size") - 1) * q
+        lo, hi = F.col(f"_v{2 * i}"), F.col(f"_v{2 * i + 1}")
+        done.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * (at - F.floor(at))))
+    return value.select(*keys, F.array(*done).alias(out))
 
 
 def join_stats(df: DataFrame, keys: Sequence[str], *aggs: Column) -> DataFrame:
@@ -223,37 +271,61 @@ def winsorize_mad(df, keys, x: str, n: float = 5.0, heavy=None, settings=DEFAULT
             .withColumn(x, clip(F.col(x), F.col("lo"), F.col("hi"))).select(cols))
 
 
-def wide_medians(df: DataFrame, keys: Sequence[str], cols: Sequence[str], heavy=None,
-                 settings: Settings = DEFAULTS) -> DataFrame:
-    """Exact medians of many columns, one row per group, columns keep their names."""
-    keys, cols = list(keys), list(cols)
-    if heavy is None:
-        heavy = has_heavy_group(df, keys, settings)
-    if not heavy:
-        return df.groupBy(*keys).agg(*[F.percentile(c, 0.5).alias(c) for c in cols])
-    long = melt(df, cols, keys)
-    med = quantiles(long, ["fid", *keys], "x", [0.5], "_q", None, settings)
-    return med.groupBy(*keys).pivot("fid", cols).agg(F.first(F.col("_q")[0]))
+def _column_medians(v: np.ndarray) -> np.ndarray:
+    """Median of each column's values that are not NaN; NaN where there is none."""
+    ordered = np.sort(v, axis=0)  # NaN last
+    n = (~np.isnan(ordered)).sum(axis=0)
+    pick = lambda at: np.take_along_axis(ordered, np.maximum(at, 0)[None], axis=0)[0]
+    lo, hi = pick((n - 1) // 2), pick(n // 2)
+    return np.where(n > 0, np.where(n % 2 == 1, lo, lo + (hi - lo) * 0.5), np.nan)
+
+
+def _fill_clip_zscore(v: np.ndarray, n: float) -> np.ndarray:
+    """The columns of one group filled, clipped and standardised."""
+    med = _column_medians(v)
+    v = np.where(np.isnan(v), med, v)
+    half = n * MAD_SCALE * _column_medians(np.abs(v - med))
+    v = np.clip(v, med - half, med + half)
+    if len(v) < 2:
+        return np.full(v.shape, np.nan)
+    d = v - v.mean(axis=0)
+    # what rounding of the mean adds to every deviation is no spread
+    ss = np.maximum((d * d).sum(axis=0) - d.sum(axis=0) ** 2 / len(v), 0.0)
+    return d / np.maximum(np.sqrt(ss / (len(v) - 1)), 1e-8)
 
 
 def fill_clip_zscore_wide(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("date",),
                           n: float = 3.0, heavy=None, settings: Settings = DEFAULTS) -> DataFrame:
-    """:func:`fill_clip_zscore` for many columns at once, without melting the panel."""
+    """:func:`fill_clip_zscore` for many columns at once, without melting the panel.
+
+    One exchange brings a group of ordinary size together, where all its columns are sorted
+    and finished one group at a time. A group whose values (rows times columns) exceed
+    ``heavy_group_rows`` times eight takes quantiles digit by digit instead.
+    """
     keys, cols = list(keys), list(cols)
     rest = [c for c in df.columns if c not in cols]
+    kinds = dict(df.dtypes)
     if heavy is None:
-        heavy = has_heavy_group(df, keys, settings)
-
-    def tagged(stats, tag):
-        return stats.select(*keys, *[F.col(c).alias(f"{tag}{c}") for c in cols])
-
-    # one row per group each; written so that later passes scan them instead of recomputing
-    med = write_out(tagged(wide_medians(df, keys, cols, heavy, settings), "_m_"), "medians")
+        heavy = has_heavy_group(df, keys, replace(settings, heavy_group_rows=min(settings.heavy_group_rows, max(1, 8 * settings.heavy_group_rows // len(cols)))))
+    if not heavy:
+        def finish_group(table: pa.Table) -> pa.Table:
+            v = np.stack([table.column(c).to_numpy() for c in cols], axis=1).astype(float)
+            z = _fill_clip_zscore(v, n)
+            done = {c: pa.array(z[:, i], pa.float64(), from_pandas=True) for i, c in enumerate(cols)}
+            return pa.table({c: table.column(c) for c in rest} | done)
+        return df.groupBy(*keys).applyInArrow(finish_group, ", ".join([*[f"`{c}` {kinds[c]}" for c in rest], *[f"`{c}` double" for c in cols]]))
+    df = write_out(df, "panel")
+
+    def medians(d, tag):
+        q = radix_quantiles(melt(d, cols, keys), ["fid", *keys], "x", [0.5], "_q")
+        wide = q.groupBy(*keys).pivot("fid", cols).agg(F.first(F.col("_q")[0]))
+        return write_out(wide.select(*keys, *[F.col(c).alias(f"{tag}{c}") for c in cols]), "medians")
+
+    med = medians(df, "_m_")
     filled = df.join(med, keys).select(
         *rest, *[F.col(f"_m_{c}") for c in cols],
         *[F.coalesce(F.col(c), F.col(f"_m_{c}")).alias(c) for c in cols])
-    dev = filled.select(*keys, *[F.abs(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in cols])
-    mad = write_out(tagged(wide_medians(dev, keys, cols, heavy, settings), "_d_"), "deviations")
+    mad = medians(filled.select(*keys, *[F.abs(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in cols]), "_d_")
     k = n * MAD_SCALE
     clipped = filled.join(mad, keys).select(
         *rest, *[clip(F.col(c), F.col(f"_m_{c}") - k * F.col(f"_d_{c}"),

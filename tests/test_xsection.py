@@ -175,3 +175,36 @@ def test_near_duplicates_ignore_mirrored_features(spark):
     ic = spark.createDataFrame([("a", 0.1), ("b", 0.2), ("c", -0.3), ("d", 0.1)], "feature string, ic double")
     kept = {r.feature for r in pool.near_duplicates(pairs, ic).collect() if r.keep}
     assert kept == {"c", "d"}
+
+
+# ---- selection by digits --------------------------------------------------------------
+def test_radix_quantiles_of_ties_bands_and_extremes(spark):
+    rng = np.random.default_rng(9)
+    groups = {"tie": np.r_[np.zeros(400), rng.normal(size=201)], "band": 1 + rng.integers(0, 50, 301) * 2.0 ** -52, "one": np.array([-3.5]),
+              "signs": np.r_[-0.0, 0.0, -np.inf, np.inf, 5e-324, -5e-324, 1e308, -1e308], "two": np.array([2.0, -7.0])}
+    rows = [(g, float(v)) for g, vals in groups.items() for v in vals] + [("tie", None), ("empty", None)]
+    qs = [0.0, 0.1, 0.5, 0.99, 1.0]
+    got = {r.g: r.q for r in xs.radix_quantiles(spark.createDataFrame(rows, "g string, x double").repartition(5), ["g"], "x", qs).collect()}
+    assert set(got) == set(groups)
+    for g, vals in groups.items():
+        v = np.sort(vals)
+        for q, x in zip(qs, got[g]):
+            at = (len(v) - 1) * q
+            lo, hi = v[int(np.floor(at))], v[int(np.ceil(at))]
+            with np.errstate(invalid="ignore"):
+                want = lo if lo == hi else lo + (hi - lo) * (at - np.floor(at))
+            assert x == want or x != x and want != want, (g, q)
+
+
+def test_fill_clip_zscore_wide_is_the_same_by_group_and_by_digits(spark):
+    rng = np.random.default_rng(4)
+    rows = [(d, f"s{i}", float(rng.normal()), None if i % 7 == 0 else float(rng.integers(0, 3)), None if d == 1 else float(i), None)
+            for d in range(3) for i in range(40)] + [(9, "alone", 1.0, 2.0, 3.0, None)]
+    df = spark.createDataFrame(rows, "date int, symbol string, a double, b double, c double, d double")
+    light = {(r.date, r.symbol): r for r in xs.fill_clip_zscore_wide(df, list("abcd"), heavy=False).collect()}
+    split = {(r.date, r.symbol): r for r in xs.fill_clip_zscore_wide(df, list("abcd"), heavy=True).collect()}
+    assert set(light) == set(split) and len(light) == len(rows)
+    for k, r in light.items():
+        for c in "abcd":
+            assert (r[c] is None) == (split[k][c] is None) and (r[c] is None or r[c] == pytest.approx(split[k][c], abs=1e-9)), (k, c)
+    assert light[9, "alone"].a is None and light[1, "s3"].c is None and light[0, "s0"].b is not None
