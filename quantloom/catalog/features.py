@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quantloom.catalog.base import (BARS_SQL, WS, W, Catalog, R, avg_rank, chg, fin, heavy, lag, mean, out, pair,
                                     roll, std)
+from quantloom.functions.framed import Frame, add_frames
 from quantloom.functions.rolling import Rolling, growing, with_exprs
 from quantloom.operators import models
 from quantloom.plans import bars158, series, timing
@@ -86,33 +87,43 @@ def _list(x, n):
     return f"list({x}) OVER {W(n)}"
 
 
-ARRAYS = {
-    "q80": f"quantile_cont(close, 0.8) OVER {W(20)}",
-    "rank20": "(len(list_filter(l20, lambda v: v < close)) + (len(list_filter(l20, lambda v: v = close)) + 1) / 2.0) / len(l20)",
-    "argmax20": "CASE WHEN len(h20) >= 20 THEN list_position(h20, list_max(h20)) * 1.0 END",
-    "top5": "CASE WHEN len(a20) >= 20 THEN list_sum(list_reverse_sort(a20)[1:5]) / nullif(list_sum(a20), 0) END",
-    "mad20": "list_avg(list_transform(l20, lambda v: abs(v - m20)))",
-    "cvar20": "list_avg(list_filter(l20, lambda v: v <= q05))",
-}
+def framed_sql(n: int, k: int) -> dict[str, str]:
+    """Twins of the framed statistics over whole lists, on the columns that :func:`framed_from` adds."""
+    return {
+        f"q80_{n}": f"quantile_cont(close, 0.8) OVER {W(n)}",
+        f"rank_{n}": "(len(list_filter(lc, lambda v: v < close)) + (len(list_filter(lc, lambda v: v = close)) + 1) / 2.0) / len(lc)",
+        f"argmax_{n}": f"CASE WHEN len(lh) >= {n} THEN list_position(lh, list_max(lh)) * 1.0 END",
+        f"argmin_{n}": f"CASE WHEN len(lh) >= {n} THEN list_position(lh, list_min(lh)) * 1.0 END",
+        f"top_{n}": f"CASE WHEN len(la) >= {n} THEN list_sum(list_reverse_sort(la)[1:{k}]) / nullif(list_sum(la), 0) END",
+        f"mad_{n}": "list_avg(list_transform(lc, lambda v: abs(v - m)))",
+        f"cvar_{n}": "list_avg(list_filter(lc, lambda v: v <= q05))",
+    }
 
 
-@C.add("rolling_arrays", f"""WITH {BARS_SQL}, p AS (SELECT *, {_list('close', 20)} AS l20, {_list('high', 20)} AS h20,
-   {_list('amount', 20)} AS a20, avg(close) OVER {W(20)} AS m20, quantile_cont(close, 0.05) OVER {W(20)} AS q05 FROM bars)
-   SELECT date, symbol, {cols(ARRAYS, 5)} FROM p""".replace("5) + 0.0 AS cvar20", "8) + 0.0 AS cvar20"))
-def arrays(spark, sf):
-    from quantloom.functions import rolling as k
+def framed_from(n: int) -> str:
+    return f"""p AS (SELECT *, {_list('close', n)} AS lc, {_list('high', n)} AS lh, {_list('amount', n)} AS la, avg(close) OVER {W(n)} AS m,
+   quantile_cont(close, 0.05) OVER {W(n)} AS q05 FROM bars)"""
+
+
+def framed_query(spark, sf, n: int, k: int):
+    names = list(framed_sql(n, k))
+    d = add_frames(fx.bars(spark, sf), dict(zip(names, (
+        Frame("quantile", "close", n, 0.8), Frame("rank", "close", n), Frame("argmax", "high", n), Frame("argmin", "high", n),
+        Frame("top_share", "amount", n, k), Frame("mean_abs_dev", "close", n), Frame("tail_mean", "close", n, 0.05)))))
     r = Rolling()
-    df = r.add(fx.bars(spark, sf), {"_l": r.values("close", 20), "_h": r.values("high", 20),
-                                    "_a": r.values("amount", 20), "_m": r.mean("close", 20, 1)})
-    df = with_exprs(df, {"_s": "sort_array(_l)", "_d": "sort_array(_a, false)"})
-    df = with_exprs(df, {"_cut": k.sorted_quantile("_s", 0.05)})
-    df = with_exprs(df, {
-        "q80": k.sorted_quantile("_s", 0.8), "rank20": k.rank_of_last("_s", "close"),
-        "argmax20": f"CASE WHEN size(_h) >= 20 THEN {k.first_hit('_h', 'array_max(_h)')} END",
-        "top5": f"CASE WHEN size(_a) >= 20 THEN {k.top_share('_d', 5)} END",
-        "mad20": k.mean_abs_dev("_l", "_m"), "cvar20": k.tail_mean("_s", "_cut")})
-    return df.filter("NOT halo").select("date", "symbol", *[
-        (F.round(c, 8 if c == "cvar20" else 5) + F.lit(0.0)).alias(c) for c in ARRAYS])
+    full = lambda x, c: f"CASE WHEN {r.count(x, n)} >= {n} THEN {c} END"
+    d = r.add(d, {f"argmax_{n}": full("high", f"argmax_{n}"), f"argmin_{n}": full("high", f"argmin_{n}"), f"top_{n}": full("amount", f"top_{n}")})
+    return out(d.filter("NOT halo").select("date", "symbol", *names))
+
+
+@C.add("rolling_arrays", f"WITH {BARS_SQL}, {framed_from(20)} SELECT date, symbol, {cols(framed_sql(20, 5))} FROM p")
+def arrays(spark, sf):
+    return framed_query(spark, sf, 20, 5)
+
+
+@C.add("rolling_arrays_250", f"WITH {BARS_SQL}, {framed_from(250)} SELECT date, symbol, {cols(framed_sql(250, 25))} FROM p")
+def arrays_250(spark, sf):
+    return framed_query(spark, sf, 250, 25)
 
 
 def ewm_sql(x: str, span: int, adjust: bool = True) -> str:

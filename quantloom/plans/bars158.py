@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from quantloom.functions.rolling import (Rolling, at_least, at_most, div, first_hit, lit, over,
-                                         rank_of_last, sorted_quantile, with_exprs)
+from quantloom.functions.framed import Frame, add_frames
+from quantloom.functions.rolling import Rolling, at_least, at_most, div, lit, over, with_exprs
 from quantloom.plans.series import finish, label
 
 EPS = 1e-12
@@ -28,24 +28,23 @@ def features158(bars: DataFrame, carry: tuple[str, ...] = (), horizon: int = 1,
                 only: list[str] | None = None) -> DataFrame:
     """Blocked bars to the 158 features plus ``forward_ret``; frames need one value."""
     r = Rolling()
-    longest = max(SPANS)
+    # before the windows, while rows are narrow
+    bars = add_frames(bars, {n: f for d in SPANS for n, f in {
+        f"_hi{d}": Frame("max", "high", d), f"_lo{d}": Frame("min", "low", d), f"_ah{d}": Frame("argmax", "high", d),
+        f"_al{d}": Frame("argmin", "low", d), f"_qu{d}": Frame("quantile", "close", d, 0.8), f"_qd{d}": Frame("quantile", "close", d, 0.2),
+        f"_rk{d}": Frame("rank", "close", d)}.items()})
     df = r.add(bars, {
         "forward_ret": label(r, horizon), "_pc": r.lag("close"), "_pv": r.lag("volume"), "_pos": r.position(),
-        # one array per price column; shorter frames are its tails
-        "_ac": r.values("close", longest), "_ah": r.values("high", longest),
-        "_al": r.values("low", longest),
         "_fc": at_least("close", EPS), "_fo": at_least("open", EPS),
     })
-    tails = {f"_{a}{d}": f"slice(_{a}, greatest(size(_{a}) - {d - 1}, 1), {d})"
-             for a in ("ac", "ah", "al") for d in SPANS}
-    df = with_exprs(df, tails | {
+    df = with_exprs(df, {
         "_dc": "close - _pc", "_dv": "volume - _pv",
         "_lv": f"ln({at_least('volume', EPS)} + 1)",
         "_lvc": f"ln({over('volume', '_pv', EPS)} + 1)",
         "_wv": f"abs({over('close', '_pc', EPS)} - 1) * volume",
         "_range": f"(high - low + {lit(EPS)})",
     })
-    df = with_exprs(df, {f"_sc{d}": f"sort_array(_ac{d})" for d in SPANS} | {
+    df = with_exprs(df, {
         "_up": at_least("_dc", 0), "_dn": f"-{at_most('_dc', 0)}", "_ab": "abs(_dc)",
         "_vup": at_least("_dv", 0), "_vdn": f"-{at_most('_dv', 0)}", "_vab": "abs(_dv)",
         "_isup": "CASE WHEN _dc > 0 THEN 1D ELSE 0D END",
@@ -76,8 +75,8 @@ def features158(bars: DataFrame, carry: tuple[str, ...] = (), horizon: int = 1,
 
 def _family(r: Rolling, d: int) -> dict[str, str]:
     eps = lit(EPS)
-    hi, lo = r.top("high", d, 1), r.bottom("low", d, 1)
-    full = f"size(_ac) >= {d}"
+    hi, lo = f"_hi{d}", f"_lo{d}"
+    full = f"{r.count('close', max(SPANS))} >= {d}"
     return {
         f"ROC{d}": div(r.lag("close", d), "_fc"),
         f"MA{d}": div(r.mean("close", d, 1), "_fc"),
@@ -86,12 +85,12 @@ def _family(r: Rolling, d: int) -> dict[str, str]:
         f"RSQR{d}": r.r2("close", "_pos", d),
         f"RESI{d}": div(r.residual("close", "_pos", d), "close"),
         f"MAX{d}": div(hi, "_fc"), f"MIN{d}": div(lo, "_fc"),
-        f"QTLU{d}": div(sorted_quantile(f"_sc{d}", 0.8), "_fc"),
-        f"QTLD{d}": div(sorted_quantile(f"_sc{d}", 0.2), "_fc"),
-        f"RANK{d}": rank_of_last(f"_sc{d}", "close"),
+        f"QTLU{d}": div(f"_qu{d}", "_fc"),
+        f"QTLD{d}": div(f"_qd{d}", "_fc"),
+        f"RANK{d}": f"_rk{d}",
         f"RSV{d}": div(f"close - {lo}", f"{hi} - {lo} + {eps}"),
-        f"IMAX{d}": f"CASE WHEN {full} THEN {first_hit(f'_ah{d}', hi)} END / {d}",
-        f"IMIN{d}": f"CASE WHEN {full} THEN {first_hit(f'_al{d}', lo)} END / {d}",
+        f"IMAX{d}": f"CASE WHEN {full} THEN _ah{d} END / {d}",
+        f"IMIN{d}": f"CASE WHEN {full} THEN _al{d} END / {d}",
         f"CORR{d}": f"coalesce({r.corr_any('close', '_lv', d)}, 0D)",
         f"CORD{d}": f"coalesce({r.corr_any('_cx', '_lvc', d)}, 0D)",
         f"CNTP{d}": r.mean("_isup", d, 1), f"CNTN{d}": r.mean("_isdn", d, 1),
