@@ -75,15 +75,17 @@ def fm_neutral(spark, sf):
     return fm_out(neutral_fm(spark, sf))
 
 
-P_SQL = """(1.061405429 * u - 1.453152027) * u + 1.421413741"""
 
 
-@C.add("fama_macbeth_p_values", f"""{NEUTRAL_FM}, z AS (SELECT fid, t, n_periods, (8 * (n_periods - 1) + 1) / (8.0 * (n_periods - 1) + 3)
-   * sqrt((n_periods - 1) * ln(1 + t * t / (n_periods - 1))) / sqrt(2) AS a FROM fm),
-  v AS (SELECT *, 1 / (1 + 0.3275911 * a) AS u FROM z)
-  SELECT fid, {R('t', 'fm_t', 5)}, {R(f'((({P_SQL}) * u - 0.284496736) * u + 0.254829592) * u * exp(-a * a)', 'fm_p', 5)}, n_periods FROM v""")
+# The twin adds up the finite series of Student's t for whole degrees of freedom, in powers of the cosine of atan(t / sqrt(df)).
+@C.add("fama_macbeth_p_values", f"""{NEUTRAL_FM}, an AS (SELECT fid, t, n_periods, n_periods - 1 AS df, atan(abs(t) / sqrt(n_periods - 1)) AS a FROM fm),
+  tm AS (SELECT fid, df, a, sum(CASE WHEN j.range = 0 THEN (df % 2) * ln(cos(a)) WHEN df % 2 = 0 THEN ln((2.0 * j.range - 1) / (2 * j.range)) + 2 * ln(cos(a))
+         ELSE ln(2.0 * j.range / (2 * j.range + 1)) + 2 * ln(cos(a)) END) OVER (PARTITION BY fid ORDER BY j.range) AS l FROM an, range(100000) j WHERE j.range < df // 2),
+  sr AS (SELECT fid, sum(exp(l)) AS s FROM tm GROUP BY fid)
+  SELECT fid, {R('t', 'fm_t', 5)}, {R('1 - CASE WHEN df % 2 = 0 THEN sin(a) * s ELSE 2 / pi() * (a + sin(a) * coalesce(s, 0)) END', 'fm_p', 10)}, n_periods
+  FROM an LEFT JOIN sr USING (fid)""")
 def fm_p(spark, sf):
-    return out(stored_fm(spark, sf).select("fid", "fm_t", "fm_p", "n_periods"), 5)
+    return out(stored_fm(spark, sf).select("fid", F.round("fm_t", 5).alias("fm_t"), "fm_p", "n_periods"), 10)
 
 
 def flagship(spark, sf, min_stocks: int = 30):
@@ -853,18 +855,16 @@ def bt_summary(spark, sf):
 
 
 def _annual(c: str, n: str, per_year: int) -> str:
-    nav = f"exp(sum(ln(greatest(1 + {c}, 1e-12))))"
-    return f"least(power({nav}, {per_year}.0 / {n}) - 1, 1000)"
+    """Growth a year in logs, which no spread is too large for."""
+    return f"sum(ln(greatest(1 + {c}, 1e-12))) * {per_year}.0 / {n}"
 
 
 @C.add("backtest_annualised", f"""{BT}, {legs_sql(COSTS)},
   a AS (SELECT cost_bps, fid, {_annual('ls', 'count(*)', 252)} AS d, {_annual('long_r', 'count(*)', 252)} AS l FROM dd GROUP BY ALL),
   mn AS (SELECT cost_bps, fid, {_annual('(long_r - short_r)', 'count(*)', 12)} AS m FROM mr GROUP BY ALL)
-  SELECT cost_bps, fid, {R('m', 'ls_month_annual', 4)}, {R('d', 'ls_day_annual', 4)}, {R('l', 'long_day_annual', 4)} FROM a JOIN mn USING (cost_bps, fid)""")
+  SELECT cost_bps, fid, {R('m', 'ls_month_log_annual', 4)}, {R('d', 'ls_day_log_annual', 4)}, {R('l', 'long_day_log_annual', 4)} FROM a JOIN mn USING (cost_bps, fid)""")
 def bt_annual(spark, sf):
-    top = lambda c: F.least(F.col(c), F.lit(1000.0)).alias(c)
-    return out(run(spark, sf).summary().select("cost_bps", "fid", top("ls_month_annual"), top("ls_day_annual"),
-                                               top("long_day_annual")), 4)
+    return out(run(spark, sf).summary().select("cost_bps", "fid", "ls_month_log_annual", "ls_day_log_annual", "long_day_log_annual"), 4)
 
 
 @C.add("backtest_cost_drag", f"""{BT}, {legs_sql(COSTS)}, m AS (SELECT fid, cost_bps, avg(long_r - short_r) AS mean_ls FROM mr GROUP BY ALL)
@@ -901,11 +901,11 @@ def ls_panel(spark, sf):
     return fx.stored(spark, ("ls", sf), lambda: xs.long_short_by_count(neutral_panel(spark, sf), heavy=heavy(spark, sf)))
 
 
-@C.add("annualised_spreads", f"""{LSN} SELECT fid, count(ls) AS n_days, {R('least(power(1 + avg(ls), 252) - 1, 1000000)', 'annual', 4)}, {R('avg(ls) / (stddev_samp(ls) / sqrt(count(ls)))', 't_mean', 5)},
+@C.add("annualised_spreads", f"""{LSN} SELECT fid, count(ls) AS n_days, {R('CASE WHEN avg(ls) > -1 THEN 252 * ln(1 + avg(ls)) END', 'log_annual', 4)}, {R('avg(ls) / (stddev_samp(ls) / sqrt(count(ls)))', 't_mean', 5)},
    {R('CASE WHEN count(ls) >= 30 THEN avg(ls) / (stddev_samp(ls) + 1e-12) * sqrt(252) ELSE 0 END', 'sharpe', 5)} FROM ls GROUP BY fid""")
 def ann(spark, sf):
     d = backtest.annualised_stats(ls_panel(spark, sf))
-    return out(d.select("fid", "n_days", F.round(F.least("annual", F.lit(1e6)), 4).alias("annual"), "t_mean", "sharpe"), 5)
+    return out(d.select("fid", "n_days", F.round("log_annual", 4).alias("log_annual"), "t_mean", "sharpe"), 5)
 
 
 # Draws are sha-256 digests of (seed, stream, resample, counter); the twins put the days of every resample together one by one.

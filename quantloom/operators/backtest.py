@@ -159,7 +159,8 @@ def summary(daily: DataFrame, turn: DataFrame) -> DataFrame:
                                          F.col("log_growth").alias("_g"))
         s = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), _sharpe(col, per_year).alias(f"{prefix}_sharpe"))
         return (s.join(d, by).withColumn(f"{prefix}_annual", annualised(F.col("_g"), F.col("_n"), per_year))
-                .select(*by, f"{prefix}_annual", f"{prefix}_sharpe", f"{prefix}_max_dd",
+                .withColumn(f"{prefix}_log_annual", F.col("_g") * per_year / F.col("_n"))
+                .select(*by, f"{prefix}_annual", f"{prefix}_log_annual", f"{prefix}_sharpe", f"{prefix}_max_dd",
                         F.col("_n").alias(f"{prefix}_n")))
 
     out = block(m, "ls", "ls_month", 12.0)
@@ -236,9 +237,10 @@ def timing_backtest(df: DataFrame, x: str = "x", ret: str = "ret", by: Sequence[
 
 
 def annualised_stats(ls: DataFrame, by: Sequence[str] = ("fid",), min_rows: int = 30) -> DataFrame:
-    """Annualised mean, t of the mean and Sharpe of daily spreads (Sharpe needs 30 days)."""
+    """Annualised mean (a loss of all at a mean of -1 or less), t of the mean and Sharpe of daily spreads (Sharpe needs 30 days)."""
     n, m, sd = F.count("ls"), F.avg("ls"), F.stddev_samp("ls")
     return ls.groupBy(*by).agg(
-        n.alias("n_days"), (F.pow(1 + m, F.lit(252.0)) - 1).alias("annual"),
+        n.alias("n_days"), F.when(m > -1, F.pow(1 + m, F.lit(252.0)) - 1).otherwise(-1.0).alias("annual"),
+        F.when(m > -1, F.log1p(m) * 252).alias("log_annual"),
         F.try_divide(m, sd / F.sqrt(n)).alias("t_mean"),
         F.when(n >= min_rows, m / (sd + 1e-12) * F.sqrt(F.lit(252.0))).otherwise(0.0).alias("sharpe"))
