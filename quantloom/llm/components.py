@@ -7,14 +7,15 @@ from pyspark.sql import DataFrame, functions as F
 from quantloom.llm.common import write_out
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node that links (a, b) reach, for every node that has a link.
 
-    Each round is written to the shared folder, so plans stay short and a lost executor costs one round.
+    Rounds go on until nothing changes. Each is written to the shared folder, so plans stay short and a lost executor
+    costs one round. Null ends and links of a node to itself are left out; repeated links count once; no links, no rows.
     """
     edges = write_out(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
     mark = None
-    for _ in range(max_rounds):
+    while True:
         # larger neighbours point at the smallest of a node's neighbourhood
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
