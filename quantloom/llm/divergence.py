@@ -123,7 +123,7 @@ def marked_terms(kept: DataFrame, groups: DataFrame, langs: DataFrame, top: int
             .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top))
 
 
-def pair_values(kept: DataFrame, groups: DataFrame, langs: DataFrame, cells: int = 1 << 21, block: int = 128) -> DataFrame:
+def pair_values(kept: DataFrame, groups: DataFrame, langs: DataFrame, cells: int = 1 << 18, block: int = 128) -> DataFrame:
     """Part ``pair``: (lang, source, item, value) for every ordered pair of sources of a language.
 
     ``cells`` bounds a bucket's terms times its language's sources, ``block`` the sources that a task compares to all.
