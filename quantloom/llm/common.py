@@ -79,31 +79,66 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_ODD = 0x9E3779B97F4A7C15
-_INVERSE = pow(_ODD, -1, 1 << 64)
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD))
+#: Spans are told apart modulo the prime 2**61 - 1, where no word is a multiple of another as it is modulo 2**64.
+_PRIME = np.uint64((1 << 61) - 1)
+_BASE = 0x1B7E151628AED2A6
+_INVERSE = pow(_BASE, -1, (1 << 61) - 1)
+#: Products are made for so many places at a time, whose intermediate results stay in the processor's cache.
+_STEP = 1 << 16
 _powers: dict[int, np.ndarray] = {}
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Any 64-bit numbers modulo the prime."""
+    x = (x & _PRIME) + (x >> np.uint64(61))
+    return np.minimum(x, x - _PRIME)  # a difference below zero wraps round to a large number
+
+
+def _shifted(x: np.ndarray) -> np.ndarray:
+    """x * 2**31 for x below the prime, to be reduced."""
+    return ((x & np.uint64((1 << 30) - 1)) << np.uint64(31)) + (x >> np.uint64(30))
+
+
+def _halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return x >> np.uint64(31), x & np.uint64((1 << 31) - 1)
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime."""
+    (a1, a0), (b1, b0) = _halves(a), _halves(b)
+    # 2**62 is 2 modulo the prime
+    return _reduced(((a1 * b1) << np.uint64(1)) + _shifted(_reduced(a1 * b0 + a0 * b1)) + _reduced(a0 * b0))
+
+
 def _power(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        p = np.full(max(n, 1 << 16), base, np.uint64)
-        p[0] = 1
-        have = _powers[base] = np.multiply.accumulate(p)
+        have = np.ones(1, np.uint64) if have is None else have
+        while len(have) < max(n, _STEP):
+            have = np.concatenate((have, _product(have, np.uint64(pow(base, len(have), int(_PRIME))))))
+        _powers[base] = have
     return have[:n]
 
 
 def prefix_hash(buf: np.ndarray) -> np.ndarray:
-    """Prefix sums of a polynomial hash modulo 2**64; span_hash() gets the hash of any span from them."""
+    """Prefix sums of a polynomial hash modulo 2**61 - 1; span_hash() gets the hash of any span from them."""
     s = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE[buf] * _power(_ODD, len(buf)), out=s[1:])
+    power = _power(_BASE, len(buf))
+    for at in range(0, len(buf), _STEP):
+        value = buf[at:at + _STEP].astype(np.uint64) + np.uint64(1)
+        high, low = (np.cumsum(x * value) for x in _halves(power[at:at + _STEP]))
+        s[at + 1:at + 1 + len(value)] = _reduced(_shifted(_reduced(high)) + _reduced(low) + s[at])
     return s
 
 
 def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of the bytes between starts and ends, the same wherever they stand."""
-    return mix64((prefix[ends] - prefix[starts]) * _power(_INVERSE, len(prefix))[starts])
+    out = np.empty(len(starts), np.uint64)
+    back = _power(_INVERSE, len(prefix))
+    for at in range(0, len(starts), _STEP):
+        a, b = starts[at:at + _STEP], ends[at:at + _STEP]
+        out[at:at + len(a)] = mix64(_product(_reduced(prefix[b] + (_PRIME - prefix[a])), back[a]))
+    return out
 
 
 def run_starts(sorted_keys: np.ndarray) -> np.ndarray:
