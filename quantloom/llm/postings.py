@@ -1,9 +1,12 @@
 """Per-document frequencies in blocks: a token stands once per block, with the documents that hold it.
 
-A block is some MB of whole texts of one input partition. Its rows are (token, block, ords, freqs): packed
-integers of the documents in the block that hold the token and how often, so a join on the token moves one row
-per token and block, however often a token occurs. One more row per block names its documents. After the join,
-``sum_rows`` adds value x frequency per document, first in the task, then in Spark.
+A block is some MB of whole texts of one input partition. Its rows are (token, block, data): the documents in the
+block that hold the token and how often, as differences and frequencies in integers of variable length, so one row
+moves per token and block, however often a token occurs. One more row per block, with the complement of the block's
+number, names its documents. ``sum_rows`` adds value x frequency per document, first in the task, then in Spark.
+
+Results for odd input: an empty text has no token and sums of 0; a null id stays null; repeated rows are documents of
+their own; a document longer than a block is a block; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,9 +22,8 @@ from quantloom.llm.common import run_starts, slices, text_buffer
 
 #: Bits of a row key for a document's place in its block.
 ORD_BITS = 20
-SCHEMA = "token binary, block bigint, n_all bigint, n_train bigint, ords binary, freqs binary, ids binary, extra binary"
-_ARROW = pa.schema([("token", pa.binary()), ("block", pa.int64()), ("n_all", pa.int64()), ("n_train", pa.int64()),
-                    ("ords", pa.binary()), ("freqs", pa.binary()), ("ids", pa.binary()), ("extra", pa.binary())])
+SCHEMA = "token binary, block bigint, data binary"
+_ARROW = pa.schema([("token", pa.binary()), ("block", pa.int64()), ("data", pa.binary())])
 
 #: (bytes of the texts, their offsets) -> (all tokens in order, the row of each)
 Split = Callable[[np.ndarray, np.ndarray], tuple[pa.Array, np.ndarray]]
@@ -34,6 +36,29 @@ def cut(values: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(off), pa.py_buffer(values)]).cast(pa.binary())
 
 
+def pack(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Numbers from 0 to 2**35 cut at the places ``at`` into one binary per run, seven bits to a byte, the lowest first."""
+    size = np.ones(len(values), np.int64)
+    for bits in (7, 14, 21, 28):
+        size += values >= 1 << bits
+    off = np.concatenate(([0], np.cumsum(size)))
+    out = np.zeros(off[-1], np.uint8)
+    for j in range(int(size.max(initial=0))):
+        more = np.flatnonzero(size > j)
+        out[off[more] + j] = (values[more] >> 7 * j & 127) | np.where(size[more] > j + 1, 128, 0)
+    return cut(out, off[at])
+
+
+def unpack(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers that pack() packed, and where each row's begin (one entry more than rows)."""
+    buf, off = text_buffer(col)
+    last = buf < 128
+    first = np.flatnonzero(np.concatenate(([True], last[:-1]))) if len(buf) else np.zeros(0, np.int64)
+    place = np.arange(len(buf)) - np.repeat(first, np.diff(np.append(first, len(buf))))
+    values = np.add.reduceat((buf & 127).astype(np.int64) << 7 * place, first) if len(first) else first
+    return values, np.concatenate(([0], np.cumsum(last)))[off]
+
+
 def blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
     held, size = [], 0
     for batch in batches:
@@ -56,12 +81,12 @@ def distinct_tokens(rows: DataFrame, split: Split, block_bytes: int = 16 << 20)
     return rows.mapInArrow(run, "token binary")
 
 
-def postings(rows: DataFrame, split: Split, name: bytes, train: Callable[[np.ndarray], np.ndarray] | None = None,
-             extra: Callable[[np.ndarray], np.ndarray] | None = None, block_bytes: int = 16 << 20) -> DataFrame:
+def postings(rows: DataFrame, split: Split, name: bytes, extra: Callable[[np.ndarray], np.ndarray] | None = None,
+             block_bytes: int = 16 << 20) -> DataFrame:
     """Rows of SCHEMA for (doc_id, text) rows.
 
-    ``name`` begins the token of the row that names a block's documents and begins no real token. ``train`` says
-    from the ids which documents count in n_train; ``extra`` gives an integer per document from the offsets.
+    ``name`` begins the token of the row that names a block's documents and begins no real token. ``extra`` gives an
+    integer per document from the offsets.
     """
     def run(batches):
         pid, seq = TaskContext.get().partitionId(), 0
@@ -77,31 +102,32 @@ def postings(rows: DataFrame, split: Split, name: bytes, train: Callable[[np.nda
             pair.sort()
             at = run_starts(pair)
             freq = np.diff(np.append(at, len(pair)))
-            pair = pair[at]
-            word, doc = pair // n, (pair % n).astype(np.int32)
+            word, doc = pair[at] // n, pair[at] % n
             at = run_starts(word)
-            use = np.ones(n, bool) if train is None else train(ids)
-            total = np.add.reduceat(freq, at) if len(at) else np.zeros(0, np.int64)
-            learnt = np.add.reduceat(freq * use[doc], at) if len(at) else np.zeros(0, np.int64)
-            k = len(at)
-            if k:
-                none = pa.nulls(k, pa.binary())
-                out = pa.Table.from_arrays([coded.dictionary.cast(pa.binary()).take(pa.array(word[at])), pa.array(np.full(k, key)),
-                                            pa.array(total), pa.array(learnt), cut(doc, at), cut(freq.astype(np.int32), at),
-                                            none, none], schema=_ARROW)
+            if len(at):
+                step = np.diff(doc, prepend=0)
+                step[at] = doc[at]
+                packed = pack(np.stack([step, freq], axis=1).ravel(), 2 * at)
+                out = pa.Table.from_arrays([coded.dictionary.cast(pa.binary()).take(pa.array(word[at])), pa.array(np.full(len(at), key)), packed], schema=_ARROW)
                 yield from out.to_batches(max_chunksize=20_000)
             more = np.zeros(n, np.int64) if extra is None else extra(off).astype(np.int64)
-            valid = np.asarray(ids.is_valid(), np.uint8).tobytes()
-            yield pa.RecordBatch.from_pylist([{"token": name + str(key).encode(), "block": key, "n_all": 0, "n_train": int(use.sum()),
-                                               "ords": valid, "freqs": None, "ids": plain.tobytes(), "extra": more.tobytes()}], schema=_ARROW)
+            valid = np.asarray(ids.is_valid(), np.int64)
+            yield pa.RecordBatch.from_pylist([{"token": name + str(key).encode(), "block": ~key, "data": np.stack([plain, more, valid]).tobytes()}], schema=_ARROW)
     return rows.mapInArrow(run, SCHEMA)
 
 
-def sum_rows(joined: DataFrame, values: list[str], keep: int = 1 << 20) -> DataFrame:
+def together(rows: DataFrame, long: int = 1024, shares: int = 64) -> DataFrame:
+    """Postings with all rows of a token next to each other; rows of many documents are a hot token's, and go to ``shares`` tasks."""
+    share = F.when(F.length("data") > long, F.pmod(F.xxhash64("block"), F.lit(shares))).otherwise(F.lit(0))
+    return rows.repartition("token", share).sortWithinPartitions("token")
+
+
+def sum_rows(joined: DataFrame, values: list[str], keep: int = 1 << 20, look: Callable[[pa.Array], np.ndarray] | None = None) -> DataFrame:
     """(doc_id, extra, and for each of ``values`` the sum of value x frequency) for each document.
 
-    ``joined``: postings with a double column for each of ``values``, null where the token has none. A document's
-    sums come from any number of tasks; integers below 2**53 stay exact.
+    ``joined``: postings with a double column for each of ``values``, null where the token has none; or with ``look``,
+    postings alone, of which it gives the one value for each of a batch's tokens. A document's sums come from any
+    number of tasks; integers below 2**53 stay exact.
     """
     schema = "row_key bigint, doc_id bigint, extra bigint, " + ", ".join(f"{v} double" for v in values)
     arrow = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("extra", pa.int64())] + [(v, pa.float64()) for v in values])
@@ -121,20 +147,22 @@ def sum_rows(joined: DataFrame, values: list[str], keep: int = 1 << 20) -> DataF
             if not batch.num_rows:
                 continue
             block = np.asarray(batch.column("block"), np.int64)
-            named = np.asarray(batch.column("ids").is_valid())
-            for i in np.flatnonzero(named):
-                ids, extra, ok = (np.frombuffer(batch.column(c)[int(i)].as_py(), t) for c, t in (("ids", np.int64), ("extra", np.int64), ("ords", np.uint8)))
-                k = (int(block[i]) << ORD_BITS) + np.arange(len(ids))
+            for i in np.flatnonzero(block < 0):
+                ids, extra, ok = np.frombuffer(batch.column("data")[int(i)].as_py(), np.int64).reshape(3, -1)
+                k = (int(~block[i]) << ORD_BITS) + np.arange(len(ids))
                 zero = pa.array(np.zeros(len(ids)))
                 yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(ids, mask=ok == 0), pa.array(extra)] + [zero] * len(values), schema=arrow)
-            part = batch.filter(pa.array(~named))
+            part = batch.filter(pa.array(block >= 0))
             if part.num_rows:
-                docs, off = text_buffer(part.column("ords"))
-                docs = docs.view(np.int32)
-                freq = text_buffer(part.column("freqs"))[0].view(np.int32)
-                size = np.diff(off) // 4
-                keys.append((np.repeat(block[~named], size) << ORD_BITS) + docs)
-                value = np.stack([np.asarray(part.column(v).fill_null(0.0), float) for v in values], axis=1)
+                found, off = unpack(part.column("data"))
+                docs, freq, off = found[::2], found[1::2], off // 2
+                size = np.diff(off)
+                # differences begin anew in each row
+                run_on = np.cumsum(docs)
+                docs = run_on - np.repeat(run_on[off[:-1]] - docs[off[:-1]], size)
+                keys.append((np.repeat(block[block >= 0], size) << ORD_BITS) + docs)
+                value = (np.stack([np.asarray(part.column(v).fill_null(0.0), float) for v in values], axis=1) if look is None
+                         else look(part.column("token")).astype(float)[:, None])
                 sums.append(np.repeat(value, size, axis=0) * freq[:, None])
                 held += len(docs)
                 if held >= 2 * keep:
