@@ -1,9 +1,12 @@
-"""Per-document frequencies in blocks: a token stands once per block, with the documents that hold it.
+"""Per-document frequencies in blocks, joined to a number for each distinct token.
 
-A block is some MB of whole texts of one input partition. Its rows are (token, block, data): the documents in the
-block that hold the token and how often, as differences and frequencies in integers of variable length, so one row
-moves per token and block, however often a token occurs. One more row per block, with the complement of the block's
-number, names its documents. ``sum_rows`` adds value x frequency per document, first in the task, then in Spark.
+A block is some MB of whole texts of one input partition. Its distinct tokens are dealt to buckets by hash, and a row
+(block, bucket) holds them once with the documents that hold each and how often, as differences and frequencies in
+integers of variable length. Tokens move to their buckets, where each distinct one is looked at once; the numbers
+found go back to the blocks, where they are summed over the frequencies. So a token costs an entry per block that
+holds it, however often it occurs, in both moves; no sum per document and bucket is made, and a frequent token is one
+entry per block like others. There is a bucket for so many bytes of input, so that the distinct tokens of one fit in
+memory at any size.
 
 Results for odd input: an empty text has no token and sums of 0; a null id stays null; repeated rows are documents of
 their own; a document longer than a block is a block; an empty table gives no rows.
@@ -18,12 +21,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from quantloom.llm.common import run_starts, slices, text_buffer
+from quantloom.llm.common import prefix_hash, run_starts, slices, span_hash, text_buffer
 
-#: Bits of a row key for a document's place in its block.
-ORD_BITS = 20
-SCHEMA = "token binary, block bigint, data binary"
-_ARROW = pa.schema([("token", pa.binary()), ("block", pa.int64()), ("data", pa.binary())])
+_CODED = "block bigint, bucket bigint, tokens binary, sizes binary, spread binary, data binary"
+_ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int64())] + [(c, pa.binary()) for c in ("tokens", "sizes", "spread", "data")])
 
 #: (bytes of the texts, their offsets) -> (all tokens in order, the row of each)
 Split = Callable[[np.ndarray, np.ndarray], tuple[pa.Array, np.ndarray]]
@@ -65,7 +66,43 @@ def blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
         for part in slices(batch, "text", most):
             held.append(part)
             size += part.column("text").nbytes
-            if size >= most or sum(x.num_rows for x in held) >= 1 << (ORD_BITS - 1):
+            if size >= most or sum(x.num_rows for x in held) >= 1 << 19:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def pack(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Numbers from 0 to 2**35 cut at the places ``at`` into one binary per run, seven bits to a byte, the lowest first."""
+    size = np.ones(len(values), np.int64)
+    for bits in (7, 14, 21, 28):
+        size += values >= 1 << bits
+    off = np.concatenate(([0], np.cumsum(size)))
+    out = np.zeros(off[-1], np.uint8)
+    for j in range(int(size.max(initial=0))):
+        more = np.flatnonzero(size > j)
+        out[off[more] + j] = (values[more] >> 7 * j & 127) | np.where(size[more] > j + 1, 128, 0)
+    return cut(out, off[at])
+
+
+def unpack(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers that pack() packed, and where each row's begin (one entry more than rows)."""
+    buf, off = text_buffer(col)
+    last = buf < 128
+    first = np.flatnonzero(np.concatenate(([True], last[:-1]))) if len(buf) else np.zeros(0, np.int64)
+    place = np.arange(len(buf)) - np.repeat(first, np.diff(np.append(first, len(buf))))
+    values = np.add.reduceat((buf & 127).astype(np.int64) << 7 * place, first) if len(first) else first
+    return values, np.concatenate(([0], np.cumsum(last)))[off]
+
+
+def blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    held, size = [], 0
+    for batch in batches:
+        for part in slices(batch, "text", most):
+            held.append(part)
+            size += part.column("text").nbytes
+            if size >= most or sum(x.num_rows for x in held) >= 1 << 19:
                 yield pa.Table.from_batches(held).combine_chunks()
                 held, size = [], 0
     if held:
@@ -81,100 +118,107 @@ def distinct_tokens(rows: DataFrame, split: Split, block_bytes: int = 16 << 20)
     return rows.mapInArrow(run, "token binary")
 
 
-def postings(rows: DataFrame, split: Split, name: bytes, extra: Callable[[np.ndarray], np.ndarray] | None = None,
-             block_bytes: int = 16 << 20) -> DataFrame:
-    """Rows of SCHEMA for (doc_id, text) rows.
+def bucket_count(rows: DataFrame, bucket_bytes: int = 8 << 20) -> int:
+    """A bucket for every ``bucket_bytes`` of text."""
+    return 1 + (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // bucket_bytes
+
 
-    ``name`` begins the token of the row that names a block's documents and begins no real token. ``extra`` gives an
-    integer per document from the offsets.
+def coded_blocks(rows: DataFrame, split: Split, buckets: int, extra: Callable[[np.ndarray], np.ndarray] | None = None,
+                 block_bytes: int = 16 << 20) -> DataFrame:
+    """For (doc_id, text) rows the blocks' tokens and frequencies (block, bucket, tokens, sizes, spread, data).
+
+    Bucket -1 of a block names its documents. ``extra`` gives an integer per document from the offsets. The result must
+    be written before it is used twice, so that blocks stay what they are when a task runs again.
     """
     def run(batches):
-        pid, seq = TaskContext.get().partitionId(), 0
-        for block in blocks(batches, block_bytes):
-            n, key = block.num_rows, (pid << 20) + seq
-            seq += 1
+        task = TaskContext.get().partitionId()
+        for seq, block in enumerate(blocks(batches, block_bytes)):
+            n, key = block.num_rows, (task << 24) + seq
             ids = block.column("doc_id").chunk(0)
-            plain = np.asarray(ids.fill_null(0), np.int64)
             buf, off = text_buffer(block.column("text").chunk(0))
+            more = np.zeros(n, np.int64) if extra is None else extra(off).astype(np.int64)
+            known = np.stack([np.asarray(ids.fill_null(0), np.int64), more, np.asarray(ids.is_valid(), np.int64)])
+            yield pa.RecordBatch.from_pylist([{"block": key, "bucket": -1, "data": known.tobytes()}], schema=_ARROW)
             tokens, owner = split(buf, off)
+            if not len(tokens):
+                continue
             coded = tokens.dictionary_encode()
-            pair = np.asarray(coded.indices, np.int64) * n + owner
+            letters, edge = text_buffer(coded.dictionary)
+            bucket = (span_hash(prefix_hash(letters), edge[:-1], edge[1:]) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            pair = rank[np.asarray(coded.indices)] * n + owner
             pair.sort()
             at = run_starts(pair)
             freq = np.diff(np.append(at, len(pair)))
             word, doc = pair[at] // n, pair[at] % n
             at = run_starts(word)
-            if len(at):
-                step = np.diff(doc, prepend=0)
-                step[at] = doc[at]
-                packed = pack(np.stack([step, freq], axis=1).ravel(), 2 * at)
-                out = pa.Table.from_arrays([coded.dictionary.cast(pa.binary()).take(pa.array(word[at])), pa.array(np.full(len(at), key)), packed], schema=_ARROW)
-                yield from out.to_batches(max_chunksize=20_000)
-            more = np.zeros(n, np.int64) if extra is None else extra(off).astype(np.int64)
-            valid = np.asarray(ids.is_valid(), np.int64)
-            yield pa.RecordBatch.from_pylist([{"token": name + str(key).encode(), "block": ~key, "data": np.stack([plain, more, valid]).tobytes()}], schema=_ARROW)
-    return rows.mapInArrow(run, SCHEMA)
-
-
-def together(rows: DataFrame, long: int = 1024, shares: int = 64) -> DataFrame:
-    """Postings with all rows of a token next to each other; rows of many documents are a hot token's, and go to ``shares`` tasks."""
-    share = F.when(F.length("data") > long, F.pmod(F.xxhash64("block"), F.lit(shares))).otherwise(F.lit(0))
-    return rows.repartition("token", share).sortWithinPartitions("token")
-
-
-def sum_rows(joined: DataFrame, values: list[str], keep: int = 1 << 20, look: Callable[[pa.Array], np.ndarray] | None = None) -> DataFrame:
-    """(doc_id, extra, and for each of ``values`` the sum of value x frequency) for each document.
+            step = np.diff(doc, prepend=0)
+            step[at] = doc[at]
+            letters, edge = text_buffer(coded.dictionary.take(pa.array(order)))
+            begin = run_starts(bucket[order])
+            for a in range(0, len(begin), 64):  # some rows at a time
+                b = begin[a:a + 64]
+                lo, hi = b[0], begin[a + 64] if a + 64 < len(begin) else len(order)
+                first, last = at[lo], at[hi] if hi < len(at) else len(doc)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(b), key)), pa.array(bucket[order[b]]), cut(letters[edge[lo]:edge[hi]], edge[b] - edge[lo]),
+                     pack(np.diff(edge[lo:hi + 1]), b - lo), pack(np.diff(np.append(at[lo:hi], last)), b - lo),
+                     pack(np.stack([step[first:last], freq[first:last]], axis=1).ravel(), 2 * (at[b] - first))], schema=_ARROW)
+    return rows.mapInArrow(run, _CODED)
+
+
+def count_tokens(coded: DataFrame, look: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
+    """(block, bucket, counts): ``look``'s number, not below 0, of each token, asked once per distinct token."""
+    rows = coded.filter("bucket >= 0").select("block", "bucket", "tokens", "sizes").repartition("bucket").sortWithinPartitions("bucket")
 
-    ``joined``: postings with a double column for each of ``values``, null where the token has none; or with ``look``,
-    postings alone, of which it gives the one value for each of a batch's tokens. A document's sums come from any
-    number of tasks; integers below 2**53 stay exact.
-    """
-    schema = "row_key bigint, doc_id bigint, extra bigint, " + ", ".join(f"{v} double" for v in values)
-    arrow = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("extra", pa.int64())] + [(v, pa.float64()) for v in values])
+    def run(batches):
+        now, known = None, {}
+        for batch in batches:
+            for i, bucket in enumerate(batch.column("bucket").to_pylist()):
+                if bucket != now:
+                    now, known = bucket, {}
+                edge = np.concatenate(([0], np.cumsum(unpack(batch.column("sizes").slice(i, 1))[0]))).tolist()
+                data = batch.column("tokens")[i].as_py()
+                tokens = [data[a:b] for a, b in zip(edge, edge[1:])]
+                new = [t for t in tokens if t not in known]
+                known.update(zip(new, look(new).tolist()))
+                counts = pack(np.array([known[t] for t in tokens], np.int64), np.zeros(1, np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column("block").slice(i, 1), batch.column("bucket").slice(i, 1), counts], ["block", "bucket", "counts"])
+    return rows.mapInArrow(run, "block bigint, bucket bigint, counts binary")
+
+
+def sum_counts(coded: DataFrame, counts: DataFrame) -> DataFrame:
+    """(doc_id, extra, total): for each document the sum of count x frequency over its tokens, exact below 2**53."""
+    both = (coded.select("block", "bucket", "spread", "data", F.lit(0).alias("kind"))
+            .unionByName(counts.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+            .repartition("block").sortWithinPartitions("block", "bucket", "kind"))
 
-    def add(keys: list, sums: list) -> tuple[np.ndarray, np.ndarray]:
-        k, back = np.unique(np.concatenate(keys), return_inverse=True)
-        s = np.concatenate(sums)
-        return k, np.stack([np.bincount(back, weights=s[:, j], minlength=len(k)) for j in range(len(values))], axis=1)
+    def run(batches):
+        docs, places, parts = None, [], []
 
-    def rows(k, s):
-        none = pa.nulls(len(k), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(k), none, none] + [pa.array(s[:, j]) for j in range(len(values))], schema=arrow)
+        def done():
+            if docs is not None:
+                ids, extra, valid = docs
+                total = np.zeros(len(ids)) if not places else np.bincount(np.concatenate(places), weights=np.concatenate(parts), minlength=len(ids))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=valid == 0), pa.array(extra), pa.array(total.astype(np.int64))], ["doc_id", "extra", "total"])
 
-    def run(batches):
-        keys, sums, held = [], [], 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            block = np.asarray(batch.column("block"), np.int64)
-            for i in np.flatnonzero(block < 0):
-                ids, extra, ok = np.frombuffer(batch.column("data")[int(i)].as_py(), np.int64).reshape(3, -1)
-                k = (int(~block[i]) << ORD_BITS) + np.arange(len(ids))
-                zero = pa.array(np.zeros(len(ids)))
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(ids, mask=ok == 0), pa.array(extra)] + [zero] * len(values), schema=arrow)
-            part = batch.filter(pa.array(block >= 0))
-            if part.num_rows:
-                found, off = unpack(part.column("data"))
-                docs, freq, off = found[::2], found[1::2], off // 2
-                size = np.diff(off)
-                # differences begin anew in each row
-                run_on = np.cumsum(docs)
-                docs = run_on - np.repeat(run_on[off[:-1]] - docs[off[:-1]], size)
-                keys.append((np.repeat(block[block >= 0], size) << ORD_BITS) + docs)
-                value = (np.stack([np.asarray(part.column(v).fill_null(0.0), float) for v in values], axis=1) if look is None
-                         else look(part.column("token")).astype(float)[:, None])
-                sums.append(np.repeat(value, size, axis=0) * freq[:, None])
-                held += len(docs)
-                if held >= 2 * keep:
-                    k, s = add(keys, sums)
-                    if len(k) >= keep:
-                        yield rows(k, s)
-                        keys, sums, held = [], [], 0
-                    else:
-                        keys, sums, held = [k], [s], len(k)
-        if keys:
-            yield rows(*add(keys, sums))
-
-    return (joined.mapInArrow(run, schema).groupBy("row_key")
-            .agg(F.max("doc_id").alias("doc_id"), F.max("extra").alias("extra"), *[F.sum(v).alias(v) for v in values])
-            .drop("row_key"))
+            for i, (bucket, kind) in enumerate(zip(batch.column("bucket").to_pylist(), batch.column("kind").to_pylist())):
+                if bucket < 0:
+                    yield from done()
+                    docs = np.frombuffer(batch.column("data")[i].as_py(), np.int64).reshape(3, -1)
+                    places, parts = [], []
+                elif kind == 0:
+                    spread = unpack(batch.column("spread").slice(i, 1))[0]
+                    found = unpack(batch.column("data").slice(i, 1))[0]
+                    step, freq = found[::2], found[1::2]
+                    # differences begin anew with each token
+                    at = np.cumsum(spread) - spread
+                    run_on = np.cumsum(step)
+                    places.append((run_on - np.repeat(run_on[at] - step[at], spread)).astype(np.int32))
+                else:
+                    parts.append(np.repeat(unpack(batch.column("counts").slice(i, 1))[0], spread) * freq)
+        yield from done()
+    return both.mapInArrow(run, "doc_id bigint, extra bigint, total bigint")

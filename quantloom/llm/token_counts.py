@@ -1,11 +1,8 @@
 """Token counts without token ids.
 
 The piece model never joins a character to a space after it (no piece has a space mark behind another character),
-so a text is a row of pre-tokens, each some spaces and what follows up to the next space. The frequencies of
-pre-tokens per document are brought together by pre-token; pieces are counted at the first row of each, joined to the
-rows that follow it, and summed. Only a pre-token in very many documents is counted in several tasks, once in each.
-Texts are split once, and no table of pre-tokens beside the frequencies is shuffled. ``piece_counts`` gives such a
-table to callers that want one.
+so a text is a row of pre-tokens, each some spaces and what follows up to the next space. Pieces are counted once
+per distinct pre-token, joined to the frequencies of pre-tokens per document, and summed (see ``postings``).
 
 Results for odd input: a null or empty text has 0 tokens; a null id gives a row with a null id; repeated rows give
 a row each; an empty table gives no rows; other columns are ignored.
@@ -13,14 +10,14 @@ a row each; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quantloom.llm.common import text_rows
-from quantloom.llm.postings import distinct_tokens, postings, sum_rows, together
+from quantloom.llm.common import text_rows, write_out
+from quantloom.llm.postings import bucket_count, coded_blocks, count_tokens, sum_counts
 
 _MARK = (0xE2, 0x96, 0x81)  # the space mark in UTF-8
 
@@ -51,46 +48,21 @@ def _model(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
-def pieces_of(tokens: pa.Array, model_path: str) -> np.ndarray:
+def piece_counts(tokens: list[bytes], model_path: str) -> np.ndarray:
     """The number of pieces of each pre-token."""
     model = _model(model_path)
     mark = len(model.encode("a ")) - len(model.encode("a"))  # of a space mark alone, at a text's end
     # the model puts one space mark before what it is given
-    text = [t[1:].decode("utf-8", "replace") for t in tokens.to_pylist()]
+    text = [t[1:].decode("utf-8", "replace") for t in tokens]
     return np.array([len(x) if t else mark for t, x in zip(text, model.encode(text, num_threads=1))] if text else [], np.int64)
 
 
-def piece_counts(tokens: DataFrame, model_path: str) -> DataFrame:
-    """(token, pieces) for a table of distinct pre-tokens."""
-    def run(batches):
-        for batch in batches:
-            token = batch.column("token")
-            yield pa.RecordBatch.from_arrays([token.cast(pa.binary()), pa.array(pieces_of(token, model_path).astype(float))], ["token", "pieces"])
-    return tokens.mapInArrow(run, "token binary, pieces double")
-
-
-class Pieces:
-    """Pieces of pre-tokens that come in order, each counted where it first stands."""
-
-    def __init__(self, model_path: str):
-        self.model_path, self.last, self.count = model_path, None, 0
-
-    def __call__(self, tokens: pa.Array) -> np.ndarray:
-        coded = tokens.dictionary_encode()
-        kinds = coded.dictionary
-        known = kinds[0].as_py() == self.last  # goes on from the batch before
-        counts = pieces_of(kinds.slice(int(known)), self.model_path)
-        if known:
-            counts = np.concatenate(([self.count], counts))
-        out = counts[np.asarray(coded.indices)]
-        self.last, self.count = tokens[-1].as_py(), out[-1]
-        return out
-
-
-def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text",
+                 block_bytes: int = 16 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for every document."""
     rows = text_rows(docs, id_col, text_col)
-    found = together(postings(rows, pre_tokens, b"\0", extra=np.diff))
-    return (sum_rows(found, ["pieces"], look=Pieces(model_path))
-            .select("doc_id", F.col("extra").alias("n_bytes"), F.col("pieces").cast("bigint").alias("n_tokens"))
+    coded = write_out(coded_blocks(rows, pre_tokens, bucket_count(rows, bucket_bytes), np.diff, block_bytes), "frequencies")
+    counts = count_tokens(coded, partial(piece_counts, model_path=model_path))
+    return (sum_counts(coded, counts)
+            .select("doc_id", F.col("extra").alias("n_bytes"), F.col("total").alias("n_tokens"))
             .withColumn("over_limit", F.col("n_tokens") > limit))

@@ -1,13 +1,10 @@
-"""Numbers of variable length, and hot pre-tokens split over tasks."""
+"""Numbers of variable length, and each distinct token looked at once."""
 
 import numpy as np
-import public_tokenizers as P
 
-from quantloom.llm.common import text_rows
-from quantloom.llm.postings import pack, postings, sum_rows, together, unpack
-from quantloom.llm.token_counts import Pieces, pre_tokens, token_counts
-
-PATH = P.path("piece_bpe_32k.model")
+from quantloom.llm.common import text_rows, write_out
+from quantloom.llm.postings import coded_blocks, count_tokens, pack, sum_counts, unpack
+from quantloom.llm.token_counts import pre_tokens
 
 
 def test_pack_round_trip():
@@ -26,10 +23,16 @@ def test_pack_nothing():
     assert len(back) == 0 and off.tolist() == [0]
 
 
-def test_hot_tokens_in_shares(odd):
-    """The same sums whether no row, or each, counts as a hot token's, with blocks of any size."""
-    want = sorted([(r.doc_id, r.n_bytes, r.n_tokens) for r in token_counts(odd, PATH).collect()], key=repr)
-    for long, size in ((0, 100), (1 << 20, 100), (0, 1 << 20)):
-        found = together(postings(text_rows(odd), pre_tokens, b"\0", extra=np.diff, block_bytes=size), long=long, shares=3)
-        out = sum_rows(found, ["pieces"], keep=2, look=Pieces(PATH)).collect()
-        assert sorted([(r.doc_id, r.extra, int(r.pieces)) for r in out], key=repr) == want
+def test_each_token_once(odd):
+    """Many buckets and blocks; a sum of ones is the number of pre-tokens."""
+    def once(tokens):
+        assert len(set(tokens)) == len(tokens)
+        return np.ones(len(tokens), np.int64)
+    coded = write_out(coded_blocks(text_rows(odd), pre_tokens, 40, block_bytes=100))
+    assert coded.filter("bucket >= 0").groupBy("block", "bucket").count().filter("count > 1").isEmpty()
+    out = sum_counts(coded, count_tokens(coded, once)).collect()
+
+    def brute(r):
+        text = " " + (r.text or "")
+        return r.doc_id, sum(c == " " and (i == 0 or text[i - 1] not in " \u2581") for i, c in enumerate(text)) if r.text else 0
+    assert sorted([(r.doc_id, r.total) for r in out], key=repr) == sorted([brute(r) for r in odd.collect()], key=repr)
