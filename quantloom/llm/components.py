@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from quantloom.llm.common import write_out
+from quantloom.llm.common import discard, write_out
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node that links (a, b) reach, for every node that has a link.
 
     Rounds go on until nothing changes. Each is written to the shared folder, so plans stay short and a lost executor
-    costs one round. Null ends and links of a node to itself are left out; repeated links count once; no links, no rows.
+    costs one round; a round that the next has read is deleted. Null ends and links of a node to itself are left out; repeated links count once; no links, no rows.
     """
     edges = write_out(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
     mark = None
@@ -23,7 +23,8 @@ def components(links: DataFrame) -> DataFrame:
         # so do a node and its smaller neighbours
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        edges = write_out(small.filter("a <> b").distinct(), "stars")
+        old, edges = edges, write_out(small.filter("a <> b").distinct(), "stars")
+        discard(old)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == mark:
             break

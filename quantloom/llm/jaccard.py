@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quantloom.llm.common import mix64, prefix_hash, slices, span_hash, text_buffer, text_rows, words_in, write_out
+from quantloom.llm.common import discard, mix64, prefix_hash, slices, span_hash, text_buffer, text_rows, words_in, write_out
 from quantloom.llm.components import components
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -310,46 +310,65 @@ def _linked(measured: DataFrame, join: Join) -> DataFrame:
 
 
 def _open_groups(groups: DataFrame, links: DataFrame) -> DataFrame:
-    """(group, point, component, size) of the groups whose members are in more than one component."""
+    """(group, point, component, size) of the groups whose members are in more than one component, written."""
     found = write_out(components(links), "components")
     named = groups.join(found.withColumnRenamed("node", "point"), "point", "left").withColumn("component", F.coalesce("component", "point"))
     size = named.groupBy("group").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    return named.join(size.select("group", "size"), "group")
+    out = write_out(named.join(size.select("group", "size"), "group"), "open")
+    discard(found)
+    return out
 
 
 def linked_points(rows: DataFrame, counted: DataFrame, join: Join) -> DataFrame:
-    """(a, b): links between points that connect all points that are linked."""
+    """(a, b): links between points that connect all points that are linked, written.
+
+    Every table is deleted after its last reader, so the folder holds the sets, the links and one round.
+    """
     spark = rows.sparkSession
     levels = spark.sparkContext.broadcast(shingle_levels(counted, join))
     members = write_out(region_members(first_regions(rows, levels, join)).withColumn("region", F.col("pivot")), "regions")
-    points = members.select("point").unionByName(members.select(F.col("pivot").alias("point"))).distinct()
+    points = write_out(members.select("point").unionByName(members.select(F.col("pivot").alias("point"))).distinct(), "points")
     sets = write_out(sets_of(rows, points, join), "sets")
-    links, measured = None, None
+    discard(points)
+    links = None
+
+    def add(now: DataFrame) -> DataFrame:
+        out = write_out(now if links is None else links.unionByName(now), "links")
+        if links is not None:
+            discard(links)
+        return out
+
     for level in range(join.max_rounds + 1):
         measured = write_out(distances(members, sets, join), "distances")
-        now = _linked(measured, join)
-        links = write_out(now if links is None else links.unionByName(now), "links")
+        discard(members)
+        links = add(_linked(measured, join))
         # rings as wide as the distance, and the next; the pivot is done
         ring = F.floor((1 - F.col("inside") / F.col("union")) / (1 - join.percent / 100.0) - 1e-9).cast("int")
         rings = measured.select("region", "point", F.explode(F.array(ring, ring + 1)).alias("ring"))
         groups = rings.select(F.xxhash64("region", "ring", F.lit(level)).alias("group"), "point").distinct()
-        open_ = write_out(_open_groups(groups, links), "open")
+        open_ = _open_groups(groups, links)
+        discard(measured)
         if open_.isEmpty():
-            return links
-        links = write_out(links.unionByName(compare_leaves(open_.filter(F.col("size") <= join.leaf).drop("size"), sets, join)), "links")
+            discard(open_)
+            break
+        links = add(compare_leaves(open_.filter(F.col("size") <= join.leaf).drop("size"), sets, join))
         large = open_.filter(F.col("size") > join.leaf).select("group", "point", "component", "size")
         if level == join.max_rounds:
+            # what pivots can't part: every block of members against every other
+            blocks = F.ceil(F.col("size") * 2 / join.leaf).cast("int")
+            cut = large.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("point", F.lit("block")), F.col("blocks")).cast("int"))
+            both = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+            both = both.select(F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "point", "component")
+            links = add(compare_leaves(both, sets, join))
+            discard(open_)
             break
         lead = large.groupBy("group").agg(F.min_by("point", F.xxhash64("point", F.lit(level))).alias("pivot"))
         members = write_out(large.join(lead, "group").filter("point <> pivot").select(F.col("group").alias("region"), "pivot", "point"), "regions")
+        discard(open_)
         if members.isEmpty():
-            return links
-    # what pivots can't part: every block of members against every other
-    blocks = F.ceil(F.col("size") * 2 / join.leaf).cast("int")
-    cut = large.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("point", F.lit("block")), F.col("blocks")).cast("int"))
-    both = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    both = both.select(F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "point", "component")
-    return links.unionByName(compare_leaves(both, sets, join))
+            break
+    discard(sets)
+    return links
 
 
 def jaccard_components(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -358,7 +377,9 @@ def jaccard_components(docs: DataFrame, join: Join = Join(), id_col: str = "doc_
     counted = write_out(with_sets(rows, join), "set-ids")
     ids = counted.filter("part is null").select("doc_id", "n", "point", "check")
     first = ids.filter("n > 0").groupBy("point").agg(F.min("doc_id").alias("first_id"))
-    found = write_out(components(linked_points(rows, counted, join)), "components")
+    links = linked_points(rows, counted, join)
+    found = write_out(components(links), "components")
+    discard(links)
     # a component's id is the smallest document of all its points
     group = first.join(found.withColumnRenamed("node", "point"), "point", "left").withColumn("component", F.coalesce("component", "point"))
     least = group.groupBy("component").agg(F.min("first_id").alias("component_id"))
