@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quantloom.operators.layout import shared_dir, write_out
 
-__all__ = ["shared_dir", "store", "write_out", "discard", "table", "text_rows", "text_buffer", "words_in", "mix64", "prefix_hash", "span_hash", "run_starts", "WORD_SPACE", "slices"]
+__all__ = ["shared_dir", "store", "write_out", "discard", "drop_shuffles", "table", "text_rows", "text_buffer", "words_in", "mix64", "prefix_hash", "span_hash", "run_starts", "WORD_SPACE", "slices"]
 
 #: The six bytes between words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD_SPACE = b" \t\n\x0b\x0c\r"
@@ -154,14 +154,18 @@ def store(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
 
 
 def discard(written: DataFrame) -> None:
-    """Delete a table of write_out() that no later step reads, and let Spark drop the shuffles that made it.
-
-    Spark deletes shuffle files once the driver's JVM has collected the plans that refer to them, which in a loop of
-    rounds may be long after.
-    """
-    spark = written.sparkSession
+    """Delete a table of write_out() that no later step reads, and let Spark drop the shuffles that made it."""
     files = written.inputFiles()
     if files:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        folder = written.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(written.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+    drop_shuffles(written.sparkSession)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark drop the shuffles of finished steps.
+
+    Spark deletes shuffle files once the driver's JVM has collected the plans that refer to them, which may be long
+    after, with executors' disks filling up meanwhile.
+    """
     spark._jvm.System.gc()

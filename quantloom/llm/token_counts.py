@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quantloom.llm.common import text_rows, write_out
+from quantloom.llm.common import drop_shuffles, text_rows, write_out
 from quantloom.llm.postings import bucket_count, coded_blocks, count_tokens, sum_counts
 
 _MARK = (0xE2, 0x96, 0x81)  # the space mark in UTF-8
@@ -62,7 +62,8 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
     """(doc_id, n_bytes, n_tokens, over_limit) for every document."""
     rows = text_rows(docs, id_col, text_col)
     coded = write_out(coded_blocks(rows, pre_tokens, bucket_count(rows, bucket_bytes), np.diff, block_bytes), "frequencies")
-    counts = count_tokens(coded, partial(piece_counts, model_path=model_path))
+    counts = write_out(count_tokens(coded, partial(piece_counts, model_path=model_path)), "counts")
+    drop_shuffles(docs.sparkSession)
     return (sum_counts(coded, counts)
             .select("doc_id", F.col("extra").alias("n_bytes"), F.col("total").alias("n_tokens"))
             .withColumn("over_limit", F.col("n_tokens") > limit))
