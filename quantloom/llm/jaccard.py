@@ -6,8 +6,9 @@ the distance are found by regions around pivots:
 1. The first pivots are the single shingles. Every set lies nearest to the pivots of its own shingles, and among
    those in the region of the one that comes first in a fixed order of all shingles (those in few documents first).
    A set within the distance lacks at most a fifth of the shingles, so a set is replicated to the regions of its
-   first fifth and one more: then two linked sets share a region.
-2. In each region the set with the smallest hash is the region's pivot. Regions with the same pivot are one. The
+   first fifth and one more: then two linked sets share the region of their first common shingle. From its place in
+   both follows how large the other may be, and a region falls apart where sizes leave a gap.
+2. In each region the smallest set, of equal ones that with the smallest hash, is the region's pivot. Regions with the same pivot are one. The
    exact distance of every member to its pivot is measured as members stream past it; a pivot with many members
    is sent to several tasks.
 3. Members within the distance are linked to the pivot, so they need not be compared with each other. By the
@@ -135,14 +136,15 @@ def shingle_levels(counted: DataFrame, join: Join) -> np.ndarray:
 
 
 def first_regions(rows: DataFrame, levels, join: Join) -> DataFrame:
-    """(cell, point): every set with the shingles of whose regions it is a member."""
-    schema = pa.schema([("cell", pa.int64()), ("point", pa.int64())])
+    """(cell, point, n, most): every set with the shingles of whose regions it is a member, its size, and the most shingles
+    that a set may have whose first common shingle with it this is, if they are linked."""
+    schema = pa.schema([("cell", pa.int64()), ("point", pa.int64()), ("n", pa.int32()), ("most", pa.int32())])
 
     def run(batches):
         level, seen = levels.value, set()
         for batch in batches:
             for part in slices(batch, "text", join.slice_bytes):
-                cells, points, sizes = [], [], []
+                cells, points, sizes, keeps, most = [], [], [], [], []
                 for _, s in shingle_sets(part, join):
                     point = set_id(s)[0]
                     if point in seen:  # a copy met in this task
@@ -154,37 +156,43 @@ def first_regions(rows: DataFrame, levels, join: Join) -> DataFrame:
                     keep = n - (join.percent * n + 99) // 100 + 1
                     cells.append(s[np.argsort(lv, kind="stable")[:keep]])
                     points.append(point)
-                    sizes.append(keep)
+                    sizes.append(n)
+                    keeps.append(keep)
+                    # those before it are not common, so at most n less its place are
+                    most.append((n - np.arange(keep)) * (100 + join.percent) // join.percent - n)
                 if cells:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells).view(np.int64)), pa.array(np.repeat(np.array(points, np.int64), sizes))], schema=schema)
-    return rows.mapInArrow(run, "cell bigint, point bigint")
+                    each = (np.repeat(np.array(x), keeps) for x in (np.array(points, np.int64), np.array(sizes, np.int32)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells).view(np.int64)), *map(pa.array, each), pa.array(np.concatenate(most).astype(np.int32))], schema=schema)
+    return rows.mapInArrow(run, "cell bigint, point bigint, n int, most int")
 
 
 def region_members(cells: DataFrame) -> DataFrame:
     """(pivot, point) for all members but the pivot itself of regions with two or more.
 
-    Rows of a region follow each other by hash, so its first is the pivot, and only that is held while the others pass.
+    Rows of a shingle follow each other by size. Where the next is larger than any set before it may be linked with,
+    another region begins, so sets of sizes that can't be linked don't meet. A region's first is its pivot, and only
+    that and the largest size are held while the others pass.
     """
     ordered = (cells.withColumn("order", F.xxhash64("point")).repartition("cell")
-               .sortWithinPartitions("cell", "order", "point"))
+               .sortWithinPartitions("cell", "n", "order", "point"))
     schema = pa.schema([("pivot", pa.int64()), ("point", pa.int64())])
 
     def run(batches):
-        cell = pivot = None
+        cell = pivot = reach = None
         seen: set = set()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            c, p = np.asarray(batch.column("cell")), np.asarray(batch.column("point"))
-            new = np.concatenate(([cell is None or c[0] != cell], c[1:] != c[:-1]))
-            first = np.maximum.accumulate(np.where(new, np.arange(len(c)), -1))
-            lead = np.where(first >= 0, p[first], pivot if pivot is not None else 0)
-            cell, pivot = c[-1], lead[-1]
-            other = lead != p
-            pairs = np.unique(np.stack([lead[other], p[other]], axis=1), axis=0)
-            fresh = [x for x in map(tuple, pairs.tolist()) if x not in seen]
-            if len(seen) < 1_000_000:
-                seen.update(fresh)
+            fresh = []
+            for c, p, n, most in zip(*(batch.column(x).to_pylist() for x in ("cell", "point", "n", "most"))):
+                if c != cell or n > reach:
+                    cell, pivot, reach = c, p, most
+                    continue
+                reach = max(reach, most)
+                if p != pivot and (pivot, p) not in seen:
+                    fresh.append((pivot, p))
+                    if len(seen) < 1_000_000:
+                        seen.add((pivot, p))
             if fresh:
                 a, b = zip(*fresh)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
