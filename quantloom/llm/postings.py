@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -118,6 +119,17 @@ def distinct_tokens(rows: DataFrame, split: Split, block_bytes: int = 16 << 20)
     return rows.mapInArrow(run, "token binary")
 
 
+def squeezed(col: pa.Array) -> pa.Array:
+    """Each binary compressed by itself."""
+    press = zstandard.ZstdCompressor(level=1)
+    return pa.array([press.compress(x) for x in col.to_pylist()], pa.binary())
+
+
+def restored(col: pa.Array, i: int) -> pa.Array:
+    """Row i of a squeezed column."""
+    return pa.array([zstandard.ZstdDecompressor().decompress(col[i].as_py())], pa.binary())
+
+
 def bucket_count(rows: DataFrame, bucket_bytes: int = 8 << 20) -> int:
     """A bucket for every ``bucket_bytes`` of text."""
     return 1 + (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // bucket_bytes
@@ -127,8 +139,8 @@ def coded_blocks(rows: DataFrame, split: Split, buckets: int, extra: Callable[[n
                  block_bytes: int = 16 << 20) -> DataFrame:
     """For (doc_id, text) rows the blocks' tokens and frequencies (block, bucket, tokens, sizes, spread, data).
 
-    Bucket -1 of a block names its documents. ``extra`` gives an integer per document from the offsets. The result must
-    be written before it is used twice, so that blocks stay what they are when a task runs again.
+    Bucket -1 of a block names its documents. ``extra`` gives an integer per document from the offsets. The binaries of
+    buckets are compressed. The result must be written before it is used twice, so that blocks stay what they are when a task runs again.
     """
     def run(batches):
         task = TaskContext.get().partitionId()
@@ -163,9 +175,10 @@ def coded_blocks(rows: DataFrame, split: Split, buckets: int, extra: Callable[[n
                 lo, hi = b[0], begin[a + 64] if a + 64 < len(begin) else len(order)
                 first, last = at[lo], at[hi] if hi < len(at) else len(doc)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(b), key)), pa.array(bucket[order[b]]), cut(letters[edge[lo]:edge[hi]], edge[b] - edge[lo]),
-                     pack(np.diff(edge[lo:hi + 1]), b - lo), pack(np.diff(np.append(at[lo:hi], last)), b - lo),
-                     pack(np.stack([step[first:last], freq[first:last]], axis=1).ravel(), 2 * (at[b] - first))], schema=_ARROW)
+                    [pa.array(np.full(len(b), key)), pa.array(bucket[order[b]])] + [squeezed(x) for x in (
+                        cut(letters[edge[lo]:edge[hi]], edge[b] - edge[lo]), pack(np.diff(edge[lo:hi + 1]), b - lo),
+                        pack(np.diff(np.append(at[lo:hi], last)), b - lo),
+                        pack(np.stack([step[first:last], freq[first:last]], axis=1).ravel(), 2 * (at[b] - first)))], schema=_ARROW)
     return rows.mapInArrow(run, _CODED)
 
 
@@ -179,8 +192,8 @@ def count_tokens(coded: DataFrame, look: Callable[[list[bytes]], np.ndarray]) ->
             for i, bucket in enumerate(batch.column("bucket").to_pylist()):
                 if bucket != now:
                     now, known = bucket, {}
-                edge = np.concatenate(([0], np.cumsum(unpack(batch.column("sizes").slice(i, 1))[0]))).tolist()
-                data = batch.column("tokens")[i].as_py()
+                edge = np.concatenate(([0], np.cumsum(unpack(restored(batch.column("sizes"), i))[0]))).tolist()
+                data = restored(batch.column("tokens"), i)[0].as_py()
                 tokens = [data[a:b] for a, b in zip(edge, edge[1:])]
                 new = [t for t in tokens if t not in known]
                 known.update(zip(new, look(new).tolist()))
@@ -211,8 +224,8 @@ def sum_counts(coded: DataFrame, counts: DataFrame) -> DataFrame:
                     docs = np.frombuffer(batch.column("data")[i].as_py(), np.int64).reshape(3, -1)
                     places, parts = [], []
                 elif kind == 0:
-                    spread = unpack(batch.column("spread").slice(i, 1))[0]
-                    found = unpack(batch.column("data").slice(i, 1))[0]
+                    spread = unpack(restored(batch.column("spread"), i))[0]
+                    found = unpack(restored(batch.column("data"), i))[0]
                     step, freq = found[::2], found[1::2]
                     # differences begin anew with each token
                     at = np.cumsum(spread) - spread
