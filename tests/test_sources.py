@@ -132,3 +132,10 @@ def test_small_scale_matches_sql(spark, sf_dir, name):
     for c in cols:
         if got[c].dtype.kind == "f":
             assert sorted(got[c].fillna(1e99)) == pytest.approx(sorted(want[c].fillna(1e99)))
+
+
+def test_weekly_bars_are_shuffled_once(spark, sf_dir):
+    """Day totals and the map of blocks are small and known to be so: only the series window moves the bars."""
+    from quantloom.sources import fixtures as fx
+    plan = fx.weekly_bars(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1
