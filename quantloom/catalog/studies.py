@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quantloom.catalog.base import (BARS_SQL, FACTORS, LONG_SQL, NEUTRAL_SQL, PANEL_SQL, Catalog, R, at_least, avg_rank,
-                                    fin, heavy, long_panel, neutral_panel, out, panel, rank_ic_sql)
+                                    fin, heavy, long_panel, neutral_days, neutral_ic, neutral_panel, neutral_spread, out,
+                                    panel, rank_ic_sql, sized_panel)
 from quantloom.catalog.bars import REGISTRY, registry_table
 from quantloom.catalog.sections import DAYS_SQL, LS_SQL, POOLED_SQL, WF_SQL
 from quantloom.functions import formula
 from quantloom.functions.exprs import rounded
-from quantloom.operators import backtest, combine, gates, inference, models, pool, splits, xsection as xs
+from quantloom.operators import backtest, combine, daily, gates, inference, models, pool, splits, xsection as xs
 from quantloom.operators.layout import write_out
 from quantloom.plans import series
 from quantloom.sources import fixtures as fx, io, registry
@@ -54,7 +55,9 @@ def fm_out(df, by=("fid",)):
 
 
 def neutral_fm(spark, sf, **kw):
-    return inference.fama_macbeth(neutral_panel(spark, sf), heavy=heavy(spark, sf), **kw)
+    if heavy(spark, sf):
+        return inference.fama_macbeth(neutral_panel(spark, sf), heavy=True, **kw)
+    return inference.fama_macbeth_daily(neutral_days(spark, sf), **kw)
 
 
 def stored_fm(spark, sf):
@@ -282,7 +285,7 @@ def _gs_sql() -> str:
   SELECT fid, {R('alpha', 'alpha', 5)}, {R('t', 't_alpha', 4)}, {R('r2', 'r2', 5)}, n,
   CASE WHEN abs(t) > 2 THEN 'Pure Alpha' WHEN abs(t) > 1.5 THEN 'Marginal' ELSE 'Risk-proxy' END AS judgment FROM tt""")
 def orthogonality(spark, sf):
-    ls = xs.long_short_by_count(neutral_panel(spark, sf), heavy=heavy(spark, sf))
+    ls = neutral_spread(spark, sf)
     d = inference.style_orthogonality(write_out(ls, "ls"), styles(spark, sf), STYLES)
     return out(d.select("fid", F.round("alpha", 5).alias("alpha"), F.round("t_alpha", 4).alias("t_alpha"),
                         F.round("r2", 5).alias("r2"), "n", "judgment"))
@@ -365,7 +368,7 @@ ICW = rank_ic_sql('neutral', min_rows=30)
    SELECT fid, CAST(part AS BIGINT) AS "window", CAST(sum(n) AS BIGINT) AS n_rows, count(ic) AS n_days, {R('avg(ic) / (stddev_samp(ic) + 1e-8)', 'icir')}
    FROM ic JOIN dw USING (date) GROUP BY fid, part HAVING sum(n) >= 200 AND count(ic) >= 5""")
 def wicir(spark, sf):
-    ic = xs.rank_ic(neutral_panel(spark, sf), min_rows=30, heavy=heavy(spark, sf))
+    ic = neutral_ic(spark, sf)
     w = splits.equal_parts(panel(spark, sf).select("date"), 3).withColumnRenamed("part", "window")
     return out(inference.window_icir(ic, w))
 
@@ -377,7 +380,7 @@ def wicir(spark, sf):
   SELECT fid, {R('avg(icir)', 'mean_icir')}, {R('min(icir)', 'min_icir')}, {R('max(icir)', 'max_icir')}, count(*) AS n_windows,
   (min(icir) > 0 OR max(icir) < 0) AS same_sign, {R('greatest(avg((icir > 0)::INT), avg((icir < 0)::INT))', 'hit_rate')} FROM pw GROUP BY fid""")
 def stability(spark, sf):
-    ic = xs.rank_ic(neutral_panel(spark, sf), min_rows=30, heavy=heavy(spark, sf))
+    ic = neutral_ic(spark, sf)
     w = splits.rolling_month_windows(panel(spark, sf).select("date"))
     return out(inference.stability_summary(inference.window_icir(ic, w)))
 
@@ -898,7 +901,7 @@ LSN = f"WITH {NEUTRAL_SQL}, {LS_SQL.format(src='neutral')}"
 
 
 def ls_panel(spark, sf):
-    return fx.stored(spark, ("ls", sf), lambda: xs.long_short_by_count(neutral_panel(spark, sf), heavy=heavy(spark, sf)))
+    return fx.stored(spark, ("ls", sf), lambda: neutral_spread(spark, sf))
 
 
 @C.add("annualised_spreads", f"""{LSN} SELECT fid, count(ls) AS n_days, {R('CASE WHEN avg(ls) > -1 THEN 252 * ln(1 + avg(ls)) END', 'log_annual', 4)}, {R('avg(ls) / (stddev_samp(ls) / sqrt(count(ls)))', 't_mean', 5)},
@@ -936,8 +939,16 @@ def aligned(spark, sf):
     return fx.stored(spark, ("aligned", sf), lambda: combine.aligned(xs.neutralise(long_panel(spark, sf), ["x"], ["ln_amt"])))
 
 
+def aligned_wide(spark, sf):
+    """The scores as one column per factor: they leave their dates as they came and are not put together again."""
+    z = fx.stored(spark, ("scores", sf), lambda: daily.scores(sized_panel(spark, sf), FACTORS))
+    return combine.aligned_wide(z, FACTORS)
+
+
 def score_rho(spark, sf):
-    return fx.stored(spark, ("score_rho", sf), lambda: combine.score_pairs(aligned(spark, sf), FACTORS))
+    if heavy(spark, sf):
+        return fx.stored(spark, ("score_rho", sf), lambda: combine.score_pairs(aligned(spark, sf), FACTORS))
+    return fx.stored(spark, ("score_rho", sf), lambda: pool.pair_table(aligned_wide(spark, sf), FACTORS))
 
 
 def picked(spark, sf):
@@ -957,14 +968,34 @@ def rho_of_scores(spark, sf):
 
 @C.add("equal_weight_combo", f"{COMBO} SELECT date, symbol, {R('x', 'x', 4)} FROM cb")
 def combo(spark, sf):
-    return out(combine.equal_weight(aligned(spark, sf), picked(spark, sf)).select("date", "symbol", "x"), 4)
+    if heavy(spark, sf):
+        return out(combine.equal_weight(aligned(spark, sf), picked(spark, sf)).select("date", "symbol", "x"), 4)
+    return out(combine.equal_weight_wide(aligned_wide(spark, sf), _picks(spark, sf), "x").select("date", "symbol", "x"), 4)
+
+
+def _picks(spark, sf):
+    return [r.fid for r in picked(spark, sf).orderBy("pick").collect()]  # at most PICKS names
+
+
+def _spreads(spark, sf):
+    """(fid, date, ls, n) of the picked factors and their combination."""
+    def build():
+        names = _picks(spark, sf)
+        wide = combine.equal_weight_wide(aligned_wide(spark, sf), names)
+        return daily.long_short(daily.sections(wide, [*names, "combo"]))
+    return fx.stored(spark, ("spreads", sf), build)
 
 
 def _combo_ls(spark, sf):
+    if not heavy(spark, sf):
+        return _spreads(spark, sf).filter("fid = 'combo'")
     return fx.stored(spark, ("combo_ls", sf), lambda: xs.long_short_by_count(combine.equal_weight(aligned(spark, sf), picked(spark, sf)), heavy=heavy(spark, sf)))
 
 
 def _picked_ls(spark, sf):
+    if not heavy(spark, sf):
+        return _spreads(spark, sf).filter("fid <> 'combo'")
+
     def build():
         own = aligned(spark, sf).join(picked(spark, sf).select("fid"), "fid", "left_semi")
         return xs.long_short_by_count(own, heavy=heavy(spark, sf))
@@ -994,7 +1025,7 @@ def synergy(spark, sf):
 
 
 def daily_ic(spark, sf):
-    return fx.stored(spark, ("daily_ic", sf), lambda: xs.rank_ic(neutral_panel(spark, sf), min_rows=30, heavy=heavy(spark, sf)))
+    return fx.stored(spark, ("daily_ic", sf), lambda: neutral_ic(spark, sf))
 
 
 IC_SQL = f"""ic AS (SELECT fid, date, ic, row_number() OVER (PARTITION BY fid ORDER BY date) - 1 AS pos, count(*) OVER (PARTITION BY fid) AS n

@@ -25,6 +25,20 @@ def aligned(long: DataFrame) -> DataFrame:
     return z.join(sign, "fid").withColumn("x", F.col("x") * flip).select(z.columns)
 
 
+def aligned_wide(z: DataFrame, factors: Sequence[str]) -> DataFrame:
+    """:func:`aligned` for the wide z-scores of :func:`daily.scores`: a column per factor, a row per (date, symbol)."""
+    sign = write_out(z.agg(*[pearson(F.col(f), F.col("ret")).alias(f"_r_{f}") for f in factors]), "signs")
+    flip = lambda f: F.when(F.col(f"_r_{f}") < 0, -1.0).otherwise(1.0)
+    return z.crossJoin(F.broadcast(sign)).select("date", "symbol", "ret", *[(F.col(f) * flip(f)).alias(f) for f in factors])  # one row
+
+
+def equal_weight_wide(z: DataFrame, picked: Sequence[str], out: str = "combo") -> DataFrame:
+    """Add the null-skipping mean of the picked factors' columns; rows without any of them go."""
+    there = reduce(lambda a, b: a + b, [F.col(c).isNotNull().cast("int") for c in picked])
+    total = reduce(lambda a, b: a + b, [F.coalesce(F.col(c), F.lit(0.0)) for c in picked])
+    return z.withColumn(out, F.try_divide(total, there)).filter(F.col(out).isNotNull())
+
+
 def score_pairs(z: DataFrame, factors: Sequence[str]) -> DataFrame:
     """(f1, f2, n, rho): correlation of two factors' scores over all rows where both exist."""
     wide = z.groupBy("date", "symbol").pivot("fid", list(factors)).agg(F.first("x"))

@@ -27,8 +27,13 @@ def daily_regressions(df: DataFrame, x: str = "x", y: str = "ret", keys=("fid",
     g = (df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys)
          .agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("_mx"),
               F.var_pop(x).alias("_vx"), F.var_pop(y).alias("_vy"),
-              F.covar_pop(x, y).alias("_c"))
-         .filter(F.col("n") >= min_rows))
+              F.covar_pop(x, y).alias("_c")))
+    return regressions(g, keys, min_rows)
+
+
+def regressions(moments: DataFrame, keys: Sequence[str], min_rows: int = 30) -> DataFrame:
+    """Regression of each group from its count ``n``, mean ``_mx``, variances ``_vx``, ``_vy`` and covariance ``_c``."""
+    g = moments.filter(F.col("n") >= min_rows)
     # condition number of [1, x] from the eigenvalues of its 2x2 gram matrix / n
     q = F.col("_vx") + F.col("_mx") * F.col("_mx")
     top = ((1 + q) + F.sqrt(F.greatest((1 + q) * (1 + q) - 4 * F.col("_vx"), F.lit(0.0)))) / 2
@@ -71,16 +76,32 @@ def fama_macbeth(df: DataFrame, x: str = "x", y: str = "ret", by: Sequence[str]
     by = list(by)
     keys = [*by, "date"]
     df = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
-    reg = daily_regressions(df, x, y, keys, min_stocks)
+    buckets = xs.quantile_bucket(df, x, keys, n_groups, "bucket", heavy, settings)
+    return _metrics(df.groupBy(*by).agg(F.count_distinct("date").alias("_dates")), daily_regressions(df, x, y, keys, min_stocks),
+                    xs.rank_ic(df, x, y, keys, 31, heavy, settings), xs.bucket_returns(buckets, y, by), by, min_stocks, min_periods, lags)
+
+
+def fama_macbeth_daily(days: DataFrame, by: Sequence[str] = ("fid",), min_stocks: int = 30, min_periods: int = 10,
+                       lags: int = 3) -> DataFrame:
+    """:func:`fama_macbeth` from the rows of :func:`daily.sections`, one per factor and date."""
+    by = list(by)
+    moments = days.select(*by, "date", "n", *[F.col(c).alias(f"_{c}") for c in ("mx", "vx", "vy", "c")])
+    returns = days.select(*by, F.inline("buckets")).groupBy(*by, "bucket").agg((F.sum("total") / F.sum("n")).alias("mean_ret"))
+    ic = days.filter(F.col("n") >= 31).select(*by, "date", "ic")
+    return _metrics(days.groupBy(*by).agg(F.count_distinct("date").alias("_dates")), regressions(moments, [*by, "date"], min_stocks),
+                    ic, returns, by, min_stocks, min_periods, lags)
+
+
+def _metrics(dates: DataFrame, reg: DataFrame, ic: DataFrame, returns: DataFrame, by: list[str], min_stocks: int, min_periods: int,
+             lags: int) -> DataFrame:
+    """The row per factor from its dates' regressions and rank ICs and its buckets' mean returns."""
     nw = hac_mean(reg, "beta", by, "date", lags)
     fit = reg.groupBy(*by).agg(
         F.avg("r2").alias("fm_r2"), F.avg("adj_r2").alias("fm_adj_r2"),
         F.avg((F.col("beta") > 0).cast("double")).alias("pos_ratio"),
         F.avg((F.abs(F.coalesce("beta_t", F.lit(0.0))) > 1.96).cast("double")).alias("sig_ratio"))
-    dates = df.groupBy(*by).agg(F.count_distinct("date").alias("_dates"))
-    ic = xs.ic_summary(xs.rank_ic(df, x, y, keys, 31, heavy, settings), by)
-    buckets = xs.quantile_bucket(df, x, keys, n_groups, "bucket", heavy, settings)
-    spread = xs.bucket_spread(xs.bucket_returns(buckets, y, by), by)
+    ic = xs.ic_summary(ic, by)
+    spread = xs.bucket_spread(returns, by)
     out = dates.join(nw, by, "left").join(fit, by, "left").join(ic, by, "left").join(spread, by, "left")
     ok = (F.col("_dates") >= min_stocks) & (F.coalesce("n_periods", F.lit(0)) >= min_periods)
     t = F.when(F.col("se") > 1e-10, F.col("mean") / F.col("se")).otherwise(0.0)
