@@ -10,8 +10,8 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quantloom.functions.exprs import clip, normal_quantile
-from quantloom.operators import xsection as xs
-from quantloom.operators.layout import SERIES, write_out
+from quantloom.operators import daily, xsection as xs
+from quantloom.operators.layout import SERIES, has_heavy_group, write_out
 from quantloom.settings import DEFAULTS, Settings
 
 
@@ -95,9 +95,15 @@ def score_candidates(panel: DataFrame, candidates: list[tuple[str, str, int]], t
                      settings: Settings = DEFAULTS) -> DataFrame:
     """Evaluate all candidates in one projection and rank them by |ICIR| in one job."""
     from quantloom.functions import formula
-    wide = formula.evaluate(panel, {f: t for f, t, _ in candidates}, ["date", "symbol", "ret"])
-    long = write_out(xs.melt(wide, [f for f, _, _ in candidates], ["date", "symbol", "ret"]), "sweep")
-    s = xs.ic_summary(xs.rank_ic(long, heavy=heavy, settings=settings))
+    names, texts = [f for f, _, _ in candidates], {f: t for f, t, _ in candidates}
+    if has_heavy_group(panel, ["date"], settings) if heavy is None else heavy:
+        wide = formula.evaluate(panel, texts, ["date", "symbol", "ret"])
+        ic = xs.rank_ic(write_out(xs.melt(wide, names, ["date", "symbol", "ret"]), "sweep"), heavy=heavy, settings=settings)
+    else:
+        # the factors cross the network; the candidates, many more, are formed behind it
+        near = panel.repartition("date").sortWithinPartitions("date")
+        ic = daily.ics(daily.sections(formula.evaluate(near, texts, ["date", "symbol", "ret"]), names))
+    s = xs.ic_summary(ic)
     meta = panel.sparkSession.createDataFrame(candidates, "fid string, formula string, complexity int")
     return (s.join(F.broadcast(meta), "fid").withColumn("score", F.abs("icir"))
             # equal up to rounding counts as a tie: the simpler formula wins
