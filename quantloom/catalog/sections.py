@@ -7,8 +7,9 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from quantloom.catalog.base import (BARS_SQL, FACTORS, LONG_SQL, NEUTRAL_SQL, PANEL_SQL, Catalog, R, at_least,
-                                    avg_rank, fin, heavy, long_panel, neutral_panel, out, panel, rank_ic_sql)
-from quantloom.operators import pool, splits, xsection as xs
+                                    avg_rank, fin, heavy, long_panel, neutral_ic, neutral_panel, neutral_spread, out, panel, rank_ic_sql,
+                                    sized_panel)
+from quantloom.operators import daily, pool, splits, xsection as xs
 from quantloom.operators.layout import write_out
 from quantloom.settings import Settings
 from quantloom.sources import fixtures as fx
@@ -96,7 +97,7 @@ def ric(spark, sf):
 @C.add("ic_summary", f"""WITH {NEUTRAL_SQL} SELECT fid, {R('avg(ic)', 'ic_mean')}, {R('avg(ic) / stddev_samp(ic)', 'icir')},
    count(ic) AS n_days FROM {rank_ic_sql('neutral')} WHERE ic IS NOT NULL GROUP BY fid""")
 def ics(spark, sf):
-    return out(xs.ic_summary(xs.rank_ic(neutral_panel(spark, sf), heavy=heavy(spark, sf))).select(
+    return out(xs.ic_summary(neutral_ic(spark, sf, 31)).select(
         "fid", "ic_mean", "icir", "n_days"))
 
 
@@ -152,7 +153,7 @@ LS_SQL = """
 
 @C.add("long_short_by_count", f"WITH {NEUTRAL_SQL}, {LS_SQL.format(src='neutral')} SELECT fid, date, {R('ls', 'ls')}, n FROM ls")
 def lsc(spark, sf):
-    return out(xs.long_short_by_count(neutral_panel(spark, sf), heavy=heavy(spark, sf)))
+    return out(neutral_spread(spark, sf))
 
 
 @C.add("long_short_by_quantile", f"""WITH {LONG_SQL},
@@ -276,12 +277,17 @@ SCORE_SQL = f"""
          (SELECT fid AS feature, ic FROM {rank_ic_sql('long', 'fid', 2)}) USING (feature))"""
 
 
+def _with_return(spark, sf):
+    """Rank correlations of the factors and the return, from one ranking of all of them."""
+    return fx.stored(spark, ("pooled_rho", sf), lambda: pool.pooled_spearman(panel(spark, sf), [*FACTORS, "ret"]))
+
+
 def _scores(spark, sf):
-    return pool.pooled_scores(long_panel(spark, sf))
+    return pool.scores_among(_with_return(spark, sf))
 
 
 def _pooled_rho(spark, sf):
-    return fx.stored(spark, ("pooled_rho", sf), lambda: pool.pooled_spearman(panel(spark, sf), FACTORS))
+    return _with_return(spark, sf).filter("f2 <> 'ret'")
 
 
 @C.add("near_duplicates", f"""WITH RECURSIVE {POOLED_SQL}, long AS (UNPIVOT (SELECT date, symbol, ret, {', '.join(FACTORS)} FROM panel)
@@ -342,7 +348,9 @@ def screener(spark, sf):
                          for c in ('ic10', 'icir', 'level', 'orthogonality'))}, 0.0 AS constant FROM al""".replace("0.0 AS constant", "CAST(0 AS DOUBLE) AS constant"))
 def metadata(spark, sf):
     pairs = pool.pair_table(panel(spark, sf).select(*FACTORS), FACTORS)
-    return out(pool.feature_metadata(long_panel(spark, sf), pairs, heavy=None), 4)
+    pooled = _scores(spark, sf).withColumnRenamed("feature", "fid")
+    ics = None if heavy(spark, sf) else daily.ics(daily.sections(sized_panel(spark, sf), FACTORS), 30)
+    return out(pool.feature_metadata(long_panel(spark, sf), pairs, heavy=None, pooled=pooled, ics=ics), 4)
 
 
 # ---- splits ---------------------------------------------------------------------------

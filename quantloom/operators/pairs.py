@@ -21,7 +21,6 @@ from quantloom.operators.layout import write_out
 from quantloom.settings import DEFAULTS, Settings
 
 MAX_POOL = 2000  # features; a task holds a few (features x features) matrices
-_HELD = 1 << 23  # numbers of such matrices that a task adds up before it hands them on
 _ROWS = 1024     # rows whose ranks are multiplied at a time
 
 
@@ -151,43 +150,79 @@ def _group_sums(wide: DataFrame, feats: list[str], by: list[str], products: _Pro
     return wide.groupBy(*by).applyInArrow(run, "".join(f"{c} {kinds[c]}, " for c in by) + _SUMS)
 
 
-def _row_sums(wide: DataFrame, feats: list[str], by: list[str], keys: list[str], marks: list[str], products: _Products,
-              heavy: bool | None, settings: Settings) -> DataFrame:
-    """Sums from ranks that are made per feature and meet again by row."""
-    long = xs.melt(wide, feats, [*keys, *marks]).filter(F.col("x").isNotNull())
-    ranked = context_ranks(long, [*by, "fid"], marks, heavy=heavy, settings=settings)
-    place = F.array_position(F.array(*[F.lit(c) for c in feats]), F.col("fid")).cast("int") - 1
-    rows = ranked.groupBy(*keys).agg(F.collect_list(F.struct(place.alias("f"), "ranks")).alias("items")).select(*by, "items")
+_WORD = 60        # marks in one integer
+_CELLS_PER_E = 128  # ordered cells of values per factor e in magnitude, each ranked in one task
+_HELD_ROWS = 1 << 21  # numbers of a block of rows that meet again
+
+
+def _row_sums(wide: DataFrame, feats: list[str], by: list[str], marks: list[str], products: _Products) -> DataFrame:
+    """Sums from ranks that are made per feature and meet again by row.
+
+    A value crosses the network with its row's number to the other values of its cell, where running counts of the
+    cells below give its ranks, and its ranks once more to the other features of its block of rows.
+    """
     size, width = len(feats), len(marks)
     kinds = dict(wide.dtypes)
+    words = [f"_w{i}" for i in range(-(-width // _WORD))]
+    packed = [reduce(lambda a, b: a + b, [F.col(m).cast("long") * F.lit(1 << i) for i, m in enumerate(marks[k * _WORD:(k + 1) * _WORD])]).alias(w)
+              for k, w in enumerate(words)]
+    rows = wide.select(*by, *packed, F.monotonically_increasing_id().alias("_row"), *feats)
+    values = F.array(*[F.struct(F.lit(i).alias("f"), F.col(c).cast("double").alias("x")) for i, c in enumerate(feats)])
+    long = rows.select(*by, *words, "_row", F.inline(values)).filter(F.col("x").isNotNull()).withColumn("_cell", xs.order_cell(F.col("x"), _CELLS_PER_E))
+    here = [f"_n{i}" for i in range(width)]
+    hist = long.groupBy(*by, "f", "_cell").agg(*[F.sum(F.shiftright(words[i // _WORD], i % _WORD).bitwiseAND(F.lit(1))).alias(n) for i, n in enumerate(here)])
+    upto, every = Window.partitionBy(*by, "f").orderBy("_cell"), Window.partitionBy(*by, "f")
+    cells = write_out(hist.select(*by, "f", "_cell", F.array(*[F.sum(n).over(upto) - F.col(n) for n in here]).alias("_below"),
+                                  F.array(*[F.sum(n).over(every) for n in here]).alias("_total")), "cells")
+    keys = [*by, "f", "_cell"]
+
+    def rank(table: pa.Table) -> pa.Table:
+        bits = np.stack([table.column(w).to_numpy() for w in words], axis=1)
+        there = np.stack([(bits[:, i // _WORD] >> (i % _WORD)) & 1 for i in range(width)], axis=1)
+        base = np.array(table.column("_below")[0].as_py()) - (np.array(table.column("_total")[0].as_py()) + 1) / 2
+        own = ranks_among(table.column("x").to_numpy(), there) + there * ((there.sum(axis=0) + 1) / 2 + base)
+        lists = pa.FixedSizeListArray.from_arrays(pa.array(own.ravel()), width).cast(pa.list_(pa.float64()))
+        return table.select([*by, "f", "_row"]).append_column("ranks", lists)
+    near = long.repartition(*[F.col(k) for k in keys]).join(cells, keys)
+    ranked = near.groupBy(*keys).applyInArrow(rank, "".join(f"{c} {kinds[c]}, " for c in by) + "f int, _row long, ranks array<double>")
+    shift = max(4, min(14, (_HELD_ROWS // (size * width)).bit_length() - 1))
+    blocks = ranked.withColumn("_block", F.shiftright("_row", shift))
+
+    def add(sums, table):
+        row, feature = table.column("_row").to_numpy(), table.column("f").to_numpy()
+        _, at = np.unique(row, return_inverse=True)
+        ranks, there = np.zeros((at.max() + 1, size, width)), np.zeros((at.max() + 1, size), bool)
+        ranks[at, feature] = table.column("ranks").combine_chunks().flatten().to_numpy().reshape(-1, width)
+        there[at, feature] = True
+        for start in range(0, len(ranks), _ROWS):
+            products.add(sums, ranks[start:start + _ROWS], there[start:start + _ROWS])
+
+    if by:
+        def multiply(table: pa.Table) -> pa.Table:
+            sums = products.empty()
+            add(sums, table)
+            done = products.table(sums)
+            return pa.table({c: pa.array([table.column(c)[0].as_py()] * len(done["n"]), table.schema.field(c).type) for c in by} | done)
+        return blocks.groupBy(*by, "_block").applyInArrow(multiply, "".join(f"{c} {kinds[c]}, " for c in by) + _SUMS)
 
     def run(batches):
-        held, types = {}, []
-
-        def emit():
-            for key, sums in held.items():
-                done = products.table(sums)
-                yield pa.RecordBatch.from_pydict({c: pa.array([k] * len(done["n"]), t) for c, k, t in zip(by, key, types)} | done)
+        """Whole blocks at a time: a block may go on in the next batch."""
+        sums, rest, any_row = products.empty(), None, False
         for batch in batches:
-            types = [batch.schema.field(c).type for c in by]
-            ids = list(zip(*[batch.column(c).to_pylist() for c in by])) if by else [()] * batch.num_rows
-            at: dict = {}
-            for i, k in enumerate(ids):
-                at.setdefault(k, []).append(i)
-            for key, mine in at.items():
-                for start in range(0, len(mine), _ROWS):
-                    items = batch.column("items").take(pa.array(mine[start:start + _ROWS]))
-                    feature, found = items.flatten().flatten()
-                    row, feature = np.repeat(np.arange(len(items)), np.diff(items.offsets.to_numpy())), feature.to_numpy()
-                    ranks, there = np.zeros((len(items), size, width)), np.zeros((len(items), size), bool)
-                    ranks[row, feature] = found.flatten().to_numpy().reshape(-1, width)
-                    there[row, feature] = True
-                    products.add(held.setdefault(key, products.empty()), ranks, there)
-            if len(held) * size * size > _HELD:
-                yield from emit()
-                held = {}
-        yield from emit()
-    return rows.mapInArrow(run, "".join(f"{c} {kinds[c]}, " for c in by) + _SUMS)
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            block = table.column("_block").to_numpy()
+            last = int(np.searchsorted(block, block[-1])) if len(block) else 0
+            if last:
+                add(sums, table.slice(0, last))
+                any_row = True
+            rest = table.slice(last)
+        if rest is not None and rest.num_rows:
+            add(sums, rest)
+            any_row = True
+        if any_row:
+            yield pa.RecordBatch.from_pydict(products.table(sums))
+    return blocks.repartition("_block").sortWithinPartitions("_block").mapInArrow(run, _SUMS)
 
 
 def pair_spearman(df: DataFrame, features: Sequence[str], by: Sequence[str] = (), keys: Sequence[str] = ("date", "symbol"),
@@ -205,7 +240,7 @@ def pair_spearman(df: DataFrame, features: Sequence[str], by: Sequence[str] = ()
     if by and not (xs.has_heavy_group(df, by, settings) if heavy is None else heavy):
         part = _group_sums(wide.select(*dict.fromkeys([*by, *feats])), feats, by, products)
     else:
-        part = _row_sums(wide, feats, by, keys, marks, products, heavy, settings)
+        part = _row_sums(wide, feats, by, marks, products)
     total = part.groupBy(*by, "i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sxy", "sxx", "syy")])
     name = lambda c: F.element_at(F.array(*[F.lit(f) for f in feats]), F.col(c) + 1)
     flat = (F.col("sxx") <= 0) | (F.col("syy") <= 0)

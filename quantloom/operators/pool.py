@@ -56,6 +56,11 @@ def pooled_scores(long: DataFrame, heavy=None, settings: Settings = DEFAULTS) ->
             .select(F.col("fid").alias("feature"), F.coalesce("ic", F.lit(0.0)).alias("ic")))
 
 
+def scores_among(pair_rho: DataFrame, ret: str = "ret") -> DataFrame:
+    """:func:`pooled_scores` from pairs of features that include the return as the last one."""
+    return pair_rho.filter(F.col("f2") == ret).select(F.col("f1").alias("feature"), F.coalesce("rho", F.lit(0.0)).alias("ic"))
+
+
 def near_duplicates(pair_rho: DataFrame, scores: DataFrame, threshold: float = 0.95) -> DataFrame:
     """Groups of features linked by rho > threshold (positive only): (feature, ic, grp, keep).
 
@@ -109,13 +114,17 @@ def icir_screen(long: DataFrame, cut: float = 0.15, heavy=None, settings: Settin
 
 
 def feature_metadata(long: DataFrame, pair_rho: DataFrame, heavy=None,
-                     settings: Settings = DEFAULTS) -> DataFrame:
+                     settings: Settings = DEFAULTS, pooled: DataFrame | None = None, ics: DataFrame | None = None) -> DataFrame:
     """Five traits per feature, z-scored across features.
 
-    ``long``: train rows (fid, date, symbol, x, ret); ``pair_rho``: Pearson pair table.
+    ``long``: train rows (fid, date, symbol, x, ret); ``pair_rho``: Pearson pair table. ``pooled`` (fid, ic) and
+    ``ics`` (fid, date, ic) are rank correlations over all rows and per date, where they are known already.
     """
-    pooled = xs.rank_ic(long, keys=("fid",), min_rows=2, heavy=heavy, settings=settings)
-    daily = xs.ic_summary(xs.rank_ic(long, heavy=heavy, settings=settings, min_rows=30), eps=1e-8)
+    if pooled is None:
+        pooled = xs.rank_ic(long, keys=("fid",), min_rows=2, heavy=heavy, settings=settings)
+    if ics is None:
+        ics = xs.rank_ic(long, heavy=heavy, settings=settings, min_rows=30)
+    daily = xs.ic_summary(ics, eps=1e-8)
     size = long.groupBy("fid").agg(F.tanh(F.avg(F.abs("x"))).alias("level"))
     both = pair_rho.select(F.col("f1").alias("fid"), "rho").unionByName(
         pair_rho.select(F.col("f2").alias("fid"), "rho"))

@@ -113,3 +113,16 @@ def test_greedy_pick_decides_chains(spark):
         if all(abs(rho[min(n, k), max(n, k)]) <= 0.8 for k in kept):
             kept.append(n)
     assert [r.fid for r in pick.orderBy("pick").collect()] == kept[:6]
+
+
+def test_ranks_meet_again_by_blocks_of_rows_and_tell_the_scores(spark):
+    """Blocks of rows larger than a batch, ties and NULLs; the return is one more feature."""
+    from quantloom.operators import pool, xsection as xs
+    d = spark.range(40_000).selectExpr("cast(id as string) AS symbol", "date'2020-01-01' AS date", "cast(pmod(hash(id), 1000) as double) / 7 AS ret",
+                                       "CASE WHEN id % 11 > 0 THEN cast(pmod(hash(id, 1), 50) as double) - 25 END AS a",
+                                       "cast(pmod(hash(id, 2), 90000) as double) + a AS b")
+    pairs = pool.pooled_spearman(d, ["a", "b", "ret"])
+    assert "collect_list" not in pairs._jdf.queryExecution().toString()
+    got = {r.feature: r.ic for r in pool.scores_among(pairs).collect()}
+    want = {r.feature: r.ic for r in pool.pooled_scores(xs.melt(d, ["a", "b"], ["date", "symbol", "ret"])).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
