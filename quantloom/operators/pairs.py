@@ -152,6 +152,7 @@ def _group_sums(wide: DataFrame, feats: list[str], by: list[str], products: _Pro
 
 _WORD = 60        # marks in one integer
 _CELLS_PER_E = 128  # ordered cells of values per factor e in magnitude, each ranked in one task
+_ALIKE = 1 << 17  # rows of a cell with a single value that one task takes
 _HELD_ROWS = 1 << 21  # numbers of a block of rows that meet again
 
 
@@ -170,21 +171,28 @@ def _row_sums(wide: DataFrame, feats: list[str], by: list[str], marks: list[str]
     values = F.array(*[F.struct(F.lit(i).alias("f"), F.col(c).cast("double").alias("x")) for i, c in enumerate(feats)])
     long = rows.select(*by, *words, "_row", F.inline(values)).filter(F.col("x").isNotNull()).withColumn("_cell", xs.order_cell(F.col("x"), _CELLS_PER_E))
     here = [f"_n{i}" for i in range(width)]
-    hist = long.groupBy(*by, "f", "_cell").agg(*[F.sum(F.shiftright(words[i // _WORD], i % _WORD).bitwiseAND(F.lit(1))).alias(n) for i, n in enumerate(here)])
+    hist = long.groupBy(*by, "f", "_cell").agg(*[F.sum(F.shiftright(words[i // _WORD], i % _WORD).bitwiseAND(F.lit(1))).alias(n) for i, n in enumerate(here)],
+                                                F.count(F.lit(1)).alias("_rows"), (F.min("x") == F.max("x")).alias("_one"))
     upto, every = Window.partitionBy(*by, "f").orderBy("_cell"), Window.partitionBy(*by, "f")
     cells = write_out(hist.select(*by, "f", "_cell", F.array(*[F.sum(n).over(upto) - F.col(n) for n in here]).alias("_below"),
-                                  F.array(*[F.sum(n).over(every) for n in here]).alias("_total")), "cells")
+                                  F.array(*[F.sum(n).over(every) for n in here]).alias("_total"),
+                                  F.array(*here).alias("_here"), "_one", F.when(F.col("_one"), F.floor(F.col("_rows") / F.lit(_ALIKE)) + 1).otherwise(F.lit(1)).alias("_parts")), "cells")
     keys = [*by, "f", "_cell"]
 
     def rank(table: pa.Table) -> pa.Table:
         bits = np.stack([table.column(w).to_numpy() for w in words], axis=1)
         there = np.stack([(bits[:, i // _WORD] >> (i % _WORD)) & 1 for i in range(width)], axis=1)
         base = np.array(table.column("_below")[0].as_py()) - (np.array(table.column("_total")[0].as_py()) + 1) / 2
-        own = ranks_among(table.column("x").to_numpy(), there) + there * ((there.sum(axis=0) + 1) / 2 + base)
+        if table.column("_one")[0].as_py():  # equal values: known from the counts, whatever part of the cell this is
+            own = there * ((np.array(table.column("_here")[0].as_py()) + 1) / 2 + base)
+        else:
+            own = ranks_among(table.column("x").to_numpy(), there) + there * ((there.sum(axis=0) + 1) / 2 + base)
         lists = pa.FixedSizeListArray.from_arrays(pa.array(own.ravel()), width).cast(pa.list_(pa.float64()))
         return table.select([*by, "f", "_row"]).append_column("ranks", lists)
-    near = long.repartition(*[F.col(k) for k in keys]).join(cells, keys)
-    ranked = near.groupBy(*keys).applyInArrow(rank, "".join(f"{c} {kinds[c]}, " for c in by) + "f int, _row long, ranks array<double>")
+    cut = cells.filter("_parts > 1").select(*keys, "_parts")
+    parts = long.join(F.broadcast(cut), keys, "left").withColumn("_part", F.pmod("_row", F.coalesce("_parts", F.lit(1)))).drop("_parts")
+    near = parts.repartition(*keys, "_part").join(cells.drop("_parts"), keys)
+    ranked = near.groupBy(*keys, "_part").applyInArrow(rank, "".join(f"{c} {kinds[c]}, " for c in by) + "f int, _row long, ranks array<double>")
     shift = max(4, min(14, (_HELD_ROWS // (size * width)).bit_length() - 1))
     blocks = ranked.withColumn("_block", F.shiftright("_row", shift))
 

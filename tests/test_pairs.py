@@ -115,9 +115,10 @@ def test_greedy_pick_decides_chains(spark):
     assert [r.fid for r in pick.orderBy("pick").collect()] == kept[:6]
 
 
-def test_ranks_meet_again_by_blocks_of_rows_and_tell_the_scores(spark):
+def test_ranks_meet_again_by_blocks_of_rows_and_tell_the_scores(spark, monkeypatch):
     """Blocks of rows larger than a batch, ties and NULLs; the return is one more feature."""
-    from quantloom.operators import pool, xsection as xs
+    from quantloom.operators import pairs as op, pool, xsection as xs
+    monkeypatch.setattr(op, "_ALIKE", 100)  # values of ``a`` lie in several parts
     d = spark.range(40_000).selectExpr("cast(id as string) AS symbol", "date'2020-01-01' AS date", "cast(pmod(hash(id), 1000) as double) / 7 AS ret",
                                        "CASE WHEN id % 11 > 0 THEN cast(pmod(hash(id, 1), 50) as double) - 25 END AS a",
                                        "cast(pmod(hash(id, 2), 90000) as double) + a AS b")
