@@ -153,6 +153,15 @@ def test_fill_clip_zscore(spark, data, settings):
     np.testing.assert_allclose(got.x, want, atol=1e-9)
 
 
+def test_zscore_of_equal_values_in_many_parts(spark):
+    # a part of 49 rows starts from a mean of 1 / 49 * 49, which is not 1
+    d = spark.range(49 * 16, numPartitions=16).select(F.lit(1).alias("date"), F.lit(1.0).alias("v"))
+    d = d.union(spark.createDataFrame([(1, None), (2, 4.0), (3, None)], "date int, v double"))
+    assert {r.v for r in xs.zscore(d, ["v"], null_flat=True).collect()} == {None}
+    for bound in ({"floor": 1e-300}, {"eps": 1e-300}):
+        assert {(r.date, r.v) for r in xs.zscore(d, ["v"], **bound).collect()} == {(1, 0.0), (1, None), (2, 0.0), (3, None)}
+
+
 def test_long_short_by_count(data):
     pdf, sdf = data
     got = xs.long_short_by_count(sdf, keys=("date",)).toPandas().set_index("date").ls
