@@ -162,6 +162,15 @@ def test_zscore_of_equal_values_in_many_parts(spark):
         assert {(r.date, r.v) for r in xs.zscore(d, ["v"], **bound).collect()} == {(1, 0.0), (1, None), (2, 0.0), (3, None)}
 
 
+@pytest.mark.parametrize("heavy", [False, True])
+def test_clipped_to_one_value_has_zscore_zero(spark, heavy):
+    # three values and 20,000 NULLs filled with their median: clipped at a deviation of 0
+    d = spark.range(20_003).select(F.lit(1).alias("date"), F.col("id").cast("string").alias("symbol"),
+                                   F.when(F.col("id") < 3, F.col("id") + 57.12345678912345).alias("x"))
+    got = xs.fill_clip_zscore_wide(d, ["x"], heavy=heavy).select(F.round("x", 5).alias("x")).groupBy("x").count().collect()
+    assert [(r.x, r["count"]) for r in got] == [(0.0, 20_003)]
+
+
 def test_long_short_by_count(data):
     pdf, sdf = data
     got = xs.long_short_by_count(sdf, keys=("date",)).toPandas().set_index("date").ls
