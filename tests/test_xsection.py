@@ -226,3 +226,15 @@ def test_fill_clip_zscore_wide_is_the_same_by_group_and_by_digits(spark):
         for c in "abcd":
             assert (r[c] is None) == (split[k][c] is None) and (r[c] is None or r[c] == pytest.approx(split[k][c], abs=1e-9)), (k, c)
     assert light[9, "alone"].a is None and light[1, "s3"].c is None and light[0, "s0"].b is not None
+
+
+def test_large_cap_features_write_no_raw_panel(spark, sf_dir):
+    from pathlib import Path
+
+    from quantloom.operators.layout import shared_dir
+    from quantloom.plans import series
+    from quantloom.sources import fixtures as fx
+    bars = fx.bars(spark, sf_dir)
+    before = set(Path(shared_dir(spark)).iterdir())
+    assert "forward_ret" in series.large_cap_features(bars, heavy=False).columns
+    assert set(Path(shared_dir(spark)).iterdir()) == before
