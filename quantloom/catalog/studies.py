@@ -797,18 +797,13 @@ def bt_close_sql() -> str:
 COSTS = (0.0, 30.0)
 
 
-def bt_panel(spark, sf):
-    p = panel(spark, sf)
-    return xs.melt(p, FACTORS, ["date", "symbol", "ret", "open", "close"])
-
-
 _runs: dict = {}
 
 
 def run(spark, sf) -> backtest.Backtest:
     key = (spark.sparkContext.applicationId, sf)
     if key not in _runs:
-        _runs[key] = backtest.Backtest(bt_panel(spark, sf), COSTS, heavy=heavy(spark, sf))
+        _runs[key] = backtest.Backtest(panel(spark, sf), COSTS, heavy=heavy(spark, sf), factors=FACTORS)
     return _runs[key]
 
 
@@ -883,8 +878,7 @@ def bt_drag(spark, sf):
   a AS (SELECT cost_bps, fid, count(*) AS n_days, avg(ls) / (stddev_pop(ls) + 1e-8) * sqrt(252) AS ls_day_sharpe FROM dd GROUP BY ALL)
   SELECT cost_bps, fid, n_months, n_days, {R('ls_month_sharpe', 'ls_month_sharpe', 4)}, {R('ls_day_sharpe', 'ls_day_sharpe', 4)} FROM a JOIN b USING (cost_bps, fid)""")
 def bt_close(spark, sf):
-    p = xs.melt(panel(spark, sf), FACTORS, ["date", "symbol", "ret"])
-    d = backtest.Backtest(p, (30.0,), open_execution=False, heavy=heavy(spark, sf)).summary()
+    d = backtest.Backtest(panel(spark, sf), (30.0,), open_execution=False, heavy=heavy(spark, sf), factors=FACTORS).summary()
     return out(d.select("cost_bps", "fid", "n_months", "n_days", "ls_month_sharpe", "ls_day_sharpe"), 4)
 
 
