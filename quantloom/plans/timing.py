@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quantloom.functions.exprs import ratio
@@ -153,14 +155,33 @@ def mean_pair_correlation(stocks: DataFrame, rows: int = 60) -> DataFrame:
     (self pairs included) sum to mean over k of (sum over symbols z_k) ** 2.
     """
     full = stocks.filter(F.size("_last") >= rows).select("date", "_last")
-    mean = F.aggregate("_last", F.lit(0.0), lambda a, v: a + v) / rows
-    full = full.withColumn("_m", mean)
-    var = F.aggregate("_last", F.lit(0.0), lambda a, v: a + (v - F.col("_m")) * (v - F.col("_m"))) / rows
-    z = full.withColumn("_s", F.sqrt(var)).filter("_s > 0").select(
-        "date", "_m", "_s", F.posexplode("_last").alias("k", "v"))
-    per = z.groupBy("date", "k").agg(F.sum((F.col("v") - F.col("_m")) / F.col("_s")).alias("_z"),
-                                     F.count(F.lit(1)).alias("_n"))
-    return per.groupBy("date").agg(F.avg(F.col("_z") * F.col("_z")).alias("_q"), F.max("_n").alias("_n")).select(
+
+    def day_sums(batches):
+        # one row per date and task leaves
+        sums: dict = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last = batch.column("_last").flatten().to_numpy(zero_copy_only=False).reshape(-1, rows)
+            varies = last.min(axis=1) != last.max(axis=1)
+            date, last = batch.column("date").cast(pa.int32()).to_numpy()[varies], last[varies]
+            if not len(last):
+                continue
+            d = last - last.mean(axis=1, keepdims=True)
+            z = d / np.sqrt((d * d).mean(axis=1, keepdims=True))
+            order = np.argsort(date, kind="stable")
+            days, start, n = np.unique(date[order], return_index=True, return_counts=True)
+            for day, total, k in zip(days.tolist(), np.add.reduceat(z[order], start, axis=0), n.tolist()):
+                old, m = sums.get(day, (0.0, 0))
+                sums[day] = (old + total, m + k)
+        yield pa.RecordBatch.from_arrays([
+            pa.array(list(sums), pa.int32()).cast(pa.date32()), pa.array([t.tolist() for t, _ in sums.values()], pa.list_(pa.float64())),
+            pa.array([m for _, m in sums.values()], pa.int64())], ["date", "z", "n"])
+
+    per = full.mapInArrow(day_sums, "date date, z array<double>, n bigint").groupBy("date").agg(
+        F.sum("n").alias("_n"), *[F.sum(F.get("z", F.lit(k))).alias(f"_z{k}") for k in range(rows)])
+    squares = F.aggregate(F.array(*[F.col(f"_z{k}") for k in range(rows)]), F.lit(0.0), lambda a, v: a + v * v) / rows
+    return per.select("date", "_n", squares.alias("_q")).select(
         "date", F.when(F.col("_n") >= 10, ratio(F.col("_q") - F.col("_n"), F.col("_n") * (F.col("_n") - 1)))
         .alias("high_low_corr_20d"))
 
@@ -168,7 +189,9 @@ def mean_pair_correlation(stocks: DataFrame, rows: int = 60) -> DataFrame:
 def breadth_features(bars: DataFrame, heavy: bool | None = None,
                      settings: Settings = DEFAULTS) -> DataFrame:
     """The 14 breadth columns per date; short dates take the neutral defaults."""
-    s = write_out(stock_inputs(bars), "breadth")
+    stocks = stock_inputs(bars)
+    # the frames of returns are many times a row: they are summed where they form, and not written
+    s = write_out(stocks.drop("_last"), "breadth")
     share = lambda c, up: F.coalesce(F.avg(F.when(F.col(c).isNotNull(),
                                                   ((F.col(c) > 0) if up else (F.col(c) < 0)).cast("double"))), F.lit(0.5))
     disp = lambda c: F.when(F.count(c) > 2, F.stddev_pop(c)).otherwise(0.0)
@@ -190,7 +213,7 @@ def breadth_features(bars: DataFrame, heavy: bool | None = None,
         F.stddev_pop(top).alias("large_ret_disp_20d"), F.stddev_pop(low).alias("small_ret_disp_20d"),
         (F.avg(top) - F.avg(low)).alias("big_small_ret_diff_20d"))
     out = (days.join(base, "date", "left").join(edges, "date", "left")
-           .join(mean_pair_correlation(s), "date", "left"))
+           .join(mean_pair_correlation(stocks), "date", "left"))
     default = {c: 0.5 if "ratio" in c else 0.0 for c in BREADTH}
     return out.select("date", *[F.coalesce(F.col(c), F.lit(default[c])).alias(c) for c in BREADTH])
 
