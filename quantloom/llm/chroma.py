@@ -4,16 +4,20 @@ Samples become frames, frames the energy of the 12 pitch classes, smoothed over
 Filters compare the energy of two areas of a few frames and classes; areas are differences of an integral image.
 Each of 16 filters gives two bits, so each frame gives a packed 32-bit integer.
 
-Recordings are aligned to a set of query recordings. ``gram`` codes in a row are a key, owned by the query with the
-smallest id that holds it and the first place there; each key of a recording votes for its owner at the difference
-of places. The offset with most votes wins, and is confirmed by the share of differing bits where both recordings
-overlap. A key has one owner, so votes are as many as codes, whatever a group of copies holds: a recording that two
-queries fit votes for the earlier one with what they have in common.
+Recordings are aligned to a set of query recordings. ``gram`` codes in a row are a key, and each place of a key in a
+recording votes for each place of it in a query, at the difference of places. The offset with most votes whose share
+of differing bits, where both overlap, is small enough is the alignment of the two. All queries are compared; a
+recording reports the best and how many there are.
+
+1. Recordings with equal codes are a class, and only classes are compared.
+2. Keys that the same classes hold are one unit, which pairs these classes once. Pairs that cannot reach
+   ``least_votes`` go, whatever the offset.
+3. Votes and differing bits of each pair are counted from the codes of both.
 
 Results for odd input: a null, empty or short recording has no codes and aligns with nothing; a null id takes no
-part in alignment as a query and gives a row with a null id; repeated rows give a row each and own keys together;
-ties in votes go to the smaller query, then the smaller offset; an empty table gives no rows; other columns are
-ignored.
+part in alignment as a query and gives a row with a null id; repeated rows give a row each; a recording does not
+align with queries of its own id; queries with equal codes count as one and report their smallest id; ties in votes
+go to the smaller query, then the smaller offset, then the longer overlap; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -133,55 +137,153 @@ def fingerprints(recordings: DataFrame, rule: Chroma = Chroma(), id_col: str = "
     return rows.mapInArrow(run, "row bigint, id bigint, codes binary")
 
 
-def keys(prints: DataFrame, rule: Chroma) -> DataFrame:
-    """(row, id, place, key) for each key of each fingerprint."""
+def class_keys(classes: DataFrame, rule: Chroma) -> DataFrame:
+    """(class, asked, key, n) for each different key of each class's codes, which holds it n times."""
+    names = ["class", "asked", "key", "n"]
+
     def run(batches):
         for batch in batches:
-            for row, i, c in zip(*(batch.column(x).to_pylist() for x in ("row", "id", "codes"))):
-                k = keys_of(np.frombuffer(c, "<u4"), rule)
-                yield from pa.Table.from_arrays([pa.array(np.full(len(k), row)), pa.array([i] * len(k), pa.int64()), pa.array(np.arange(len(k), dtype=np.int32)), pa.array(k)],
-                                                names=["row", "id", "place", "key"]).to_batches(max_chunksize=50_000)
-    return prints.mapInArrow(run, "row bigint, id bigint, place int, key bigint")
+            for c, asked, code in zip(*(batch.column(x).to_pylist() for x in ("class", "asked", "codes"))):
+                key, n = np.unique(keys_of(np.frombuffer(code, "<u4"), rule), return_counts=True)
+                yield from pa.Table.from_arrays([pa.array(np.full(len(key), c)), pa.array(np.full(len(key), asked)), pa.array(key), pa.array(n)],
+                                                names=names).to_batches(max_chunksize=50_000)
+    return classes.select("class", "asked", "codes").mapInArrow(run, "class bigint, asked boolean, key bigint, n bigint")
+
+
+def vote_counts(a: np.ndarray, b: np.ndarray, most: int = 1 << 22) -> np.ndarray:
+    """How many equal keys stand at each offset, from -(len(b) - 1) on.
+
+    Keys with very many places in both are counted by a convolution, others place by place, ``most`` at a time.
+    """
+    size = len(a) + len(b) - 1
+    both = np.intersect1d(a, b)
+    if not len(both):
+        return np.zeros(max(size, 0), np.int64)
+    out = np.zeros(size, np.int64)
+    places = []
+    for x in (a, b):
+        at = np.flatnonzero(np.isin(x, both))
+        key = np.searchsorted(both, x[at])
+        order = np.argsort(key, kind="stable")
+        places.append((at[order], np.bincount(key, minlength=len(both))))
+    (pa_, na), (pb, nb) = places
+    ea, eb = np.cumsum(na) - na, np.cumsum(nb) - nb
+    heavy = na * nb > 64 * size
+    for k in np.flatnonzero(heavy):
+        n = 1 << size.bit_length()
+        x, y = np.zeros(n), np.zeros(n)
+        x[pa_[ea[k]:ea[k] + na[k]]] = 1
+        y[len(b) - 1 - pb[eb[k]:eb[k] + nb[k]]] = 1
+        out += np.rint(np.fft.irfft(np.fft.rfft(x) * np.fft.rfft(y), n)[:size]).astype(np.int64)
+    light = np.flatnonzero(~heavy)
+    # one row per place in a of a light key, with all places in b
+    key = np.repeat(light, na[light])
+    mine = pa_[np.repeat(ea[light], na[light]) + np.arange(len(key)) - np.repeat(np.cumsum(na[light]) - na[light], na[light])]
+    done = np.cumsum(nb[key])
+    at = 0
+    while at < len(key):
+        stop = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + most, side="right")))
+        n = nb[key[at:stop]]
+        other = pb[np.repeat(eb[key[at:stop]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        out += np.bincount(np.repeat(mine[at:stop], n) - other + len(b) - 1, minlength=size)
+        at = stop
+    return out
+
 
+def best_offset(a: np.ndarray, b: np.ndarray, rule: Chroma) -> tuple[int, int, int, float] | None:
+    """(offset, votes, overlap, bit_errors) of two code sequences: of the offsets that pass, that with most votes."""
+    ka, kb = keys_of(a, rule), keys_of(b, rule)
+    votes = vote_counts(ka, kb)
+    able = np.flatnonzero(votes >= rule.least_votes)
+    for i in able[np.argsort(-votes[able], kind="stable")]:
+        offset = int(i) - (len(kb) - 1)
+        x, y = a[max(offset, 0):], b[max(-offset, 0):]
+        n = min(len(x), len(y))
+        wrong = int(np.bitwise_count(x[:n] ^ y[:n]).sum()) / (32.0 * n)
+        if wrong <= rule.most_errors:
+            return offset, int(votes[i]), n, wrong
+    return None
+
+
+def compare(pairs: DataFrame, rule: Chroma) -> DataFrame:
+    """(class, query, q1, q2, offset, votes, overlap, bit_errors) of the pairs (class, query, q1, q2, codes, own) that align."""
+    names = ["class", "query", "q1", "q2", "offset", "votes", "overlap", "bit_errors"]
 
-def bit_errors(pairs: DataFrame, rule: Chroma) -> DataFrame:
-    """(row, overlap, bit_errors): the share of differing bits of codes and own at offset."""
     def run(batches):
         for batch in batches:
             out = []
-            for row, mine, own, offset in zip(*(batch.column(x).to_pylist() for x in ("row", "codes", "own", "offset"))):
-                a, b = np.frombuffer(mine, "<u4"), np.frombuffer(own, "<u4")
-                a, b = a[max(offset, 0):], b[max(-offset, 0):]
-                n = min(len(a), len(b))
-                out.append((row, n, int(np.bitwise_count(a[:n] ^ b[:n]).sum()) / (32.0 * max(n, 1))))
+            for *pair, mine, own in zip(*(batch.column(x).to_pylist() for x in (*names[:4], "codes", "own"))):
+                found = best_offset(np.frombuffer(mine, "<u4"), np.frombuffer(own, "<u4"), rule)
+                if found:
+                    out.append((*pair, *found))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["row", "overlap", "bit_errors"])
-    return pairs.mapInArrow(run, "row bigint, overlap bigint, bit_errors double")
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64() if n == "bit_errors" else pa.int64()) for n, x in zip(names, zip(*out))], names)
+    return pairs.select(*names[:4], "codes", "own").mapInArrow(run, "class bigint, query bigint, q1 bigint, q2 bigint, offset bigint, votes bigint, overlap bigint, bit_errors double")
+
+
+def code_classes(prints: DataFrame, is_query: Column) -> DataFrame:
+    """(row, id, class, class_id, q1, q2) for every recording.
+
+    ``class``: the first row with equal codes; ``class_id``: the smallest id of these; q1 and q2: the smallest ids
+    of the queries among them, null if there are none.
+    """
+    one = prints.select("row", "id", F.sha2("codes", 256).alias("sum"), F.when(is_query, F.col("id")).alias("q"))
+    first = one.groupBy("sum").agg(F.min("row").alias("class"), F.min("id").alias("class_id"), F.min("q").alias("q1"))
+    asked = one.filter("q is not null").join(first.select("sum", "q1"), "sum").filter("q > q1").groupBy("sum").agg(F.min("q").alias("q2"))
+    return one.join(first.join(asked, "sum", "left"), "sum").select("row", "id", "class", "class_id", "q1", "q2")
+
+
+def candidates(classes: DataFrame, rule: Chroma) -> DataFrame:
+    """(class, query) of the classes (class, asked, codes) that may have ``least_votes`` at one offset."""
+    found = write_out(class_keys(classes, rule), "chroma-keys")
+    held = write_out(found.join(found.filter("asked").select("key").distinct(), "key", "left_semi"), "chroma-held")
+    same = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(class))").alias("x"), F.expr("bit_xor(xxhash64(class, 1))").alias("y"),
+                                   F.max("n").alias("most")).filter("n > 1")
+    # a place in a recording meets one place in a query at an offset
+    units = same.groupBy("n", "x", "y").agg(F.min("key").alias("key"), F.sum("most").alias("bound")).select("key", "bound")
+    holds = write_out(held.join(units, "key").select("key", "class", "asked", "bound"), "chroma-units")
+    return (holds.select("key", "class", "bound").join(holds.filter("asked").select("key", F.col("class").alias("query")), "key").filter("class <> query")
+            .groupBy("class", "query").agg(F.sum("bound").alias("bound")).filter(F.col("bound") >= rule.least_votes).select("class", "query"))
+
+
+def aligned_classes(prints: DataFrame, members: DataFrame, rule: Chroma = Chroma()) -> DataFrame:
+    """(class, query, q1, q2, offset, votes, overlap, bit_errors): every class against every class of queries that it fits.
+
+    ``members``: the recordings of code_classes(). ``offset``: the place in the recording less the place in the
+    query, in codes. A class of queries with several recordings fits itself.
+    """
+    sizes = members.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.max("q1").alias("q1"), F.max("q2").alias("q2")).withColumn("asked", F.expr("q1 is not null"))
+    classes = write_out(prints.select(F.col("row").alias("class"), "codes").join(sizes, "class"), "code-classes")
+    itself = classes.filter("asked and n > 1").select("class", F.col("class").alias("query"))
+    pairs = write_out(candidates(classes, rule).unionByName(itself), "candidates")
+    codes_ = classes.select("class", "codes")
+    own = classes.filter("asked").select(F.col("class").alias("query"), "q1", "q2", F.col("codes").alias("own"))
+    return write_out(compare(pairs.join(codes_, "class").join(own, "query"), rule), "aligned")
 
 
 def align(prints: DataFrame, is_query: Column, rule: Chroma = Chroma()) -> DataFrame:
-    """(row, query_id, offset, votes, overlap, bit_errors) of the recordings that align with a query.
+    """(row, class_id, query_id, offset, votes, overlap, bit_errors, n_queries) of every recording.
 
-    ``offset``: the place in the recording less the place in the query, in codes.
+    ``n_queries``: the classes of queries that the recording aligns with; query_id to bit_errors are those of the
+    best, null without one.
     """
-    found = write_out(keys(prints, rule), "chroma-keys")
-    queries = found.filter(is_query)
-    owner = queries.groupBy("key").agg(F.min(F.struct("id", "place")).alias("o")).select("key", F.col("o.id").alias("query_id"), F.col("o.place").alias("own_place"))
-    # a recording votes once for a key at a place; its own places never vote for itself
-    votes = (found.join(owner, "key").filter("id is null or id <> query_id")
-             .groupBy("row", "query_id", (F.col("place") - F.col("own_place")).alias("offset")).agg(F.count(F.lit(1)).alias("votes")))
-    best = (votes.filter(F.col("votes") >= rule.least_votes).groupBy("row")
-            .agg(F.max(F.struct("votes", (-F.col("query_id")).alias("q"), (-F.col("offset")).alias("o"))).alias("b"))
-            .select("row", (-F.col("b.q")).alias("query_id"), (-F.col("b.o")).alias("offset"), "b.votes"))
-    best = write_out(best, "alignments")
-    whole = prints.filter(is_query).groupBy(F.col("id").alias("query_id")).agg(F.min("codes").alias("own"))
-    pairs = best.join(prints.select("row", "codes"), "row").join(whole, "query_id")
-    errors = bit_errors(pairs.select("row", "codes", "own", "offset"), rule).filter(F.col("bit_errors") <= rule.most_errors)
-    return best.join(errors, "row")
+    members = write_out(code_classes(prints, is_query), "members")
+    fits = aligned_classes(prints, members, rule)
+    best = [F.max(F.struct("votes", (-F.col("q")).alias("q"), (-F.col("offset")).alias("o"), "overlap", (-F.col("bit_errors")).alias("e"))).alias("b"), F.count(F.lit(1)).alias("n_queries")]
+    # copies share the result of their class, except for those with the id of a query, which is not to be found for itself
+    ids = prints.filter(is_query).select("id").filter("id is not null").distinct()
+    some = members.select("row", "id", "class").join(ids, "id", "left_semi")
+    of_class = fits.withColumn("q", F.col("q1")).groupBy("class").agg(*best)
+    of_row = (some.join(fits, "class").withColumn("q", F.when(F.col("q1") == F.col("id"), F.col("q2")).otherwise(F.col("q1")))
+              .filter("q is not null").groupBy("row").agg(*best))
+    plain = members.join(ids, "id", "left_anti").select("row", "class").join(of_class, "class").drop("class")
+    out = members.select("row", "class_id").join(plain.unionByName(of_row), "row", "left")
+    return out.select("row", "class_id", (-F.col("b.q")).alias("query_id"), (-F.col("b.o")).alias("offset"), "b.votes", "b.overlap", (-F.col("b.e")).alias("bit_errors"),
+                      F.coalesce("n_queries", F.lit(0)).cast("bigint").alias("n_queries"))
 
 
 def chroma_report(recordings: DataFrame, is_query: Column, rule: Chroma = Chroma(), id_col: str = "id", pcm_col: str = "pcm", dtype: str = "<i2") -> DataFrame:
-    """(id, n_codes, codes_sha256, query_id, offset, votes, overlap, bit_errors) for every recording; no query: nulls."""
+    """(id, n_codes, codes_sha256, class_id, query_id, offset, votes, overlap, bit_errors, n_queries) for every recording; no query: nulls."""
     prints = write_out(fingerprints(recordings, rule, id_col, pcm_col, dtype), "prints")
     own = prints.select("row", "id", (F.length("codes") / 4).cast("bigint").alias("n_codes"), F.sha2("codes", 256).alias("codes_sha256"))
-    return own.join(align(prints, is_query, rule), "row", "left").drop("row")
+    return own.join(align(prints, is_query, rule), "row").drop("row")

@@ -101,3 +101,61 @@ def test_odd_rows(odd):
 
 def test_empty_table(odd):
     assert chroma_report(recordings(odd.limit(0)), F.col("id") % 20 == 0).count() == 0
+
+
+def brute_all(rows, rule=RULE):
+    """(id, best query, offset, votes, overlap, bit errors, number of query classes) of every recording, all queries compared."""
+    prints = [(r.id, C.codes(np.frombuffer(bytes(r.pcm or b""), np.uint8), rule)) for r in rows]
+    asked = {}
+    for i, c in prints:
+        if i is not None and i % 20 == 0:
+            asked.setdefault(c.tobytes(), set()).add(i)
+    out = []
+    for i, c in prints:
+        fits = []
+        for text, ids in asked.items():
+            q, own = min(ids - {i}, default=None), np.frombuffer(text, np.uint32)
+            places = {}
+            for p in range(len(own) - rule.gram + 1):
+                places.setdefault(tuple(own[p:p + rule.gram]), []).append(p)
+            votes = Counter(p - o for p in range(len(c) - rule.gram + 1) for o in places.get(tuple(c[p:p + rule.gram]), []))
+            for n, o in sorted((-n, o) for o, n in votes.items() if n >= rule.least_votes and q is not None):
+                a, b = c[max(o, 0):], own[max(-o, 0):]
+                m = min(len(a), len(b))
+                wrong = int(np.bitwise_count(a[:m] ^ b[:m]).sum()) / (32 * m)
+                if wrong <= rule.most_errors:
+                    fits.append((n, q, o, -m, round(wrong, 9)))
+                    break
+        n, q, o, m, wrong = min(fits, default=(None,) * 5)
+        out.append((i, q, o, n and -n, m and -m, wrong, len(fits)))
+    return sorted(out, key=repr)
+
+
+def got_all(df):
+    rows = df.select("id", "query_id", "offset", "votes", "overlap", "bit_errors", "n_queries").collect()
+    return sorted(((*r[:5], None if r[5] is None else round(r[5], 9), r[6]) for r in rows), key=repr)
+
+
+def test_later_query_holds_more(spark):
+    rng = np.random.default_rng(7)
+    a, b = (rng.integers(0, 255, 64 * n).astype(np.uint8).tobytes() for n in (60, 40))
+    df = spark.createDataFrame([(20, a), (40, a + b), (41, a + b), (42, a)], "id bigint, pcm binary")
+    out = {r.id: r for r in chroma_report(df, F.col("id") % 20 == 0, dtype="u1").collect()}
+    assert [(out[i].query_id, out[i].n_queries, out[i].class_id) for i in (20, 40, 41, 42)] == [(40, 1, 20), (20, 1, 40), (40, 2, 40), (20, 2, 20)]
+
+
+def test_all_queries_of_mixed_passages(spark):
+    rng = np.random.default_rng(3)
+    parts = [rng.integers(0, 255, 64 * int(n)).astype(np.uint8).tobytes() for n in rng.integers(12, 40, 8)] + [b"a" * 64 * 30]
+    rows = [(int(i), b"".join(parts[k] for k in rng.integers(0, len(parts), int(rng.integers(0, 5))))) for i in rng.integers(0, 12, 90) * 5]
+    rows += [(None, rows[4][1]), (None, rows[5][1]), (20, None), rows[7], rows[7], (61, rows[7][1])]
+    df = spark.createDataFrame(rows, "id bigint, pcm binary")
+    found = got_all(chroma_report(df, F.col("id") % 20 == 0, dtype="u1"))
+    assert found == brute_all(df.collect()) and max(r[6] for r in found) > 5
+
+
+def test_vote_counts_of_common_keys():
+    rng = np.random.default_rng(5)
+    a, b = np.where(rng.random(3000) < 0.9, 7, rng.integers(0, 9, 3000)), np.where(rng.random(2500) < 0.8, 7, rng.integers(0, 20, 2500))
+    slow = sum(np.bincount((np.flatnonzero(a == k)[:, None] - np.flatnonzero(b == k)).ravel() + 2499, minlength=5499) for k in np.unique(a))
+    assert (C.vote_counts(a, b, most=1000) == slow).all()
