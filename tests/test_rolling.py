@@ -150,3 +150,19 @@ def test_daily_features_do_not_depend_on_blocks(panel):
     a, b = (x.sort_values(["symbol", "date"]).reset_index(drop=True) for x in (one, many))
     for n in [*names, "forward_ret"]:
         np.testing.assert_allclose(a[n].astype(float), b[n].astype(float), rtol=1e-7, atol=1e-9, err_msg=n)
+
+
+def test_exponential_means_share_a_sort(panel):
+    """Two calls after by_cells(), and a window after them, sort the rows by cell once; values stay those of pandas."""
+    pdf, sdf = panel
+    r = Rolling()
+    df = r.add(blocked(sdf, 100000), {"p": r.position()})
+    df = r.ewm(r.by_cells(df, "p", 26), {"e": ("close", 26), "f": ("close", 5)}, "p")
+    df = r.add(r.ewm(df, {"g": ("close", 9)}, "p", adjust=False), {"d": r.diff("e")})
+    own = r.ewm(df, {"h": ("close", 200)}, "p")  # fades too slowly for these cells
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    # by date for the positions, by cell for all that follows
+    assert plan.count("Sort [symbol") == 2, plan
+    compare(own, pdf, {"e": lambda g: g.close.ewm(span=26).mean(), "f": lambda g: g.close.ewm(span=5).mean(),
+                       "g": lambda g: g.close.ewm(span=9, adjust=False).mean(), "d": lambda g: g.close.ewm(span=26).mean().diff(),
+                       "h": lambda g: g.close.ewm(span=200).mean()})
