@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quantloom.llm.common import write_out
+from quantloom.llm.common import discard, write_out
 
 DIMENSIONS = ("source", "lang", "topic")
 
@@ -73,31 +73,32 @@ def rake(cells: DataFrame, targets: DataFrame, raking: Raking = Raking()) -> Dat
     """(source, lang, topic, tokens, weight, off): the weighted tokens have the target shares in every dimension.
 
     ``off`` is the largest relative correction that the last round made to a share of the cell: at most the tolerance
-    if raking has converged. Targets of a dimension add up to 1 over values with tokens. Each round is written to the shared folder, so the
-    plan doesn't grow with rounds.
+    if raking has converged. Targets of a dimension add up to 1 over values with tokens. Cells carry what their values
+    are to add up to, and each dimension's step is written to the shared folder, so a plan is one aggregation and one
+    join however many dimensions and rounds came before it.
     """
     targets = write_out(targets, "targets")
     total = cells.agg(F.sum("tokens")).first()[0] or 0.0
+    for d in DIMENSIONS:
+        want = targets.filter(F.col("dim") == d).select(F.col("value").alias("_value"), (F.col("share") * total).alias(f"_want_{d}"))
+        cells = cells.join(want, F.col(d) == F.col("_value"), "left").drop("_value")
     now = write_out(cells.withColumn("weight", F.lit(1.0)).withColumn("off", F.lit(0.0)), "cells")
     off = 0.0
     for _ in range(raking.max_rounds if total else 0):
-        step = now.drop("off")
-        worst = None
         for d in DIMENSIONS:
-            have = step.groupBy(F.col(d).alias("_value")).agg(F.sum(F.col("tokens") * F.col("weight")).alias("_have"))
-            share = targets.filter(F.col("dim") == d).select(F.col("value").alias("_value"), (F.col("share") * total).alias("_want"))
-            factor = have.join(share, "_value").filter("_have > 0").select("_value", (F.col("_want") / F.col("_have")).alias("_factor"))
-            step = step.join(factor, step[d] == factor["_value"], "left").drop("_value")
-            gap = F.abs(F.coalesce("_factor", F.lit(1.0)) - 1)
-            worst = gap if worst is None else F.greatest(F.col("off"), gap)
-            step = step.withColumn("off", worst).withColumn("weight", F.col("weight") * F.coalesce("_factor", F.lit(1.0))).drop("_factor")
-        now = write_out(step, "raked")
+            have = now.groupBy(F.col(d).alias("_value")).agg(F.sum(F.col("tokens") * F.col("weight")).alias("_have"))
+            factor = F.coalesce(F.when(F.col("_have") > 0, F.col(f"_want_{d}") / F.col("_have")), F.lit(1.0))
+            gap = F.abs(factor - 1)
+            step = now.join(have, F.col(d) == F.col("_value"), "left").withColumns(
+                {"off": gap if d == DIMENSIONS[0] else F.greatest("off", gap), "weight": F.col("weight") * factor})
+            old, now = now, write_out(step.select(now.columns), "raked")
+            discard(old)
         off = now.agg(F.max("off")).first()[0]
         if off <= raking.tolerance:
             break
     if off > raking.tolerance:
         _LOG.warning("raking has not converged after %d rounds: a share is still off by %.3g of its target", raking.max_rounds, off)
-    return now
+    return now.drop(*[f"_want_{d}" for d in DIMENSIONS])
 
 
 def scale(cells: DataFrame, keep: float) -> float:
