@@ -8,14 +8,19 @@ the distance are found by regions around pivots:
    A set within the distance lacks at most a fifth of the shingles, so a set is replicated to the regions of its
    first fifth and one more: then two linked sets share the region of their first common shingle. From its place in
    both follows how large the other may be, and a region falls apart where sizes leave a gap.
-2. In each region the smallest set, of equal ones that with the smallest hash, is the region's pivot. Regions with the same pivot are one. The
-   exact distance of every member to its pivot is measured as members stream past it; a pivot with many members
+2. For each set a sketch is kept: how many of its shingles fall into each part of the hash's range, of
+   as many parts as it has shingles, up to a power of two. Counts of neighbouring parts add up to those of a coarser
+   sketch, so sets of different sizes compare; a region is measured as coarsely as its smallest set. The distance of
+   sketches, 1 - sum of least counts / sum of largest counts, is a metric and never more than that of the
+   sets, so what it tells apart is not linked. Only sets that it leaves together are sent in full.
+3. In each region the smallest set, of equal ones that with the smallest hash, is the region's pivot. Regions with the same pivot are one. The
+   sketches' distance of every member to its pivot is measured as members stream past it; a pivot with many members
    is sent to several tasks.
-3. Members within the distance are linked to the pivot, so they need not be compared with each other. By the
+4. Members whose exact distance is within it are linked to the pivot, so they need not be compared with each other. By the
    triangle inequality two members can be linked only if their distances to the pivot differ by no more than the
    distance: a region falls into rings as wide as that, and each member is replicated to the next ring too.
    Rings whose members all are in one component are done; small ones are compared directly, member by member of
-   different components; larger ones are regions again with a pivot of their own, without the old one.
+   different components, of those that by their sketches may be linked; larger ones are regions again with a pivot of their own, without the old one.
 
 Each round tests all pairs with its pivots, so rounds end; what is left after ``max_rounds`` is compared block
 against block. No pair is dropped and no group is expanded into its pairs.
@@ -54,6 +59,8 @@ class Join:
     members: int = 400
     max_rounds: int = 4
     filter_bits: int = 24
+    #: a sketch has at least and at most two to these powers of counts
+    sketch_bits: tuple[int, int] = (6, 18)
     slice_bytes: int = 4 << 20
 
 
@@ -247,32 +254,65 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def distances(members: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
+def sketch(s: np.ndarray, join: Join) -> tuple[int, bytes]:
+    """How many counts, and the counts: shingles in each part of the hash's range, in a byte each if that is enough."""
+    low, high = join.sketch_bits
+    bits = min(max(low, len(s).bit_length()), high)
+    counts = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return 1 << bits, counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.uint32).tobytes()
+
+
+def read_sketch(data: bytes, width: int, to: int) -> np.ndarray:
+    """The counts of a sketch of ``width``, made as coarse as ``to``."""
+    counts = np.frombuffer(data, np.uint8 if len(data) == width else np.uint32)
+    return counts if to == width else counts.reshape(to, -1).sum(1)
+
+
+def sketches_of(sets: DataFrame, join: Join) -> DataFrame:
+    """(point, width, shingles): the sketch of each set."""
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                width, data = zip(*(sketch(np.frombuffer(d, np.uint64), join) for d in batch.column("shingles").to_pylist()))
+                yield pa.RecordBatch.from_arrays([batch.column("point"), pa.array(width, pa.int32()), pa.array(data, pa.binary())], ["point", "width", "shingles"])
+    return sets.select("point", "shingles").mapInArrow(run, "point bigint, width int, shingles binary")
+
+
+def distances(members: DataFrame, sets: DataFrame, join: Join, sketched: bool = False) -> DataFrame:
     """(region, pivot, point, inside, union): common and all shingles of each member and its region's pivot.
 
-    ``members``: (region, pivot, point). Members stream past the pivot's set; a pivot's members are split over
+    ``members``: (region, pivot, point); of sketches, at least as many common ones. Members stream past the pivot's set; a pivot's members are split over
     tasks by hash, each with a copy of the set.
     """
-    many = members.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / join.members).cast("int").alias("shares"))
+    # all of a pivot's members are measured alike, so that their distances to it compare
+    coarse = F.min("width") if sketched else F.lit(0)
+    widths = members.join(sets.select("point", "width"), "point") if sketched else members
+    many = widths.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / join.members).cast("int").alias("shares"), coarse.alias("least"))
     pairs = members.select("pivot", "point").distinct()
     who = (pairs.join(many, "pivot").withColumn("share", F.pmod(F.xxhash64("point"), F.col("shares")).cast("int"))
-           .select("pivot", "share", "point", F.lit(1).alias("is_member"))
-           .unionByName(many.select("pivot", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("pivot").alias("point"), F.lit(0).alias("is_member"))))
+           .select("pivot", "share", "point", F.lit(1).alias("is_member"), "least")
+           .unionByName(many.select("pivot", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("pivot").alias("point"), F.lit(0).alias("is_member"), "least")))
     rows = (who.join(sets, "point").repartition("pivot", "share").sortWithinPartitions("pivot", "share", "is_member"))
 
     def run(batches):
-        now, held = None, None
+        now, held, to = None, None, 0
         for batch in batches:
             out = []
-            for pivot, share, is_member, point, data in zip(*(batch.column(c).to_pylist() for c in ("pivot", "share", "is_member", "point", "shingles"))):
-                s = np.frombuffer(data, np.uint64)
+            width = batch.column("width").to_pylist() if sketched else [0] * batch.num_rows
+            for pivot, share, is_member, point, data, least, own in zip(*(batch.column(c).to_pylist() for c in ("pivot", "share", "is_member", "point", "shingles", "least")), width):
+                if not is_member:
+                    to = min(least, own)
+                s = read_sketch(data, own, to) if sketched else np.frombuffer(data, np.uint64)
                 if not is_member:
                     now, held = (pivot, share), s
                     continue
                 if now != (pivot, share):
                     raise ValueError("a region without its pivot")
-                both = common(held, s)
-                out.append((pivot, point, both, len(held) + len(s) - both))
+                if sketched:
+                    both, all_ = int(np.minimum(held, s).sum()), int(held.sum()) + int(s.sum())
+                else:
+                    both, all_ = common(held, s), len(held) + len(s)
+                out.append((pivot, point, both, all_ - both))
             if out:
                 cols = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["pivot", "point", "inside", "union"])
@@ -280,6 +320,46 @@ def distances(members: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     return members.join(measured, ["pivot", "point"])
 
 
+def worth_comparing(groups: DataFrame, sketches: DataFrame, join: Join) -> DataFrame:
+    """The rows of ``groups`` (group, point, component) that by their sketches may be linked to one of another component there."""
+    names = ["group", "point", "component"]
+    rows = groups.select(names).join(sketches, "point").repartition("group").sortWithinPartitions("group", "point")
+
+    def kept(now, members):
+        if len(members) < 2:
+            return []
+        keep = np.zeros(len(members), bool)
+        width = np.array([m[2] for m in members])
+        for to in np.unique(width):
+            # a set of more than twice the counts is too large for a link; one of fewer has had its turn
+            who = np.flatnonzero((width == to) | (width == 2 * to))
+            who = who[np.argsort(width[who], kind="stable")]
+            counts = np.array([read_sketch(members[i][3], width[i], to) for i in who])
+            component = np.array([members[i][1] for i in who])
+            n = counts.sum(1, dtype=np.int64)
+            for i in range(min(int((width == to).sum()), len(who) - 1)):
+                both = np.minimum(counts[i], counts[i + 1:]).sum(1, dtype=np.int64)
+                near = (100 * both >= join.percent * (n[i] + n[i + 1:] - both)) & (component[i + 1:] != component[i])
+                keep[who[i]] |= near.any()
+                keep[who[i + 1:]] |= near
+        return [(now, *members[i][:2]) for i in np.flatnonzero(keep)]
+
+    def run(batches):
+        now, members = None, []
+        for batch in batches:
+            out = []
+            for g, *member in zip(*(batch.column(x).to_pylist() for x in (*names, "width", "shingles"))):
+                if g != now:
+                    out += kept(now, members)
+                    now, members = g, []
+                members.append(member)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names)
+        if out := kept(now, members):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names)
+    return rows.mapInArrow(run, "group bigint, point bigint, component bigint")
+
+
 def compare_leaves(groups: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     """(a, b): links between members of different components, for groups (group, point, component) of bounded size."""
     rows = groups.join(sets, "point").repartition("group").sortWithinPartitions("group", "point")
@@ -330,7 +410,7 @@ def _open_groups(groups: DataFrame, links: DataFrame) -> DataFrame:
 def linked_points(rows: DataFrame, counted: DataFrame, join: Join) -> DataFrame:
     """(a, b): links between points that connect all points that are linked, written.
 
-    Every table is deleted after its last reader, so the folder holds the sets, the links and one round.
+    Every table is deleted after its last reader, so the folder holds the sets, their sketches, the links and one round.
     """
     spark = rows.sparkSession
     levels = spark.sparkContext.broadcast(shingle_levels(counted, join))
@@ -338,6 +418,7 @@ def linked_points(rows: DataFrame, counted: DataFrame, join: Join) -> DataFrame:
     points = write_out(members.select("point").unionByName(members.select(F.col("pivot").alias("point"))).distinct(), "points")
     sets = write_out(sets_of(rows, points, join), "sets")
     discard(points)
+    sketches = write_out(sketches_of(sets, join), "sketches")
     links = None
 
     def add(now: DataFrame) -> DataFrame:
@@ -347,9 +428,11 @@ def linked_points(rows: DataFrame, counted: DataFrame, join: Join) -> DataFrame:
         return out
 
     for level in range(join.max_rounds + 1):
-        measured = write_out(distances(members, sets, join), "distances")
+        measured = write_out(distances(members, sketches, join, sketched=True), "distances")
         discard(members)
-        links = add(_linked(measured, join))
+        # region is the pivot, as a pair is measured once whatever regions it is in
+        near = _linked(measured, join).select(F.col("a").alias("region"), F.col("a").alias("pivot"), F.col("b").alias("point")).distinct()
+        links = add(_linked(distances(near, sets, join), join))
         # rings as wide as the distance, and the next; the pivot is done
         ring = F.floor((1 - F.col("inside") / F.col("union")) / (1 - join.percent / 100.0) - 1e-9).cast("int")
         rings = measured.select("region", "point", F.explode(F.array(ring, ring + 1)).alias("ring"))
@@ -359,7 +442,7 @@ def linked_points(rows: DataFrame, counted: DataFrame, join: Join) -> DataFrame:
         if open_.isEmpty():
             discard(open_)
             break
-        links = add(compare_leaves(open_.filter(F.col("size") <= join.leaf).drop("size"), sets, join))
+        links = add(compare_leaves(worth_comparing(open_.filter(F.col("size") <= join.leaf), sketches, join), sets, join))
         large = open_.filter(F.col("size") > join.leaf).select("group", "point", "component", "size")
         if level == join.max_rounds:
             # what pivots can't part: every block of members against every other
@@ -367,7 +450,7 @@ def linked_points(rows: DataFrame, counted: DataFrame, join: Join) -> DataFrame:
             cut = large.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("point", F.lit("block")), F.col("blocks")).cast("int"))
             both = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
             both = both.select(F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "point", "component")
-            links = add(compare_leaves(both, sets, join))
+            links = add(compare_leaves(worth_comparing(both, sketches, join), sets, join))
             discard(open_)
             break
         lead = large.groupBy("group").agg(F.min_by("point", F.xxhash64("point", F.lit(level))).alias("pivot"))
@@ -376,6 +459,7 @@ def linked_points(rows: DataFrame, counted: DataFrame, join: Join) -> DataFrame:
         if members.isEmpty():
             break
     discard(sets)
+    discard(sketches)
     return links
 
 
