@@ -5,9 +5,11 @@ never sorted: the smallest hash of the 64-byte strings in a window is its anchor
 and neighbouring windows with the same anchor are one run.
 
 1. Runs are counted by the hash of all bytes that they span. Where a run occurs again as a whole, all its windows do.
-2. An anchor with several different runs may have windows in common between them. One run of each kind, weighted by
-   how often it occurs, is taken apart into its windows, and these are counted. So is a run that holds its anchor
-   twice, as its windows may equal each other.
+2. An anchor with several different runs may have windows in common between them. One run of each kind is cut into
+   pieces, windows that hold their first anchor at nearly the same place. Equal windows are of pieces with the same
+   bytes in what all windows of a piece span, so only pieces that share these with another are taken apart into their
+   windows, weighted by how often the kind occurs, and these are counted. So is a run that holds its anchor twice, as
+   its windows may equal each other.
 3. Covered bytes go back to all runs of a kind, and from there to the documents.
 
 A group of copies is one row per kind of run after the first count, which combines in the task before the shuffle.
@@ -33,6 +35,8 @@ from quantloom.llm.common import discard, prefix_hash, run_starts, slices, span_
 class Repeats:
     length: int = 200
     anchor: int = 64
+    #: windows of a piece hold their first anchor within so many bytes
+    piece: int = 20
     slice_bytes: int = 2 << 20
 
 
@@ -88,11 +92,11 @@ def find_runs(rows: DataFrame, rule: Repeats) -> DataFrame:
     return rows.mapInArrow(run, "row bigint, first int, last int, anchor bigint, h1 bigint, h2 bigint, twice boolean")
 
 
-def split_runs(rows: DataFrame, kinds: DataFrame, rule: Repeats) -> DataFrame:
-    """(w1, w2, n, row, first, place): the windows of one run of each kind (row, first, last, n)."""
-    names = ["w1", "w2", "n", "row", "first", "place"]
-    texts = rows.join(kinds.select("row").distinct(), "row", "left_semi").select("row", "text", F.lit(0).alias("kind"))
-    both = texts.unionByName(kinds.withColumn("kind", F.lit(1)), allowMissingColumns=True).repartition("row").sortWithinPartitions("row", "kind")
+def _beside_text(rows: DataFrame, parts: DataFrame, work, schema: str) -> DataFrame:
+    """``work`` of the text's two prefix hashes and the columns of ``parts`` that name its row."""
+    names, given = [c.split()[0] for c in schema.split(", ")], parts.columns
+    texts = rows.join(parts.select("row").distinct(), "row", "left_semi").select("row", "text", F.lit(0).alias("kind"))
+    both = texts.unionByName(parts.withColumn("kind", F.lit(1)), allowMissingColumns=True).repartition("row").sortWithinPartitions("row", "kind")
 
     def run(batches):
         now = p1 = p2 = None
@@ -107,15 +111,53 @@ def split_runs(rows: DataFrame, kinds: DataFrame, rule: Repeats) -> DataFrame:
                     continue
                 if row[a] != now:
                     raise ValueError("a run without its text")
-                first, last, n = (np.asarray(batch.column(c).slice(a, b - a)) for c in ("first", "last", "n"))
-                size = (last - first + 1).astype(np.int64)
-                edge = np.cumsum(size) - size
-                place = np.arange(size.sum()) - np.repeat(edge, size)
-                s = place + np.repeat(first, size)
-                yield from pa.Table.from_arrays(
-                    [pa.array(span_hash(p, s, s + rule.length).view(np.int64)) for p in (p1, p2)]
-                    + [pa.array(np.repeat(x, size)) for x in (n, np.full(b - a, now), first)] + [pa.array(place.astype(np.int32))], names).to_batches(max_chunksize=50_000)
-    return both.mapInArrow(run, "w1 bigint, w2 bigint, n bigint, row bigint, first int, place int")
+                columns = work(p1, p2, {c: np.asarray(batch.column(c).slice(a, b - a)) for c in given})
+                yield from pa.Table.from_arrays([pa.array(x) for x in columns], names).to_batches(max_chunksize=50_000)
+    return both.mapInArrow(run, schema)
+
+
+def cut_runs(rows: DataFrame, kinds: DataFrame, rule: Repeats) -> DataFrame:
+    """(key, n, row, first, skip, last): the pieces of one run of each kind (row, first, last, anchor, n).
+
+    A piece is the windows from ``first`` + ``skip`` to ``last``; ``key`` is the hash of the bytes that all of them hold.
+    """
+    n_k = rule.length - rule.anchor + 1
+
+    def work(p1, p2, run):
+        first = run["first"].astype(np.int64)
+        size = run["last"] - first + n_k  # places in the run where an anchor may stand
+        edge = np.cumsum(size) - size
+        whose = np.repeat(np.arange(len(first)), size)
+        place = np.arange(size.sum()) - edge[whose]
+        s = place + first[whose]
+        hit = span_hash(p1, s, s + rule.anchor).view(np.int64) == run["anchor"][whose]
+        at = np.arange(len(s))
+        # every window holds an anchor, so the next one is in its run
+        following = np.minimum.accumulate(np.where(hit, at, len(s))[::-1])[::-1]
+        window = place <= size[whose] - n_k
+        whose, place, s, behind = (x[window] for x in (whose, place, s, following - at))
+        part = behind // rule.piece
+        anchor = s + behind
+        new = np.flatnonzero(np.concatenate(([True], (whose[1:] != whose[:-1]) | (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1]))))
+        end = np.append(new[1:], len(s)) - 1
+        low = part[new] * rule.piece
+        high = np.minimum(low + rule.piece, n_k) - 1
+        key = span_hash(p1, anchor[new] - low, anchor[new] - high + rule.length)
+        return (key.view(np.int64), run["n"][whose[new]], run["row"][whose[new]], first[whose[new]].astype(np.int32),
+                place[new].astype(np.int32), s[end].astype(np.int32))
+    return _beside_text(rows, kinds, work, "key bigint, n bigint, row bigint, first int, skip int, last int")
+
+
+def split_runs(rows: DataFrame, pieces: DataFrame, rule: Repeats) -> DataFrame:
+    """(w1, w2, n, row, first, place): the windows of pieces (row, first, skip, last, n)."""
+    def work(p1, p2, run):
+        begin = run["first"].astype(np.int64) + run["skip"]
+        size = run["last"] - begin + 1
+        whose = np.repeat(np.arange(len(begin)), size)
+        s = np.arange(size.sum()) - (np.cumsum(size) - size)[whose] + begin[whose]
+        first = run["first"][whose]
+        return (*(span_hash(p, s, s + rule.length).view(np.int64) for p in (p1, p2)), run["n"][whose], run["row"][whose], first, (s - first).astype(np.int32))
+    return _beside_text(rows, pieces, work, "w1 bigint, w2 bigint, n bigint, row bigint, first int, place int")
 
 
 def covered_starts(rows: DataFrame, rule: Repeats = Repeats()) -> DataFrame:
@@ -125,8 +167,12 @@ def covered_starts(rows: DataFrame, rule: Repeats = Repeats()) -> DataFrame:
     kinds = write_out(runs.groupBy("anchor", "h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice"), F.min(one).alias("one")), "kinds")
     several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.max("twice").alias("twice")).filter("kinds > 1 or twice").select("anchor")
     # a kind found twice is covered whichever of its windows others have, but counts for theirs
-    parts = kinds.join(several, "anchor", "left_semi").select("one.*", "n")
-    windows = write_out(split_runs(rows, parts, rule), "windows")
+    parts = kinds.join(several, "anchor", "left_semi").select("one.*", "anchor", "n")
+    pieces = write_out(cut_runs(rows, parts, rule), "pieces")
+    # pieces of kinds found twice are covered anyway
+    shared = pieces.groupBy("key").agg(F.count(F.lit(1)).alias("pieces"), F.min("n").alias("least")).filter("pieces > 1 and least = 1").select("key")
+    windows = write_out(split_runs(rows, pieces.join(shared, "key", "left_semi").drop("key"), rule), "windows")
+    discard(pieces)
     again = windows.groupBy("w1", "w2").agg(F.sum("n").alias("n")).filter("n > 1").select("w1", "w2")
     places = write_out(windows.filter("n = 1").join(again, ["w1", "w2"], "left_semi").groupBy("row", "first").agg(F.collect_list("place").alias("places")), "places")
     discard(windows)
