@@ -18,12 +18,12 @@ the distance are found by regions around pivots:
    is sent to several tasks.
 4. Members whose exact distance is within it are linked to the pivot, so they need not be compared with each other. By the
    triangle inequality two members can be linked only if their distances to the pivot differ by no more than the
-   distance: a region falls into rings as wide as that, and each member is replicated to the next ring too.
-   Rings whose members all are in one component are done; small ones are compared directly, member by member of
+   distance: a region falls into rings as wide as that, and every two neighbouring rings are a group.
+   Groups whose members all are in one component are done; small ones are compared directly, member by member of
    different components, of those that by their sketches may be linked; larger ones are regions again with a pivot of their own, without the old one.
 
-Each round tests all pairs with its pivots, so rounds end; what is left after ``max_rounds`` is compared block
-against block. No pair is dropped and no group is expanded into its pairs.
+Each round tests all pairs with its pivots, so rounds end; what is left after ``max_rounds``, and a group that
+its pivot did not part, is compared block against block. No pair is dropped and no group is expanded into its pairs.
 
 Results for odd input: a null, empty or blank text has an empty set, is linked with nothing and is its own
 component; with fewer than five words the whole sequence is the one shingle; a null id takes part in its class
@@ -53,8 +53,9 @@ class Join:
     percent: int = 80
     #: counters by which shingles in many documents come last
     counter_bits: int = 21
-    #: rings of at most so many members are compared directly
-    leaf: int = 48
+    #: groups of at most so many members, whose sketches have at most so many counts, are compared directly
+    leaf: int = 1024
+    leaf_counts: int = 1 << 20
     #: members that one task measures against a pivot
     members: int = 400
     max_rounds: int = 4
@@ -123,7 +124,11 @@ def with_sets(rows: DataFrame, join: Join) -> DataFrame:
 
 
 def shingle_levels(counted: DataFrame, join: Join) -> np.ndarray:
-    """For each counter the power of two by which it exceeds the mean: of a fixed size for any corpus."""
+    """For each counter by how much it exceeds the mean: of a fixed size for any corpus.
+
+    Shingles of one document raise a counter by chance, by some square roots of the mean; beyond that a level is a
+    quarter of a power of two, so that those in few documents come before those that a group of near copies shares.
+    """
     width = (1 << join.counter_bits) // 32
 
     def add(batches):
@@ -139,7 +144,8 @@ def shingle_levels(counted: DataFrame, join: Join) -> np.ndarray:
     for r in rows:
         counts[r.part * width:(r.part + 1) * width] += np.frombuffer(r.counts, np.int64)
     mean = max(1.0, counts.mean())
-    return np.clip(np.floor(np.log2(np.maximum(counts, 1) / mean)), 0, 255).astype(np.uint8)
+    excess = np.maximum(counts - mean, 0) / np.sqrt(mean)
+    return np.clip(np.floor(4 * np.log2(1 + excess)), 0, 255).astype(np.uint8)
 
 
 def first_regions(rows: DataFrame, levels, join: Join) -> DataFrame:
@@ -320,28 +326,37 @@ def distances(members: DataFrame, sets: DataFrame, join: Join, sketched: bool =
     return members.join(measured, ["pivot", "point"])
 
 
+def near_pairs(width: np.ndarray, data: list[bytes], component: np.ndarray, join: Join) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, others): members of other components that by their sketches may be linked to member i, every pair once.
+
+    ``component`` may change between two results.
+    """
+    for to in np.unique(width):
+        # a set of more than twice the counts is too large for a link; one of fewer has had its turn
+        who = np.flatnonzero((width == to) | (width == 2 * to))
+        who = who[np.argsort(width[who], kind="stable")]
+        counts = np.array([read_sketch(data[i], width[i], to) for i in who])
+        n = counts.sum(1, dtype=np.int64)
+        for i in range(min(int((width == to).sum()), len(who) - 1)):
+            rest = np.arange(i + 1, len(who))
+            fits = (component[who[rest]] != component[who[i]]) & (100 * np.minimum(n[i], n[rest]) >= join.percent * np.maximum(n[i], n[rest]))
+            rest = rest[fits]
+            both = np.minimum(counts[i], counts[rest]).sum(1, dtype=np.int64)
+            near = who[rest[100 * both >= join.percent * (n[i] + n[rest] - both)]]
+            if len(near):
+                yield who[i], near
+
+
 def worth_comparing(groups: DataFrame, sketches: DataFrame, join: Join) -> DataFrame:
     """The rows of ``groups`` (group, point, component) that by their sketches may be linked to one of another component there."""
     names = ["group", "point", "component"]
     rows = groups.select(names).join(sketches, "point").repartition("group").sortWithinPartitions("group", "point")
 
     def kept(now, members):
-        if len(members) < 2:
-            return []
         keep = np.zeros(len(members), bool)
-        width = np.array([m[2] for m in members])
-        for to in np.unique(width):
-            # a set of more than twice the counts is too large for a link; one of fewer has had its turn
-            who = np.flatnonzero((width == to) | (width == 2 * to))
-            who = who[np.argsort(width[who], kind="stable")]
-            counts = np.array([read_sketch(members[i][3], width[i], to) for i in who])
-            component = np.array([members[i][1] for i in who])
-            n = counts.sum(1, dtype=np.int64)
-            for i in range(min(int((width == to).sum()), len(who) - 1)):
-                both = np.minimum(counts[i], counts[i + 1:]).sum(1, dtype=np.int64)
-                near = (100 * both >= join.percent * (n[i] + n[i + 1:] - both)) & (component[i + 1:] != component[i])
-                keep[who[i]] |= near.any()
-                keep[who[i + 1:]] |= near
+        for i, others in near_pairs(np.array([m[2] for m in members]), [m[3] for m in members], np.array([m[1] for m in members]), join):
+            keep[i] = True
+            keep[others] = True
         return [(now, *members[i][:2]) for i in np.flatnonzero(keep)]
 
     def run(batches):
@@ -365,14 +380,15 @@ def compare_leaves(groups: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     rows = groups.join(sets, "point").repartition("group").sortWithinPartitions("group", "point")
 
     def links(members):
-        members.sort(key=lambda m: len(m[2]))
-        for i, (a, ca, sa) in enumerate(members):
-            for b, cb, sb in members[i + 1:]:
-                if join.percent * len(sb) > 100 * len(sa):
-                    break  # the others are too large
-                if ca != cb:
+        width, data = zip(*(sketch(m[2], join) for m in members)) if members else ((), ())
+        component = np.array([m[1] for m in members])
+        for i, others in near_pairs(np.array(width), data, component, join):
+            for j in others:
+                (a, _, sa), (b, _, sb) = members[i], members[j]
+                if component[i] != component[j]:
                     both = common(sa, sb)
                     if 100 * both >= join.percent * (len(sa) + len(sb) - both):
+                        component[component == component[j]] = component[i]  # they need not be compared any more
                         yield a, b
 
     def run(batches):
@@ -398,11 +414,11 @@ def _linked(measured: DataFrame, join: Join) -> DataFrame:
 
 
 def _open_groups(groups: DataFrame, links: DataFrame) -> DataFrame:
-    """(group, point, component, size) of the groups whose members are in more than one component, written."""
+    """The groups (group, point, width, was) whose members are in more than one component, with component, size and counts, written."""
     found = write_out(components(links), "components")
     named = groups.join(found.withColumnRenamed("node", "point"), "point", "left").withColumn("component", F.coalesce("component", "point"))
-    size = named.groupBy("group").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    out = write_out(named.join(size.select("group", "size"), "group"), "open")
+    size = named.groupBy("group").agg(F.count(F.lit(1)).alias("size"), F.sum("width").alias("counts"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
+    out = write_out(named.join(size.select("group", "size", "counts"), "group"), "open")
     discard(found)
     return out
 
@@ -433,26 +449,30 @@ def linked_points(rows: DataFrame, counted: DataFrame, join: Join) -> DataFrame:
         # region is the pivot, as a pair is measured once whatever regions it is in
         near = _linked(measured, join).select(F.col("a").alias("region"), F.col("a").alias("pivot"), F.col("b").alias("point")).distinct()
         links = add(_linked(distances(near, sets, join), join))
-        # rings as wide as the distance, and the next; the pivot is done
+        # rings as wide as the distance, two neighbours each; the pivot is done
         ring = F.floor((1 - F.col("inside") / F.col("union")) / (1 - join.percent / 100.0) - 1e-9).cast("int")
-        rings = measured.select("region", "point", F.explode(F.array(ring, ring + 1)).alias("ring"))
-        groups = rings.select(F.xxhash64("region", "ring", F.lit(level)).alias("group"), "point").distinct()
-        open_ = _open_groups(groups, links)
+        ringed = measured.withColumn("ring", F.greatest(ring, F.lit(0)))
+        last = ringed.groupBy("region").agg(F.greatest(F.max("ring"), F.lit(1)).alias("last"), F.count(F.lit(1)).alias("was"))
+        # the first ring is whole in the group of the first two, and the last in that of the last two
+        own = F.array_distinct(F.array(F.greatest("ring", F.lit(1)), F.least(F.col("ring") + 1, "last")))
+        rings = ringed.join(last, "region").select("region", "point", "was", F.explode(own).alias("ring"))
+        groups = rings.select(F.xxhash64("region", "ring", F.lit(level)).alias("group"), "point", "was").distinct()
+        open_ = _open_groups(groups.join(sketches.select("point", "width"), "point"), links)
         discard(measured)
         if open_.isEmpty():
             discard(open_)
             break
-        links = add(compare_leaves(worth_comparing(open_.filter(F.col("size") <= join.leaf), sketches, join), sets, join))
-        large = open_.filter(F.col("size") > join.leaf).select("group", "point", "component", "size")
-        if level == join.max_rounds:
-            # what pivots can't part: every block of members against every other
-            blocks = F.ceil(F.col("size") * 2 / join.leaf).cast("int")
-            cut = large.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("point", F.lit("block")), F.col("blocks")).cast("int"))
-            both = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-            both = both.select(F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "point", "component")
-            links = add(compare_leaves(worth_comparing(both, sketches, join), sets, join))
-            discard(open_)
-            break
+        small = (F.col("size") <= join.leaf) & (F.col("counts") <= join.leaf_counts)
+        # the regions of the first round are of single shingles, whose pivot is not chosen to part them
+        whole = F.lit(level == join.max_rounds) | (F.lit(level > 0) & (4 * F.col("size") > 3 * F.col("was")))
+        # what pivots can't part: every block of members against every other
+        blocks = F.ceil(F.greatest(F.col("size") / join.leaf, F.col("counts") / join.leaf_counts) * 2).cast("int")
+        cut = open_.filter(~small & whole).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("point", F.lit("block")), F.col("blocks")).cast("int"))
+        both = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        both = both.select(F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "point", "component")
+        direct = open_.filter(small).select("group", "point", "component").unionByName(both)
+        links = add(compare_leaves(worth_comparing(direct, sketches, join), sets, join))
+        large = open_.filter(~small & ~whole).select("group", "point")
         lead = large.groupBy("group").agg(F.min_by("point", F.xxhash64("point", F.lit(level))).alias("pivot"))
         members = write_out(large.join(lead, "group").filter("point <> pivot").select(F.col("group").alias("region"), "pivot", "point"), "regions")
         discard(open_)
