@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quantloom.llm import byte_bpe, jaccard, mixing, perplexity, secrets
-from quantloom.llm.common import table, write_out
+from quantloom.llm.common import discard, table, write_out
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,6 +52,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over ``documents``."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = write_out(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for k, (name, stage) in enumerate(STAGES):
+        old, docs = docs, write_out(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if k:  # the first reads what was given
+            discard(old)
     return docs

@@ -40,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quantloom.llm.common import discard, mix64, prefix_hash, slices, span_hash, text_buffer, text_rows, words_in, write_out
+from quantloom.llm.common import WORD_SPACE, discard, mix64, prefix_hash, slices, span_hash, text_buffer, text_rows, words_in, write_out
 from quantloom.llm.components import components
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -509,10 +509,12 @@ def first_of_groups(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id"
     # the key is written with the rows, so that it stays theirs when a task runs again
     rows = write_out(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
     found = write_out(jaccard_components(rows, join, "_row", text_col), "components")
-    named = rows.select("_row", F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(found.withColumnRenamed("doc_id", "_row"), "_row")
+    named = rows.select("_row", F.col(id_col).alias("_id")).join(found.filter("n_shingles > 0").withColumnRenamed("doc_id", "_row"), "_row")
     rank = F.struct(F.col("_id").isNull(), "_id", "_row")
-    linked = named.filter("n_shingles > 0").groupBy("component_id").agg(F.min_by("_row", rank).alias("_row"))
-    empty = named.filter("n_shingles = 0")
+    linked = named.groupBy("component_id").agg(F.min_by("_row", rank).alias("_row"))
+    # rows without a word are told where they lie, as texts cross the network once, in the end
+    text = F.col(text_col).cast("string")
+    empty = rows.filter(F.coalesce(F.btrim(text, F.lit(WORD_SPACE.decode())), F.lit("")) == "").select("_row", F.col(id_col).alias("_id"), text.alias("_text"))
     alone = empty.filter("_id is not null").groupBy("_id", "_text").agg(F.min("_row").alias("_row"))
     keep = linked.select("_row").unionByName(alone.select("_row")).unionByName(empty.filter("_id is null").select("_row"))
     return rows.join(keep, "_row", "left_semi").select(*docs.columns)

@@ -28,7 +28,7 @@ import pyarrow as pa
 import pyarrow.parquet
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quantloom.llm.common import mix64, prefix_hash, run_starts, slices, span_hash, store, text_buffer, words_in, write_out
+from quantloom.llm.common import discard, mix64, prefix_hash, run_starts, slices, span_hash, store, text_buffer, words_in, write_out
 
 _BITS = 12  # of a character in a packed n-gram
 _FOLD = 1 << (_BITS - 1)
@@ -318,6 +318,8 @@ def quality(docs: DataFrame, rules: Rules = CORPUS, id_col: str = "doc_id", text
     # a model without entries may have no file
     path = (model.inputFiles() or [""])[0].rsplit("/", 1)[0]
     scored = write_out(score(rows, path, model_files(model), rules), "scored")
+    for done in (rows, ngrams, model):  # the scores are all that is read from here on
+        discard(done)
     band = bands(scored, rules).withColumnRenamed("lang", "_lang")
     inside = F.col("log_ppl").between(F.col("low"), F.col("high"))
     return (scored.join(band, F.coalesce("lang", F.lit("")) == F.col("_lang"), "left").drop("_lang")
