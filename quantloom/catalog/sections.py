@@ -61,8 +61,8 @@ def mad(spark, sf):
 def mad_whole(spark, sf):
     # one group holds every row of a factor: always the split path
     tight = Settings(heavy_group_rows=20_000)
-    d = write_out(long_panel(spark, sf).filter("x IS NOT NULL").select("fid", "x"), "whole")
-    b = xs.mad_bounds(d, ["fid"], "x", 5.0, None, tight)
+    d = long_panel(spark, sf).filter("x IS NOT NULL").select("fid", "x")
+    b = write_out(xs.mad_bounds(d, ["fid"], "x", 5.0, None, tight), "bounds")
     j = d.join(b, "fid")
     return out(j.groupBy("fid").agg(
         F.count(F.lit(1)).alias("n"),
