@@ -308,15 +308,22 @@ def segments(spark, sf):
     return train.unionByName(days.filter("split = 'val'").select("date", F.lit("val").alias("segment")))
 
 
+def neutral_segments(spark, sf):
+    """Fama-MacBeth per (factor, segment) of the size-neutral panel."""
+    if heavy(spark, sf):
+        return inference.segment_fm(neutral_panel(spark, sf), segments(spark, sf), heavy=True)
+    return inference.segment_fm_daily(neutral_days(spark, sf), segments(spark, sf))
+
+
 @C.add("sub_period_metrics", f"WITH {NEUTRAL_DAYS}, {SEG_SQL}, {fm_sql('segd', 'fid, segment')} SELECT fid, segment, {FM_COLS} FROM fm")
 def sub_periods(spark, sf):
-    return fm_out(inference.segment_fm(neutral_panel(spark, sf), segments(spark, sf), heavy=heavy(spark, sf)), ("fid", "segment"))
+    return fm_out(neutral_segments(spark, sf), ("fid", "segment"))
 
 
 @C.add("sub_period_robustness", f"""WITH {NEUTRAL_DAYS}, {SEG_SQL}, {fm_sql('segd', 'fid, segment')}
    SELECT fid, {R('avg((t * rank_ic > 0 AND abs(t) >= 1)::INT)', 'robustness')}, count(*) AS n_segments FROM fm WHERE n_periods >= 30 GROUP BY fid""")
 def robust(spark, sf):
-    m = inference.segment_fm(neutral_panel(spark, sf), segments(spark, sf), heavy=heavy(spark, sf))
+    m = neutral_segments(spark, sf)
     return out(inference.robustness_share(m))
 
 

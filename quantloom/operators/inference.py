@@ -279,6 +279,11 @@ def segment_fm(df: DataFrame, segments: DataFrame, min_stocks: int = 30, heavy=N
                         heavy=heavy, settings=settings)
 
 
+def segment_fm_daily(days: DataFrame, segments: DataFrame, min_stocks: int = 30) -> DataFrame:
+    """:func:`segment_fm` from the rows of :func:`daily.sections`, one per factor and date."""
+    return fama_macbeth_daily(days.join(segments, "date"), by=["fid", "segment"], min_stocks=min_stocks)
+
+
 def robustness_share(segment_metrics: DataFrame) -> DataFrame:
     """Share of segments (at least 30 periods) with t * IC > 0 and |t| >= 1, per factor."""
     hit = ((F.col("fm_t") * F.col("rank_ic") > 0) & (F.abs("fm_t") >= 1.0)).cast("double")
